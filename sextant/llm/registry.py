@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import sharding
+from . import quality, sharding
 
-MODULES = [sharding]
+MODULES = [quality, sharding]
 
 
 def queries() -> dict:
