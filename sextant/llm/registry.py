@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import quality, sharding
+from . import minhash, quality, sharding
 
-MODULES = [quality, sharding]
+MODULES = [quality, sharding, minhash]
 
 
 def queries() -> dict:
