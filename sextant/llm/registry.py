@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import minhash, quality, sharding
+from . import minhash, quality, sharding, urlfilter
 
-MODULES = [quality, sharding, minhash]
+MODULES = [quality, urlfilter, sharding, minhash]
 
 
 def queries() -> dict:

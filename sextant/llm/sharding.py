@@ -128,7 +128,7 @@ def feistel_shards(docs: DataFrame, shards: int = SHARDS, key: int = KEY, id_col
     while True:
         for _ in range(UNROLL):
             at = at.withColumn("permuted", F.when(F.col("permuted") >= n, _step(F.col("permuted"), n, key)).otherwise(F.col("permuted")))
-        if at.filter(F.col("permuted") >= n).isEmpty():
+        if at.agg(F.max("permuted")).first()[0] < n:
             break
     return at.withColumn("shard", (F.col("permuted") % shards).cast("int")).withColumn("slot", _div(F.col("permuted"), shards))
 
