@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import minhash, quality, sharding, urlfilter
+from . import langid, minhash, quality, sharding, urlfilter
 
-MODULES = [quality, urlfilter, sharding, minhash]
+MODULES = [quality, urlfilter, sharding, langid, minhash]
 
 
 def queries() -> dict:
