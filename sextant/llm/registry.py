@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import langid, minhash, quality, sharding, urlfilter
+from . import langid, minhash, quality, sharding, toxicity, urlfilter
 
-MODULES = [quality, urlfilter, sharding, langid, minhash]
+MODULES = [quality, toxicity, urlfilter, sharding, langid, minhash]
 
 
 def queries() -> dict:
