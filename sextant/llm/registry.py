@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import langid, minhash, packing, quality, sharding, toxicity, urlfilter
+from . import langid, minhash, packing, pii, quality, sharding, toxicity, urlfilter
 
-MODULES = [quality, toxicity, urlfilter, packing, sharding, langid, minhash]
+MODULES = [quality, pii, toxicity, urlfilter, packing, sharding, langid, minhash]
 
 
 def queries() -> dict:
