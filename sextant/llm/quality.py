@@ -198,6 +198,8 @@ def filter_quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
     """The rows of ``docs`` that pass, all columns as they were (texts are read twice rather than shuffled)."""
     own = docs.select(F.struct(*docs.columns).alias("_row"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
     rows = with_statistics(own, F.col(f"_row.{text_col}")).withColumns(transformed())
+    # a generator of one row: the optimiser copies no expression through it, so statistics are computed once a text
+    rows = rows.select("_row", "lang", "source", F.inline(F.array(F.struct(*STATS, "base_failed"))))
     slim = stored(rows.filter(~F.col("base_failed")).select("lang", "source", *STATS), "quality-stats")
     return verdicts(rows, fitted(slim)).filter("kept").select("_row.*")
 
