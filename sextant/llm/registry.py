@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import langid, media, minhash, packing, pii, quality, sharding, toxicity, urlfilter
+from . import langid, media, minhash, packing, pii, quality, sharding, sptok, toxicity, urlfilter
 
-MODULES = [quality, pii, toxicity, urlfilter, packing, sharding, media, langid, minhash]
+MODULES = [sptok, quality, pii, toxicity, urlfilter, packing, sharding, media, langid, minhash]
 
 
 def queries() -> dict:
