@@ -5,15 +5,570 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from .functions import text as T
+from .functions.ontology import GROUPS
+from .operators import graph as G
+from .operators import ingest, records
+from .operators import retrieval as R
+from .plans.graph import GRAPH_SQL, graph
+from .session import table
+from .streaming import windows
+
+TARGETS = ["AFRICA", "NATION_3"]
+_Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name."""
+
+    def add(f):
+        _Q[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _names(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(t,) for t in TARGETS], "name string")
+
+
+_TARGETS_SQL = "(" + ", ".join(f"'{t}'" for t in TARGETS) + ")"
+_STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+_TOKENS = r"list_filter(regexp_split_to_array({0}, '\s+'), lambda x: x <> '')"
+_CLEAN = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '\n{3,}', chr(10)||chr(10), 'g'), '(cookie|consent|analytics).{0,40}', '', 'gi'), '^\s+|\s+$', '', 'g')"
+
+# --- text -------------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, {_CLEAN} AS cleaned, len({_TOKENS.format(_CLEAN)})::INTEGER AS words FROM documents WHERE text IS NOT NULL AND text <> '' AND len({_TOKENS.format(_CLEAN)}) >= 5")
+def doc_clean(spark, sf):
+    c = T.clean(F.col("text"))
+    rows = table(spark, sf, "documents").filter("text IS NOT NULL AND text <> ''").select("doc_id", c.alias("cleaned"))
+    return rows.withColumn("words", T.word_count(F.col("cleaned"))).filter("words >= 5")
+
+
+def _chunk_sql(size: int, overlap: int) -> str:
+    stride = size - overlap
+    return f"""
+WITH t AS (SELECT doc_id, {_TOKENS.format("coalesce(text, '')")} AS t FROM documents),
+c AS (SELECT doc_id, t, unnest(range(greatest(0, ceil((len(t) - {size}) / {stride}.0))::BIGINT + 1)) AS i FROM t WHERE len(t) > 0),
+x AS (SELECT doc_id, i::INTEGER AS chunk_index, array_to_string(t[i * {stride} + 1:i * {stride} + {size}], ' ') AS chunk FROM c)
+SELECT doc_id, chunk_index, chunk, md5(doc_id||'_'||chunk_index||'_'||substr(chunk, 1, 20)) AS chunk_id FROM x"""
+
+
+@query(_chunk_sql(750, 50))
+def doc_chunk_tokens(spark, sf):
+    return T.chunks(table(spark, sf, "documents"), 750, 50)
+
+
+@query(_chunk_sql(512, 24))
+def doc_chunk_tokens_512(spark, sf):
+    return T.chunks(table(spark, sf, "documents"), 512, 24)
+
+
+@query("SELECT md5(text) AS text_key, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1")
+def doc_exact_dedup(spark, sf):
+    return table(spark, sf, "documents").groupBy(F.md5("text").alias("text_key")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+
+
+@query(r"""
+SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title,
+  len(list_filter(regexp_extract_all(html, '(?is)<h[1-3][^>]*>(.*?)</h[1-3]>', 1), lambda x: length(trim(x)) > 5))::INTEGER AS headings,
+  array_to_string(list_filter(list_transform(regexp_extract_all(html, '(?is)<p[^>]*>(.*?)</p>', 1), lambda x: trim(x)), lambda x: length(x) > 40), chr(10)||chr(10)) AS body
+FROM pages""")
+def html_blocks(spark, sf):
+    blocks = lambda tag: F.transform(F.regexp_extract_all("html", F.lit(rf"(?is)<{tag}[^>]*>(.*?)</{tag}>"), F.lit(1)), F.trim)
+    return table(spark, sf, "pages").select(
+        "page_id",
+        F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1).alias("title"),
+        F.size(F.filter(blocks("h[1-3]"), lambda x: F.length(x) > 5)).alias("headings"),
+        F.array_join(F.filter(blocks("p"), lambda x: F.length(x) > 40), "\n\n").alias("body"),
+    )
+
+
+@query()
+def html_main_text(spark, sf):
+    return ingest.main_texts(table(spark, sf, "pages"))
+
+
+@query(r"""
+WITH h AS (SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) AS host FROM pages)
+SELECT page_id, host, CASE WHEN len(string_split(host, '.')) > 2 THEN array_to_string(string_split(host, '.')[-2:], '.') ELSE host END AS domain FROM h""")
+def url_domain(spark, sf):
+    return table(spark, sf, "pages").select("page_id", T.host(F.col("url")).alias("host"), T.registered_domain(F.col("url")).alias("domain"))
+
+
+@query(r"""
+WITH k AS (SELECT doc_id, lower(x) AS k FROM (SELECT doc_id, unnest(list_transform(regexp_split_to_array(text, '[\n:;*,]'), lambda y: trim(y))) AS x FROM documents)),
+t AS (SELECT DISTINCT doc_id, lower(y) AS t FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS y FROM documents))
+SELECT doc_id, k AS keyword, count(*) AS n FROM k SEMI JOIN t ON k.doc_id = t.doc_id AND k.k = t.t WHERE k NOT IN ('', 'people', 'person') GROUP BY 1, 2""")
+def keyword_filter(spark, sf):
+    return records.kept_keywords(table(spark, sf, "documents")).groupBy("doc_id", "keyword").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(r"""
+WITH n AS (SELECT c_custkey AS id, c_name AS name FROM customer UNION ALL SELECT p_partkey, p_name FROM part)
+SELECT id, name, array_to_string(list_transform(list_filter(regexp_split_to_array(regexp_replace(name, '[+\-!(){}\[\]^"~*?:\\/]', ' ', 'g'), '\s+'), lambda x: x <> ''), lambda x: x||'~2'), ' AND ') AS terms,
+  levenshtein(lower(name), 'customer#000000001') <= 2 AS near FROM n""")
+def fulltext_fuzzy(spark, sf):
+    names = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")).union(table(spark, sf, "part").select("p_partkey", "p_name"))
+    near = F.levenshtein(F.lower("name"), F.lit("customer#000000001"), 2)
+    return names.select("id", "name", T.fulltext_terms(F.col("name")).alias("terms"), (near >= 0).alias("near"))
+
+
+# --- ingest -----------------------------------------------------------------------------------------------------------
+
+_WORDS = _TOKENS.format("coalesce(text, '')")
+
+
+@query(r"""
+WITH p AS (SELECT page_id, url, regexp_replace(html, '(?s)<[^>]*>', ' ', 'g') AS text FROM pages)
+SELECT page_id, url AS website, CASE WHEN n >= 60 THEN 'ok' ELSE 'fail' END AS status, CASE WHEN n >= 60 THEN NULL ELSE 'too_short_or_empty' END AS reason,
+  CASE WHEN n >= 60 THEN md5(url) END AS doc_id, CASE WHEN n >= 60 THEN n END AS words
+FROM (SELECT *, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''))::INTEGER AS n FROM p)""")
+def crawl_outcomes(spark, sf):
+    return ingest.outcomes(table(spark, sf, "pages"), least=60)
+
+
+@query("""
+SELECT page_id, CASE WHEN contains(url, 'example.net') THEN 'summary' ELSE 'page' END AS route, substr(html, 1, 5000) AS text,
+  CASE WHEN html IS NOT NULL AND html <> '' THEN 'ok' ELSE 'error' END AS status, sha256(url) AS doc_id FROM pages""")
+def fetch_status(spark, sf):
+    return ingest.routed(table(spark, sf, "pages"), "example.net")
+
+
+@query("SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def resume_pending(spark, sf):
+    return ingest.pending(table(spark, sf, "documents"), table(spark, sf, "labels"), "doc_id").select("doc_id", "source")
+
+
+@query("""
+WITH done AS (SELECT coalesce(max(doc_id // 500), -1) AS last FROM labels)
+SELECT d.doc_id, (last + 1 + d.doc_id // 500)::BIGINT AS batch FROM documents d, done WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)""")
+def resume_next_batch(spark, sf):
+    return ingest.next_batches(table(spark, sf, "documents"), table(spark, sf, "labels"), "doc_id", 500)
+
+
+@query("""
+WITH l AS (SELECT 'N'||n_nationkey AS id, n_name AS name FROM nation UNION ALL SELECT 'R'||r_regionkey, r_name FROM region)
+SELECT c_custkey, a.name AS country, b.name AS location FROM customer
+LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN l a ON a.id = 'N'||c_nationkey LEFT JOIN l b ON b.id = 'R'||n_regionkey""")
+def catalog_labels(spark, sf):
+    n, r, c = (table(spark, sf, t) for t in ("nation", "region", "customer"))
+    names = n.select(F.concat(F.lit("N"), "n_nationkey").alias("id"), F.col("n_name").alias("name")).union(r.select(F.concat(F.lit("R"), "r_regionkey"), "r_name"))
+    rows = c.join(n, c.c_nationkey == n.n_nationkey, "left").select("c_custkey", F.concat(F.lit("N"), "c_nationkey").alias("country_id"), F.concat(F.lit("R"), "n_regionkey").alias("location_id"))
+    return ingest.labelled(rows, names, {"country_id": "country", "location_id": "location"}).select("c_custkey", "country", "location")
+
+
+@query("""
+WITH cat AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS k FROM customer),
+pairs AS (SELECT DISTINCT doc_id % 25 AS key, source FROM documents)
+SELECT key, source, c_name AS label, CASE WHEN c_acctbal IS NOT NULL AND c_custkey IS NOT NULL THEN c_acctbal END AS lat FROM pairs JOIN cat ON c_nationkey = key AND k = 1""")
+def catalog_first_match(spark, sf):
+    pairs = table(spark, sf, "documents").select((F.col("doc_id") % 25).alias("key"), "source").dropDuplicates(["key", "source"])
+    first = ingest.first_match(table(spark, sf, "customer"), "c_nationkey", "c_custkey")
+    lat = F.when(F.col("c_acctbal").isNotNull() & F.col("c_custkey").isNotNull(), F.col("c_acctbal"))
+    return pairs.join(first, F.col("c_nationkey") == F.col("key")).select("key", "source", F.col("c_name").alias("label"), lat.alias("lat"))
+
+
+@query("""
+SELECT * FROM (VALUES
+ ('Q1', 'Tower', 'Q142', 'Q90', 48.5::DOUBLE, 2.25::DOUBLE, 'https://tower.example'),
+ ('Q2', '塔', NULL, NULL, NULL, NULL, 'https://ja.wikipedia.org/wiki/Tokyo_Tower'),
+ ('Q3', 'an old bridge', NULL, 'Q64', NULL, NULL, NULL),
+ ('Q4', 'Some Place', NULL, NULL, NULL, NULL, 'https://commons.wikipedia.org/wiki/Some_Place'),
+ ('Q5', '', 'Q30', NULL, 1.0::DOUBLE, 2.0::DOUBLE, NULL)) AS t(qid, label, country, location, lat, lon, website)""")
+def entity_json_fields(spark, sf):
+    return records.entity_fields(records.sample_entities(spark)).select("qid", "label", F.try_element_at("countries", F.lit(1)).alias("country"), F.try_element_at("locations", F.lit(1)).alias("location"), "lat", "lon", "website")
+
+
+# --- relations --------------------------------------------------------------------------------------------------------
+
+
+@query(r"""
+WITH r AS (SELECT DISTINCT o_orderpriority AS raw FROM orders UNION SELECT DISTINCT event_type FROM events UNION SELECT DISTINCT p_type FROM part),
+a AS (SELECT raw, regexp_replace(regexp_replace(raw, '^\s+|\s+$', '', 'g'), '^["''`]+|["''`]+$', '', 'g') AS c FROM r WHERE raw IS NOT NULL),
+b AS (SELECT raw, regexp_replace(regexp_replace(regexp_replace(c, '[-\s]+', '_', 'g'), '[^\p{L}\p{N}_]', '', 'g'), '_+', '_', 'g') AS c FROM a)
+SELECT raw, upper(regexp_replace(c, '^_+|_+$', '', 'g')) AS predicate, lower(trim(regexp_replace(translate(raw, '-_', '  '), '\s+', ' ', 'g'))) AS phrase FROM b""")
+def predicate_normalise(spark, sf):
+    names = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("raw")).union(table(spark, sf, "events").select("event_type")).union(table(spark, sf, "part").select("p_type"))
+    c = F.col("raw")
+    return names.filter(c.isNotNull()).distinct().select("raw", T.predicate(c).alias("predicate"), T.normal(c).alias("phrase"))
+
+
+def _prototype_rows() -> str:
+    return ", ".join("(%d, '%s', [%s])" % (i, g, ", ".join("'%s'" % x for x in ex)) for i, (g, ex) in enumerate(GROUPS.items()))
+
+
+@query(f"SELECT ordinal::INTEGER AS ordinal, name, lower(replace(name, '_', ' '))||': '||array_to_string(ex, '; ') AS prototype FROM (VALUES {_prototype_rows()}) AS t(ordinal, name, ex)")
+def prototype_text(spark, sf):
+    rows = spark.createDataFrame([(i, g, ex) for i, (g, ex) in enumerate(GROUPS.items())], "ordinal int, name string, ex array<string>")
+    return rows.select("ordinal", "name", F.concat(F.lower(F.replace("name", F.lit("_"), F.lit(" "))), F.lit(": "), F.array_join("ex", "; ")).alias("prototype"))
+
+
+_CENTROIDS = """
+long AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS k FROM embeddings),
+mean AS (SELECT label, k, round(avg(v), 9) AS m FROM long GROUP BY 1, 2),
+protos AS (SELECT label, list(m ORDER BY k) AS p FROM mean GROUP BY 1)"""
+
+
+@query(f"""
+WITH {_CENTROIDS},
+s AS (SELECT vec_id, label, round(list_inner_product(embedding::DOUBLE[], p) / (sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_inner_product(p, p))), 6) AS score FROM (SELECT vec_id, embedding FROM embeddings), protos),
+b AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, label) AS k FROM s)
+SELECT vec_id, CASE WHEN score >= 0.35 THEN 'G'||label ELSE 'OTHER' END AS label, score FROM b WHERE k = 1""")
+def prototype_classify(spark, sf):
+    e = table(spark, sf, "embeddings")
+    mean = e.select("label", F.posexplode("embedding").alias("k", "v")).groupBy("label", "k").agg(F.round(F.avg(F.col("v").cast("double")), 9).alias("m"))
+    protos = mean.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "m"))), lambda x: x["m"]).alias("embedding"))
+    return R.nearest_prototype(e, protos.select(F.col("label").alias("ordinal"), F.concat(F.lit("G"), "label").alias("name"), "embedding"), 0.35)
+
+
+@query(f"WITH {GRAPH_SQL}, n AS (SELECT coalesce(rel_group, 'UNMAPPED') AS rel_group, count(*) AS n FROM edges WHERE type = 'REL' GROUP BY 1) SELECT rel_group, n FROM n ORDER BY n DESC, rel_group LIMIT 30")
+def rel_group_distribution(spark, sf):
+    n = graph(spark, sf).edges.filter("type = 'REL'").groupBy(F.coalesce("rel_group", F.lit("UNMAPPED")).alias("rel_group")).agg(F.count(F.lit(1)).alias("n"))
+    return n.orderBy(F.desc("n"), "rel_group").limit(30)
+
+
+_MAP = [(0, "1-urgent", "DATE_OF", 0.9), (1, "1-urgent", "ABOUT", 0.8), (2, "2-high", None, 0.4), (3, "city of", "PART_OF", 0.7), (4, "never seen", "NEAR", 0.6)]
+
+
+@query(f"""
+WITH {GRAPH_SQL}, m AS (SELECT * FROM (VALUES (0, '1-urgent', 'DATE_OF', 0.9), (1, '1-urgent', 'ABOUT', 0.8), (2, '2-high', NULL, 0.4), (3, 'city of', 'PART_OF', 0.7), (4, 'never seen', 'NEAR', 0.6)) AS t(o, rel_type, g, s)),
+f AS (SELECT *, row_number() OVER (PARTITION BY rel_type ORDER BY o) AS k FROM m)
+SELECT edge_id, src, dst, type, e.rel_type, CASE WHEN f.o IS NOT NULL AND type = 'REL' THEN f.g ELSE rel_group END AS rel_group, CASE WHEN type = 'REL' THEN f.s::DOUBLE END AS rel_score
+FROM edges e LEFT JOIN f ON f.rel_type = e.rel_type AND k = 1""")
+def edge_group_update(spark, sf):
+    mapping = spark.createDataFrame(_MAP, "ordinal int, rel_type string, rel_group string, rel_score double")
+    return G.regrouped(graph(spark, sf).edges, mapping)
+
+
+# --- graph ------------------------------------------------------------------------------------------------------------
+
+
+@query(f"""
+WITH {GRAPH_SQL}, new AS (SELECT 'C'||(doc_id // 2) AS node_id, min(lang) AS lbl FROM documents GROUP BY 1 UNION ALL SELECT 'L'||lang, lang FROM documents GROUP BY 2)
+SELECT coalesce(n.node_id, w.node_id) AS node_id, coalesce(w.lbl, n.qidLabel) AS label FROM nodes n FULL JOIN new w ON w.node_id = n.node_id""")
+def graph_upsert_nodes(spark, sf):
+    d = table(spark, sf, "documents")
+    new = d.groupBy(F.concat(F.lit("C"), F.expr("doc_id div 2")).alias("node_id")).agg(F.min("lang").alias("label")).union(d.select(F.concat(F.lit("L"), "lang"), "lang").distinct())
+    return G.upsert(graph(spark, sf).nodes.select("node_id", F.col("qidLabel").alias("label")), new, ["node_id"])
+
+
+@query(f"""
+WITH {GRAPH_SQL} SELECT DISTINCT src, dst, type FROM (SELECT src, dst, type FROM edges UNION ALL SELECT 'D'||doc_id, 'L'||lang, 'LOCATED_IN_COUNTRY' FROM documents WHERE lang IS NOT NULL)""")
+def graph_upsert_edges(spark, sf):
+    new = table(spark, sf, "documents").filter("lang IS NOT NULL").select(F.concat(F.lit("D"), "doc_id").alias("src"), F.concat(F.lit("L"), "lang").alias("dst"), F.lit("LOCATED_IN_COUNTRY").alias("type"))
+    return graph(spark, sf).edges.select("src", "dst", "type").union(new).distinct()
+
+
+@query(f"""
+WITH {GRAPH_SQL}, gone AS (SELECT node_id FROM nodes WHERE qid = 'C7' OR qidLabel = 'NATION_3')
+SELECT edge_id, src, dst FROM edges WHERE src NOT IN (SELECT node_id FROM gone) AND dst NOT IN (SELECT node_id FROM gone)""")
+def graph_detach_delete(spark, sf):
+    g = graph(spark, sf)
+    doomed = g.nodes.filter("qid = 'C7'").select("node_id").union(g.nodes.filter("qidLabel = 'NATION_3'").select("node_id"))
+    return G.detach_delete(g, doomed).edges.select("edge_id", "src", "dst")
+
+
+@query(f"""
+WITH {GRAPH_SQL}, new AS (SELECT 'D'||doc_id AS node_id, 'set '||quality AS label FROM labels UNION ALL SELECT 'Z1', 'never')
+SELECT n.node_id, coalesce(w.label, n.qidLabel) AS label FROM nodes n LEFT JOIN new w ON w.node_id = n.node_id""")
+def keyed_property_update(spark, sf):
+    new = table(spark, sf, "labels").select(F.concat(F.lit("D"), "doc_id").alias("node_id"), F.concat(F.lit("set "), "quality").alias("label"))
+    new = new.union(spark.createDataFrame([("Z1", "never")], "node_id string, label string"))
+    return G.update(graph(spark, sf).nodes.select("node_id", F.col("qidLabel").alias("label")), new, ["node_id"])
+
+
+@query(f"""
+WITH {GRAPH_SQL}, i AS (SELECT dst, count(*) AS n FROM edges GROUP BY 1), o AS (SELECT src, count(*) AS n FROM edges GROUP BY 1)
+SELECT node_id, coalesce(i.n, 0) AS in_degree, coalesce(o.n, 0) AS out_degree FROM nodes LEFT JOIN i ON dst = node_id LEFT JOIN o ON src = node_id""")
+def node_degrees(spark, sf):
+    return G.degrees(graph(spark, sf))
+
+
+_REACH_ALL = f"""
+start AS (SELECT node_id FROM nodes WHERE id IN {_TARGETS_SQL} OR qidLabel IN {_TARGETS_SQL}),
+loc AS (SELECT src, dst FROM edges WHERE rel_group = 'LOCATED_IN'),
+h1 AS (SELECT DISTINCT src FROM loc WHERE dst IN (SELECT node_id FROM start)), h2 AS (SELECT DISTINCT src FROM loc WHERE dst IN (SELECT src FROM h1)),
+h3 AS (SELECT DISTINCT src FROM loc WHERE dst IN (SELECT src FROM h2)), inside AS (SELECT src AS node_id FROM h1 UNION SELECT src FROM h2 UNION SELECT src FROM h3)"""
+
+
+@query(f"WITH {GRAPH_SQL}, {_REACH_ALL} SELECT node_id FROM inside")
+def path_all_located(spark, sf):
+    g = graph(spark, sf)
+    return G.reaches_all(g, G.named(g, _names(spark)))
+
+
+_REACH_ANY = """
+e AS (SELECT edge_id, src, dst, coalesce(rel_group, '') = 'LOCATED_IN' AS loc FROM edges),
+near AS (SELECT src AS node_id FROM e WHERE loc AND dst IN (SELECT node_id FROM allowed)
+  UNION SELECT x.src FROM e x JOIN e y ON y.src = x.dst AND x.edge_id <> y.edge_id WHERE (x.loc OR y.loc) AND y.dst IN (SELECT node_id FROM allowed))"""
+
+
+@query(f"WITH {GRAPH_SQL}, allowed AS (SELECT node_id FROM nodes WHERE id IN {_TARGETS_SQL} OR qidLabel IN {_TARGETS_SQL}), {_REACH_ANY} SELECT node_id FROM near")
+def path_any_located(spark, sf):
+    g = graph(spark, sf)
+    return G.reaches_any(g, G.named(g, _names(spark)))
+
+
+_REGION = f"""
+both AS (SELECT src AS a, dst AS b FROM edges WHERE rel_group = 'LOCATED_IN' UNION ALL SELECT dst, src FROM edges WHERE rel_group = 'LOCATED_IN' AND src <> dst),
+base AS (SELECT n.node_id AS n, n.id AS n_id, n.qidLabel AS n_lbl, d.node_id AS d, d.id AS d_id, d.qidLabel AS d_lbl, d.labels AS d_labels FROM nodes n JOIN both ON a = n.node_id JOIN nodes d ON d.node_id = b
+  WHERE list_contains(n.labels, '__Entity__') AND (n.id IN {_TARGETS_SQL} OR n.qidLabel IN {_TARGETS_SQL}) AND list_has_any(d.labels, ['City', 'Country', 'Region'])),
+cities AS (SELECT a, c.node_id AS c, c.id AS c_id, c.qidLabel AS c_lbl FROM both JOIN nodes c ON c.node_id = b WHERE list_contains(c.labels, 'City')),
+six AS (SELECT base.*, c_id, c_lbl FROM base LEFT JOIN cities ON cities.a = base.d AND list_contains(d_labels, 'Country') AND c <> n),
+region AS (SELECT DISTINCT name FROM (SELECT unnest([n_id, n_lbl, d_id, d_lbl, c_id, c_lbl]) AS name FROM six) WHERE coalesce(name, '') <> '')"""
+
+
+@query(f"WITH {GRAPH_SQL}, {_REGION} SELECT name FROM region")
+def region_expansion(spark, sf):
+    return G.expanded_region(graph(spark, sf), _names(spark))
+
+
+_ANCHORS = """
+docs AS (SELECT qid, node_id, coalesce(qidLabel, id) AS label FROM nodes WHERE list_contains(labels, 'Document') AND qid IS NOT NULL),
+ents AS (SELECT qid, node_id, coalesce(qidLabel, id) AS label FROM nodes WHERE list_contains(labels, '__Entity__')),
+anchors AS (SELECT DISTINCT d.qid, coalesce(e.node_id, d.node_id) AS node_id, CASE WHEN e.node_id IS NOT NULL THEN e.label ELSE d.label END AS label FROM docs d LEFT JOIN ents e ON e.qid = d.qid)"""
+
+
+@query(f"WITH {GRAPH_SQL}, {_ANCHORS} SELECT qid, node_id, label FROM anchors")
+def anchor_nodes(spark, sf):
+    g = graph(spark, sf)
+    return G.anchors(g, g.nodes.filter(F.array_contains("labels", "Document") & F.col("qid").isNotNull()).select("qid"))
+
+
+@query(f"WITH {GRAPH_SQL}, {_ANCHORS} SELECT qid, node_id FROM docs UNION SELECT qid, node_id FROM ents WHERE qid IN (SELECT qid FROM docs)")
+def qid_targets_union(spark, sf):
+    g = graph(spark, sf)
+    return G.doc_targets(g, g.nodes.filter(F.array_contains("labels", "Document") & F.col("qid").isNotNull()).select("qid"))
+
+
+_FACTS = """
+rel AS (SELECT edge_id, src, dst, coalesce(rel_type_en, rel_group, rel_type, 'REL') AS rel FROM edges WHERE type = 'REL' AND coalesce(rel_group, '') <> 'OTHER'),
+side AS (SELECT edge_id, src AS a, dst AS b, rel FROM rel UNION ALL SELECT edge_id, dst, src, rel FROM rel WHERE src <> dst),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY edge_id) AS k FROM side WHERE a IN (SELECT node_id FROM anchors)) WHERE k <= {per}),
+lines AS (SELECT a, edge_id, rel, coalesce(n.qidLabel, n.id, n.qid, substr(n.text, 1, 80), '?') AS other FROM top JOIN nodes n ON n.node_id = b)
+SELECT h.qid, h.node_id, h.label, count(l.a)::INTEGER AS n_facts, coalesce(string_agg(coalesce(h.label, '?')||' --['||l.rel||']-- '||l.other, chr(10) ORDER BY l.edge_id, l.rel, l.other), '') AS facts
+FROM anchors h LEFT JOIN lines l ON l.a = h.node_id GROUP BY 1, 2, 3"""
+
+
+@query(f"WITH {GRAPH_SQL}, {_ANCHORS}, {_FACTS.format(per=8)}")
+def graph_context(spark, sf):
+    g = graph(spark, sf)
+    heads = G.anchors(g, g.nodes.filter(F.array_contains("labels", "Document") & F.col("qid").isNotNull()).select("qid"))
+    return G.facts(g, heads, 8)
+
+
+# --- retrieval --------------------------------------------------------------------------------------------------------
+
+_SIM = "round(list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6)"
+
+
+def _sim(spark, sf, vec_id: int) -> DataFrame:
+    e = table(spark, sf, "embeddings")
+    return R.scored(e, e.filter(F.col("vec_id") == vec_id))
+
+
+def _sim_sql(name: str, vec_id: int) -> str:
+    return f"{name} AS (SELECT e.vec_id, {_SIM} AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = {vec_id} LIMIT 1) q)"
+
+
+_TOP = "SELECT vec_id, score, row_number() OVER (ORDER BY score DESC, vec_id)::INTEGER AS rank FROM {0} QUALIFY rank <= {1}"
+
+
+@query(f"WITH {_sim_sql('s', 0)} {_TOP.format('s', 500)}")
+def vector_topk(spark, sf):
+    return R.top_k(_sim(spark, sf, 0), 500)
+
+
+_KEYWORD = "k AS (SELECT doc_id AS vec_id, len(regexp_extract_all(lower(text), '\\bthe\\b')) / (1 + length(text))::DOUBLE AS score FROM documents WHERE contains(lower(text), 'the'))"
+
+
+@query(f"""
+WITH {_sim_sql('s', 0)}, {_KEYWORD},
+u AS (SELECT vec_id, score / nullif((SELECT max(score) FROM s), 0) AS score FROM s UNION ALL SELECT vec_id, score / nullif((SELECT max(score) FROM k), 0) FROM k),
+m AS (SELECT vec_id, round(max(score), 6) AS score FROM u GROUP BY 1) {_TOP.format('m', 500)}""")
+def hybrid_topk(spark, sf):
+    docs = table(spark, sf, "documents").filter(F.contains(F.lower("text"), F.lit("the")))
+    words = F.regexp_count(F.lower("text"), F.lit(r"\bthe\b")).cast("double") / (1 + F.length("text"))
+    return R.hybrid(_sim(spark, sf, 0), docs.select(F.col("doc_id").alias("vec_id"), words.alias("score")), 500)
+
+
+_FUSED = f"{_sim_sql('a', 0)}, {_sim_sql('b', 1)}, x AS (SELECT * FROM a WHERE score > 0), y AS (SELECT * FROM b WHERE score > 0), f AS (SELECT coalesce(x.vec_id, y.vec_id) AS vec_id, round(CASE WHEN x.score IS NOT NULL AND y.score IS NOT NULL THEN 0.6::DOUBLE * x.score + 0.4::DOUBLE * y.score ELSE coalesce(x.score, y.score) END, 6) AS score FROM x FULL JOIN y ON x.vec_id = y.vec_id)"
+
+
+def _fused(spark, sf) -> DataFrame:
+    return R.fused(_sim(spark, sf, 0).filter("score > 0"), _sim(spark, sf, 1).filter("score > 0"))
+
+
+@query(f"WITH {_FUSED} SELECT vec_id, score FROM f")
+def score_fusion(spark, sf):
+    return _fused(spark, sf)
+
+
+@query(f"WITH {_FUSED}, t AS ({_TOP.format('f', 3)}) SELECT DISTINCT k AS keyword FROM (SELECT unnest([lang, source]) AS k FROM t JOIN documents ON doc_id = vec_id) WHERE coalesce(k, '') <> ''")
+def photo_keywords(spark, sf):
+    top = R.top_k(_fused(spark, sf), 3)
+    both = table(spark, sf, "documents").join(top, F.col("doc_id") == F.col("vec_id")).select(F.explode(F.array("lang", "source")).alias("keyword"))
+    return both.filter("coalesce(keyword, '') <> ''").distinct()
+
+
+@query(f"WITH {_sim_sql('s', 0)}, t AS ({_TOP.format('s', 15)}) SELECT vec_id, score, rank FROM t WHERE score > 0.35")
+def relevant_tags(spark, sf):
+    return R.top_k(_sim(spark, sf, 0), 15).filter("score > 0.35")
+
+
+def _ranked_docs(spark, sf) -> DataFrame:
+    """The 500 nearest documents with what retrieval returns of each."""
+    docs = table(spark, sf, "documents")
+    qid = F.expr("CASE WHEN doc_id % 25 = 7 THEN NULL WHEN doc_id % 10 = 9 THEN 'X'||(doc_id div 20) ELSE 'C'||(doc_id div 2) END")
+    top = R.top_k(_sim(spark, sf, 0), 500)
+    return docs.join(top, F.col("doc_id") == F.col("vec_id")).select("rank", qid.alias("qid"), F.concat_ws(" ", "source", F.col("doc_id").cast("string")).alias("qidLabel"), "text", "score")
+
+
+_DOCS = f"""{_sim_sql('s', 0)}, t AS ({_TOP.format('s', 500)}),
+vec AS (SELECT rank, CASE WHEN doc_id % 25 = 7 THEN NULL WHEN doc_id % 10 = 9 THEN 'X'||(doc_id // 20) ELSE 'C'||(doc_id // 2) END AS qid, source||' '||doc_id AS qidLabel, text, score FROM documents JOIN t ON vec_id = doc_id)"""
+_GEO = f"""{_REGION}, allowed AS (SELECT node_id FROM nodes WHERE id IN (SELECT name FROM region) OR qidLabel IN (SELECT name FROM region)), {_REACH_ANY}, {_ANCHORS},
+valid AS (SELECT DISTINCT qid FROM anchors WHERE node_id IN (SELECT node_id FROM near)),
+final AS (SELECT * FROM vec WHERE qid IN (SELECT qid FROM valid) UNION ALL SELECT * FROM vec WHERE rank <= 50 AND NOT EXISTS (SELECT 1 FROM vec WHERE qid IN (SELECT qid FROM valid)))"""
+
+
+@query(f"WITH {GRAPH_SQL}, {_DOCS}, {_GEO} SELECT rank, qid, score FROM final")
+def geo_filter(spark, sf):
+    return R.geo_filtered(graph(spark, sf), _ranked_docs(spark, sf), _names(spark)).select("rank", "qid", "score")
+
+
+@query(f"WITH {_DOCS} SELECT rank, qid, score FROM vec WHERE rank <= 50")
+def geo_filter_fallback(spark, sf):
+    none = spark.createDataFrame([("nowhere",)], "name string")
+    return R.geo_filtered(graph(spark, sf), _ranked_docs(spark, sf), none).select("rank", "qid", "score")
+
+
+_HIT = "(" + " OR ".join(f"contains(lower(text), lower('{t}'))" for t in TARGETS) + ")"
+_RERANK = f"""{_REACH_ALL},
+targets AS (SELECT qid, node_id FROM docs UNION SELECT qid, node_id FROM ents WHERE qid IN (SELECT qid FROM docs)),
+ind AS (SELECT dst, count(*) AS n FROM edges GROUP BY 1), outd AS (SELECT src, count(*) AS n FROM edges GROUP BY 1),
+told AS (SELECT qid, max(coalesce(ind.n, 0)) AS i, max(coalesce(outd.n, 0)) AS o, bool_or(inside.node_id IS NOT NULL) AS in_target
+  FROM targets LEFT JOIN ind ON dst = targets.node_id LEFT JOIN outd ON src = targets.node_id LEFT JOIN inside ON inside.node_id = targets.node_id GROUP BY 1),
+final_scores AS (SELECT f.qid, qidLabel AS label, rank, round(score * CASE WHEN {_HIT} THEN 1.2::DOUBLE ELSE 1 END * CASE WHEN in_target THEN 1.1::DOUBLE ELSE 1 END + 0.05::DOUBLE * coalesce(ln(2 * i + o + 1), 0), 6) AS score
+  FROM final f LEFT JOIN told ON told.qid = f.qid WHERE coalesce(f.qid, '') <> ''),
+best AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, rank) AS k, min(rank) OVER (PARTITION BY qid) AS first FROM final_scores),
+cand AS (SELECT qid, label, score, row_number() OVER (ORDER BY score DESC, first)::INTEGER AS rank FROM best WHERE k = 1 QUALIFY rank <= 15)"""
+
+
+def _candidates(spark, sf) -> tuple[DataFrame, DataFrame]:
+    g = graph(spark, sf)
+    docs = R.geo_filtered(g, _ranked_docs(spark, sf), _names(spark))
+    return docs, R.reranked(g, docs, _names(spark), 15)
+
+
+@query(f"WITH {GRAPH_SQL}, {_DOCS}, {_GEO}, {_RERANK} SELECT qid, label, score, rank FROM cand")
+def landmark_rerank(spark, sf):
+    return _candidates(spark, sf)[1]
+
+
+@query(f"""
+WITH {GRAPH_SQL}, {_DOCS}, {_GEO}, {_RERANK},
+longest AS (SELECT qid, text, row_number() OVER (PARTITION BY qid ORDER BY length(text) DESC, rank) AS k FROM final WHERE qid IN (SELECT qid FROM cand))
+SELECT c.qid, c.rank, '== '||coalesce(label, 'None')||' (Score='||printf('%.4f', score)||') =='||chr(10)||replace(substr(coalesce(l.text, 'No text available.'), 1, 700), chr(10), ' ')||'...' AS block
+FROM cand c LEFT JOIN longest l ON l.qid = c.qid AND k = 1""")
+def evidence_block(spark, sf):
+    docs, cand = _candidates(spark, sf)
+    return R.evidence(docs, cand)
+
+
+@query(f"""
+WITH {GRAPH_SQL}, {_DOCS}, {_GEO}, {_RERANK}, tools AS (SELECT unnest(['flights', 'food', 'hotels', 'news', 'weather']) AS tool)
+SELECT rank AS candidate, coalesce(label, 'Unknown') AS name, max(CASE WHEN tool = 'flights' THEN tool||' '||label END) AS flights, max(CASE WHEN tool = 'food' THEN tool||' '||label END) AS food,
+  max(CASE WHEN tool = 'hotels' THEN tool||' '||label END) AS hotels, max(CASE WHEN tool = 'news' THEN tool||' '||label END) AS news, max(CASE WHEN tool = 'weather' THEN tool||' '||label END) AS weather
+FROM cand, tools WHERE rank <= 3 GROUP BY 1, 2""")
+def candidate_tool_fanout(spark, sf):
+    top = _candidates(spark, sf)[1].filter("rank <= 3").select(F.col("rank").alias("candidate"), F.coalesce("label", F.lit("Unknown")).alias("name"))
+    return records.fanned_out(top, lambda tool, name: F.concat_ws(" ", tool, name))
+
+
+# --- records ----------------------------------------------------------------------------------------------------------
+
+
+@query("""
+SELECT conv_id, list(text ORDER BY turn) FILTER (WHERE text IS NOT NULL) AS texts, (list(role ORDER BY turn) FILTER (WHERE coalesce(role, '') <> ''))[1] AS first_role FROM conversations GROUP BY 1""")
+def state_reducers(spark, sf):
+    return records.reduced(table(spark, sf, "conversations"))
+
+
+@query(r"""
+WITH raw AS (SELECT event_id, props FROM events UNION ALL SELECT * FROM (VALUES (-1, '{"k": 1,}'), (-2, ''), (-3, NULL), (-4, 'nothing')) AS t(a, b)),
+fix AS (SELECT event_id, CASE WHEN json_valid(props) THEN props WHEN json_valid(regexp_replace(props, ',\s*([}\]])', '\1', 'g')) THEN regexp_replace(props, ',\s*([}\]])', '\1', 'g') ELSE '{}' END AS js FROM raw)
+SELECT event_id::BIGINT AS event_id, js AS repaired, (js ->> '$.k')::BIGINT AS k FROM fix""")
+def json_repair(spark, sf):
+    bad = spark.createDataFrame([(-1, '{"k": 1,}'), (-2, ""), (-3, None), (-4, "nothing")], "event_id long, props string")
+    return records.repaired(table(spark, sf, "events").select("event_id", "props").union(bad))
+
+
+@query()
+def embed_backfill(spark, sf):
+    return ingest.backfilled(table(spark, sf, "documents"), table(spark, sf, "embeddings"))
+
+
+@query(f"WITH {_DOCS} SELECT qid, sum(100 - rank)::BIGINT AS points FROM vec WHERE rank <= 100 AND qid IS NOT NULL GROUP BY 1")
+def rank_sum(spark, sf):
+    return _ranked_docs(spark, sf).filter("rank <= 100 AND qid IS NOT NULL").groupBy("qid").agg(F.sum(100 - F.col("rank")).alias("points"))
+
+
+@query(f"WITH {_DOCS} SELECT qid, count(*) AS n, min(rank) AS first FROM vec WHERE qid IS NOT NULL GROUP BY 1 ORDER BY n DESC, first LIMIT 15")
+def frequency_topk(spark, sf):
+    n = _ranked_docs(spark, sf).filter("qid IS NOT NULL").groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("first"))
+    return n.orderBy(F.desc("n"), "first").limit(15)
+
+
+# --- extensions over the event and order tables -----------------------------------------------------------------------
+
+
+@query("SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def events_tumbling(spark, sf):
+    return windows.tumbling(table(spark, sf, "events"), "5 minutes")
+
+
+@query("""
+WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM g)
+SELECT user_id, min(ts) AS start, max(ts) AS last, count(*) AS n FROM s GROUP BY user_id, session""")
+def events_session(spark, sf):
+    return windows.sessions(table(spark, sf, "events"), "30 minutes")
+
+
+@query("SELECT user_id, event_type, min(ts) AS first, count(*) AS copies FROM events GROUP BY 1, 2")
+def events_dedup_watermark(spark, sf):
+    return table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.min("ts").alias("first"), F.count(F.lit(1)).alias("copies"))
+
+
+@query("SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY ROLLUP (1, 2)")
+def orders_rollup(spark, sf):
+    return table(spark, sf, "orders").rollup("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("""
+WITH d AS (SELECT l_suppkey, l_shipdate, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2)
+SELECT l_suppkey, l_shipdate, q, sum(q) OVER (PARTITION BY l_suppkey ORDER BY l_shipdate) AS running FROM d""")
+def lineitem_running_sum(spark, sf):
+    d = table(spark, sf, "lineitem").groupBy("l_suppkey", "l_shipdate").agg(F.sum("l_quantity").alias("q"))
+    return d.withColumn("running", F.sum("q").over(W.partitionBy("l_suppkey").orderBy("l_shipdate")))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/region.parquet")
+    return landmark_rerank(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
