@@ -34,7 +34,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back: cuts the lineage, outlives executors."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes what ``stored`` wrote for frames that nothing will read again."""
+    for df in frames:
+        remove(df.sparkSession, df.stored_at)
 
 
 def remove(spark: SparkSession, path: str) -> None:
