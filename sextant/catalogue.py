@@ -14,7 +14,7 @@ from .operators import graph as G
 from .operators import ingest, records
 from .operators import retrieval as R
 from .plans.graph import GRAPH_SQL, graph
-from .session import table
+from .session import settled, table
 from .streaming import windows
 
 TARGETS = ["AFRICA", "NATION_3"]
@@ -83,7 +83,7 @@ SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS tit
   array_to_string(list_filter(list_transform(regexp_extract_all(html, '(?is)<p[^>]*>(.*?)</p>', 1), lambda x: trim(x)), lambda x: length(x) > 40), chr(10)||chr(10)) AS body
 FROM pages""")
 def html_blocks(spark, sf):
-    blocks = lambda tag: F.transform(F.regexp_extract_all("html", F.lit(rf"(?is)<{tag}[^>]*>(.*?)</{tag}>"), F.lit(1)), F.trim)
+    blocks = lambda tag: F.transform(F.regexp_extract_all("html", F.lit(rf"(?is)<{tag}[^>]*>(.*?)</{tag}>"), F.lit(1)), lambda x: F.trim(x))
     return table(spark, sf, "pages").select(
         "page_id",
         F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1).alias("title"),
@@ -319,10 +319,10 @@ def path_any_located(spark, sf):
 
 
 _REGION = f"""
-both AS (SELECT src AS a, dst AS b FROM edges WHERE rel_group = 'LOCATED_IN' UNION ALL SELECT dst, src FROM edges WHERE rel_group = 'LOCATED_IN' AND src <> dst),
-base AS (SELECT n.node_id AS n, n.id AS n_id, n.qidLabel AS n_lbl, d.node_id AS d, d.id AS d_id, d.qidLabel AS d_lbl, d.labels AS d_labels FROM nodes n JOIN both ON a = n.node_id JOIN nodes d ON d.node_id = b
+sides AS (SELECT src AS a, dst AS b FROM edges WHERE rel_group = 'LOCATED_IN' UNION ALL SELECT dst, src FROM edges WHERE rel_group = 'LOCATED_IN' AND src <> dst),
+base AS (SELECT n.node_id AS n, n.id AS n_id, n.qidLabel AS n_lbl, d.node_id AS d, d.id AS d_id, d.qidLabel AS d_lbl, d.labels AS d_labels FROM nodes n JOIN sides ON a = n.node_id JOIN nodes d ON d.node_id = b
   WHERE list_contains(n.labels, '__Entity__') AND (n.id IN {_TARGETS_SQL} OR n.qidLabel IN {_TARGETS_SQL}) AND list_has_any(d.labels, ['City', 'Country', 'Region'])),
-cities AS (SELECT a, c.node_id AS c, c.id AS c_id, c.qidLabel AS c_lbl FROM both JOIN nodes c ON c.node_id = b WHERE list_contains(c.labels, 'City')),
+cities AS (SELECT a, c.node_id AS c, c.id AS c_id, c.qidLabel AS c_lbl FROM sides JOIN nodes c ON c.node_id = b WHERE list_contains(c.labels, 'City')),
 six AS (SELECT base.*, c_id, c_lbl FROM base LEFT JOIN cities ON cities.a = base.d AND list_contains(d_labels, 'Country') AND c <> n),
 region AS (SELECT DISTINCT name FROM (SELECT unnest([n_id, n_lbl, d_id, d_lbl, c_id, c_lbl]) AS name FROM six) WHERE coalesce(name, '') <> '')"""
 
@@ -460,13 +460,14 @@ told AS (SELECT qid, max(coalesce(ind.n, 0)) AS i, max(coalesce(outd.n, 0)) AS o
 final_scores AS (SELECT f.qid, qidLabel AS label, rank, round(score * CASE WHEN {_HIT} THEN 1.2::DOUBLE ELSE 1 END * CASE WHEN in_target THEN 1.1::DOUBLE ELSE 1 END + 0.05::DOUBLE * coalesce(ln(2 * i + o + 1), 0), 6) AS score
   FROM final f LEFT JOIN told ON told.qid = f.qid WHERE coalesce(f.qid, '') <> ''),
 best AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, rank) AS k, min(rank) OVER (PARTITION BY qid) AS first FROM final_scores),
-cand AS (SELECT qid, label, score, row_number() OVER (ORDER BY score DESC, first)::INTEGER AS rank FROM best WHERE k = 1 QUALIFY rank <= 15)"""
+cand AS (SELECT qid, label, score, row_number() OVER (ORDER BY score DESC, first)::INTEGER AS rank FROM best WHERE k = 1 QUALIFY row_number() OVER (ORDER BY score DESC, first) <= 15)"""
 
 
 def _candidates(spark, sf) -> tuple[DataFrame, DataFrame]:
     g = graph(spark, sf)
     docs = R.geo_filtered(g, _ranked_docs(spark, sf), _names(spark))
-    return docs, R.reranked(g, docs, _names(spark), 15)
+    docs = settled(docs)
+    return docs, settled(R.reranked(g, docs, _names(spark), 15))
 
 
 @query(f"WITH {GRAPH_SQL}, {_DOCS}, {_GEO}, {_RERANK} SELECT qid, label, score, rank FROM cand")
@@ -505,7 +506,7 @@ def state_reducers(spark, sf):
 
 @query(r"""
 WITH raw AS (SELECT event_id, props FROM events UNION ALL SELECT * FROM (VALUES (-1, '{"k": 1,}'), (-2, ''), (-3, NULL), (-4, 'nothing')) AS t(a, b)),
-fix AS (SELECT event_id, CASE WHEN json_valid(props) THEN props WHEN json_valid(regexp_replace(props, ',\s*([}\]])', '\1', 'g')) THEN regexp_replace(props, ',\s*([}\]])', '\1', 'g') ELSE '{}' END AS js FROM raw)
+fix AS (SELECT event_id, CASE WHEN json_valid(props) AND NOT regexp_matches(props, ',\s*[}\]]') THEN props WHEN json_valid(regexp_replace(props, ',\s*([}\]])', '\1', 'g')) THEN regexp_replace(props, ',\s*([}\]])', '\1', 'g') ELSE '{}' END AS js FROM raw)
 SELECT event_id::BIGINT AS event_id, js AS repaired, (js ->> '$.k')::BIGINT AS k FROM fix""")
 def json_repair(spark, sf):
     bad = spark.createDataFrame([(-1, '{"k": 1,}'), (-2, ""), (-3, None), (-4, "nothing")], "event_id long, props string")

@@ -40,7 +40,7 @@ def entity_fields(entities: DataFrame) -> DataFrame:
     label = F.coalesce(_first_value(labels, "value", PREFERRED_LANGUAGES), _first_value(labels, "value"), _first_value(descs, "value", PREFERRED_LANGUAGES), _first_value(descs, "value"), site_title, F.lit(""))
     ids = lambda key: F.filter(F.transform(_values(claims, key, "wikibase-entityid"), lambda v: F.get_json_object(v, "$.id")), lambda v: v.isNotNull())
     place = F.try_element_at(_values(claims, "P625", "globecoordinate"), F.lit(1))
-    official = F.try_element_at(F.filter(F.transform(_values(claims, "P856", "string"), F.trim), lambda v: v != ""), F.lit(1))
+    official = F.try_element_at(F.filter(F.transform(_values(claims, "P856", "string"), lambda x: F.trim(x)), lambda v: v != ""), F.lit(1))
     codes = list(dict.fromkeys(["en", *[x.split("-")[0] for x in PREFERRED_LANGUAGES]]))
     page = lambda lang, title: F.concat(F.lit("https://"), lang, F.lit(".wikipedia.org/wiki/"), F.replace(title, F.lit(" "), F.lit("_")))
     preferred = F.coalesce(*[F.when(F.coalesce(F.try_element_at(sites, F.lit(f"{c}wiki"))["title"], F.lit("")) != "", page(F.lit(c), F.try_element_at(sites, F.lit(f"{c}wiki"))["title"])) for c in codes])
@@ -105,7 +105,7 @@ def kept_keywords(docs: DataFrame) -> DataFrame:
     Both lists belong to one document, so the semi join is a test within its row and nothing is shuffled.
     """
     parts = F.transform(F.split("text", r"[\n:;*,]"), lambda x: F.lower(F.trim(x)))
-    words = F.array_distinct(F.transform(F.split("text", " "), F.lower))
+    words = F.array_distinct(F.transform(F.split("text", " "), lambda x: F.lower(x)))
     rows = docs.select("doc_id", parts.alias("_p"), words.alias("_w"))
     # few parts are single words: only those can be in the list
     kept = F.filter("_p", lambda x: (x != "") & ~x.contains(" ") & ~x.isin(STOP_KEYWORDS) & F.array_contains("_w", x))

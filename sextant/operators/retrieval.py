@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from ..functions.vectors import cosine, dot
 from ..plans.graph import Graph
+from ..session import settled
 from . import graph as G
 
 
@@ -55,11 +56,12 @@ def nearest_prototype(vectors: DataFrame, prototypes: DataFrame, least: float, o
 
 
 def geo_filtered(g: Graph, docs: DataFrame, names: DataFrame, fallback: int = 50) -> DataFrame:
-    """Ranked documents (rank, qid, ...) whose anchor reaches the targets' region; the first ``fallback`` by rank if none does."""
+    """Ranked documents (rank, qid, ...; the top of a search, so few) whose anchor reaches the targets' region; the first ``fallback`` by rank if none does."""
+    docs = settled(docs)
     allowed = G.named(g, G.expanded_region(g, names))
     ok = G.reaches_any(g, allowed)
     valid = G.anchors(g, docs.filter("qid IS NOT NULL").select("qid")).join(ok, "node_id", "left_semi").select("qid").distinct()
-    kept = docs.join(valid, "qid", "left_semi").select(*docs.columns)
+    kept = settled(docs.join(valid, "qid", "left_semi").select(*docs.columns))
     none = kept.agg((F.count(F.lit(1)) == 0).alias("_none"))
     rest = docs.filter(F.col("rank") <= fallback).crossJoin(F.broadcast(none)).filter("_none").select(*docs.columns)
     return kept.union(rest)
