@@ -29,7 +29,9 @@ from .common import stored, table
 MARK = "▁"
 CHUNK = 32_768
 #: Words that a worker remembers before it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 800_000
+#: Words with so many equal first characters share the states up to there.
+HEAD = 6
 #: The state at a word's beginning, and at the beginning of the text.
 FREE = (0, "")
 
@@ -59,8 +61,10 @@ class Vocabulary:
         #: What each id stands for, as UTF-8.
         self.spelling = self._spelling(set(plain))
         self.split = splitter(set(self.ids)).findall
-        #: Beginnings of pieces: where none goes on, the search for longer ones ends.
-        self.prefixes = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
+        #: Ends of pieces: what is none of them is no end of a longer piece either.
+        self.suffixes = {p[k:] for p in self.ids for k in range(len(p))}
+        #: States of the first HEAD characters of longer words.
+        self.heads: dict[str, tuple[list, list, list]] = {}
         #: piece -> piece -> whether it may follow; at most as many pieces as the vocabulary and single characters have.
         self.after: dict[str, dict[str, bool]] = {}
         self._pairs: dict[tuple[str, str], bool] = {}
@@ -152,34 +156,56 @@ class Vocabulary:
         return got
 
     def _best(self, word: str) -> list[str]:
-        """The best path through a word of its own: a single entry state, so one state a place is enough (``paths`` without rows)."""
-        n, weight, prefixes, low = len(word), self.score, self.prefixes, float("-inf")
-        score: list[float] = [0.0] + [low] * n
-        last: list[str] = [""] * (n + 1)
-        for place in range(n):
-            if score[place] == low:
-                continue
-            before, so_far = last[place], score[place]
-            known = self.after.get(before)
-            if known is None:
-                known = self.after[before] = {}
-            for end in range(place + 1, n + 1):
-                p = word[place:end]
-                w = weight.get(p)
-                if w is not None or end == place + 1:
-                    ok = known.get(p)
-                    if ok is None:
-                        ok = known[p] = self.compatible(before, p)
-                    if ok and (total := so_far + (self.weight(p) if w is None else w)) > score[end]:
-                        score[end], last[end] = total, p
-                if p not in prefixes:
-                    break
+        """The best path through a word of its own: a single entry state, so one state a place is enough (``paths`` without rows).
+
+        States up to a place depend on the characters before it alone, so words with the same beginning share them.
+        """
+        n = len(word)
+        if n > HEAD:
+            got = self.heads.get(word[:HEAD])
+            if got is None:
+                if len(self.heads) >= REMEMBERED // 2:
+                    self.heads.clear()
+                got = self.heads[word[:HEAD]] = self._states(word, HEAD, [0.0], [""], [self._after("")])
+            score, last, nexts = got[0][:], got[1][:], got[2][:]
+        else:
+            score, last, nexts = [0.0], [""], [self._after("")]
+        self._states(word, n, score, last, nexts)
         out = []
         while n:
             out.append(last[n])
             n -= len(last[n])
         return out[::-1]
 
+    def _after(self, piece: str) -> dict[str, bool]:
+        got = self.after.get(piece)
+        if got is None:
+            got = self.after[piece] = {}
+        return got
+
+    def _states(self, word: str, stop: int, score: list, last: list, nexts: list) -> tuple[list, list, list]:
+        """Continues the best scores and last pieces of a word's beginnings up to ``stop`` characters, in place."""
+        weight, suffixes, low = self.score, self.suffixes, float("-inf")
+        for end in range(len(score), stop + 1):
+            best, piece = low, ""
+            for start in range(end - 1, -1, -1):
+                p = word[start:end]
+                w = weight.get(p)
+                if w is not None or start == end - 1:
+                    so_far = score[start]
+                    if so_far != low:
+                        ok = nexts[start].get(p)
+                        if ok is None:
+                            ok = nexts[start][p] = self.compatible(last[start], p)
+                        if ok and (total := so_far + (self.weight(p) if w is None else w)) > best:
+                            best, piece = total, p
+                if p not in suffixes:
+                    break
+            score.append(best)
+            last.append(piece)
+            nexts.append(self._after(piece) if piece else None)
+        return score, last, nexts
+
     @staticmethod
     def _trace(best: dict, state: tuple[int, str]) -> list[str]:
         out = []
