@@ -62,9 +62,9 @@ def from_png(media: bytes) -> tuple[int, bytes]:
         raise ValueError("not a PNG")
     at, parts, n, shape = 8, [], None, None
     while at < len(media):
-        size, kind = struct.unpack_from(">I4s", media, at)
+        size, kind = struct.unpack_from(">I4s", media, at) if at + 8 <= len(media) else (0, b"")
         data = media[at + 8 : at + 8 + size]
-        if len(data) < size or struct.unpack_from(">I", media, at + 8 + size)[0] != zlib.crc32(data, zlib.crc32(kind)):
+        if at + 12 + size > len(media) or struct.unpack_from(">I", media, at + 8 + size)[0] != zlib.crc32(data, zlib.crc32(kind)):
             raise ValueError("damaged chunk")
         if kind == b"IHDR":
             shape = struct.unpack(">IIBBBBB", data)
