@@ -56,6 +56,28 @@ def reaches_any(g: Graph, targets: DataFrame) -> DataFrame:
     return one.union(two).distinct()
 
 
+def degrees_of(g: Graph, ids: DataFrame) -> DataFrame:
+    """(node_id, in_degree, out_degree) of a few nodes: edges meet them before anything is counted."""
+    ends = g.edges.select(F.explode(F.array(F.struct(F.col("dst").alias("node_id"), F.lit(1).alias("i"), F.lit(0).alias("o")), F.struct(F.col("src").alias("node_id"), F.lit(0).alias("i"), F.lit(1).alias("o")))).alias("e")).select("e.*")
+    return ends.join(ids, "node_id", "left_semi").groupBy("node_id").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
+
+
+def reach_from(g: Graph, starts: DataFrame, targets: DataFrame, hops: int, every: bool) -> DataFrame:
+    """Nodes of ``starts`` (node_id) with a directed path of 1..hops edges to a target, ``every`` or at least one of them LOCATED_IN.
+
+    Searched forwards, for few starts; ``reaches_all`` and ``reaches_any`` give the same for all nodes.
+    """
+    steps = (located(g.edges) if every else g.edges).select("edge_id", "src", "dst", (F.coalesce("rel_group", F.lit("")) == LOCATED).alias("loc"))
+    front = starts.select("node_id", F.col("node_id").alias("at"), F.lit(False).alias("seen"), F.lit("").alias("via"))
+    found = None
+    for _ in range(hops):
+        front = front.join(steps, (F.col("at") == F.col("src")) & (F.col("via") != F.col("edge_id")))
+        front = front.select("node_id", F.col("dst").alias("at"), (F.col("seen") | F.col("loc")).alias("seen"), F.lit("").alias("via") if every else F.col("edge_id").alias("via")).distinct()
+        found = front if found is None else found.union(front)
+    hit = found.filter("seen").join(targets.select(F.col("node_id").alias("at")), "at", "left_semi")
+    return hit.select("node_id").distinct()
+
+
 def expanded_region(g: Graph, names: DataFrame) -> DataFrame:
     """(name) of everything in the targets' region: targets, their containers, and cities beside them in the same country."""
     near = either_way(located(g.edges).select("src", "dst"))

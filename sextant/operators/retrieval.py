@@ -58,9 +58,11 @@ def nearest_prototype(vectors: DataFrame, prototypes: DataFrame, least: float, o
 def geo_filtered(g: Graph, docs: DataFrame, names: DataFrame, fallback: int = 50) -> DataFrame:
     """Ranked documents (rank, qid, ...; the top of a search, so few) whose anchor reaches the targets' region; the first ``fallback`` by rank if none does."""
     docs = settled(docs)
-    allowed = G.named(g, G.expanded_region(g, names))
-    ok = G.reaches_any(g, allowed)
-    valid = G.anchors(g, docs.filter("qid IS NOT NULL").select("qid")).join(ok, "node_id", "left_semi").select("qid").distinct()
+    # steps are settled one after the other, so each plan stays small and meets the edges with a few rows
+    allowed = settled(G.named(g, settled(G.expanded_region(g, names))))
+    heads = settled(G.anchors(g, docs.filter("qid IS NOT NULL").select("qid")).select("qid", "node_id"))
+    ok = G.reach_from(g, heads.select("node_id").distinct(), allowed, hops=2, every=False)
+    valid = heads.join(ok, "node_id", "left_semi").select("qid").distinct()
     kept = settled(docs.join(valid, "qid", "left_semi").select(*docs.columns))
     none = kept.agg((F.count(F.lit(1)) == 0).alias("_none"))
     rest = docs.filter(F.col("rank") <= fallback).crossJoin(F.broadcast(none)).filter("_none").select(*docs.columns)
@@ -74,9 +76,10 @@ def reranked(g: Graph, docs: DataFrame, names: DataFrame, top: int) -> DataFrame
     document of a qid counts, the first of equals.
     """
     rows = docs.filter("coalesce(qid, '') <> ''")
-    nodes = G.doc_targets(g, rows.select("qid"))
-    inside = G.reaches_all(g, G.named(g, names)).withColumn("_in", F.lit(True))
-    told = nodes.join(G.degrees(g), "node_id", "left").join(inside, "node_id", "left").groupBy("qid").agg(
+    nodes = settled(G.doc_targets(g, rows.select("qid")))
+    ids = nodes.select("node_id").distinct()
+    inside = settled(G.reach_from(g, ids, settled(G.named(g, names)), hops=3, every=True)).withColumn("_in", F.lit(True))
+    told = nodes.join(settled(G.degrees_of(g, ids)), "node_id", "left").join(inside, "node_id", "left").groupBy("qid").agg(
         F.max(F.coalesce("in_degree", F.lit(0))).alias("i"), F.max(F.coalesce("out_degree", F.lit(0))).alias("o"), F.coalesce(F.bool_or("_in"), F.lit(False)).alias("in_target"))
     wanted = names.agg(F.collect_set(F.lower("name")).alias("_names"))  # a request's own target names
     rows = rows.join(told, "qid", "left").crossJoin(F.broadcast(wanted))

@@ -60,6 +60,10 @@ def test_degrees_and_paths(spark):
     assert {r.node_id for r in G.reaches_all(g, target).collect()} == {"a", "b", "c"}
     target = spark.createDataFrame([("b",)], "node_id string")
     assert {r.node_id for r in G.reaches_any(g, target).collect()} == {"a", "x"}
+    starts = g.nodes.select("node_id")
+    assert {r.node_id for r in G.reach_from(g, starts, target, 2, every=False).collect()} == {"a", "x"}
+    some = starts.filter("node_id IN ('a', 'd')")
+    assert {r.node_id: (r.in_degree, r.out_degree) for r in G.degrees_of(g, some).collect()} == {"a": (2, 3), "d": (1, 0)}
 
 
 @settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
@@ -76,7 +80,9 @@ def test_paths_against_search(spark, edges):
                     if b == "f":
                         want.add(start)
                     queue.append((b, k + 1))
-    assert {r.node_id for r in G.reaches_all(g, spark.createDataFrame([("f",)], "node_id string")).collect()} == want
+    target = spark.createDataFrame([("f",)], "node_id string")
+    assert {r.node_id for r in G.reaches_all(g, target).collect()} == want
+    assert {r.node_id for r in G.reach_from(g, g.nodes.select("node_id"), target, 3, every=True).collect()} == want
 
 
 def test_facts_keep_anchors_without_any(spark):
