@@ -22,8 +22,8 @@ MIN_WORDS = 50
 #: Statistics on a grid of 1/1024, so that sums hardly depend on the order of addition.
 GRID = 1024
 STATS = ["ln_words", "ln_word_length", "symbols", "repeated_words", "repeated_lines"]
-#: The smallest standard deviation that each statistic may have; most groups hardly vary in the last three.
-FLOOR = [0.5, 0.06, 0.06, 0.2, 0.3]
+#: Standard deviations added to each statistic: most groups hardly vary in the last three, and length has a heavy tail that is no fault.
+FLOOR = [0.8, 0.06, 0.06, 0.25, 0.3]
 CORE = 0.75
 STEPS = 3
 #: Groups with fewer documents are pooled by language, then over all; below this count nothing is rejected.
