@@ -22,8 +22,11 @@ MIN_WORDS = 50
 #: Statistics on a grid of 1/1024, so that sums hardly depend on the order of addition.
 GRID = 1024
 STATS = ["ln_words", "ln_word_length", "symbols", "repeated_words", "repeated_lines"]
-#: Standard deviations added to each statistic: most groups hardly vary in the last three, and length has a heavy tail that is no fault.
-FLOOR = [0.8, 0.06, 0.06, 0.25, 0.3]
+#: Standard deviations added to each statistic, of the size of one measurement, because most groups hardly vary in the last three:
+#: a tenth of the words, a fiftieth of the word length, a symbol in 2,500 characters, a repeated triple in 470 words, a
+#: repeated line in 100. The rest is the group's own spread. Each is so small that the statistic alone passes CUTOFF
+#: within its range at the least scale of a group without spread of its own, 1 (repeated words from a share of 0.43 on, lines from 0.66).
+FLOOR = [0.1, 0.02, 0.02, 0.08, 0.1]
 CORE = 0.75
 STEPS = 3
 #: Groups with fewer documents are pooled by language, then over all; below this count nothing is rejected.

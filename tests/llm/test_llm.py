@@ -149,6 +149,31 @@ def test_quality_keeps_good_documents(spark, docs):
     assert np.mean(good) > 0.98 and np.mean(bad) < 0.1
 
 
+def test_quality_rejects_repetition_alone(spark):
+    """In a uniform group, texts that pass the limits and are odd in one statistic of repetition only."""
+    r, vocab = random.Random(6), [f"w{i:04}" for i in range(5000)]
+    line = lambda n: " ".join(r.choice(vocab) for _ in range(n))
+    texts = {i: "\n".join(line(10) for _ in range(r.randint(12, 20))) for i in range(300)}
+    # one-word lines from few words, no three words in a row twice
+    walk, seen = ["w0001", "w0002"], set()
+    while len(walk) < 150:
+        after = [w for w in vocab[:7] if (*walk[-2:], w) not in seen]
+        if not after:
+            break
+        walk.append(r.choice(after))
+        seen.add(tuple(walk[-3:]))
+    texts[1000] = "\n".join(walk)
+    phrase = line(36)
+    texts[1001] = "\n".join([f"{phrase} {vocab[0]}", f"{phrase} {vocab[1]}", line(40), line(40)])
+    rows = spark.createDataFrame([(i, t, "en", "s") for i, t in texts.items()], "doc_id long, text string, lang string, source string")
+    got = {x.doc_id: x for x in quality.quality(rows).collect()}
+    assert got[1000].n_dup_lines > 0.9 * len(walk) and got[1000].n_repeat_words == 0
+    assert got[1001].n_dup_lines == 0 and got[1001].n_repeat_words > 0.45 * got[1001].n_words
+    assert not got[1000].base_failed and not got[1001].base_failed
+    assert not got[1000].kept and not got[1001].kept
+    assert all(got[i].kept for i in range(300))
+
+
 def test_quality_odd(spark, odd):
     got = quality.quality(odd).collect()
     assert len(got) == len(ODD) and not any(r.kept for r in got)
