@@ -11,6 +11,8 @@ level, until one block is left.
 from __future__ import annotations
 
 import base64
+import json
+import os
 import random
 import zlib
 from collections.abc import Iterator
@@ -33,20 +35,33 @@ _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _OUT = f"{_PIECES}, sequence_id long, offset long"
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """The strings that a tokenizer's .json matches in any text before all else, and their ids."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)["added_tokens"]
+    if odd := [t["content"] for t in found if t["single_word"] or t["lstrip"] or t["rstrip"]]:
+        raise ValueError(f"added tokens that take or need what stands beside them: {odd}")
+    return {t["content"]: t["id"] for t in found}
+
+
 def encoder(vocabulary: str | None = None):
-    """text -> ids as little-endian uint32 bytes, by the ranks of the byte_bpe_50k vocabulary.
+    """text -> ids as little-endian uint32 bytes, as byte_bpe_50k.json gives them.
 
-    The .tiktoken file holds the same vocabulary as byte_bpe_50k.json and gives the same ids at about four times the speed
-    (a test compares them); strings of special tokens in a text are ordinary text.
+    The .tiktoken file holds the same ranks at about four times the speed, but no added tokens: those come from the .json
+    beside it (a vocabulary without one has none). Their strings in a text become their ids, as with the library (tests
+    compare them).
     """
     import public_tokenizers
     import tiktoken
 
     path = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
+    beside = os.path.splitext(path)[0] + ".json" if vocabulary else public_tokenizers.path("byte_bpe_50k.json")
+    added = added_tokens(beside) if os.path.exists(beside) else {}
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    core = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe
-    return lambda text: bytes(memoryview(core.encode_to_tiktoken_buffer(text, set())))
+    core = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)._core_bpe
+    names = set(added)
+    return lambda text: bytes(memoryview(core.encode_to_tiktoken_buffer(text, names)))
 
 
 def pieces_of(ids: bytes, capacity: int = CAPACITY) -> list[tuple[int, int]]:

@@ -305,6 +305,20 @@ def test_packing(spark, docs, odd):
     assert packing.pack_documents(odd.limit(0)).count() == 0
 
 
+def test_added_tokens_in_a_text(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok, encode = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.encoder()
+    r, parts = random.Random(7), ["<|endoftext|>", "<|endoftext|", "|>", " ", "  ", "\n", "see", " here", "é", "<", "'s", "12"]
+    texts = ["see <|endoftext|> here", *("".join(r.choice(parts) for _ in range(r.randrange(12))) for _ in range(2000))]
+    for x in texts:
+        assert np.frombuffer(encode(x), np.uint32).tolist() == tok.encode(x, add_special_tokens=False).ids
+    got = packing.pack_documents(spark.createDataFrame([(1, texts[0])], "doc_id long, text string")).first()
+    ids = [3826, 220, 50256, 994, 2]
+    assert got.length == len(ids) and got.ids_crc32 == zlib.crc32(struct.pack("<5I", *ids))
+
+
 def test_islands_never_do_worse_than_best_fit():
     r = random.Random(2)
     size = [r.randint(1, 700) for _ in range(600)]
