@@ -430,11 +430,21 @@ _EDGE = " \t\n\r.,;:!?\"'=()[]{}<>|#*$%&"
 _SPELLED_AT = re.compile(r"[\[(]\s*at\s*[\])]|@")
 
 
-def plausible(text: str, tag: int) -> bool:
-    """The exact check behind the network: secrets are one long word with digits; personal data has digits or an at-sign."""
+#: A name of a secret with = or :, just before a value or at the head of a run that took it in.
+_NAMED = r"(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|key|auth|credentials?)[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
+_NAMED_BEFORE, _NAMED_INSIDE = re.compile(_NAMED + r"\Z", re.IGNORECASE), re.compile(r"\w{0,16}?" + _NAMED + r"\S", re.IGNORECASE)
+#: Heads by which services mark their keys.
+_MARKED = ("AKIA", "sk-", "ghp_", "xoxb-")
+
+
+def plausible(text: str, tag: int, before: str = "") -> bool:
+    """The exact check behind the network: personal data has digits or an at-sign; secrets are one long word that has
+    digits, a service's mark at its head, or the name of a secret with = or : before it."""
     digits = sum(c.isdigit() and c.isascii() for c in text)
     if tag == 2:
-        return len(text) >= 8 and digits >= 2 and not any(c.isspace() for c in text)
+        if len(text) < 8 or any(c.isspace() for c in text):
+            return False
+        return digits >= 2 or text.startswith(_MARKED) or _NAMED_BEFORE.search(before) is not None or _NAMED_INSIDE.match(text) is not None
     return digits >= 7 or (len(text) >= 8 and _SPELLED_AT.search(text) is not None)
 
 
@@ -446,7 +456,7 @@ def added_spans(text: str, runs: list[tuple[int, int, int]], base: list[tuple[in
             a += 1
         while b > a and text[b - 1] in _EDGE:
             b -= 1
-        if a < b and plausible(text[a:b], tag) and not any(a < y and x < b for x, y, _ in base):
+        if a < b and plausible(text[a:b], tag, text[max(0, a - 32) : a]) and not any(a < y and x < b for x, y, _ in base):
             out.append((a, b, KINDS[3 + tag]))
     return out
 

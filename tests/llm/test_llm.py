@@ -219,6 +219,23 @@ def test_network_on_unseen_labels():
     assert hit / said > 0.97 and hit / there > 0.97
 
 
+def test_secrets_without_digits_are_found():
+    """Recall of the spans that find() returns, of all planted secrets and of those with fewer than two digits."""
+    p, r = pii.trained(), random.Random(77)
+    rows = []
+    while len(rows) < 1500:
+        before, span, after, tag = pii._planted(r)
+        if tag == "secret":
+            head = pii._filler(r) + before
+            rows.append((head + span + after + pii._filler(r), len(head), len(head + span), sum(c.isdigit() for c in span) < 2))
+    found = [any(u <= i + 1 and v >= j - 1 for u, v, _ in spans) for (_, i, j, _), (_, spans) in zip(rows, pii.find([x[0] for x in rows], p), strict=True)]
+    few = [f for f, x in zip(found, rows, strict=True) if x[3]]
+    assert len(few) > 30 and np.mean(few) > 0.9 and np.mean(found) > 0.97
+    text = "we log in with password=hunterXYZabcd every day"
+    assert pii.redacted(text, next(pii.find([text], p))[1]) == "we log in with password=[SECRET] every day"
+    assert not pii.plausible("Ofthstren", 2, "it was ") and pii.plausible("Ofthstren", 2, 'api_key: "')
+
+
 def test_personal_data(spark, docs, odd):
     texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
     for r in pii.personal_data(docs).collect():
