@@ -42,6 +42,9 @@ _DIGITS = re.compile(r"[^\W\d_]+[0134578@$][^\W_]*[^\W\d_]")
 _DRAWN = re.compile(r"([^\W\d_])\1{3}")
 #: What those patterns need at least; most texts hold none of it, so the costlier search is spared.
 _FOR_LETTERS, _MASKS = re.compile("[0134578@$]"), re.compile("[*#@$%]")
+_BEYOND_ASCII = re.compile(r"[^\x00-\x7F]+")
+_NO_CAPITALS = bytes(c for c in range(256) if not 65 <= c <= 90)
+_NO_LETTERS = bytes(c for c in _NO_CAPITALS if not 97 <= c <= 122)
 _AS_LETTER = str.maketrans("0134578@$", "oieastbas")
 
 
@@ -57,9 +60,19 @@ def spelled(text: str) -> list[str]:
     return found
 
 
+def letters_of(text: str) -> tuple[int, int]:
+    """How many letters and capitals the whole text has; those of ASCII are counted as bytes."""
+    plain = text.encode("ascii", "ignore")
+    letters, capitals = len(plain.translate(None, _NO_LETTERS)), len(plain.translate(None, _NO_CAPITALS))
+    if len(plain) < len(text):
+        rest = "".join(_BEYOND_ASCII.findall(text))
+        letters, capitals = letters + sum(map(str.isalpha, rest)), capitals + sum(map(str.isupper, rest))
+    return letters, capitals
+
+
 def patterns_of(text: str) -> list[bool]:
-    letters = sum(map(str.isalpha, text[::7]))
-    shouting = letters > 5 and sum(map(str.isupper, text[::7])) > 0.5 * letters
+    letters, capitals = letters_of(text)
+    shouting = letters > 5 and capitals > 0.5 * letters
     masked = _MASKS.search(text) is not None and _MASKED.search(text) is not None
     digits = _FOR_LETTERS.search(text) is not None and _DIGITS.search(text) is not None
     return [shouting, text.count("!!") > 3, masked, digits, _DRAWN.search(text) is not None]

@@ -265,6 +265,16 @@ def test_label_model_finds_accuracies():
     assert {0, 2} in [{j, p} for j, p in enumerate(got["parent"])]  # the copied voter hangs on its original
 
 
+def test_shouting_is_read_in_the_whole_text():
+    shouting = lambda x: toxicity.patterns_of(x)[0]
+    assert shouting("GO AWAY NOW") and shouting("ÉÉÉÉÉÉ ÄÖÜ") and not shouting("OK GO") and not shouting("go away NOW")
+    r = random.Random(4)
+    for _ in range(1000):
+        x = "".join(r.choice("abAB éÉß1!中ǅ") for _ in range(r.randrange(90)))
+        letters = sum(map(str.isalpha, x))
+        assert shouting(x) == (letters > 5 and sum(map(str.isupper, x)) > 0.5 * letters)
+
+
 def test_toxicity_held_out(spark, docs, odd):
     got = {r.doc_id: r for r in toxicity.op4_weak_supervision(spark, SF).collect()}
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
