@@ -108,19 +108,21 @@ class Finder(dict):
         return {i for at in set(map(self.__getitem__, spelled(text))) for i in self.lists[at]}
 
 
-def label_model(votes: np.ndarray, annotator: np.ndarray, rounds: int = 12) -> tuple[np.ndarray, dict]:
+def label_model(votes: np.ndarray, annotator: np.ndarray, rounds: int = 12, counts: np.ndarray | None = None) -> tuple[np.ndarray, dict]:
     """Posterior probability of class 1 for each row of 0/1 votes, and the estimates.
 
     Voters form a tree: of the pairwise mutual informations given the class, a maximum spanning tree; each voter's
     probabilities depend on the class and its parent's vote. The tree is drawn anew in each round. A voter that does not
     fire abstains, which is no evidence for either class. The annotator votes for both classes with a known accuracy; that
-    anchors the classes, and enough contrary votes still overrule it.
+    anchors the classes, and enough contrary votes still overrule it. ``counts``: how many rows each row stands for.
     """
-    n, k = votes.shape
+    k = votes.shape[1]
+    counts = np.ones(len(votes)) if counts is None else counts
+    n = counts.sum()
     v = votes.astype(float)
     post = np.where(annotator, 1 - ANNOTATOR_ERROR, ANNOTATOR_ERROR)
     for _ in range(rounds):
-        weight = np.stack([1 - post, post])
+        weight = np.stack([1 - post, post]) * counts
         total = weight.sum(1)
         one = weight @ v  # class x voter
         both = np.stack([(v * w[:, None]).T @ v for w in weight])  # class x voter x voter
@@ -159,14 +161,15 @@ def label_model(votes: np.ndarray, annotator: np.ndarray, rounds: int = 12) -> t
     return post, {"parent": parent, "given": given, "rate": one / np.maximum(total[:, None], 1)}
 
 
-def linear(rows: list[list[int]], target: np.ndarray, width: int, rounds: int = 400, ridge: float = 0.3) -> np.ndarray:
-    """Logistic regression over 0/1 features by AdaGrad on all rows; the last weight is the constant."""
+def linear(rows: list[list[int]], target: np.ndarray, width: int, rounds: int = 400, ridge: float = 0.3, counts: np.ndarray | None = None) -> np.ndarray:
+    """Logistic regression over 0/1 features by AdaGrad on all rows; the last weight is the constant. ``counts`` as above."""
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     col = np.array([i for r in rows for i in r], np.int64)
     w, g2 = np.zeros(width + 1), np.full(width + 1, 1e-8)
     for _ in range(rounds):
         z = np.bincount(at, w[col], len(rows)) + w[-1]
         miss = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - target
+        miss = miss if counts is None else miss * counts
         grad = np.append(np.bincount(col, miss[at], width), miss.sum())
         grad[:-1] += ridge * w[:-1]
         g2 += grad * grad
@@ -180,26 +183,33 @@ class Model:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(text, toxic) of labelled documents, at most about ``sample`` of each class. ``labels``: doc_id, toxic."""
+    """(text, toxic, weight) of labelled documents, at most about ``sample`` of each class. ``labels``: doc_id, toxic.
+
+    ``weight`` is the inverse of the class's sampling rate, so weighted rows keep the labels' class shares at any size.
+    """
     one = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     one = stored(one.select(F.col("doc_id").alias("_id"), (F.col("toxic") > 0).alias("toxic")), "labels")
     have = {r["toxic"]: r["n"] for r in one.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    limit = F.when(F.col("toxic"), int(1e6 * min(1, sample / max(1, have.get(True, 0))))).otherwise(int(1e6 * min(1, sample / max(1, have.get(False, 0)))))
-    few = one.filter(F.pmod(F.xxhash64(F.col("_id"), F.lit(3)), F.lit(1_000_000)) < limit)
+    limits = {c: max(1, int(1e6 * min(1, sample / max(1, have.get(c, 0))))) for c in (True, False)}
+    limit = F.when(F.col("toxic"), limits[True]).otherwise(limits[False])
+    few = one.filter(F.pmod(F.xxhash64(F.col("_id"), F.lit(3)), F.lit(1_000_000)) < limit).withColumn("weight", F.lit(1e6) / limit)
     own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
     # at most about 2 * sample rows of an id and a flag, so this side may be broadcast whatever the corpus
-    return stored(own.join(F.broadcast(few), "_id").select("text", "toxic"), "toxicity-training")
+    return stored(own.join(F.broadcast(few), "_id").select("text", "toxic", "weight"), "toxicity-training")
 
 
 def fit(rows: DataFrame) -> Model:
-    """A model from training rows (text, toxic)."""
-    have = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n = sum(have.values())
-    base = min(max(have.get(True, 0) / max(n, 1), 1e-3), 0.999)
-    seen = rows.mapInArrow(_occurrences, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    """A model from training rows (text, toxic), with a weight that is one number in each class if classes are sampled."""
+    weight = F.col("weight") if "weight" in rows.columns else F.lit(1.0)
+    have = {r["toxic"]: (r["n"], r["w"]) for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n"), F.max(weight).alias("w")).collect()}
+    n, all_n = sum(n for n, _ in have.values()), sum(n * w for n, w in have.values())
+    # rows that each row stands for, by class; in all as many as there are, so that evidence and smoothing keep their size
+    stand = {c: have[c][1] * n / all_n if c in have else 1.0 for c in (True, False)}
+    base = min(max(have.get(True, (0, 0))[0] * stand[True] / max(n, 1), 1e-3), 0.999)
+    seen = rows.mapInArrow(_occurrences, "feature string, clean long, toxic long").groupBy("feature").agg((stand[False] * F.sum("clean")).alias("clean"), (stand[True] * F.sum("toxic")).alias("toxic"), F.sum("toxic").alias("met"))
     all_, t, c = F.col("toxic") + F.col("clean"), F.col("toxic"), F.col("clean")
-    evidence = t * F.log(F.greatest(t, F.lit(1)) / (all_ * base)) + F.when(c > 0, c * F.log(F.greatest(c, F.lit(1)) / (all_ * (1 - base)))).otherwise(0.0)
-    lean = seen.filter((t >= 2) & (t > all_ * base)).withColumn("evidence", F.round(evidence, 6)).filter(F.col("evidence") >= EVIDENCE)
+    evidence = F.when(t > 0, t * F.log(t / (all_ * base))).otherwise(0.0) + F.when(c > 0, c * F.log(c / (all_ * (1 - base)))).otherwise(0.0)
+    lean = seen.filter((F.col("met") >= 2) & (t > all_ * base)).withColumn("evidence", F.round(evidence, 6)).filter(F.col("evidence") >= EVIDENCE)
     top = lean.orderBy(F.desc("evidence"), "feature").limit(LEXICON).select("feature").collect()
     lexicon = {r["feature"]: i for i, r in enumerate(top)}
 
@@ -232,8 +242,9 @@ def fit(rows: DataFrame) -> Model:
                 matrix[i, place[f]] = 1
     if not len(hits):
         return Model(lexicon, np.append(np.zeros(width), -2.0), {})
-    post, estimates = label_model(matrix, gold)
-    return Model(lexicon, linear(hits, post, width), estimates | {"voters": votes, "posterior": post, "gold": gold})
+    counts = np.where(gold, stand[True], stand[False])
+    post, estimates = label_model(matrix, gold, counts=counts)
+    return Model(lexicon, linear(hits, post, width, counts=counts), estimates | {"voters": votes, "posterior": post, "gold": gold})
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -265,6 +265,20 @@ def test_label_model_finds_accuracies():
     assert {0, 2} in [{j, p} for j, p in enumerate(got["parent"])]  # the copied voter hangs on its original
 
 
+def test_class_shares_do_not_follow_the_sample(spark):
+    """A word that one in two texts with it would need to be toxic for, and far fewer are: clean whatever the sample."""
+    r, rows = random.Random(9), []
+    for i in range(4000):
+        toxic = i % 10 == 0
+        own = [w for w, p in (("grumble", 0.6 if toxic else 0.12), ("vileword", 0.5 if toxic else 0.0)) if r.random() < p]
+        rows.append((i, " ".join([*own, *(r.choice("abcdefghij") * 3 for _ in range(8))]), int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    ask = spark.createDataFrame([(1, "grumble aaa bbb"), (2, "vileword aaa bbb"), (3, "aaa bbb ccc")], "doc_id long, text string")
+    for sample in (10_000, 300):
+        model = toxicity.fit(toxicity.training_rows(docs, docs.select("doc_id", "toxic"), sample))
+        assert {x.doc_id: x.predicted for x in toxicity.score(ask, model).collect()} == {1: 0, 2: 1, 3: 0}
+
+
 def test_shouting_is_read_in_the_whole_text():
     shouting = lambda x: toxicity.patterns_of(x)[0]
     assert shouting("GO AWAY NOW") and shouting("ÉÉÉÉÉÉ ÄÖÜ") and not shouting("OK GO") and not shouting("go away NOW")
