@@ -10,7 +10,8 @@
    different groups are compared: again a number of pairs in proportion to the members. That joins most members of a large
    group of copies that are far from its smallest one.
 5. In buckets that are still mixed, every member outside the bucket's largest group is a query against the whole bucket:
-   small buckets by a join, larger ones in blocks that are compared and verified in place, so that only links become rows. Huge buckets are first cut by a second band, then a third. No bucket is left unexamined.
+   small buckets by a join, larger ones in blocks that are compared and verified in place, so that only links become rows. Huge buckets are first cut by a second band, then a third,
+   and at last those that are still mixed are compared whole, in blocks. No bucket is left unexamined.
 
 With six rows a band and 48 bands a pair of similarity 0.75 shares no bucket with probability 8e-5, one of 0.8 with 5e-7.
 """
@@ -285,10 +286,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
         part = F.pmod(F.xxhash64("rep", "key", F.lit(turn)), F.greatest(F.lit(1), F.floor(F.col("members") / PART)))
         add(_verified(_across(mixed_buckets.withColumn("_part", part), percent, ["key", "_part"]).distinct(), sets, percent))
         buckets = mixed_buckets.select("key", "rep", "n")
+    huge = None
     for level in range(1, LEVELS + 1):
         mixed_buckets = stored(_mixed(buckets, groups), "mixed")
         if mixed_buckets.isEmpty():
             break
+        if level == 1:
+            huge = mixed_buckets.filter(F.col("members") > HUGE).select("key", "rep", "n")
         large = F.col("members") > SMALL if level == LEVELS else (F.col("members") > SMALL) & (F.col("members") <= HUGE)
         pairs = _across(mixed_buckets.filter(F.col("members") <= SMALL), percent).distinct()
         add(_verified(pairs, sets, percent).union(_in_blocks(mixed_buckets.filter(large), classes, sets, percent)))
@@ -297,6 +301,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
             cut = mixed_buckets.filter(F.col("members") > HUGE).select("key", "rep", "n").join(classes.select("rep", "bands"), "rep")
             cut = cut.select("key", "rep", "n", F.explode("bands").alias("_next"))
             buckets = cut.filter("key <> _next").select(F.xxhash64("key", "_next").alias("key"), "rep", "n")
+    if huge is not None and not huge.isEmpty():
+        # pairs that share one huge bucket and no other band
+        add(_in_blocks(stored(_mixed(huge, groups), "mixed"), classes, sets, percent))
     named = classes.join(groups, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     out = signed.join(named, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))

@@ -527,6 +527,25 @@ def test_chains_of_copies(spark, monkeypatch, small, huge):
     assert got == plain_groups(texts)
 
 
+def test_pairs_that_share_a_huge_bucket_only(spark, monkeypatch):
+    for name, value in (("SMALL", 1), ("HUGE", 2), ("PART", 1)):
+        monkeypatch.setattr(minhash, name, value)
+    r, vocab = random.Random(12), [f"w{i}" for i in range(5000)]
+    some = lambda n: [r.choice(vocab) for _ in range(n)]
+    base, texts = some(70), {}
+    for k in range(40):  # similar to each other by 0.6, to others by 0.4
+        own = some(20)
+        texts |= {k: " ".join(base + own + some(30)), 100 + k: " ".join(base + own + some(30))}
+    sets = {i: minhash.shingle_sets(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0] for i, t in texts.items()}
+    keys = {i: set(minhash.band_keys(minhash.super_minhash([s]))[0].tolist()) for i, s in sets.items()}
+    size = Counter(x for v in keys.values() for x in v)
+    shared = {k: keys[k] & keys[100 + k] for k in range(40)}
+    assert any(len(v) == 1 and size[next(iter(v))] > 2 for v in shared.values())
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in minhash.near_duplicates(rows, 52).collect()}
+    assert all(got[100 + k] == k for k, v in shared.items() if v)
+
+
 def test_near_duplicates_odd(spark, odd):
     got = minhash.near_duplicates(odd).collect()
     assert len(got) == len(ODD)
