@@ -323,7 +323,7 @@ def combine(a: dict, b: dict) -> dict:
 
 
 def scan(matrices: list[dict]) -> list[tuple[tuple[int, str], tuple[int, str]]]:
-    """(entry, exit) states of every chunk on the best path, by prefix products and one pass back over the small matrices."""
+    """(entry, exit) states of every chunk on the best path, by a vector folded over them from the left and one pass back over the small matrices."""
     vectors = [{FREE: 0.0}]
     for m in matrices:
         vectors.append(combine({FREE: vectors[-1]}, m).get(FREE, {}))
