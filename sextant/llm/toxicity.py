@@ -1,11 +1,14 @@
 """Toxicity by weak supervision.
 
 1. Executors count in how many toxic and clean training documents each feature (a word, or the first four to six letters of
-   one) occurs; features that lean to toxic beyond chance make the lexicon.
-2. Voters: lexicon features chosen one after the other for the toxic documents that they add, patterns (shouting, runs of
-   exclamation marks, masked and digit-for-letter spellings, drawn-out letters) and the annotator.
-3. A generative label model, a latent class with a tree of dependencies between voters, estimates by expectation
-   maximisation each voter's accuracy and its correlation with its parent in the tree.
+   one) occurs; features that lean to toxic beyond chance make the lexicon. Here and in the class prior the labels end:
+   nothing later sees them.
+2. Voters: the lexicon's words, dealt into ``SLICES`` slices by evidence (a slice votes toxic for a text that holds one of its
+   words, else clean), and patterns (shouting, runs of exclamation marks, masked and digit-for-letter spellings, drawn-out
+   letters), which vote toxic or abstain.
+3. A generative label model, a latent class with a forest of dependencies between voters, is estimated by expectation
+   maximisation from the votes alone: each voter's rates in the two classes, so its accuracy, and its correlation with its
+   parent in the forest.
 4. A linear classifier over the whole lexicon and the patterns is trained on the model's posterior labels. Scores come from
    the classifier alone, so labels, language, source and id are no inputs of a score.
 """
@@ -29,13 +32,16 @@ SAMPLE = 10_000
 #: Lexicon size and evidence that a feature needs (log-likelihood ratio against the share of toxic documents).
 LEXICON = 5_000
 EVIDENCE = 7.0
-VOTERS = 64
-#: How often an annotator marks a document wrongly.
-ANNOTATOR_ERROR = 0.01
+#: Lexicon voters; how many voting words each toxic training text should have, and the share of toxic texts that a word must
+#: still serve to be one (so that words of one text and its copies are none).
+SLICES, COVER, SERVES = 16, 4, 0.004
+#: Rounds of expectation maximisation; how many rows a voter's overall rate counts for in its rate given its parent; and
+#: what a dependency must bring (times the logarithm of the rows, in nats) to be an edge.
+ROUNDS, SMOOTH, EDGE = 60, 20.0, 1.0
 PREFIXES = (4, 5, 6)
 PATTERNS = ("shouting", "exclaiming", "masked", "digits", "drawn_out")
-#: Words that a worker remembers before it starts anew.
-REMEMBERED = 400_000
+#: Words, and characters of words, that a worker remembers before it starts anew.
+REMEMBERED, REMEMBERED_CHARS = 400_000, 8_000_000
 
 _MASKED = re.compile(r"[^\W\d_][*#@$%]{1,6}[^\W\d_]")
 _DIGITS = re.compile(r"[^\W\d_]+[0134578@$][^\W_]*[^\W\d_]")
@@ -88,77 +94,85 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Finder(dict):
-    """word -> number of its list of lexicon features (0: none); forgets all when it has met too many words."""
+    """word -> number of its list of lexicon features (0: none); forgets all when it has met too many words or characters."""
 
     def __init__(self, lexicon: dict[str, int]):
         super().__init__()
-        self.lexicon, self.lists = lexicon, [()]
+        self.lexicon, self.lists, self.chars = lexicon, [()], 0
 
     def __missing__(self, word: str) -> int:
         hits = tuple(i for f in features_of(word) if (i := self.lexicon.get(f)) is not None)
         if hits:
             self.lists.append(hits)
         self[word] = at = len(self.lists) - 1 if hits else 0
+        self.chars += len(word)
         return at
 
     def found(self, text: str) -> set[int]:
-        if len(self) > REMEMBERED:
+        if len(self) > REMEMBERED or self.chars > REMEMBERED_CHARS:
             self.clear()
-            self.lists = [()]
+            self.lists, self.chars = [()], 0
         return {i for at in set(map(self.__getitem__, spelled(text))) for i in self.lists[at]}
 
 
-def label_model(votes: np.ndarray, annotator: np.ndarray, rounds: int = 12, counts: np.ndarray | None = None) -> tuple[np.ndarray, dict]:
-    """Posterior probability of class 1 for each row of 0/1 votes, and the estimates.
+def dependencies(votes: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Each voter's parent (-1: none) in a maximum spanning tree of the mutual informations given the class, without weak edges.
 
-    Voters form a tree: of the pairwise mutual informations given the class, a maximum spanning tree; each voter's
-    probabilities depend on the class and its parent's vote. The tree is drawn anew in each round. A voter that does not
-    fire abstains, which is no evidence for either class. The annotator votes for both classes with a known accuracy; that
-    anchors the classes, and enough contrary votes still overrule it. ``counts``: how many rows each row stands for.
+    ``weight``: class x row.
     """
-    k = votes.shape[1]
-    counts = np.ones(len(votes)) if counts is None else counts
-    n = counts.sum()
-    v = votes.astype(float)
-    post = np.where(annotator, 1 - ANNOTATOR_ERROR, ANNOTATOR_ERROR)
+    k, v = votes.shape[1], votes.astype(float)
+    info = np.zeros((k, k))
+    for w in weight:
+        total, one, p11 = w.sum(), w @ v, (v * w[:, None]).T @ v
+        p10, p01 = one[:, None] - p11, one[None, :] - p11
+        p00 = total - p11 - p10 - p01
+        for joint, a, b in ((p11, one, one), (p10, one, total - one), (p01, total - one, one), (p00, total - one, total - one)):
+            joint = np.maximum(joint, 0) + 0.25
+            info += joint * np.log(joint * (total + 1) / ((a[:, None] + 0.5) * (b[None, :] + 0.5)))
+    parent, best, inside = np.zeros(k, int), info[0].copy(), np.arange(k) == 0
+    for _ in range(k - 1):  # Prim
+        j = int(np.where(inside, -np.inf, best).argmax())
+        inside[j] = True
+        better = ~inside & (info[j] > best)
+        parent[better], best[better] = j, info[j][better]
+    parent[(best < EDGE * np.log(weight.sum() + 1)) | (np.arange(k) == 0)] = -1
+    return parent
+
+
+def label_model(votes: np.ndarray, prior: float, abstaining: np.ndarray | None = None, counts: np.ndarray | None = None, rounds: int = ROUNDS) -> tuple[np.ndarray, dict]:
+    """Posterior probability of class 1 for each row of 0/1 votes, and the estimates; no label is seen.
+
+    It begins with the rows of most votes, ``prior`` of all, as class 1. In each round voters form a forest
+    (``dependencies``) and a voter's rate depends on the class and its parent's vote. A voter's 0 is a vote for class 0, or
+    no evidence if the voter is ``abstaining``. ``counts``: how many rows each row stands for.
+    """
+    n, k = votes.shape
+    counts = np.ones(n) if counts is None else counts
+    abstaining = np.zeros(k, bool) if abstaining is None else abstaining
+    v, fired = votes.astype(float), votes[:, ~abstaining].sum(1)
+    order = np.argsort(-fired, kind="stable")
+    edge = fired[order][min(n - 1, int(np.searchsorted(np.cumsum(counts[order]), prior * counts.sum())))]
+    post = np.where(fired == 0, 0.02, np.where(fired >= edge, 0.9, 0.1))
     for _ in range(rounds):
         weight = np.stack([1 - post, post]) * counts
-        total = weight.sum(1)
-        one = weight @ v  # class x voter
-        both = np.stack([(v * w[:, None]).T @ v for w in weight])  # class x voter x voter
-        info = np.zeros((k, k))
-        for c in range(2):
-            p11 = both[c]
-            p10 = one[c][:, None] - p11
-            p01 = one[c][None, :] - p11
-            p00 = total[c] - p11 - p10 - p01
-            for joint, a, b in ((p11, one[c], one[c]), (p10, one[c], total[c] - one[c]), (p01, total[c] - one[c], one[c]), (p00, total[c] - one[c], total[c] - one[c])):
-                joint = np.maximum(joint, 0) + 0.25
-                info += joint / n * np.log(joint * (total[c] + 1) / ((a[:, None] + 0.5) * (b[None, :] + 0.5)))
-        parent, best = np.zeros(k, int), info[0].copy()
-        inside = np.zeros(k, bool)
-        inside[0] = True
-        for _ in range(k - 1):  # Prim
-            j = int(np.where(inside, -np.inf, best).argmax())
-            inside[j] = True
-            better = info[j] > best
-            parent[~inside & better] = j
-            best = np.maximum(best, info[j])
-        parent[0] = -1
-        score = np.log((total + 1) / (n + 2))[:, None] + np.log(np.stack([np.where(annotator, ANNOTATOR_ERROR, 1 - ANNOTATOR_ERROR), np.where(annotator, 1 - ANNOTATOR_ERROR, ANNOTATOR_ERROR)]))
-        given = np.zeros((2, k, 2))
+        total, one = weight.sum(1), weight @ v
+        rate = (one + 0.5) / (total[:, None] + 1)
+        parent = dependencies(votes, weight)
+        given = np.repeat(rate[:, :, None], 2, axis=2)  # class x voter x parent's vote
+        score = np.repeat(np.log([[1 - prior], [prior]]), n, axis=1)
         for j in range(k):
+            up = parent[j]
             for c in range(2):
-                if parent[j] < 0:
-                    given[c, j] = (one[c][j] + 0.5) / (total[c] + 1)
-                else:
-                    up = one[c][parent[j]]
-                    given[c, j, 1] = (both[c][j, parent[j]] + 0.5) / (up + 1)
-                    given[c, j, 0] = (one[c][j] - both[c][j, parent[j]] + 0.5) / (total[c] - up + 1)
-                p = np.where(votes[:, parent[j]] > 0, given[c, j, 1], given[c, j, 0]) if parent[j] >= 0 else given[c, j, 0]
-                score[c] += np.where(votes[:, j] > 0, np.log(p), 0.0)
-        post = 1 / (1 + np.exp(np.clip(score[0] - score[1], -500, 500)))
-    return post, {"parent": parent, "given": given, "rate": one / np.maximum(total[:, None], 1)}
+                if up >= 0:
+                    both = (weight[c] * v[:, j]) @ v[:, up]
+                    given[c, j, 1] = (both + SMOOTH * rate[c, j]) / (one[c, up] + SMOOTH)
+                    given[c, j, 0] = (one[c, j] - both + SMOOTH * rate[c, j]) / (total[c] - one[c, up] + SMOOTH)
+                p = given[c, j][votes[:, up]] if up >= 0 else given[c, j, 0]
+                score[c] += np.where(votes[:, j] > 0, np.log(p), 0.0 if abstaining[j] else np.log1p(-p))
+        last, post = post, 1 / (1 + np.exp(np.clip(score[0] - score[1], -500, 500)))
+        if np.abs(post - last).max() < 1e-6:
+            break
+    return post, {"parent": parent, "given": given, "rate": rate, "prior": prior, "abstaining": abstaining}
 
 
 def linear(rows: list[list[int]], target: np.ndarray, width: int, rounds: int = 400, ridge: float = 0.3, counts: np.ndarray | None = None) -> np.ndarray:
@@ -210,8 +224,10 @@ def fit(rows: DataFrame) -> Model:
     all_, t, c = F.col("toxic") + F.col("clean"), F.col("toxic"), F.col("clean")
     evidence = F.when(t > 0, t * F.log(t / (all_ * base))).otherwise(0.0) + F.when(c > 0, c * F.log(c / (all_ * (1 - base)))).otherwise(0.0)
     lean = seen.filter((F.col("met") >= 2) & (t > all_ * base)).withColumn("evidence", F.round(evidence, 6)).filter(F.col("evidence") >= EVIDENCE)
-    top = lean.orderBy(F.desc("evidence"), "feature").limit(LEXICON).select("feature").collect()
+    top = lean.orderBy(F.desc("evidence"), "feature").limit(LEXICON).select("feature", "toxic", "clean").collect()
     lexicon = {r["feature"]: i for i, r in enumerate(top)}
+    # whole words that are found in toxic texts at least as often as in others may vote
+    able = [lexicon[r["feature"]] for r in top if not r["feature"].endswith("-") and r["toxic"] >= r["clean"]]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(lexicon)
@@ -223,28 +239,46 @@ def fit(rows: DataFrame) -> Model:
     got = rows.mapInArrow(read, "hits array<int>, toxic boolean").toArrow()  # bounded by the sample
     hits, gold = got.column("hits").to_pylist(), np.array(got.column("toxic").to_pylist(), bool)
     order = sorted(range(len(hits)), key=lambda i: (hits[i], gold[i]))  # sums don't depend on partitions
-    hits, gold = [hits[i] for i in order], gold[order]
+    hits = [hits[i] for i in order]
+    counts = np.where(gold[order], stand[True], stand[False])
     width = len(lexicon) + len(PATTERNS)
-    votes = [len(lexicon) + k for k in range(len(PATTERNS))]
-    open_rows = {i for i in range(len(hits)) if gold[i]}
-    while len(votes) < VOTERS and open_rows:
-        gain = Counter(f for i in open_rows for f in hits[i] if f < len(lexicon))
-        if not gain:
+    if not hits:
+        return Model(lexicon, np.append(np.zeros(width), -2.0), {})
+    matrix = votes_of(hits, len(lexicon), voting_words([h for h, i in zip(hits, order, strict=True) if gold[i]], able))
+    post, estimates = label_model(matrix, base, np.arange(matrix.shape[1]) >= SLICES, counts)
+    return Model(lexicon, linear(hits, post, width, counts=counts), estimates | {"votes": matrix, "posterior": post, "gold": gold[order]})
+
+
+def voting_words(toxic: list[list[int]], able: list[int]) -> list[int]:
+    """Of the ``able`` features, one after the other the one that most toxic rows with fewer than ``COVER`` chosen ones hold."""
+    need, rows, gain = [COVER] * len(toxic), {f: [] for f in able}, dict.fromkeys(able, 0)
+    for i, row in enumerate(toxic):
+        for f in row:
+            if f in gain:
+                rows[f].append(i)
+                gain[f] += 1
+    out, least = [], max(2, SERVES * len(toxic))
+    while gain:
+        best = min(gain, key=lambda f: (-gain[f], f))
+        if gain.pop(best) < least:
             break
-        best = max(gain, key=lambda f: (gain[f], -f))
-        votes.append(best)
-        open_rows = {i for i in open_rows if best not in hits[i]}
-    matrix = np.zeros((len(hits), len(votes)), np.int8)
-    place = {f: k for k, f in enumerate(votes)}
+        out.append(best)
+        for i in rows[best]:
+            need[i] -= 1
+            if need[i] == 0:
+                for f in toxic[i]:
+                    if f in gain:
+                        gain[f] -= 1
+    return out
+
+
+def votes_of(hits: list[list[int]], lexicon: int, voting: list[int]) -> np.ndarray:
+    """Votes (rows x voters) from each row's lexicon features and patterns: ``SLICES`` slices of ``voting``, then the patterns."""
+    slice_of = {f: k % SLICES for k, f in enumerate(voting)} | {lexicon + k: SLICES + k for k in range(len(PATTERNS))}
+    out = np.zeros((len(hits), SLICES + len(PATTERNS)), np.int8)
     for i, row in enumerate(hits):
-        for f in row:
-            if f in place:
-                matrix[i, place[f]] = 1
-    if not len(hits):
-        return Model(lexicon, np.append(np.zeros(width), -2.0), {})
-    counts = np.where(gold, stand[True], stand[False])
-    post, estimates = label_model(matrix, gold, counts=counts)
-    return Model(lexicon, linear(hits, post, width, counts=counts), estimates | {"voters": votes, "posterior": post, "gold": gold})
+        out[i, [slice_of[f] for f in row if f in slice_of]] = 1
+    return out
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -253,27 +253,91 @@ def test_personal_data(spark, docs, odd):
 # --- 4 ---
 
 
-def test_label_model_finds_accuracies():
-    rng = np.random.default_rng(1)
-    y = rng.random(4000) < 0.3
-    good, weak = (rng.random(4000) < np.where(y, 0.7, 0.02)), (rng.random(4000) < np.where(y, 0.4, 0.3))
-    annotator = y ^ (rng.random(4000) < 0.01)
-    votes = np.stack([good, weak, good, rng.random(4000) < 0.5], 1).astype(np.int8)
-    post, got = toxicity.label_model(votes, annotator)
-    assert ((post > 0.5) == y).mean() > 0.98
-    assert got["rate"][1][0] > 0.6 and got["rate"][0][0] < 0.05
-    assert {0, 2} in [{j, p} for j, p in enumerate(got["parent"])]  # the copied voter hangs on its original
+def hidden_votes(seed=1, n=4000):
+    """A hidden class and votes of it: seven voters, the last a copy of the first, one of them no better than chance."""
+    rng = np.random.default_rng(seed)
+    y = rng.random(n) < 0.15
+    rates = [(0.6, 0.02), (0.5, 0.02), (0.45, 0.03), (0.4, 0.02), (0.35, 0.05), (0.3, 0.3)]
+    votes = [rng.random(n) < np.where(y, a, b) for a, b in rates]
+    return y, np.stack([*votes, votes[0]], 1).astype(np.int8)
+
+
+def test_label_model_finds_accuracies_without_labels():
+    y, votes = hidden_votes()
+    post, got = toxicity.label_model(votes, 0.15)
+    right = lambda x: (x == y).mean()
+    model = right(post > 0.5)
+    assert model > max(right(votes[:, j] > 0) for j in range(7)) + 0.005
+    assert model > max(right(votes.sum(1) >= k) for k in range(1, 8))
+    for j in range(5):
+        assert abs(got["rate"][1][j] - votes[y, j].mean()) < 0.08 and abs(got["rate"][0][j] - votes[~y, j].mean()) < 0.03
+    assert abs(got["rate"][1][5] - got["rate"][0][5]) < 0.1
+    assert {0, 6} in [{j, p} for j, p in enumerate(got["parent"])]  # the copied voter hangs on its original
+
+
+@pytest.mark.parametrize("abstaining", [False, True])
+def test_posterior_by_definition(abstaining):
+    """The posterior is that of the estimated model, row by row and vote by vote."""
+    _, votes = hidden_votes(3, 1500)
+    mute = np.array([False] * 5 + [abstaining] * 2)
+    post, m = toxicity.label_model(votes, 0.15, mute, rounds=1)
+    for row, p in zip(votes[:300].tolist(), post[:300], strict=True):
+        like = [1 - m["prior"], m["prior"]]
+        for c in range(2):
+            for j, vote in enumerate(row):
+                up = m["parent"][j]
+                fires = m["given"][c][j][row[up]] if up >= 0 else m["rate"][c][j]
+                like[c] *= fires if vote else 1 if mute[j] else 1 - fires
+        assert abs(like[1] / sum(like) - p) < 1e-9
+
+
+def test_score_by_brute_force(spark, docs):
+    """The query's fit and scores from the words themselves; the posterior differs from every voter and from the labels."""
+    model = toxicity.fitted(spark, docs, SF)
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if zlib.crc32(str(r.doc_id).encode()) % 5}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    digits = str.maketrans("0134578@$", "oieastbas")
+
+    def features(text):
+        found = set(re.findall(r"[^\W\d_]+", text.lower())) | {m.lower().translate(digits) for m in re.findall(r"[^\W\d_]+[0134578@$][^\W_]*[^\W\d_]", text)}
+        return found | {f"{w[:k]}-" for w in found for k in (4, 5, 6) if len(w) > k}
+
+    met = {i: features(texts[i]) for i in labels if i in texts}
+    n, toxic = len(met), sum(labels[i] for i in met)
+    count = Counter(f for i in met if labels[i] for f in met[i]), Counter(f for i in met if not labels[i] for f in met[i])
+    base, lean = toxic / n, {}
+    for f, t in count[0].items():
+        c = count[1][f]
+        if t >= 2 and t > (t + c) * base:
+            evidence = t * np.log(t / ((t + c) * base)) + (c * np.log(c / ((t + c) * (1 - base))) if c else 0)
+            if evidence >= toxicity.EVIDENCE:
+                lean[f] = evidence
+    assert set(model.lexicon) == set(lean)
+    by_text = {i: sum(model.weights[model.lexicon[f]] for f in features(t) if f in model.lexicon) for i, t in texts.items()}
+    for r in toxicity.op4_weak_supervision(spark, SF).collect():
+        t = texts[r.doc_id]
+        z = by_text[r.doc_id] + model.weights[len(model.lexicon) : -1][toxicity.patterns_of(t)].sum() + model.weights[-1]
+        assert abs(r.score - 1 / (1 + np.exp(-z))) < 1e-9
+    e = model.estimates
+    said = e["posterior"] > 0.5
+    right = (said == e["gold"]).mean()
+    assert 0 < (said != e["gold"]).sum() and all((said != (e["votes"][:, j] > 0)).any() for j in range(e["votes"].shape[1]))
+    assert right > max(((e["votes"][:, j] > 0) == e["gold"]).mean() for j in range(e["votes"].shape[1]))
+    assert right > ((e["votes"][:, : toxicity.SLICES].mean(1) > 0.5) == e["gold"]).mean()
 
 
 def test_class_shares_do_not_follow_the_sample(spark):
-    """A word that one in two texts with it would need to be toxic for, and far fewer are: clean whatever the sample."""
+    """A word that one in two texts with it would need to be toxic for, and far fewer are: clean whatever the sample.
+
+    Three further words tell the classes apart: a latent class of two voters alone would not be identified.
+    """
     r, rows = random.Random(9), []
     for i in range(4000):
         toxic = i % 10 == 0
-        own = [w for w, p in (("grumble", 0.6 if toxic else 0.12), ("vileword", 0.5 if toxic else 0.0)) if r.random() < p]
+        own = [w for w, p in (("grumble", 0.6 if toxic else 0.12), *((w, 0.5 if toxic else 0.0) for w in ("vileword", "foulword", "meanword", "rudeword"))) if r.random() < p]
         rows.append((i, " ".join([*own, *(r.choice("abcdefghij") * 3 for _ in range(8))]), int(toxic)))
     docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    ask = spark.createDataFrame([(1, "grumble aaa bbb"), (2, "vileword aaa bbb"), (3, "aaa bbb ccc")], "doc_id long, text string")
+    ask = spark.createDataFrame([(1, "grumble aaa bbb"), (2, "vileword meanword aaa"), (3, "aaa bbb ccc")], "doc_id long, text string")
     for sample in (10_000, 300):
         model = toxicity.fit(toxicity.training_rows(docs, docs.select("doc_id", "toxic"), sample))
         assert {x.doc_id: x.predicted for x in toxicity.score(ask, model).collect()} == {1: 0, 2: 1, 3: 0}
@@ -290,13 +354,15 @@ def test_shouting_is_read_in_the_whole_text():
 
 
 def test_toxicity_held_out(spark, docs, odd):
-    got = {r.doc_id: r for r in toxicity.op4_weak_supervision(spark, SF).collect()}
-    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    sf = SF.replace("0.01", "0.1")
+    got = {r.doc_id: r for r in toxicity.op4_weak_supervision(spark, sf).collect()}
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for i, r in got.items())
     held = [(got[i].predicted, t) for i, t in labels.items() if got[i].held_out]
-    assert np.mean([p == t for p, t in held]) > 0.93
+    assert np.mean([p for p, t in held if t]) > 0.85 and np.mean([p for p, t in held if not t]) < 0.005
     model = toxicity.fit(spark.createDataFrame([], "text string, toxic boolean"))
     assert {r.predicted for r in toxicity.score(odd, model).collect()} == {0}
+    assert toxicity.score(odd.limit(0), model).count() == 0
     assert toxicity.drop_toxic(odd, model).columns == odd.columns
 
 
