@@ -2,9 +2,9 @@
 
 Full pieces are sequences of their own. The other pieces, one a document at most, are dealt into blocks of bounded size.
 Each block is packed by several islands, each a task of its own with a population of packings: a child takes whole
-well-filled bins from one parent, drops the other parent's bins that hold the same documents, and best-fits the displaced
-documents. Between epochs the islands' elites are written to the shared folder and each island also receives the elite of
-its neighbour. Bins that stay badly filled are dissolved and packed again together with those of other blocks, level by
+well-filled bins from one parent, drops the other parent's bins that hold the same documents, its emptiest and a few random
+ones, and packs the displaced documents again, by best fit or by filling bins one after the other exactly. Between epochs the
+islands' elites are written to the shared folder and each island also receives the elite of its neighbour. Bins that stay badly filled are dissolved and packed again together with those of other blocks, level by
 level, until one block is left.
 """
 
@@ -27,7 +27,10 @@ CAPACITY = 1024
 END = 2
 #: Pieces in a block, at most about so many.
 BLOCK = 8192
-ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2, 2, 8, 4
+ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2, 2, 45, 4
+#: The share of bins that a child takes from the second parent, and of those of the first that it dissolves (each at most; as
+#: many again at random).
+SHARE = 0.1
 #: Bins with less than this share filled are packed again with those of other blocks.
 GOOD = 0.97
 
@@ -116,45 +119,91 @@ def best_fit(bins: list[list[int]], load: list[int], items: list[int], size: lis
             rooms |= 1 << room
 
 
+def fill_exactly(bins: list[list[int]], load: list[int], items: list[int], size: list[int], capacity: int) -> None:
+    """Opens bins for the largest items in turn and fills the rest of each: by one item or two that fit exactly, else by the largest that fits."""
+    of: dict[int, list[int]] = {}
+    sizes, left = 0, len(items)  # the bits of the sizes that are left
+    for i in items:
+        of.setdefault(size[i], []).append(i)
+        sizes |= 1 << size[i]
+    while left:
+        inside, room, s = [], capacity, sizes.bit_length() - 1
+        while s > 0:
+            inside.append(of[s].pop())
+            room -= s
+            left -= 1
+            if not of[s]:
+                sizes ^= 1 << s
+            fit = sizes & ((2 << room) - 1)
+            s = fit.bit_length() - 1
+            half = 0 if s == room else fit >> (room + 1) // 2 << (room + 1) // 2
+            while half:
+                a = half.bit_length() - 1
+                if sizes >> (room - a) & 1 and (2 * a != room or len(of[a]) > 1):
+                    s = a
+                    break
+                half ^= 1 << a
+        bins.append(inside)
+        load.append(capacity - room)
+
+
+def least_bins(size: list[int], capacity: int) -> int:
+    """A lower bound of the bins: items that leave no room for those of ``small`` or more share a bin with none of them."""
+    count, total = [0] * (capacity + 1), [0] * (capacity + 2)
+    for s in size:
+        count[s] += 1
+    for s in range(capacity, -1, -1):
+        total[s] = total[s + 1] + s * count[s]
+    best, lonely, pairs = 0, 0, sum(count[capacity // 2 + 1 :])
+    for small in range(capacity // 2 + 1):
+        if small:
+            lonely += count[capacity - small + 1]
+        room = (pairs - lonely) * capacity - (total[capacity // 2 + 1] - total[capacity - small + 1])
+        rest = total[small] - total[capacity // 2 + 1]
+        best = max(best, pairs + max(0, -(-(rest - room) // capacity)))
+    return best
+
+
 def _packed(bins: list[list[int]], size: list[int]) -> tuple[tuple[int, int], list[list[int]], list[int]]:
     load = [sum(size[i] for i in b) for b in bins]
     return (len(bins), -sum(x * x for x in load)), bins, load
 
 
 def child(a, b, size: list[int], capacity: int, rng: random.Random):
-    """Injects whole well-filled bins of ``b`` into ``a``, removes the bins of ``a`` that hold their items, best-fits the rest."""
-    good = [k for k, x in enumerate(b[2]) if x == capacity] or sorted(range(len(b[1])), key=lambda k: -b[2][k])[: len(b[1]) // 3 + 1]
-    taken = rng.sample(good, max(1, int(len(good) * rng.uniform(0.1, 0.4))))
+    """Injects whole well-filled bins of ``b`` into ``a``, removes the bins of ``a`` that hold their items, packs the rest again."""
+    n = len(a[1])
+    some = lambda: int(n * SHARE * rng.random())
+    good = [k for k, x in enumerate(b[2]) if x == capacity] or sorted(range(len(b[1])), key=lambda k: -b[2][k])[: n // 3 + 1]
+    taken = rng.sample(good, min(len(good), 1 + some()))
     inside = {i for k in taken for i in b[1][k]}
     bins, load, loose = [b[1][k][:] for k in taken], [b[2][k] for k in taken], []
-    # the emptiest bins are dissolved as well
-    worst = set(sorted(range(len(a[1])), key=lambda k: a[2][k])[: 1 + len(a[1]) // 50])
+    dissolved = {*sorted(range(n), key=lambda k: a[2][k])[: 2 + some()], *rng.sample(range(n), int(n * SHARE))}
     for k, items in enumerate(a[1]):
-        if k in worst or not inside.isdisjoint(items):
+        if k in dissolved or not inside.isdisjoint(items):
             loose += [i for i in items if i not in inside]
         else:
             bins.append(items[:])
             load.append(a[2][k])
     loose.sort(key=lambda i: (-size[i], i))
-    best_fit(bins, load, loose, size, capacity)
+    (fill_exactly if rng.random() < 0.5 else best_fit)(bins, load, loose, size, capacity)
     return (len(bins), -sum(x * x for x in load)), bins, load
 
 
 def evolve(size: list[int], elites: list[list[int]], seed: int, capacity: int = CAPACITY, generations: int = GENERATIONS, population: int = POPULATION) -> tuple[tuple[int, int], list[int]]:
     """The best packing of an island after some generations: (fitness, bin of each item)."""
     rng = random.Random(seed)
-    least = -(-sum(size) // capacity)
+    least = least_bins(size, capacity)
     folk = []
     for elite in elites:
         bins: list[list[int]] = [[] for _ in range(max(elite, default=-1) + 1)]
         for i, b in enumerate(elite):
             bins[b].append(i)
         folk.append(_packed(bins, size))
-    while len(folk) < population:
-        noise = 0 if not folk else 0.1
+    for k in range(population - len(folk)):
+        noise = 0 if k < 2 else 0.1
         order = sorted(range(len(size)), key=lambda i: (-size[i] * (1 + rng.uniform(-noise, noise)), i))
         bins, load = [], []
-        best_fit(bins, load, order, size, capacity)
+        (fill_exactly if k == 1 else best_fit)(bins, load, order, size, capacity)
         folk.append(_packed(bins, size))
     for _ in range(generations):
         folk.sort(key=lambda p: p[0])
@@ -162,7 +211,7 @@ def evolve(size: list[int], elites: list[list[int]], seed: int, capacity: int =
             break
         one, two = rng.sample(folk[: max(2, population // 2 + 1)], 2)
         new = child(one, two, size, capacity, rng)
-        if new[0] < folk[-1][0]:
+        if new[0] <= folk[-1][0]:
             folk[-1] = new
     best = min(folk, key=lambda p: p[0])
     where = [0] * len(size)
