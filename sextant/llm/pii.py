@@ -2,10 +2,11 @@
 
 The network reads character classes, is trained here in numpy on labelled spans that a seeded generator writes into
 varied filler text, and tags every character as plain, personal (identity numbers, spelled-out addresses, and the kinds of
-the rules) or secret (keys, tokens, passwords). Texts are cut into overlapping windows; all windows of a group advance
-together. Emissions of overlapping windows are blended by distance from the window's edge and the whole text is decoded as
-one sequence: only stretches whose running score could pay for leaving and re-entering "plain" need the Viterbi recursion,
-the best path is plain elsewhere.
+the rules) or secret (keys, tokens, passwords). Every text is cut into overlapping windows of its own, padded with a class of
+their own at its ends; windows of many texts advance together, side by side and always as many of them, so that a text's
+result is the same in whatever company. Emissions of overlapping windows are blended by distance from the window's edge and
+the whole text is decoded as one sequence: only stretches whose running score could pay for leaving and re-entering "plain"
+need the Viterbi recursion, the best path is plain elsewhere. Very long texts are decoded up to places where it surely is.
 """
 
 from __future__ import annotations
@@ -29,8 +30,9 @@ TAGS = ("plain", "personal", "secret")
 HIDDEN = 8
 #: Characters of a window, and how many at each end overlap the neighbour's.
 WINDOW, MARGIN = 288, 16
-#: Texts advance through the network in groups of about so many characters.
-GROUP_CHARS = 400_000
+CORE = WINDOW - 2 * MARGIN
+#: Windows that advance through the network together, and windows of a text that are decoded at once.
+TOGETHER, LONG = 1024, 4096
 
 # --- exact rules ------------------------------------------------------------------------------------------------------
 
@@ -313,31 +315,49 @@ def _forward(x: np.ndarray, table_: np.ndarray, rec: np.ndarray, out: np.ndarray
         np.multiply(gates[2 * n :], tc, out=h)
 
 
-def emissions(codes: np.ndarray, p: dict[str, np.ndarray]) -> np.ndarray:
-    """Scores (characters x tags) of a run of character classes, blended over overlapping windows."""
-    core = WINDOW - 2 * MARGIN
-    count = max(1, -(-len(codes) // core))
-    padded = np.full(count * core + 2 * MARGIN, CLASSES - 1, np.uint8)
-    padded[MARGIN : MARGIN + len(codes)] = codes
-    begin = np.arange(count) * core
-    x = padded[begin[None, :] + np.arange(WINDOW)[:, None]]
-    k = len(TAGS)
-    total, weight = np.zeros((k, len(padded)), np.float32), np.zeros(len(padded), np.float32)
-    ramp = np.minimum(1.0, np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)) / (2.0 * MARGIN)).astype(np.float32)
-    n = HIDDEN
-    hidden = np.empty((WINDOW, n, count), np.float32)
-    e = np.empty((WINDOW, k, count), np.float32)
-    for name, seq, w in (("f", x, p["out"][:n]), ("b", x[::-1], p["out"][n:])):
-        _forward(seq, p[f"in_{name}"], p[f"rec_{name}"], hidden)
-        part = np.matmul(np.ascontiguousarray(w.T), hidden)
-        if name == "f":
-            e[:] = part
-        else:
-            e += part[::-1]
-    for t in range(WINDOW):
-        total[:, begin + t] += ramp[t] * e[t]
-        weight[begin + t] += ramp[t]
-    return (total / weight).T[MARGIN : MARGIN + len(codes)] + p["bias"]
+def windows_of(size: int) -> int:
+    return max(1, -(-size // CORE))
+
+
+_RAMP = np.minimum(1.0, np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)) / (2.0 * MARGIN)).astype(np.float32)
+
+
+def emissions(parts: list[tuple[np.ndarray, int, int]], p: dict[str, np.ndarray]) -> list[np.ndarray]:
+    """Scores (characters x tags) of stretches of texts: (all character classes of a text, first window, end window).
+
+    Each window reads MARGIN characters beyond its core on both sides, and blends there with the windows beside it, which
+    are computed too where the stretch leaves them out.
+    """
+    k, n = len(TAGS), HIDDEN
+    codes, begin, places, size = [], [], [], 0
+    for text, first, end in parts:
+        a, b = max(0, first - 1), min(windows_of(len(text)), end + 1)
+        own = np.full((b - a) * CORE + 2 * MARGIN, CLASSES - 1, np.uint8)
+        low = max(0, a * CORE - MARGIN)
+        inside = text[low : b * CORE + MARGIN]
+        own[low - (a * CORE - MARGIN) :][: len(inside)] = inside
+        codes.append(own)
+        begin.append(size + CORE * np.arange(b - a))
+        places.append((size + MARGIN + (first - a) * CORE, min(end * CORE, len(text)) - first * CORE))
+        size += len(own)
+    padded, begin = np.concatenate([*codes, np.full(WINDOW, CLASSES - 1, np.uint8)]), np.concatenate(begin)
+    total, weight = np.zeros((k, size + WINDOW), np.float32), np.zeros(size + WINDOW, np.float32)
+    hidden, e = np.empty((WINDOW, n, TOGETHER), np.float32), np.empty((WINDOW, k, TOGETHER), np.float32)
+    for at in range(0, len(begin), TOGETHER):
+        mine = begin[at : at + TOGETHER]
+        # the last group is filled up with windows of padding: results never depend on how many there are
+        x = padded[np.append(mine, np.full(TOGETHER - len(mine), size))[None, :] + np.arange(WINDOW)[:, None]]
+        for name, seq, w in (("f", x, p["out"][:n]), ("b", x[::-1], p["out"][n:])):
+            _forward(seq, p[f"in_{name}"], p[f"rec_{name}"], hidden)
+            part = np.matmul(np.ascontiguousarray(w.T), hidden)
+            if name == "f":
+                e[:] = part
+            else:
+                e += part[::-1]
+        for t in range(WINDOW):
+            total[:, mine + t] += _RAMP[t] * e[t][:, : len(mine)]
+            weight[mine + t] += _RAMP[t]
+    return [(total[:, a : a + m] / weight[a : a + m]).T + p["bias"] for a, m in places]
 
 
 def _stretches(gain: np.ndarray, need: float, slack: float) -> list[list[int]]:
@@ -387,11 +407,8 @@ def _stretches(gain: np.ndarray, need: float, slack: float) -> list[list[int]]:
 def decode(e: np.ndarray, trans: np.ndarray) -> list[tuple[int, int, int]]:
     """(start, end, tag) of the best path's runs other than plain, over one sequence with plain text before and after it."""
     k = range(len(trans))
-    inner = float(trans[1:, 1:].max() - trans[0, 0])
-    need = float(2 * trans[0, 0] - trans[0, 1:].max() - trans[1:, 0].max()) + inner
-    slack = float(np.ptp(trans[0, 1:]) + np.ptp(trans[1:, 0]) + np.ptp(trans[1:, 1:])) + abs(inner)
     cost, out = trans.tolist(), []
-    for a, b in _stretches(e[:, 1:].max(1) - e[:, 0] + inner, need, slack):
+    for a, b in _stretches(*_gain(e, trans)):
         rows = e[a:b].tolist()
         score, back = [cost[0][j] + rows[0][j] for j in k], []
         for row in rows[1:]:
@@ -413,6 +430,44 @@ def decode(e: np.ndarray, trans: np.ndarray) -> list[tuple[int, int, int]]:
     return out
 
 
+def _gain(e: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, float, float]:
+    """What ``_stretches`` needs: a bound of each character's gain, of what a run needs, and of what varies besides."""
+    inner = float(trans[1:, 1:].max() - trans[0, 0])
+    need = float(2 * trans[0, 0] - trans[0, 1:].max() - trans[1:, 0].max()) + inner
+    slack = float(np.ptp(trans[0, 1:]) + np.ptp(trans[1:, 0]) + np.ptp(trans[1:, 1:])) + abs(inner)
+    return e[:, 1:].max(1) - e[:, 0] + inner, need, slack
+
+
+def _quiet(e: np.ndarray, trans: np.ndarray) -> int | None:
+    """The last place of the second half that no run of other tags crosses, whatever follows: outside all stretches, and
+    between it and the end the sum of gains falls by more than any run that pays can lose."""
+    gain, need, slack = _gain(e, trans)
+    total = np.cumsum(gain, dtype=float)
+    ahead = np.minimum.accumulate(total[::-1])[::-1]
+    ok = np.append(total[:-1] - ahead[1:] > need + slack, False)
+    ok[: len(ok) // 2] = False
+    for a, b in _stretches(gain, need, slack):
+        ok[max(0, a - 1) : b + 2] = False
+    found = np.flatnonzero(ok)
+    return int(found[-1]) + 1 if len(found) else None
+
+
+def runs_of(codes: np.ndarray, p: dict[str, np.ndarray], long: int = LONG) -> list[tuple[int, int, int]]:
+    """The runs of a text of any length, decoded in stretches of about ``long`` windows that meet at quiet places."""
+    out, start, step, count = [], 0, long, windows_of(len(codes))
+    while start < len(codes):
+        first = start // CORE
+        end = min(count, first + step)
+        e = emissions([(codes, first, end)], p)[0][start - first * CORE :]
+        cut = len(e) if end == count else _quiet(e, p["trans"])
+        if cut is None:  # nothing but signs of runs: take more at once
+            step *= 2
+            continue
+        out += [(start + a, start + b, tag) for a, b, tag in decode(e[:cut], p["trans"])]
+        start, step = start + cut, long
+    return out
+
+
 def decode_plainly(e: np.ndarray, trans: np.ndarray) -> list[int]:
     """The whole Viterbi recursion without shortcuts, for tests."""
     score, back = trans[0] + e[0], []
@@ -462,27 +517,27 @@ def added_spans(text: str, runs: list[tuple[int, int, int]], base: list[tuple[in
 
 
 def find(texts: list[str], p: dict[str, np.ndarray]) -> Iterator[tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]]:
-    """(spans of the rules, all spans) of each text, in order."""
+    """(spans of the rules, all spans) of each text, in order; a function of that text alone."""
     at = 0
     while at < len(texts):
-        codes, ends, size = [], [], 0
-        gap = np.full(MARGIN, CLASSES - 1, np.uint8)
-        end = at
-        while end < len(texts) and (end == at or size + len(texts[end]) <= GROUP_CHARS):
-            codes += [classes_of(texts[end]), gap]
-            size += len(texts[end]) + MARGIN
-            ends.append(size - MARGIN)
+        end, count = at, 0
+        while end < len(texts) and (end == at or count + windows_of(len(texts[end])) <= TOGETHER):
+            count += windows_of(len(texts[end]))
             end += 1
-        e = emissions(np.concatenate(codes), p)
-        for text, stop in zip(texts[at:end], ends, strict=True):
+        codes = [classes_of(t) for t in texts[at:end]]
+        if count > LONG:
+            runs = [runs_of(codes[0], p)]
+        else:
+            runs = [decode(e, p["trans"]) if len(e) else [] for e in emissions([(c, 0, windows_of(len(c))) for c in codes], p)]
+        for text, found in zip(texts[at:end], runs, strict=True):
             base = base_spans(text)
-            more = added_spans(text, decode(e[stop - len(text) : stop], p["trans"]), base) if text else []
-            yield base, sorted([*base, *more], key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
+            yield base, sorted([*base, *added_spans(text, found, base)], key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
         at = end
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) for every row; offsets are code points, ends exclusive.
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_personal, n_secret, n_spans) for every row; offsets are
+    code points, ends exclusive. A row's result depends on its text alone, not on other rows or partitions.
 
     Nulls: a null text is the empty text and has no spans. Repeated rows are read each. Spans of one kind never overlap;
     of the network's spans those that touch a rule's span are dropped, so ties go to the rules. An empty table gives no
@@ -496,14 +551,16 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for batch in batches:
             counts, sums, spans = [], [], []
             for base, all_ in find([t or "" for t in batch.column("text").to_pylist()], p):
-                counts.append([sum(k == kind for *_, k in base) for kind in BASE])
+                counts.append([*(sum(k == kind for *_, k in all_) for kind in KINDS), len(all_)])
                 sums.append(hashlib.sha256(spelled(base).encode()).hexdigest())
                 spans.append(spelled(all_))
-            cols = [pa.array([c[k] for c in counts], pa.int64()) for k in range(4)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols, pa.array(sums, pa.string()), pa.array(spans, pa.string())], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+            cols = [pa.array([c[k] for c in counts], pa.int64()) for k in range(len(KINDS) + 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols[:4], pa.array(sums, pa.string()), pa.array(spans, pa.string()), *cols[4:]], names)
 
     kind = own.schema["doc_id"].dataType.simpleString()
-    return own.mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    out = f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_personal long, n_secret long, n_spans long"
+    names = [c.split()[0] for c in out.split(", ")]
+    return own.mapInArrow(run, out)
 
 
 def redacted(text: str, spans: list[tuple[int, int, str]]) -> str:
