@@ -10,8 +10,8 @@
    different groups are compared: again a number of pairs in proportion to the members. That joins most members of a large
    group of copies that are far from its smallest one.
 5. In buckets that are still mixed, every member outside the bucket's largest group is a query against the whole bucket:
-   small buckets by a join, larger ones in blocks that are compared and verified in place, so that only links become rows. Huge buckets are first cut by a second band, then a third,
-   and at last those that are still mixed are compared whole, in blocks. No bucket is left unexamined.
+   small buckets by a join, larger ones in blocks that are compared and verified in place. A block returns a spanning set of
+   its links, fewer than its members. No bucket is cut, capped or left unexamined, whatever its size.
 
 With six rows a band and 48 bands a pair of similarity 0.75 shares no bucket with probability 8e-5, one of 0.8 with 5e-7.
 """
@@ -38,9 +38,10 @@ GROUP_BYTES = 1 << 18
 AGREE = 0.83
 #: Rounds of comparisons within small random parts of mixed buckets, and members of a part.
 ROUNDS, PART = 1, 4
-#: Mixed buckets with more members are compared in blocks of so many; with more than HUGE, cut by further bands before.
-SMALL, BLOCK, HUGE = 16, 512, 4096
-LEVELS = 3
+#: Mixed buckets with more members are compared in blocks of so many.
+SMALL, BLOCK = 16, 512
+#: A key is frequent if it has more than one in so many of all rows, and more than LEAST: so there are no more of them than this.
+FREQUENT, LEAST = 16_384, 1024
 
 _M = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -259,62 +260,80 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = stored(own.mapInArrow(_sign, "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary"), "signed")
-    linkable = signed.filter("digest IS NOT NULL AND doc_id IS NOT NULL")
-    classes = stored(linkable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
+    linkable = F.col("digest").isNotNull() & F.col("doc_id").isNotNull()
+    classes = stored(signed.filter(linkable).groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
+    groups = _grouped(own, classes, percent)
+    named = classes.join(groups, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
+    # rows that nothing links need no join: null digests would all meet in one task
+    alone = signed.filter(~linkable).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = signed.filter(linkable).join(named, "digest").select("doc_id", "n_shingles", "component_id").union(alone)
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _grouped(own: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(node, component) of the classes that are linked to others; ``own`` holds their texts."""
     keyed = classes.select(F.explode("bands").alias("key"), "rep", "n")
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("rep", "n")).alias("low")).filter("members > 1")
+    total = BANDS * classes.count()
     # buckets of two or more, the only ones that can link anything
-    members = stored(keyed.join(shared, "key").select("key", "rep", "n", F.col("low.rep").alias("other"), F.col("low.n").alias("other_n"), "members"), "buckets")
+    shared = stored(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("rep", "n")).alias("low")).filter("members > 1"), "shared")
+    members = stored(_by_key(keyed, shared, total).select("key", "rep", "n", F.col("low.rep").alias("other"), F.col("low.n").alias("other_n"), "members"), "buckets")
     pairs = stored(members.filter("rep <> other").filter(_ratio(percent)).select(F.col("rep").alias("a"), F.col("other").alias("b")).distinct(), "pairs")
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     sets = stored(own.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "node long, shingles array<long>"), "sets")
     links = stored(_verified(pairs, sets, percent), "verified")
     groups = stored(components(links), "groups")
-    buckets = members.select("key", "rep", "n")
+    buckets, used = members.select("key", "rep", "n"), [shared, members, pairs, sets, links]
 
     def add(found: DataFrame) -> None:
-        nonlocal links, groups
+        """Groups with more links: a group's own star stands for the links that made it."""
+        nonlocal groups
         found = stored(found, "verified")
+        used.append(found)
         if not found.isEmpty():
-            links = links.union(found)
-            groups = stored(components(links), "groups")
+            old = groups
+            groups = stored(components(old.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found)), "groups")
+            used.append(old)
 
-    for turn in range(ROUNDS):
-        mixed_buckets = stored(_mixed(buckets, groups), "mixed")
+    for turn in range(ROUNDS + 1):
+        mixed_buckets = _mixed(buckets, groups, total, used)
         if mixed_buckets.isEmpty():
             break
-        part = F.pmod(F.xxhash64("rep", "key", F.lit(turn)), F.greatest(F.lit(1), F.floor(F.col("members") / PART)))
-        add(_verified(_across(mixed_buckets.withColumn("_part", part), percent, ["key", "_part"]).distinct(), sets, percent))
-        buckets = mixed_buckets.select("key", "rep", "n")
-    huge = None
-    for level in range(1, LEVELS + 1):
-        mixed_buckets = stored(_mixed(buckets, groups), "mixed")
-        if mixed_buckets.isEmpty():
-            break
-        if level == 1:
-            huge = mixed_buckets.filter(F.col("members") > HUGE).select("key", "rep", "n")
-        large = F.col("members") > SMALL if level == LEVELS else (F.col("members") > SMALL) & (F.col("members") <= HUGE)
-        pairs = _across(mixed_buckets.filter(F.col("members") <= SMALL), percent).distinct()
-        add(_verified(pairs, sets, percent).union(_in_blocks(mixed_buckets.filter(large), classes, sets, percent)))
-        if level < LEVELS:
-            # huge buckets: members that also share one more band
-            cut = mixed_buckets.filter(F.col("members") > HUGE).select("key", "rep", "n").join(classes.select("rep", "bands"), "rep")
-            cut = cut.select("key", "rep", "n", F.explode("bands").alias("_next"))
-            buckets = cut.filter("key <> _next").select(F.xxhash64("key", "_next").alias("key"), "rep", "n")
-    if huge is not None and not huge.isEmpty():
-        # pairs that share one huge bucket and no other band
-        add(_in_blocks(stored(_mixed(huge, groups), "mixed"), classes, sets, percent))
-    named = classes.join(groups, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    out = signed.join(named, "digest", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+        if turn < ROUNDS:
+            part = F.pmod(F.xxhash64("rep", "key", F.lit(turn)), F.greatest(F.lit(1), F.floor(F.col("members") / PART)))
+            add(_verified(_across(mixed_buckets.withColumn("_part", part), percent, ["key", "_part"]).distinct(), sets, percent))
+            buckets = mixed_buckets.select("key", "rep", "n")
+        else:
+            pairs = _across(mixed_buckets.filter(F.col("members") <= SMALL), percent).distinct()
+            large = mixed_buckets.filter(F.col("members") > SMALL)
+            add(_verified(pairs, sets, percent).union(_in_blocks(large, classes, sets, percent, total, used)))
+    discard(*used)
+    return groups
+
+
+def _by_key(rows: DataFrame, facts: DataFrame, total: int) -> DataFrame:
+    """``rows`` with what ``facts`` (a stored row for each key, with its ``members``) tell of their key; others are dropped.
+
+    Rows of frequent keys stay where they are: such keys are at most FREQUENT of the ``total`` rows, so their facts are
+    broadcast. The others are shuffled by key, LEAST or a FREQUENT-th of the rows to a key at most.
+    """
+    many = F.col("members") > max(LEAST, total // FREQUENT)
+    frequent = facts.filter(many)
+    if frequent.isEmpty():
+        return rows.join(facts, "key")
+    frequent = F.broadcast(frequent)
+    return rows.join(frequent, "key").unionByName(rows.join(frequent.select("key"), "key", "left_anti").join(facts.filter(~many), "key"))
 
 
-def _mixed(buckets: DataFrame, groups: DataFrame) -> DataFrame:
-    """Members of the buckets that hold more than one group: (key, rep, n, grp, members)."""
+def _mixed(buckets: DataFrame, groups: DataFrame, total: int, used: list[DataFrame]) -> DataFrame:
+    """Members of the buckets that hold more than one group: (key, rep, n, grp, members), stored."""
     told = buckets.join(groups.select(F.col("node").alias("rep"), F.col("component").alias("grp")), "rep", "left").withColumn("grp", F.coalesce("grp", "rep"))
+    told = stored(told, "told")
     kinds = told.groupBy("key").agg(F.min("grp").alias("_lo"), F.max("grp").alias("_hi"), F.count(F.lit(1)).alias("members")).filter("_lo < _hi").select("key", "members")
-    return told.join(kinds, "key")
+    kinds = stored(kinds, "kinds")
+    out = stored(_by_key(told, kinds, total).select("key", "rep", "n", "grp", "members"), "mixed")
+    discard(told, kinds)
+    used.append(out)
+    return out
 
 
 def _across(few: DataFrame, percent: int, keys: list[str] = ["key"]) -> DataFrame:  # noqa: B006
@@ -323,14 +342,17 @@ def _across(few: DataFrame, percent: int, keys: list[str] = ["key"]) -> DataFram
     return few.join(other, keys).filter("rep > b AND grp <> _grp").filter(_ratio(percent)).select(F.col("rep").alias("a"), "b")
 
 
-def _in_blocks(buckets: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _in_blocks(buckets: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, total: int, used: list[DataFrame]) -> DataFrame:
     """Links (a, b) within large mixed buckets between queries, the members outside the largest group, and all members.
 
-    Members and queries of a bucket are dealt into blocks; a task compares one block of each, whatever the bucket's size.
+    Members and queries of a bucket are dealt into blocks; a task compares one block of each, whatever the bucket's size,
+    and returns links that join what the groups and its other links have not yet joined.
     """
     size = buckets.groupBy("key", "grp").agg(F.count(F.lit(1)).alias("_c"))
-    main = size.groupBy("key").agg(F.max(F.struct("_c", "grp")).alias("_main"), F.sum("_c").alias("_all"))
-    told = buckets.join(main, "key").join(classes.select("rep", "sketch"), "rep").join(sets.select(F.col("node").alias("rep"), "shingles"), "rep").withColumn("_query", F.col("grp") != F.col("_main.grp"))
+    main = stored(size.groupBy("key").agg(F.max(F.struct("_c", "grp")).alias("_main"), F.sum("_c").alias("members")), "main")
+    used.append(main)
+    told = _by_key(buckets.drop("members"), main, total).withColumnRenamed("members", "_all")
+    told = told.join(classes.select("rep", "sketch"), "rep").join(sets.select(F.col("node").alias("rep"), "shingles"), "rep").withColumn("_query", F.col("grp") != F.col("_main.grp"))
     parts = lambda c: F.ceil(c / F.lit(BLOCK)).cast("int")
     told = told.withColumns({"_m": parts(F.col("_all")), "_q": parts(F.col("_all") - F.col("_main._c"))})
     mine = lambda n, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), F.col(n)).cast("int")
@@ -347,8 +369,10 @@ def _in_blocks(buckets: DataFrame, classes: DataFrame, sets: DataFrame, percent:
         ends, flat = flat.offsets.to_numpy(), flat.values.to_numpy().view(np.uint64)
         m = np.flatnonzero(~query)
         a, b = [], []
+        names, local = np.unique(grp, return_inverse=True)
+        root = np.arange(len(names))  # groups of the block that its links have joined so far, as their first
         for i in np.flatnonzero(query).tolist():
-            ok = m[(grp[m] != grp[i]) & (100 * np.minimum(n[m], n[i]) >= percent * np.maximum(n[m], n[i]))]
+            ok = m[(root[local[m]] != root[local[i]]) & (100 * np.minimum(n[m], n[i]) >= percent * np.maximum(n[m], n[i]))]
             ok = ok[(sketch[ok] == sketch[i]).mean(1) >= AGREE * percent / 100]
             if len(ok):
                 # both sets are sorted: count the members' shingles that the query has
@@ -357,8 +381,12 @@ def _in_blocks(buckets: DataFrame, classes: DataFrame, sets: DataFrame, percent:
                 same = own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs
                 shared = np.add.reduceat(same, np.cumsum(np.append(0, n[ok]))[:-1], dtype=np.int64)
                 ok = ok[100 * shared >= percent * (n[ok] + n[i] - shared)]
-            a += np.maximum(rep[ok], rep[i]).tolist()
-            b += np.minimum(rep[ok], rep[i]).tolist()
+            for k in ok.tolist():
+                x, y = root[local[k]], root[local[i]]
+                if x != y:
+                    root[root == max(x, y)] = min(x, y)
+                    a.append(max(rep[k], rep[i]))
+                    b.append(min(rep[k], rep[i]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return members.union(queries).groupBy("key", "mb", "qb").applyInArrow(compare, "a long, b long").distinct()

@@ -658,11 +658,12 @@ def plain_groups(texts):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("small,huge", [(minhash.SMALL, minhash.HUGE), (1, minhash.HUGE), (1, 3)])
-def test_chains_of_copies(spark, monkeypatch, small, huge):
-    """A large group whose members are linked in chains, with passages that others share; in blocks and in cut buckets as well."""
+@pytest.mark.parametrize("small,least", [(minhash.SMALL, minhash.LEAST), (1, minhash.LEAST), (1, 3)])
+def test_chains_of_copies(spark, monkeypatch, small, least):
+    """A large group whose members are linked in chains, with passages that others share; in blocks and with frequent keys as well."""
     monkeypatch.setattr(minhash, "SMALL", small)
-    monkeypatch.setattr(minhash, "HUGE", huge)
+    monkeypatch.setattr(minhash, "LEAST", least)
+    monkeypatch.setattr(minhash, "BLOCK", 16 if small == 1 else minhash.BLOCK)
     r, vocab = random.Random(8), [f"w{i}" for i in range(3000)]
     base = [r.choice(vocab) for _ in range(120)]
     texts = {}
@@ -678,8 +679,8 @@ def test_chains_of_copies(spark, monkeypatch, small, huge):
     assert got == plain_groups(texts)
 
 
-def test_pairs_that_share_a_huge_bucket_only(spark, monkeypatch):
-    for name, value in (("SMALL", 1), ("HUGE", 2), ("PART", 1)):
+def test_pairs_that_share_a_large_bucket_only(spark, monkeypatch):
+    for name, value in (("SMALL", 1), ("LEAST", 2), ("BLOCK", 3), ("PART", 1)):
         monkeypatch.setattr(minhash, name, value)
     r, vocab = random.Random(12), [f"w{i}" for i in range(5000)]
     some = lambda n: [r.choice(vocab) for _ in range(n)]
