@@ -1,13 +1,16 @@
 """Quality rules: fixed limits on word counts and repetition, then robust multivariate outliers (DataFrame functions only).
 
-Each (language, source) group gets a minimum-covariance-determinant estimate of location and scatter of five transformed
-statistics, by concentration steps from a median/MAD start: distances to the current estimate, the closest ``CORE`` share
-of the group, their mean and covariance, again. A document is rejected when its squared Mahalanobis distance to the last
-estimate, scaled so that the group's median distance is the chi-square median, is over ``CUTOFF``.
-
-Order statistics come from counts in fine bins, so a group of any size (a third of all rows in one source) only adds
-counters: no group is ever gathered in a task. The group table has a row per group; it is joined without a hint, so Spark
-broadcasts it only where its measured size allows and splits a hot group's join otherwise.
+Every (language, source) group, every language and the whole table get a minimum-covariance-determinant estimate of location
+and scatter of five transformed statistics: from several starts (medians with MADs, the plain mean and covariance, medians
+alone) concentration steps take the closest ``CORE`` share, its mean and covariance, and again; the start that ends with the
+smallest determinant counts. A group's estimate is then blended with its language's, and that with the table's, which count as
+``PRIOR`` documents each: small groups lean on what is above them, large ones hardly, and no size switches anything. A document
+is rejected when its squared Mahalanobis distance to its group's estimate, scaled so that the median distance is the
+chi-square median, is over ``CUTOFF``.
+
+Order statistics come from counts in fine bins, found by coarse bins first, so a group of any size (a third of all rows in one
+source) only adds counters: no group is ever gathered in a task. The group table has a row per group; it is joined without a
+hint, so Spark broadcasts it only where its measured size allows and splits a hot group's join otherwise.
 """
 
 from __future__ import annotations
@@ -16,26 +19,29 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import SPACE, stored, table, words
+from .common import SPACE, discard, stored, table, words
 
 MIN_WORDS = 50
 #: Statistics on a grid of 1/1024, so that sums hardly depend on the order of addition.
 GRID = 1024
 STATS = ["ln_words", "ln_word_length", "symbols", "repeated_words", "repeated_lines"]
 #: Standard deviations added to each statistic, of the size of one measurement, because most groups hardly vary in the last three:
-#: a tenth of the words, a fiftieth of the word length, a symbol in 2,500 characters, a repeated triple in 470 words, a
-#: repeated line in 100. The rest is the group's own spread. Each is so small that the statistic alone passes CUTOFF
-#: within its range at the least scale of a group without spread of its own, 1 (repeated words from a share of 0.43 on, lines from 0.66).
-FLOOR = [0.1, 0.02, 0.02, 0.08, 0.1]
+#: a tenth of the words, a fiftieth of the word length, a symbol in 2,500 characters, 7 % of the words or 13 % of the lines that
+#: are there once repeated. The rest is the group's own spread. Each is so small that the statistic alone passes CUTOFF within its
+#: range at the least scale of a group without spread of its own, 1 (repeated words from a share of 0.43 on, lines from 0.65).
+FLOOR = [0.1, 0.02, 0.02, 0.07, 0.13]
 CORE = 0.75
 STEPS = 3
-#: Groups with fewer documents are pooled by language, then over all; below this count nothing is rejected.
-MIN_GROUP = 200
+#: Documents that the estimate above counts for in a group's or a language's.
+PRIOR = 200
 #: Median and 1 - 7e-13 quantile of chi-square with five degrees of freedom; so far out because the tails of clean text are heavy.
 CHI2_MEDIAN = 4.351
 CUTOFF = 66.0
 #: Bins of ln(1 + squared distance), 64 to the unit.
 BINS = 64
+#: Grid values, or bins, to a coarse bin.
+COARSE = 64
+ALL = "[]"
 
 
 def with_statistics(docs: DataFrame, text: Column) -> DataFrame:
@@ -62,50 +68,71 @@ def with_statistics(docs: DataFrame, text: Column) -> DataFrame:
 
 
 def transformed() -> dict[str, Column]:
-    """The statistics vector: logarithms of sizes, square roots of shares, on the grid."""
+    """The statistics vector on the grid: logarithms of sizes, the square root of a rare share, and logarithms of how many
+    times what is there once."""
     share = lambda a, b: F.sqrt(F.col(a) / F.greatest(F.col(b), F.lit(1)))
+    times = lambda a, b: F.log((F.col(b) + 1) / (F.col(b) - F.col(a) + 1))
     raw = [
         F.log1p(F.col("n_words")),
         F.log(F.greatest(F.col("word_chars"), F.lit(1)) / F.greatest(F.col("n_words"), F.lit(1))),
         share("n_symbols", "word_chars"),
-        share("n_repeat_words", "n_words"),
-        share("n_dup_lines", "n_lines"),
+        times("n_repeat_words", "n_words"),
+        times("n_dup_lines", "n_lines"),
     ]
     return {s: F.round(x * GRID) / GRID for s, x in zip(STATS, raw, strict=True)}
 
 
-def _grouped(stats: DataFrame) -> DataFrame:
-    """(lang, source, _group) for every group: its own key, or the pool that it is too small to do without."""
-    n = stats.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("_n"))
-    small = F.col("_n") < MIN_GROUP
-    pool = n.groupBy("lang").agg(F.sum(F.when(small, F.col("_n")).otherwise(0)).alias("_pool"))
-    n = n.join(pool.withColumnRenamed("lang", "_lang"), F.col("lang").eqNullSafe(F.col("_lang")))
-    key = F.when(~small, F.to_json(F.array("lang", "source"))).when(F.col("_pool") >= MIN_GROUP, F.to_json(F.array("lang"))).otherwise("[]")
-    return n.select("lang", "source", key.alias("_group"))
+def _own() -> Column:
+    return F.to_json(F.array("lang", "source"))
 
 
-def _at_share(counts: DataFrame, keys: list[str], value: str, share: float, name: str) -> DataFrame:
+def _language() -> Column:
+    return F.to_json(F.array("lang"))
+
+
+def _at_share(counts: DataFrame, keys: list[str], value: str, share: float, name: str, step: float) -> DataFrame:
     """The smallest ``value`` of each key at which the running count reaches ``share`` of the key's rows.
 
-    ``counts`` has a row per key and distinct value (column ``_n``); its size follows the grid, not the rows.
+    ``counts`` has a row per key and distinct value (column ``_n``). Coarse bins of ``step`` are counted first, then the values
+    of the one bin that holds the answer, so no task reads more than a few hundred counts of a key.
     """
     over = W.partitionBy(*keys)
-    ran = counts.withColumns({"_run": F.sum("_n").over(over.orderBy(value).rowsBetween(W.unboundedPreceding, 0)), "_all": F.sum("_n").over(over)})
-    return ran.filter(F.col("_run") >= F.lit(share) * F.col("_all")).groupBy(*keys).agg(F.min(value).alias(name))
+    coarse = F.floor(F.col(value) / F.lit(step))
+    bins = counts.groupBy(*keys, coarse.alias("_b")).agg(F.sum("_n").alias("_n"))
+    ran = bins.withColumns({"_run": F.sum("_n").over(over.orderBy("_b").rowsBetween(W.unboundedPreceding, 0)), "_all": F.sum("_n").over(over)})
+    need = F.ceil(F.lit(share) * F.col("_all"))
+    at = ran.filter(F.col("_run") >= need).groupBy(*keys).agg(F.min(F.struct("_b", (need - F.col("_run") + F.col("_n")).alias("_need"))).alias("_at"))
+    fine = counts.withColumn("_b", coarse).join(at.select(*keys, F.col("_at._b").alias("_b"), "_at._need"), [*keys, "_b"])
+    ran = fine.withColumn("_run", F.sum("_n").over(over.orderBy(value).rowsBetween(W.unboundedPreceding, 0)))
+    return ran.filter(F.col("_run") >= F.col("_need")).groupBy(*keys).agg(F.min(value).alias(name))
+
 
+_P = range(len(STATS))
+_MEANS = [f"_m{i}" for i in _P]
+_SCATTER = [f"_c{i}_{j}" for i in _P for j in range(i + 1)]
+
+
+def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Mean and covariance of each key's rows."""
+    sums = [F.count(F.lit(1)).alias("_n"), *[F.sum(s).alias(f"_s{i}") for i, s in enumerate(STATS)]]
+    sums += [F.sum(F.col(STATS[i]) * F.col(STATS[j])).alias(f"_q{i}_{j}") for i in _P for j in range(i + 1)]
+    mean = [F.col(f"_s{i}") / F.col("_n") for i in _P]
+    cov = [F.col(f"_q{i}_{j}") / F.col("_n") - mean[i] * mean[j] + (FLOOR[i] ** 2 if i == j else 0) for i in _P for j in range(i + 1)]
+    return rows.groupBy(*keys).agg(*sums).select(*keys, *[F.round(c, 9).alias(n) for c, n in zip([*mean, *cov], [*_MEANS, *_SCATTER], strict=True)])
 
-def _start(rows: DataFrame) -> DataFrame:
-    """Median and 1.4826 * MAD of each statistic, as a diagonal scatter."""
-    long = rows.select("_group", F.posexplode(F.array(*STATS)).alias("_k", "_v"))
-    counts = stored(long.groupBy("_group", "_k", "_v").agg(F.count(F.lit(1)).alias("_n")), "quality-counts")
-    middle = _at_share(counts, ["_group", "_k"], "_v", 0.5, "_m")
-    off = counts.join(middle, ["_group", "_k"]).withColumn("_d", F.abs(F.col("_v") - F.col("_m"))).groupBy("_group", "_k", "_m", "_d").agg(F.sum("_n").alias("_n"))
-    spread = _at_share(off, ["_group", "_k", "_m"], "_d", 0.5, "_s")
+
+def _starts(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """(_key, _start, location, scatter): 0 medians and 1.4826 * MADs, 1 mean and covariance, 2 medians and the same spread for all."""
+    middle = _at_share(counts, ["_key", "_k"], "_v", 0.5, "_m", COARSE / GRID)
+    off = counts.join(middle, ["_key", "_k"]).withColumn("_d", F.abs(F.col("_v") - F.col("_m"))).groupBy("_key", "_k", "_m", "_d").agg(F.sum("_n").alias("_n"))
+    spread = _at_share(off, ["_key", "_k", "_m"], "_d", 0.5, "_s", COARSE / GRID)
     pick = lambda k, c: F.max(F.when(F.col("_k") == k, F.col(c)))
-    cols = [pick(k, "_m").alias(f"_m{k}") for k in range(len(STATS))]
-    cols += [F.pow(F.greatest(1.4826 * pick(k, "_s"), F.lit(FLOOR[k])), F.lit(2)).alias(f"_c{k}_{k}") for k in range(len(STATS))]
-    zero = [F.lit(0.0).alias(f"_c{i}_{j}") for i in range(len(STATS)) for j in range(i)]
-    return spread.groupBy("_group").agg(*cols).select("*", *zero)
+    wide = spread.groupBy("_key").agg(*[pick(k, "_m").alias(f"_m{k}") for k in _P], *[F.pow(F.greatest(1.4826 * pick(k, "_s"), F.lit(FLOOR[k])), F.lit(2)).alias(f"_v{k}") for k in _P])
+    scatter = lambda of: [(of(i) if i == j else F.lit(0.0)).alias(f"_c{i}_{j}") for i in _P for j in range(i + 1)]
+    first = wide.select("_key", F.lit(0).alias("_start"), *_MEANS, *scatter(lambda i: F.col(f"_v{i}")))
+    second = _moments(rows, ["_key"]).select("_key", F.lit(1).alias("_start"), *_MEANS, *_SCATTER)
+    third = wide.select("_key", F.lit(2).alias("_start"), *_MEANS, *scatter(lambda i: F.lit(1.0)))
+    return first.union(second).union(third)
 
 
 def _factored(params: DataFrame) -> DataFrame:
@@ -134,52 +161,63 @@ def _distance(rows: DataFrame) -> DataFrame:
 
 
 def _binned(rows: DataFrame, params: DataFrame) -> DataFrame:
-    keep = ["_group", *STATS]
-    return _distance(rows.select(keep).join(params, "_group")).select(*keep, F.floor(F.log1p("_d2") * BINS).cast("int").alias("_bin"))
+    keep = ["_key", "_start", *STATS]
+    return _distance(rows.join(params, "_key")).select(*keep, F.floor(F.log1p("_d2") * BINS).cast("int").alias("_bin"))
 
 
 def _concentrated(rows: DataFrame, params: DataFrame) -> DataFrame:
-    """One concentration step: mean and covariance of each group's ``CORE`` share with the smallest distances."""
-    near = _binned(rows, params)
-    edge = _at_share(near.groupBy("_group", "_bin").agg(F.count(F.lit(1)).alias("_n")), ["_group"], "_bin", CORE, "_edge")
-    core = near.join(edge, "_group").filter(F.col("_bin") <= F.col("_edge"))
-    p = range(len(STATS))
-    sums = [F.count(F.lit(1)).alias("_n"), *[F.sum(s).alias(f"_s{i}") for i, s in enumerate(STATS)]]
-    sums += [F.sum(F.col(STATS[i]) * F.col(STATS[j])).alias(f"_q{i}_{j}") for i in p for j in range(i + 1)]
-    got = core.groupBy("_group").agg(*sums)
-    mean = [(F.col(f"_s{i}") / F.col("_n")).alias(f"_m{i}") for i in p]
-    cov = []
-    for i in p:
-        for j in range(i + 1):
-            c = F.col(f"_q{i}_{j}") / F.col("_n") - F.col(f"_s{i}") * F.col(f"_s{j}") / F.col("_n") / F.col("_n")
-            cov.append((c + FLOOR[i] ** 2 if i == j else c).alias(f"_c{i}_{j}"))
-    return got.select("_group", *[F.round(c, 9).alias(n) for c, n in zip([*mean, *cov], [*[f"_m{i}" for i in p], *[f"_c{i}_{j}" for i in p for j in range(i + 1)]], strict=True)])
+    """One concentration step: mean and covariance of each key's ``CORE`` share with the smallest distances, for each start."""
+    near, keys = _binned(rows, params), ["_key", "_start"]
+    edge = _at_share(near.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_n")), keys, "_bin", CORE, "_edge", COARSE)
+    return _moments(near.join(edge, keys).filter(F.col("_bin") <= F.col("_edge")), keys)
+
+
+def _blended(own: DataFrame, above: DataFrame) -> DataFrame:
+    """``own`` (_above, _n, location, scatter, _scale) as if ``PRIOR`` documents with the estimate ``above`` it were among its rows."""
+    cols = [*_MEANS, *_SCATTER, "_scale"]
+    both = own.join(above.select(F.col("_key").alias("_above"), *[F.col(c).alias(f"_a{c}") for c in cols]), "_above")
+    w = F.col("_n") / (F.col("_n") + PRIOR)
+    mix = lambda c: w * F.col(c) + (1 - w) * F.col(f"_a{c}")
+    apart = lambda i: F.col(f"_m{i}") - F.col(f"_a_m{i}")
+    scatter = [(mix(f"_c{i}_{j}") + w * (1 - w) * apart(i) * apart(j)).alias(f"_c{i}_{j}") for i in _P for j in range(i + 1)]
+    scale = F.exp(w * F.log("_scale") + (1 - w) * F.log("_a_scale")).alias("_scale")
+    return both.select("_key", *[mix(c).alias(c) for c in _MEANS], *scatter, scale)
 
 
 def fitted(stats: DataFrame) -> DataFrame:
-    """(lang, source, location, factor, ``_scale``) for every group whose pool has ``MIN_GROUP`` documents that pass the fixed limits.
+    """(_key, location, factor, ``_scale``) for every (lang, source) of ``stats``.
 
-    ``stats`` needs lang, source and the five statistics of the documents that pass. A table as small as the number of
-    groups; it is stored.
+    ``stats`` needs lang, source and the five statistics of the documents that pass the fixed limits. The result is as small as
+    the number of groups; it is stored.
     """
-    groups = stored(_grouped(stats), "quality-groups")
-    named = groups.withColumnsRenamed({"lang": "_lang", "source": "_source"})
-    same = F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
-    rows = stats.join(named, same).select("_group", *STATS)
-    params = stored(_factored(_start(rows)), "quality-start")
+    rows = stats.select(F.explode(F.array(_own(), _language(), F.lit(ALL))).alias("_key"), *STATS)
+    long = stats.select("lang", "source", F.posexplode(F.array(*STATS)).alias("_k", "_v")).groupBy("lang", "source", "_k", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    long = long.select(F.explode(F.array(_own(), _language(), F.lit(ALL))).alias("_key"), "_k", "_v", "_n")
+    counts = stored(long.groupBy("_key", "_k", "_v").agg(F.sum("_n").alias("_n")), "quality-counts")
+    used = [counts, params := stored(_factored(_starts(rows, counts)), "quality-start")]
     for _ in range(STEPS):
-        params = stored(_factored(_concentrated(rows, params)), "quality-step")
-    bins = _binned(rows, params).groupBy("_group", "_bin").agg(F.count(F.lit(1)).alias("_n"))
-    middle = _at_share(bins, ["_group"], "_bin", 0.5, "_middle").join(bins.groupBy("_group").agg(F.sum("_n").alias("_n")), "_group").filter(F.col("_n") >= MIN_GROUP)
+        used.append(params := stored(_factored(_concentrated(rows, params)), "quality-step"))
+    size = F.round(sum((F.log(f"_l{i}_{i}") for i in _P[1:]), F.log("_l0_0")), 9)
+    names = [c for c in params.columns if c != "_key"]
+    best = params.groupBy("_key").agg(F.min(F.struct(size.alias("_size"), *names)).alias("_best")).select("_key", *[f"_best.{c}" for c in names])
+    used.append(best := stored(best, "quality-best"))
+    bins = _binned(rows, best).groupBy("_key", "_bin").agg(F.count(F.lit(1)).alias("_n"))
+    used.append(bins := stored(bins, "quality-bins"))
     scale = F.lit(CHI2_MEDIAN) / F.greatest(F.expm1((F.col("_middle") + 1) / F.lit(float(BINS))), F.lit(CHI2_MEDIAN / 4))
-    middle = middle.select("_group", scale.alias("_scale"))
-    return stored(named.join(params, "_group").join(middle, "_group"), "quality-fitted")
+    middle = _at_share(bins, ["_key"], "_bin", 0.5, "_middle", COARSE).join(bins.groupBy("_key").agg(F.sum("_n").alias("_n")), "_key")
+    raw = stored(best.join(middle, "_key").select("_key", "_n", *_MEANS, *_SCATTER, scale.alias("_scale")), "quality-raw")
+    used.append(raw)
+    above = stats.select(_own().alias("_key"), _language().alias("_above")).distinct()
+    languages = above.select(F.col("_above").alias("_key"), F.lit(ALL).alias("_above")).distinct()
+    languages = _blended(raw.join(languages, "_key"), raw.filter(F.col("_key") == ALL))
+    out = stored(_factored(_blended(raw.join(above, "_key"), languages)), "quality-fitted")
+    discard(*used)
+    return out
 
 
 def verdicts(rows: DataFrame, fit: DataFrame) -> DataFrame:
-    """``rows`` (lang, source, statistics, base_failed) with ``kept``; rows of groups without an estimate pass the method."""
-    same = F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
-    out = _distance(rows.join(fit, same, "left"))
+    """``rows`` (lang, source, statistics, base_failed) with ``kept``; without any row that passes the limits there is no estimate, and nothing is kept anyway."""
+    out = _distance(rows.withColumn("_key", _own()).join(fit, "_key", "left"))
     kept = ~F.col("base_failed") & F.coalesce(F.col("_d2") * F.col("_scale") <= CUTOFF, F.lit(True))
     return out.withColumn("kept", kept)
 
@@ -187,9 +225,10 @@ def verdicts(rows: DataFrame, fit: DataFrame) -> DataFrame:
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """One row per document: the counts, ``base_failed``, ``kept`` and the scaled squared distance.
 
-    Nulls: a null text has no words and fails; null languages and sources form groups of their own. Repeated rows are
-    judged each. Equal distances share a bin, so ties are in the core together. An empty table gives no rows. Other
-    columns are not read, so their names cannot clash.
+    Nulls: a null text has no words and fails; null languages and sources form groups of their own. A group of one document
+    is judged by its language's estimate, nearly. Repeated rows are judged each. Equal distances share a bin, so ties are in
+    the core together; of equal determinants the first start counts. An empty table gives no rows. Other columns are not
+    read, so their names cannot clash.
     """
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.col(text_col).alias("_text"))
     stats = stored(with_statistics(own, F.col("_text")).drop("_text").withColumns(transformed()), "quality-stats")

@@ -104,42 +104,83 @@ def base_counts(text):
 
 
 def plain_mcd(x):
-    """The same estimate in numpy, one group."""
+    """(location, scatter, scale) of one group, in numpy: of three starts the one that ends with the smallest determinant."""
     floor = np.array(quality.FLOOR)
     lower = lambda v, q: np.sort(v, axis=0)[int(np.ceil(q * len(v))) - 1]
+    far = lambda m, c: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+    bins = lambda m, c: np.floor(np.log1p(far(m, c)) * quality.BINS)
+    moments = lambda v: (v.mean(0), np.cov(v.T, bias=True).reshape(5, 5) + np.diag(floor**2))
     middle = lower(x, 0.5)
-    cov = np.diag(np.maximum(1.4826 * lower(np.abs(x - middle), 0.5), floor) ** 2)
-    bins = lambda m, c: np.floor(np.log1p(np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)) * quality.BINS)
-    for _ in range(quality.STEPS):
-        d = bins(middle, cov)
-        core = x[d <= np.sort(d)[int(np.ceil(quality.CORE * len(d))) - 1]]
-        middle, cov = core.mean(0), np.cov(core.T, bias=True) + np.diag(floor**2)
-    d2 = np.einsum("ij,jk,ik->i", x - middle, np.linalg.inv(cov), x - middle)
-    half = np.expm1((np.sort(bins(middle, cov))[int(np.ceil(0.5 * len(x))) - 1] + 1) / quality.BINS)
-    return d2 * quality.CHI2_MEDIAN / max(half, quality.CHI2_MEDIAN / 4)
-
-
-def test_quality_against_numpy(spark, docs):
+    ends = []
+    for m, c in ((middle, np.diag(np.maximum(1.4826 * lower(np.abs(x - middle), 0.5), floor) ** 2)), moments(x), (middle, np.eye(5))):
+        for _ in range(quality.STEPS):
+            d = bins(m, c)
+            m, c = moments(x[d <= lower(d, quality.CORE)])
+        ends.append((m, c))
+    m, c = min(ends, key=lambda e: round(np.linalg.slogdet(e[1])[1] / 2, 9))
+    half = np.expm1((lower(bins(m, c), 0.5) + 1) / quality.BINS)
+    return m, c, quality.CHI2_MEDIAN / max(half, quality.CHI2_MEDIAN / 4)
+
+
+def blended(own, n, above):
+    w = n / (n + quality.PRIOR)
+    apart = own[0] - above[0]
+    return w * own[0] + (1 - w) * above[0], w * own[1] + (1 - w) * above[1] + w * (1 - w) * np.outer(apart, apart), own[2] ** w * above[2] ** (1 - w)
+
+
+def plain_distances(groups):
+    """group -> row -> statistics; the distances by each group's estimate, its language's and the table's."""
+    everything = plain_mcd(np.array([v for g in groups.values() for v in g.values()]))
+    by_lang = {}
+    for (lang, _), g in groups.items():
+        by_lang.setdefault(lang, []).extend(g.values())
+    langs = {k: blended(plain_mcd(np.array(v)), len(v), everything) for k, v in by_lang.items()}
+    out = {}
+    for (lang, _), g in groups.items():
+        x = np.array(list(g.values()))
+        m, c, scale = blended(plain_mcd(x), len(x), langs[lang])
+        out |= dict(zip(g, np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m) * scale, strict=True))
+    return out
+
+
+def statistics_of(text):
+    n = base_counts(text)
+    lines = sum(bool(words(v)) for v in text.split("\n"))
+    raw = np.log1p(n[0]), np.log(n[1] / n[0]), np.sqrt(n[2] / n[1]), np.log((n[0] + 1) / (n[0] - n[4] + 1)), np.log((lines + 1) / (lines - n[3] + 1))
+    return [round(v * 1024) / 1024 for v in raw]
+
+
+@pytest.mark.parametrize("regroup", [False, True])
+def test_quality_against_numpy(spark, docs, regroup):
+    """Counts and distances, in the many small groups that the table has and in a few of very different size, one with null names."""
     from pyspark.sql import functions as F
 
-    one = docs.withColumn("lang", F.lit("x")).withColumn("source", F.lit("y"))
-    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
-    got = {r.doc_id: r for r in quality.quality(one).collect()}
-    for i, t in texts.items():
-        r = got[i]
-        n = base_counts(t)
+    if regroup:
+        docs = docs.withColumns({"lang": F.when(F.col("doc_id") % 10 != 3, "x"), "source": F.when(F.col("doc_id") % 100 == 7, "rare").when(F.col("doc_id") % 3 == 0, F.col("lang"))})
+    rows = {r.doc_id: r for r in docs.collect()}
+    got = {r.doc_id: r for r in quality.quality(docs).collect()}
+    groups = {}
+    for i, row in rows.items():
+        r, n = got[i], base_counts(row.text)
         assert n == (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words)
         assert r.base_failed == (n[0] < 50 or 100 * n[4] > 50 * n[0])
-    ids = [i for i in texts if not got[i].base_failed]
-    grid = lambda v: round(v * 1024) / 1024
-    x = []
-    for i in ids:
-        n = base_counts(texts[i])
-        lines = sum(bool(words(v)) for v in texts[i].split("\n"))
-        x.append([grid(v) for v in (np.log1p(n[0]), np.log(n[1] / n[0]), np.sqrt(n[2] / n[1]), np.sqrt(n[4] / n[0]), np.sqrt(n[3] / lines))])
-    want = plain_mcd(np.array(x))
-    assert np.allclose([got[i].distance for i in ids], want, rtol=1e-3)
-    assert all(got[i].kept == (d <= quality.CUTOFF) for i, d in zip(ids, want, strict=True) if abs(d - quality.CUTOFF) > 0.1)
+        if not r.base_failed:
+            groups.setdefault((row.lang, row.source), {})[i] = statistics_of(row.text)
+    assert len(groups) > 70 or regroup and min(map(len, groups.values())) < 15 and max(map(len, groups.values())) > 300
+    want = plain_distances(groups)
+    assert all(np.isclose(got[i].distance, d, rtol=1e-3, atol=1e-3) for i, d in want.items())
+    assert all(got[i].kept == (d <= quality.CUTOFF) for i, d in want.items() if abs(d - quality.CUTOFF) > 0.1)
+
+
+def test_the_smallest_determinant_counts(spark):
+    """A dense cluster of four fifths far from the rest: starts that the rest pulls away still end there."""
+    r, vocab = random.Random(3), [f"w{i:04}" for i in range(3000)]
+    line = lambda n: " ".join(r.choice(vocab) for _ in range(n))
+    texts = {i: "\n".join(line(10) for _ in range(r.randint(10, 14))) for i in range(400)}
+    texts |= {1000 + i: "\n".join(line(10) + " ### $$$" for _ in range(r.randint(200, 300))) for i in range(100)}
+    rows = spark.createDataFrame([(i, t, "en", "s") for i, t in texts.items()], "doc_id long, text string, lang string, source string")
+    got = {x.doc_id: x.kept for x in quality.quality(rows).collect()}
+    assert all(got[i] == (i < 1000) for i in texts)
 
 
 def test_quality_keeps_good_documents(spark, docs):
