@@ -13,21 +13,42 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 
 _OWN: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+#: Paths that a context's operators have written and nobody has deleted.
+_KEPT: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary folder serves a local master, whose executor threads see it; on a cluster each machine
+    would write to its own disk and results would be incomplete, so that is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
     sc = spark.sparkContext
+    if not sc.master.split("[")[0] == "local":
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that the driver and all executors of {sc.master} share")
     if sc not in _OWN:
         _OWN[sc] = "file://" + tempfile.mkdtemp(prefix="sextant-shared-")
     return _OWN[sc]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/sextant/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/sextant/{name}-{uuid.uuid4().hex}"
+    _KEPT.setdefault(spark.sparkContext, set()).add(path)
+    return path
+
+
+def kept_paths(spark: SparkSession) -> set[str]:
+    """What operators have stored and not deleted; results that are read lazily still need some of it."""
+    return set(_KEPT.get(spark.sparkContext, ()))
+
+
+def sweep(spark: SparkSession, paths: set[str]) -> None:
+    """Deletes stored tables (of ``kept_paths``) once nothing reads them any more."""
+    for path in paths:
+        remove(spark, path)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -50,6 +71,7 @@ def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _KEPT.get(spark.sparkContext, set()).discard(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -50,6 +50,24 @@ def test_matches_sql(spark, name):
     assert rows(mine) == rows(theirs)
 
 
+def test_shared_folder_and_its_tables(spark, monkeypatch):
+    from sextant.llm import common
+
+    class Elsewhere:
+        master = "spark://host:7077"
+
+    class Session:
+        sparkContext, conf = Elsewhere(), {}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session())
+    before = common.kept_paths(spark)
+    one = common.stored(spark.range(3), "x")
+    assert common.kept_paths(spark) - before == {one.stored_at} and one.count() == 3
+    common.sweep(spark, common.kept_paths(spark) - before)
+    assert common.kept_paths(spark) == before and not os.path.exists(one.stored_at.removeprefix("file://"))
+
+
 # --- 1 ---
 
 
@@ -770,3 +788,23 @@ def test_pipeline(spark, docs):
     for i, n in zip(out.column("doc_id").to_pylist(), out.column("length").to_pylist(), strict=True):
         size[i] += n
     assert dict(size) == {i: len(encode(t)) // 4 + 1 for i, t in text.items()}
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, odd, tmp_path):
+    """Nulls, empty and long texts, ties, repeated ids, clashing names; then no rows at all."""
+    from pyspark.sql import functions as F
+
+    r, vocab = random.Random(5), [f"w{i:04}" for i in range(4000)]
+    text = lambda n: "\n".join(" ".join(r.choice(vocab) for _ in range(9)) for _ in range(n))
+    copies, long = text(12), text(1500)
+    more = [(20, copies), (21, copies), (21, copies), (None, text(11)), (22, long), *((30 + i, text((9, 30, 100, 300)[i % 4])) for i in range(20))]
+    rows = odd.union(spark.createDataFrame([(i, t, None if i and i % 2 else "en", "s", 0, "a", "b", 1) for i, t in more], odd.schema))
+    labels = spark.createDataFrame([(30, 1, 0), (31, None, None), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    for name, table in (("full", rows), ("none", rows.limit(0))):
+        table.write.parquet(str(tmp_path / name / "documents.parquet"))
+        (labels if name == "full" else labels.limit(0)).write.parquet(str(tmp_path / name / "labels.parquet"))
+    kept = corpus_pipeline.run(spark, str(tmp_path / "full")).groupBy("doc_id").agg(F.sum("length").alias("n"), F.count_distinct("sequence_id").alias("s")).collect()
+    # among so few texts of up to 2,700 words the quality rules may take one of 13,500 for an outlier
+    assert {r.doc_id for r in kept} - {22} == {None, 20, *range(30, 50)}
+    assert max(r.s for r in kept) > 3
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
