@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sextant.llm import minhash, packing, pii, quality, toxicity
-from sextant.llm.common import stored, table
+from sextant.llm.common import kept_paths, stored, sweep, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage over all documents; each stage's result is stored and what it was made from is deleted.
+
+    Nulls: a document with a null text fails the quality rules; null languages and sources are groups of their own, and rows
+    without an id pass near-duplicates. Repeated rows are copies of each other, one id each, so the smallest id stays, with all
+    rows of that id. Empty tables give no rows; texts of any length are read whole; extra columns pass through the stages
+    untouched, whatever their names.
+    """
+    docs, before = table(spark, sf_dir, "documents"), kept_paths(spark)
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        sweep(spark, kept_paths(spark) - before - {docs.stored_at})
     return STAGES[-1][1](spark, docs, sf_dir)
