@@ -112,13 +112,20 @@ _MEANS = [f"_m{i}" for i in _P]
 _SCATTER = [f"_c{i}_{j}" for i in _P for j in range(i + 1)]
 
 
-def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean and covariance of each key's rows."""
-    sums = [F.count(F.lit(1)).alias("_n"), *[F.sum(s).alias(f"_s{i}") for i, s in enumerate(STATS)]]
-    sums += [F.sum(F.col(STATS[i]) * F.col(STATS[j])).alias(f"_q{i}_{j}") for i in _P for j in range(i + 1)]
-    mean = [F.col(f"_s{i}") / F.col("_n") for i in _P]
-    cov = [F.col(f"_q{i}_{j}") / F.col("_n") - mean[i] * mean[j] + (FLOOR[i] ** 2 if i == j else 0) for i in _P for j in range(i + 1)]
-    return rows.groupBy(*keys).agg(*sums).select(*keys, *[F.round(c, 9).alias(n) for c, n in zip([*mean, *cov], [*_MEANS, *_SCATTER], strict=True)])
+_SUMS = [f"_s{i}" for i in _P] + [f"_q{i}_{j}" for i in _P for j in range(i + 1)]
+
+
+def _summed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Count, sums and sums of products of each key's rows."""
+    sums = [*STATS, *[f"{STATS[i]} * {STATS[j]}" for i in _P for j in range(i + 1)]]
+    return rows.groupBy(*keys).agg(F.expr("count(1) AS _n"), *[F.expr(f"sum({x}) AS {n}") for n, x in zip(_SUMS, sums, strict=True)])
+
+
+def _moments(sums: DataFrame, keys: list[str]) -> DataFrame:
+    """Mean and covariance from ``_summed`` columns, one row a key."""
+    mean = [f"round(_s{i} / _n, 9) AS _m{i}" for i in _P]
+    floor = lambda i, j: f" + {FLOOR[i] ** 2!r}D" if i == j else ""
+    return sums.selectExpr(*keys, *mean, *[f"round(_q{i}_{j} / _n - (_s{i} / _n) * (_s{j} / _n){floor(i, j)}, 9) AS _c{i}_{j}" for i in _P for j in range(i + 1)])
 
 
 def _starts(rows: DataFrame, counts: DataFrame) -> DataFrame:
@@ -126,38 +133,34 @@ def _starts(rows: DataFrame, counts: DataFrame) -> DataFrame:
     middle = _at_share(counts, ["_key", "_k"], "_v", 0.5, "_m", COARSE / GRID)
     off = counts.join(middle, ["_key", "_k"]).withColumn("_d", F.abs(F.col("_v") - F.col("_m"))).groupBy("_key", "_k", "_m", "_d").agg(F.sum("_n").alias("_n"))
     spread = _at_share(off, ["_key", "_k", "_m"], "_d", 0.5, "_s", COARSE / GRID)
-    pick = lambda k, c: F.max(F.when(F.col("_k") == k, F.col(c)))
-    wide = spread.groupBy("_key").agg(*[pick(k, "_m").alias(f"_m{k}") for k in _P], *[F.pow(F.greatest(1.4826 * pick(k, "_s"), F.lit(FLOOR[k])), F.lit(2)).alias(f"_v{k}") for k in _P])
-    scatter = lambda of: [(of(i) if i == j else F.lit(0.0)).alias(f"_c{i}_{j}") for i in _P for j in range(i + 1)]
-    first = wide.select("_key", F.lit(0).alias("_start"), *_MEANS, *scatter(lambda i: F.col(f"_v{i}")))
-    second = _moments(rows, ["_key"]).select("_key", F.lit(1).alias("_start"), *_MEANS, *_SCATTER)
-    third = wide.select("_key", F.lit(2).alias("_start"), *_MEANS, *scatter(lambda i: F.lit(1.0)))
+    wide = spread.groupBy("_key").agg(*[F.expr(x) for k in _P for x in (f"max(CASE WHEN _k = {k} THEN _m END) AS _m{k}", f"pow(greatest(1.4826D * max(CASE WHEN _k = {k} THEN _s END), {FLOOR[k]}D), 2) AS _v{k}")])
+    scatter = lambda of: [f"{of(i) if i == j else '0D'} AS _c{i}_{j}" for i in _P for j in range(i + 1)]
+    first = wide.selectExpr("_key", "0 AS _start", *_MEANS, *scatter(lambda i: f"_v{i}"))
+    second = _moments(_summed(rows, ["_key"]), ["_key"]).select("_key", F.lit(1).alias("_start"), *_MEANS, *_SCATTER)
+    third = wide.selectExpr("_key", "2 AS _start", *_MEANS, *scatter(lambda i: "1D"))
     return first.union(second).union(third)
 
 
 def _factored(params: DataFrame) -> DataFrame:
-    """Adds the Cholesky factor of each group's scatter as columns ``_l{i}_{j}``."""
-    for i in range(len(STATS)):
-        for j in range(i + 1):
-            rest = F.col(f"_c{i}_{j}")
-            for k in range(j):
-                rest = rest - F.col(f"_l{i}_{k}") * F.col(f"_l{j}_{k}")
-            value = F.sqrt(F.greatest(rest, F.lit(1e-6))) if i == j else rest / F.col(f"_l{j}_{j}")
-            params = params.withColumn(f"_l{i}_{j}", value)
-    return params
+    """Adds the inverse of the Cholesky factor of each group's scatter as columns ``_w{i}_{j}``, and ``_size``, half the
+    logarithm of the determinant."""
+    out = params
+    for j in _P:
+        rest = [" - ".join([f"_c{i}_{j}", *[f"_l{i}_{k} * _l{j}_{k}" for k in range(j)]]) for i in _P]
+        out = out.selectExpr("*", f"sqrt(greatest({rest[j]}, 1e-6D)) AS _l{j}_{j}")
+        if j < _P[-1]:
+            out = out.selectExpr("*", *[f"({rest[i]}) / _l{j}_{j} AS _l{i}_{j}" for i in _P[j + 1 :]])
+    for i in _P:
+        row = ["-(" + " + ".join(f"_l{i}_{k} * _w{k}_{j}" for k in range(j, i)) + f") / _l{i}_{i} AS _w{i}_{j}" for j in range(i)]
+        out = out.selectExpr("*", *row, f"1 / _l{i}_{i} AS _w{i}_{i}")
+    size = " + ".join(f"ln(_l{i}_{i})" for i in _P)
+    return out.selectExpr(*params.columns, *[f"_w{i}_{j}" for i in _P for j in range(i + 1)], f"round({size}, 9) AS _size")
 
 
 def _distance(rows: DataFrame) -> DataFrame:
-    """Adds ``_d2``, by forward substitution through the group's factor."""
-    z = []
-    for i, s in enumerate(STATS):
-        rest = F.col(s) - F.col(f"_m{i}")
-        for k in range(i):
-            rest = rest - F.col(f"_l{i}_{k}") * F.col(f"_z{k}")
-        rows = rows.withColumn(f"_z{i}", rest / F.col(f"_l{i}_{i}"))
-        z.append(f"_z{i}")
-    total = sum((F.col(c) * F.col(c) for c in z[1:]), F.col(z[0]) * F.col(z[0]))
-    return rows.withColumn("_d2", total).drop(*z)
+    """Adds ``_d2``, the squared length of the deviation in units of the group's factor."""
+    z = ["(" + " + ".join(f"_w{i}_{j} * ({STATS[j]} - _m{j})" for j in range(i + 1)) + ")" for i in _P]
+    return rows.selectExpr("*", " + ".join(f"{x} * {x}" for x in z) + " AS _d2")
 
 
 def _binned(rows: DataFrame, params: DataFrame) -> DataFrame:
@@ -165,27 +168,30 @@ def _binned(rows: DataFrame, params: DataFrame) -> DataFrame:
     return _distance(rows.join(params, "_key")).select(*keep, F.floor(F.log1p("_d2") * BINS).cast("int").alias("_bin"))
 
 
-def _concentrated(rows: DataFrame, params: DataFrame) -> DataFrame:
-    """One concentration step: mean and covariance of each key's ``CORE`` share with the smallest distances, for each start."""
-    near, keys = _binned(rows, params), ["_key", "_start"]
-    edge = _at_share(near.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_n")), keys, "_bin", CORE, "_edge", COARSE)
-    return _moments(near.join(edge, keys).filter(F.col("_bin") <= F.col("_edge")), keys)
+def _concentrated(rows: DataFrame, params: DataFrame, used: list[DataFrame]) -> DataFrame:
+    """One concentration step: mean and covariance of each key's ``CORE`` share with the smallest distances, for each start.
+
+    Rows are read once: their sums by bin of distance tell both where the core ends and what it sums to.
+    """
+    keys = ["_key", "_start"]
+    bins = stored(_summed(_binned(rows, params), [*keys, "_bin"]), "quality-bins")
+    used.append(bins)
+    edge = _at_share(bins, keys, "_bin", CORE, "_edge", COARSE)
+    core = bins.join(edge, keys).filter(F.col("_bin") <= F.col("_edge")).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ["_n", *_SUMS]])
+    return _moments(core, keys)
 
 
 def _blended(own: DataFrame, above: DataFrame) -> DataFrame:
     """``own`` (_above, _n, location, scatter, _scale) as if ``PRIOR`` documents with the estimate ``above`` it were among its rows."""
     cols = [*_MEANS, *_SCATTER, "_scale"]
-    both = own.join(above.select(F.col("_key").alias("_above"), *[F.col(c).alias(f"_a{c}") for c in cols]), "_above")
-    w = F.col("_n") / (F.col("_n") + PRIOR)
-    mix = lambda c: w * F.col(c) + (1 - w) * F.col(f"_a{c}")
-    apart = lambda i: F.col(f"_m{i}") - F.col(f"_a_m{i}")
-    scatter = [(mix(f"_c{i}_{j}") + w * (1 - w) * apart(i) * apart(j)).alias(f"_c{i}_{j}") for i in _P for j in range(i + 1)]
-    scale = F.exp(w * F.log("_scale") + (1 - w) * F.log("_a_scale")).alias("_scale")
-    return both.select("_key", *[mix(c).alias(c) for c in _MEANS], *scatter, scale)
+    both = own.join(above.selectExpr("_key AS _above", *[f"{c} AS _a{c}" for c in cols]), "_above").selectExpr("*", f"_n / (_n + {PRIOR}) AS _w")
+    mix = lambda c: f"_w * {c} + (1 - _w) * _a{c}"
+    scatter = [f"{mix(f'_c{i}_{j}')} + _w * (1 - _w) * (_m{i} - _a_m{i}) * (_m{j} - _a_m{j}) AS _c{i}_{j}" for i in _P for j in range(i + 1)]
+    return both.selectExpr("_key", *[f"{mix(c)} AS {c}" for c in _MEANS], *scatter, "exp(_w * ln(_scale) + (1 - _w) * ln(_a_scale)) AS _scale")
 
 
 def fitted(stats: DataFrame) -> DataFrame:
-    """(_key, location, factor, ``_scale``) for every (lang, source) of ``stats``.
+    """(_key, location, inverse factor, ``_scale``) for every (lang, source) of ``stats``.
 
     ``stats`` needs lang, source and the five statistics of the documents that pass the fixed limits. The result is as small as
     the number of groups; it is stored.
@@ -196,10 +202,9 @@ def fitted(stats: DataFrame) -> DataFrame:
     counts = stored(long.groupBy("_key", "_k", "_v").agg(F.sum("_n").alias("_n")), "quality-counts")
     used = [counts, params := stored(_factored(_starts(rows, counts)), "quality-start")]
     for _ in range(STEPS):
-        used.append(params := stored(_factored(_concentrated(rows, params)), "quality-step"))
-    size = F.round(sum((F.log(f"_l{i}_{i}") for i in _P[1:]), F.log("_l0_0")), 9)
-    names = [c for c in params.columns if c != "_key"]
-    best = params.groupBy("_key").agg(F.min(F.struct(size.alias("_size"), *names)).alias("_best")).select("_key", *[f"_best.{c}" for c in names])
+        used.append(params := stored(_factored(_concentrated(rows, params, used)), "quality-step"))
+    names = [c for c in params.columns if c not in ("_key", "_size")]
+    best = params.groupBy("_key").agg(F.min(F.struct("_size", *names)).alias("_best")).select("_key", *[f"_best.{c}" for c in names])
     used.append(best := stored(best, "quality-best"))
     bins = _binned(rows, best).groupBy("_key", "_bin").agg(F.count(F.lit(1)).alias("_n"))
     used.append(bins := stored(bins, "quality-bins"))
