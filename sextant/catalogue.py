@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from .functions import text as T
 from .functions.ontology import GROUPS
 from .operators import graph as G
-from .operators import ingest, records
+from .operators import fetch, ingest, offline, questions, records
 from .operators import retrieval as R
 from .plans.graph import GRAPH_SQL, graph
 from .session import settled, table
@@ -105,9 +105,9 @@ def url_domain(spark, sf):
 
 
 @query(r"""
-WITH k AS (SELECT doc_id, lower(x) AS k FROM (SELECT doc_id, unnest(list_transform(regexp_split_to_array(text, '[\n:;*,]'), lambda y: trim(y))) AS x FROM documents)),
-t AS (SELECT DISTINCT doc_id, lower(y) AS t FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS y FROM documents))
-SELECT doc_id, k AS keyword, count(*) AS n FROM k SEMI JOIN t ON k.doc_id = t.doc_id AND k.k = t.t WHERE k NOT IN ('', 'people', 'person') GROUP BY 1, 2""")
+WITH k AS (SELECT doc_id, x AS k FROM (SELECT doc_id, unnest(list_transform(regexp_split_to_array(text, '[\n:;*,]'), lambda y: trim(y))) AS x FROM documents)),
+t AS (SELECT DISTINCT doc_id, lower(y) AS t FROM (SELECT doc_id, unnest(string_split(replace(text, '.', ''), ' ')) AS y FROM documents))
+SELECT doc_id, k AS keyword, count(*) AS n FROM k SEMI JOIN t ON k.doc_id = t.doc_id AND lower(k.k) = t.t WHERE lower(k) NOT IN ('', 'people', 'person') GROUP BY 1, 2""")
 def keyword_filter(spark, sf):
     return records.kept_keywords(table(spark, sf, "documents")).groupBy("doc_id", "keyword").agg(F.count(F.lit(1)).alias("n"))
 
@@ -150,7 +150,7 @@ def resume_pending(spark, sf):
 
 @query("""
 WITH done AS (SELECT coalesce(max(doc_id // 500), -1) AS last FROM labels)
-SELECT d.doc_id, (last + 1 + d.doc_id // 500)::BIGINT AS batch FROM documents d, done WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)""")
+SELECT d.doc_id, (last + 1 + (row_number() OVER (ORDER BY d.doc_id) - 1) // 500)::BIGINT AS batch FROM documents d, done WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)""")
 def resume_next_batch(spark, sf):
     return ingest.next_batches(table(spark, sf, "documents"), table(spark, sf, "labels"), "doc_id", 500)
 
@@ -183,7 +183,9 @@ SELECT * FROM (VALUES
  ('Q2', '塔', NULL, NULL, NULL, NULL, 'https://ja.wikipedia.org/wiki/Tokyo_Tower'),
  ('Q3', 'an old bridge', NULL, 'Q64', NULL, NULL, NULL),
  ('Q4', 'Some Place', NULL, NULL, NULL, NULL, 'https://commons.wikipedia.org/wiki/Some_Place'),
- ('Q5', '', 'Q30', NULL, 1.0::DOUBLE, 2.0::DOUBLE, NULL)) AS t(qid, label, country, location, lat, lon, website)""")
+ ('Q5', '', 'Q30', NULL, 1.0::DOUBLE, 2.0::DOUBLE, NULL),
+ ('Q8', 'Brücke', NULL, NULL, NULL, NULL, 'https://de.wikipedia.org/wiki/Die_Brücke'),
+ ('Q9', 'पुल', NULL, NULL, NULL, NULL, 'https://hi.wikipedia.org/wiki/पुल')) AS t(qid, label, country, location, lat, lon, website)""")
 def entity_json_fields(spark, sf):
     return records.entity_fields(records.sample_entities(spark)).select("qid", "label", F.try_element_at("countries", F.lit(1)).alias("country"), F.try_element_at("locations", F.lit(1)).alias("location"), "lat", "lon", "website")
 
@@ -236,16 +238,16 @@ def rel_group_distribution(spark, sf):
     return n.orderBy(F.desc("n"), "rel_group").limit(30)
 
 
-_MAP = [(0, "1-urgent", "DATE_OF", 0.9), (1, "1-urgent", "ABOUT", 0.8), (2, "2-high", None, 0.4), (3, "city of", "PART_OF", 0.7), (4, "never seen", "NEAR", 0.6)]
+_MAP = [(0, "1-urgent", "DATE_OF", 0.9, "URGENT", "urgent"), (1, "1-urgent", "ABOUT", 0.8, "LATE", "late"), (2, "2-high", None, 0.4, None, "high"), (3, "city of", "PART_OF", 0.7, "CITY_OF", "city of"), (4, "never seen", "NEAR", 0.6, "X", "x")]
 
 
 @query(f"""
-WITH {GRAPH_SQL}, m AS (SELECT * FROM (VALUES (0, '1-urgent', 'DATE_OF', 0.9), (1, '1-urgent', 'ABOUT', 0.8), (2, '2-high', NULL, 0.4), (3, 'city of', 'PART_OF', 0.7), (4, 'never seen', 'NEAR', 0.6)) AS t(o, rel_type, g, s)),
+WITH {GRAPH_SQL}, m AS (SELECT * FROM (VALUES (0, '1-urgent', 'DATE_OF', 0.9, 'URGENT', 'urgent'), (1, '1-urgent', 'ABOUT', 0.8, 'LATE', 'late'), (2, '2-high', NULL, 0.4, NULL, 'high'), (3, 'city of', 'PART_OF', 0.7, 'CITY_OF', 'city of'), (4, 'never seen', 'NEAR', 0.6, 'X', 'x')) AS t(o, rel_type, g, s, en, norm)),
 f AS (SELECT *, row_number() OVER (PARTITION BY rel_type ORDER BY o) AS k FROM m)
-SELECT edge_id, src, dst, type, e.rel_type, CASE WHEN f.o IS NOT NULL AND type = 'REL' THEN f.g ELSE rel_group END AS rel_group, CASE WHEN type = 'REL' THEN f.s::DOUBLE END AS rel_score
+SELECT edge_id, src, dst, type, e.rel_type, CASE WHEN f.o IS NOT NULL AND type = 'REL' THEN f.en ELSE rel_type_en END AS rel_type_en, CASE WHEN type = 'REL' THEN f.norm END AS rel_type_norm, CASE WHEN f.o IS NOT NULL AND type = 'REL' THEN f.g ELSE rel_group END AS rel_group, CASE WHEN type = 'REL' THEN f.s::DOUBLE END AS rel_score
 FROM edges e LEFT JOIN f ON f.rel_type = e.rel_type AND k = 1""")
 def edge_group_update(spark, sf):
-    mapping = spark.createDataFrame(_MAP, "ordinal int, rel_type string, rel_group string, rel_score double")
+    mapping = spark.createDataFrame(_MAP, "ordinal int, rel_type string, rel_group string, rel_score double, rel_type_en string, rel_type_norm string")
     return G.regrouped(graph(spark, sf).edges, mapping)
 
 
@@ -486,13 +488,168 @@ def evidence_block(spark, sf):
 
 
 @query(f"""
-WITH {GRAPH_SQL}, {_DOCS}, {_GEO}, {_RERANK}, tools AS (SELECT unnest(['flights', 'food', 'hotels', 'news', 'weather']) AS tool)
-SELECT rank AS candidate, coalesce(label, 'Unknown') AS name, max(CASE WHEN tool = 'flights' THEN tool||' '||label END) AS flights, max(CASE WHEN tool = 'food' THEN tool||' '||label END) AS food,
-  max(CASE WHEN tool = 'hotels' THEN tool||' '||label END) AS hotels, max(CASE WHEN tool = 'news' THEN tool||' '||label END) AS news, max(CASE WHEN tool = 'weather' THEN tool||' '||label END) AS weather
-FROM cand, tools WHERE rank <= 3 GROUP BY 1, 2""")
+WITH {GRAPH_SQL}, {_DOCS}, {_GEO}, {_RERANK}, c AS (SELECT rank AS candidate, coalesce(label, 'Unknown') AS name, qid AS description FROM cand WHERE rank <= 3),
+asked AS (SELECT candidate, name, name||' '||description AS x FROM c)
+SELECT candidate, name, 'No recent info found for: history and historical importance of '||x AS history, 'No recent info found for: how to travel to '||x||' public transport parking' AS logistics,
+  'No recent info found for: local etiquette, safety tips, and current trends '||x AS culture, 'No recent info found for: best hotels and hostels near '||x AS accommodation,
+  'No recent info found for: best local food and restaurants near '||x AS food FROM asked""")
 def candidate_tool_fanout(spark, sf):
-    top = _candidates(spark, sf)[1].filter("rank <= 3").select(F.col("rank").alias("candidate"), F.coalesce("label", F.lit("Unknown")).alias("name"))
-    return records.fanned_out(top, lambda tool, name: F.concat_ws(" ", tool, name))
+    top = _candidates(spark, sf)[1].filter("rank <= 3").select(F.col("rank").alias("candidate"), F.coalesce("label", F.lit("Unknown")).alias("name"), F.col("qid").alias("description"))
+    return records.fanned_out(top)
+
+
+# --- sources behind transports (deterministic stand-ins) and questions ------------------------------------------------
+
+
+@query("SELECT 'Q'||c_custkey AS qid, CASE WHEN c_custkey % 5 = 0 THEN 'Ort Q'||c_custkey ELSE 'Place Q'||c_custkey END AS label FROM customer WHERE c_custkey % 7 <> 0")
+def fetch_entities(spark, sf):
+    ids = table(spark, sf, "customer").select(F.concat(F.lit("Q"), "c_custkey").alias("qid"))
+    return records.entity_fields(fetch.entities(ids, offline.entity_call)).select("qid", "label")
+
+
+@query("""
+WITH u AS (SELECT 'N'||c_nationkey AS id, c_nationkey AS n FROM customer UNION SELECT 'R'||n_regionkey, n_regionkey FROM customer JOIN nation ON n_nationkey = c_nationkey)
+SELECT id, 'Place '||id AS name FROM u WHERE n % 7 <> 0 AND n % 5 <> 0""")
+def referenced_labels(spark, sf):
+    rows = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    lists = rows.select(F.array(F.concat(F.lit("N"), "c_nationkey")).alias("countries"), F.array(F.concat(F.lit("R"), "n_regionkey")).alias("locations"))
+    return fetch.english_labels(fetch.referenced(lists, "countries", "locations"), offline.entity_call)
+
+
+@query("SELECT page_id, CASE WHEN length(string_split(url, '/wiki/')[-1]) % 3 > 0 THEN 'Summary of '||string_split(url, '/wiki/')[-1] END AS text FROM pages")
+def fetch_summaries(spark, sf):
+    return fetch.summaries(table(spark, sf, "pages").select("page_id", "url"), offline.summary, "url").select("page_id", "text")
+
+
+@query(r"""
+WITH p AS (SELECT conv_id::VARCHAR AS qid, turn, text, CASE WHEN turn % 3 < 2 THEN 'https://pages.example/'||conv_id||'/'||turn END AS url,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE turn % 4 <> 3 AND NOT contains(coalesce(text, ''), 'may refer to:') AND length(coalesce(text, '')) >= 50)
+SELECT qid, replace(replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10), ' '), '\', '') AS new_text, url AS new_url FROM p WHERE k = 1 AND url IS NOT NULL""")
+def first_valid_page(spark, sf):
+    c = table(spark, sf, "conversations")
+    url = F.when(F.col("turn") % 3 < 2, F.concat_ws("/", F.lit("https://pages.example"), F.col("conv_id").cast("string"), F.col("turn").cast("string")))
+    key = F.when(F.col("turn") % 4 == 3, "-1").otherwise(F.col("turn").cast("string"))
+    return fetch.first_valid_pages(c.select(F.col("conv_id").cast("string").alias("qid"), F.col("turn").alias("ordinal"), key.alias("page_key"), F.col("text").alias("extract"), url.alias("url")))
+
+
+@query("""
+WITH p AS (SELECT 'P'||page_id AS qid, url, length(url) AS n FROM pages WHERE coalesce(url, '') <> '' AND page_id % 5 <> 0),
+r AS (SELECT qid, url, CASE WHEN n % 11 = 0 THEN 'robots_disallow' WHEN n % 13 = 0 THEN 'fetch_error:down' WHEN n % 20 < 9 THEN 'too_short_or_empty' END AS reason FROM p)
+SELECT qid, url AS website, CASE WHEN reason IS NULL THEN 'ok' ELSE 'fail' END AS status, reason, CASE WHEN reason IS NULL THEN url||'#end' END AS final_url, CASE WHEN reason IS NULL THEN md5(url||'#end') END AS doc_id FROM r""")
+def crawl_resumable(spark, sf):
+    p = table(spark, sf, "pages")
+    rows = p.select(F.concat(F.lit("P"), "page_id").alias("qid"), F.concat(F.lit("page "), "page_id").alias("qidLabel"), F.col("url").alias("website"))
+    done = p.filter("page_id % 5 = 0").select(F.concat(F.lit("P"), "page_id").alias("qid"))
+    out = fetch.crawl_resumable(rows, done, offline.page, None, allowed=offline.allowed)
+    return out.select("qid", "website", "status", "reason", "final_url", "doc_id")
+
+
+@query(r"""
+WITH r AS (SELECT DISTINCT regexp_replace(raw, '^\s+|\s+$', '', 'g') AS rel_type FROM (SELECT o_orderpriority AS raw FROM orders UNION ALL SELECT event_type FROM events UNION ALL SELECT p_type FROM part) WHERE coalesce(raw, '') <> ''),
+n AS (SELECT rel_type, regexp_replace(upper(regexp_replace(regexp_replace(rel_type, '[-\s]+', '_', 'g'), '[^\p{L}\p{N}_]', '', 'g')), '^_+|_+$', '', 'g') AS name FROM r)
+SELECT rel_type, CASE WHEN rel_type = '1-URGENT' THEN 'AT_ONCE' WHEN length(rel_type) % 3 = 0 THEN name ELSE 'THE_'||name END AS rel_type_en FROM n""")
+def translate_predicates(spark, sf):
+    names = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("rel_type")).union(table(spark, sf, "events").select("event_type")).union(table(spark, sf, "part").select("p_type"))
+    cache = spark.createDataFrame([("1-URGENT", "AT_ONCE"), ("unused", "UNUSED")], "rel_type string, rel_type_en string")
+    return fetch.translated(names, cache, offline.translation)
+
+
+@query(r"""
+WITH d AS (SELECT md5(text) AS source, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents WHERE regexp_replace(text, '\s+', '', 'g') <> '')
+SELECT w[1] AS src, w[2] AS dst, 'NEXT' AS type FROM d WHERE len(w) > 1 UNION SELECT source, w[1], 'MENTIONS' FROM d UNION SELECT source, w[2], 'MENTIONS' FROM d WHERE len(w) > 1""")
+def graph_document_edges(spark, sf):
+    docs = fetch.extracted(table(spark, sf, "documents").select("doc_id", "text"), offline.first_words)
+    return G.graph_documents(docs)[1].select("src", "dst", "type")
+
+
+@query("""
+WITH d AS (SELECT 'D'||doc_id AS node_id, 'C'||(doc_id // 2) AS qid, source AS source_tag FROM documents),
+r AS (SELECT DISTINCT d.qid, d.source_tag, CASE WHEN c_nationkey % 5 <> 0 THEN n_name END AS country, CASE WHEN c_nationkey % 3 <> 0 THEN 'R'||n_regionkey END AS location,
+  CASE WHEN c_custkey % 4 <> 0 THEN (c_nationkey % 90)::DOUBLE END AS lat, (c_custkey % 180)::DOUBLE AS lon FROM d JOIN customer ON d.qid = 'C'||c_custkey JOIN nation ON n_nationkey = c_nationkey),
+x AS (SELECT node_id, r.* FROM d JOIN r USING (qid, source_tag))
+SELECT node_id AS src, 'LOCATED_IN_COUNTRY' AS type, country AS dst, 'Country' AS label FROM x WHERE country IS NOT NULL UNION SELECT node_id, 'LOCATED_IN', location, 'Location' FROM x WHERE location IS NOT NULL
+UNION SELECT node_id, 'HAS_GEOGRAPHIC_LOCATION', lat||','||lon, 'Coordinates' FROM x WHERE lat IS NOT NULL""")
+def metadata_attach(spark, sf):
+    d = table(spark, sf, "documents").select(F.concat(F.lit("D"), "doc_id").alias("node_id"), F.concat(F.lit("C"), F.expr("doc_id div 2")).alias("qid"), F.col("source").alias("source_tag"))
+    c = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).selectExpr(
+        "concat('C', c_custkey) AS qid", "CASE WHEN c_nationkey % 5 <> 0 THEN n_name END AS country", "CASE WHEN c_nationkey % 3 <> 0 THEN concat('R', n_regionkey) END AS location",
+        "CASE WHEN c_custkey % 4 <> 0 THEN CAST(c_nationkey % 90 AS DOUBLE) END AS lat", "CAST(c_custkey % 180 AS DOUBLE) AS lon")
+    return G.attached(d, d.select("qid", "source_tag").distinct().join(c, "qid"))
+
+
+@query("""
+SELECT doc_id, CASE WHEN doc_id % 4 <> 0 AND doc_id % 7 <> 0 THEN replace('a view, of '||source||' '||array_to_string(list_sort(list_distinct([source, lang, source])), ' '), ',', ' ') ELSE 'where is '||doc_id END
+  || CASE WHEN doc_id % 2 = 0 THEN ' '||lang ELSE '' END AS query FROM documents""")
+def retrieval_string(spark, sf):
+    caption = F.when(F.col("doc_id") % 4 != 0, F.concat(F.lit("a view, of "), "source"))
+    keywords = F.when(F.col("doc_id") % 7 != 0, F.array("source", "lang", "source")).otherwise(F.array().cast("array<string>"))
+    places = F.when(F.col("doc_id") % 2 == 0, F.array("lang"))
+    question = F.concat(F.lit("where is "), F.col("doc_id").cast("string"))
+    return table(spark, sf, "documents").select("doc_id", questions.retrieval_string(questions.cleaned_caption(caption), keywords, question, places).alias("query"))
+
+
+@query("SELECT c_custkey AS id, n_name AS location FROM customer JOIN nation ON n_nationkey = c_nationkey UNION ALL SELECT c_custkey, 'MIDDLE EAST' FROM customer WHERE EXISTS (SELECT 1 FROM region WHERE r_name = 'MIDDLE EAST') AND EXISTS (SELECT 1 FROM nation WHERE n_nationkey = c_nationkey)")
+def location_ner(spark, sf):
+    n = table(spark, sf, "nation")
+    texts = table(spark, sf, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("id"), F.concat(F.lit("From "), "n_name", F.lit(", by the MIDDLE EAST, to a city")).alias("text"))
+    names = n.select(F.col("n_name").alias("name")).union(table(spark, sf, "region").select("r_name")).union(spark.createDataFrame([("city",), ("Region",)], "name string"))
+    return questions.locations(texts, names)
+
+
+@query(f"WITH {_DOCS} SELECT rank::VARCHAR AS key, qidLabel AS name, substr(text, 1, 100) AS description, 'Score='||printf('%.4f', score) AS reasoning FROM vec WHERE rank <= 3")
+def top3_selection(spark, sf):
+    ranked = _ranked_docs(spark, sf).select("rank", F.col("qidLabel").alias("name"), F.substring("text", 1, 100).alias("description"), "score")
+    return questions.selection(ranked).select(F.explode("top3").alias("key", "c")).select("key", "c.*")
+
+
+@query(f"WITH {_DOCS} SELECT rank, '- '||qidLabel||' ('||qid||') Score='||printf('%.4f', score) AS line FROM vec WHERE rank <= 15 AND qid IS NOT NULL")
+def candidate_list(spark, sf):
+    return questions.candidate_lines(_ranked_docs(spark, sf).filter("rank <= 15 AND qid IS NOT NULL").withColumnRenamed("qidLabel", "label"))
+
+
+@query(f"""
+WITH {GRAPH_SQL}, m AS (SELECT DISTINCT rel_type, rel_group, CASE WHEN rel_group <> 'ABOUT' THEN length(rel_type) / 10.0::DOUBLE END AS rel_score FROM edges WHERE type = 'REL')
+SELECT *, row_number() OVER (ORDER BY rel_group ASC NULLS LAST, rel_score DESC NULLS LAST, rel_type)::INTEGER AS position FROM m""")
+def rel_sorted(spark, sf):
+    rows = graph(spark, sf).edges.filter("type = 'REL'").select("rel_type", "rel_group").distinct()
+    rows = rows.withColumn("rel_score", F.when(F.col("rel_group") != "ABOUT", F.length("rel_type") / F.lit(10.0)))
+    order = [F.col("rel_group").asc_nulls_last(), F.col("rel_score").desc_nulls_last(), F.col("rel_type").asc()]
+    return rows.withColumn("position", F.row_number().over(W.orderBy(*order))).orderBy("position")  # a row for each type of relation
+
+
+@query("""
+SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN doc_id::DOUBLE END AS lat, NULL::VARCHAR AS website, coalesce(lang, '') AS qid, 'unknown' AS source_id, doc_id::INTEGER AS number, lang AS nested FROM documents""")
+def metadata_struct(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 3 != 0, F.col("doc_id").cast("string")).otherwise("x").alias("lat"), F.col("lang").alias("qid"))
+    d = records.with_columns(d, {"lat": "double", "website": "string"})
+    doc = F.struct(F.struct(F.create_map(F.lit("qid"), F.col("qid")).alias("metadata")).alias("source"))
+    m = records.metadata(d, ["qid", "source_id"], {"source_id": "unknown"})
+    rows = d.select("doc_id", "lat", "website", m.alias("m"), T.number_in(F.concat(F.lit("graph_docs_batch_"), F.col("doc_id").cast("string"), F.lit(".pkl"))).alias("number"), records.nested_id(doc).alias("nested"))
+    return rows.select("doc_id", "lat", "website", "m.*", "number", "nested")
+
+
+@query("""
+WITH t AS (SELECT DISTINCT c_custkey AS node_id, unnest(list_filter(regexp_split_to_array(regexp_replace(lower(c_name), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '')) AS token FROM customer)
+SELECT node_id FROM t, (VALUES ('custmer'), ('000000003')) AS w(word) WHERE levenshtein(token, word) <= 2 GROUP BY 1 HAVING count(DISTINCT word) = 2""")
+def fulltext_search(spark, sf):
+    return questions.fuzzy_search(questions.fulltext_index(table(spark, sf, "customer"), "c_custkey", ["c_name"]), ["custmer", "000000003"])
+
+
+@query("SELECT * FROM (VALUES (0, 'Q1'), (1, 'Q2'), (2, 'Q3')) AS t(ordinal, qid)")
+def landmark_ids(spark, sf):
+    raw = '[["a", "wd:Q1"], ["b", "http://x/Q2"], ["c", " Q3 "], ["d", ""], ["e", "wd:Q1"], ["f"]]'
+    return records.identifiers(spark.createDataFrame([(raw,)], "value string"))
+
+
+@query("""
+SELECT conv_id, turn, CASE WHEN conv_id % 5 = 0 THEN 'Search timed out or was blocked for query: '||role WHEN conv_id % 7 = 0 THEN 'No recent info found for: '||role
+  ELSE '- '||role||': https://x.example/'||conv_id||chr(10)||'  '||text END AS answer FROM conversations WHERE text IS NOT NULL AND role IS NOT NULL""")
+def search_answers(spark, sf):
+    c = table(spark, sf, "conversations").filter("text IS NOT NULL AND role IS NOT NULL")
+    one = F.struct(F.col("role").alias("title"), F.concat(F.lit("https://x.example/"), F.col("conv_id").cast("string")).alias("href"), F.col("text").alias("body"))
+    none = F.filter(F.array(one), lambda x: F.lit(False))
+    results = F.when(F.col("conv_id") % 5 == 0, F.lit(None)).when(F.col("conv_id") % 7 == 0, none).otherwise(F.array(one))
+    return c.select("conv_id", "turn", records.found_text(results, F.col("role")).alias("answer"))
 
 
 # --- records ----------------------------------------------------------------------------------------------------------

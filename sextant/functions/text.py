@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Characters that end a fulltext term, languages preferred for labels (in this order).
 FULLTEXT_SPECIAL = r'[+\-!(){}\[\]^"~*?:\\/]'
-PREFERRED_LANGUAGES = ["en", "mul", "en-gb", "en-ca", "fr", "de", "es", "it", "pt", "nl", "ja", "zh", "ko", "ru", "ar"]
+PREFERRED_LANGUAGES = ["en", "en-gb", "en-ca", "de", "fr", "es", "it", "pt", "ru", "zh-hans", "zh-hant", "ja", "ko", "ar", "hi"]
 
 
 def strip(c: Column) -> Column:
@@ -70,6 +70,17 @@ def registered_domain(url: Column) -> Column:
     return F.substring_index(host(url), ".", -2)
 
 
+def number_in(name: Column, default: int | None = None) -> Column:
+    """The last run of digits of a name (``batch_12.parquet``) as a number."""
+    found = F.regexp_extract(name, r"(\d+)\D*$", 1).try_cast("int")
+    return found if default is None else F.coalesce(found, F.lit(default))
+
+
+def without_surrogates(text: str | None) -> str | None:
+    """For texts that come from Python: lone surrogates, which no UTF-8 string can hold, are left out."""
+    return text.encode("utf-8", "ignore").decode("utf-8") if isinstance(text, str) else text
+
+
 def chunks(docs: DataFrame, size: int, overlap: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Sliding windows of white-space tokens: (id, chunk_index, chunk, chunk_id); the last window stops at the end.
 

@@ -125,18 +125,28 @@ def facts(g: Graph, heads: DataFrame, per: int) -> DataFrame:
 # --- writes -----------------------------------------------------------------------------------------------------------
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """MERGE by key: new non-null values replace old ones, unmatched rows of both sides stay. New rows are one a key."""
+def one_a_key(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The greatest row of each key, column by column, so that it does not matter which comes first."""
+    values = [c for c in rows.columns if c not in keys]
+    if not values:
+        return rows.distinct()
+    return rows.groupBy(*keys).agg(F.max(F.struct(*values)).alias("_v")).select(*keys, "_v.*")
+
+
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], on_create: tuple[str, ...] = ()) -> DataFrame:
+    """MERGE by key: new non-null values replace old ones, unmatched rows of both sides stay. Of several new rows of a key the
+    greatest counts. Columns of ``on_create`` are set on rows that are made here only."""
     values = [c for c in old.columns if c not in keys]
-    fresh = new.dropDuplicates(keys).select(*keys, *[F.col(c).alias(f"_new_{c}") if c in new.columns else F.lit(None).alias(f"_new_{c}") for c in values])
-    both = old.join(fresh, keys, "full")
-    return both.select(*keys, *[F.coalesce(f"_new_{c}", c).alias(c) for c in values])
+    fresh = one_a_key(new, keys).select(*keys, *[F.col(c).alias(f"_new_{c}") if c in new.columns else F.lit(None).alias(f"_new_{c}") for c in values])
+    both = old.withColumn("_old", F.lit(True)).join(fresh, keys, "full")
+    made = lambda c: F.when(F.col("_old"), F.col(c)).otherwise(F.col(f"_new_{c}"))
+    return both.select(*keys, *[(made(c) if c in on_create else F.coalesce(f"_new_{c}", c)).alias(c) for c in values])
 
 
 def update(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Sets properties of matched rows only; unmatched new rows are ignored."""
     values = [c for c in new.columns if c not in keys]
-    fresh = new.dropDuplicates(keys).select(*keys, *[F.col(c).alias(f"_new_{c}") for c in values])
+    fresh = one_a_key(new, keys).select(*keys, *[F.col(c).alias(f"_new_{c}") for c in values])
     out = old.join(fresh, keys, "left")
     return out.select(*[F.coalesce(f"_new_{c}", c).alias(c) if c in values else F.col(c) for c in old.columns])
 
@@ -150,13 +160,26 @@ def detach_delete(g: Graph, doomed: DataFrame) -> Graph:
 
 
 def regrouped(edges: DataFrame, mapping: DataFrame) -> DataFrame:
-    """REL edges with the group and score of the first row of ``mapping`` (ordinal, rel_type, rel_group, rel_score) for their type; a matched null overwrites."""
+    """REL edges with group, score, English and normal name of the first row of ``mapping`` (ordinal, rel_type, rel_group,
+    rel_score, rel_type_en, rel_type_norm) for their type; a matched null overwrites. Names that the mapping lacks are null."""
+    mapping = mapping.withColumns({c: F.lit(None).cast("string") for c in ("rel_type_en", "rel_type_norm") if c not in mapping.columns})
     first = mapping.withColumn("_k", F.row_number().over(W.partitionBy("rel_type").orderBy("ordinal"))).filter("_k = 1")
-    first = first.select("rel_type", F.lit(True).alias("_hit"), F.col("rel_group").alias("_group"), F.col("rel_score").alias("_score"))
+    first = first.select("rel_type", F.lit(True).alias("_hit"), F.col("rel_group").alias("_group"), F.col("rel_score").alias("_score"), F.col("rel_type_en").alias("_en"), F.col("rel_type_norm").alias("_norm"))
     out = edges.join(first, "rel_type", "left")
     hit: Column = F.coalesce(F.col("_hit") & (F.col("type") == "REL"), F.lit(False))
     group = F.when(hit, F.col("_group")).otherwise(F.col("rel_group"))
-    return out.select("edge_id", "src", "dst", "type", "rel_type", group.alias("rel_group"), F.when(hit, F.col("_score")).alias("rel_score"))
+    english = F.when(hit, F.col("_en")).otherwise(F.col("rel_type_en"))
+    return out.select("edge_id", "src", "dst", "type", "rel_type", english.alias("rel_type_en"), F.when(hit, F.col("_norm")).alias("rel_type_norm"), group.alias("rel_group"), F.when(hit, F.col("_score")).alias("rel_score"))
+
+
+def attached(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(src, type, dst, label) edges from document nodes (node_id, qid, source_tag) to what is known of their qid and tag (qid,
+    source_tag, country, location, lat, lon): a country, a location, a point if it has both coordinates. Sets, one edge a chunk."""
+    both = docs.join(rows, ["qid", "source_tag"])
+    to = lambda kind, label, key: F.struct(F.lit(kind).alias("type"), key.cast("string").alias("dst"), F.lit(label).alias("label"))
+    point = F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), F.concat_ws(",", F.col("lat").cast("string"), F.col("lon").cast("string")))
+    ends = F.array(to("LOCATED_IN_COUNTRY", "Country", F.col("country")), to("LOCATED_IN", "Location", F.col("location")), to("HAS_GEOGRAPHIC_LOCATION", "Coordinates", point))
+    return both.select(F.col("node_id").alias("src"), F.explode(ends).alias("e")).select("src", "e.*").filter("dst IS NOT NULL").distinct()
 
 
 def graph_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -19,7 +19,7 @@ class _Blocks(HTMLParser):
     """Title, then h1-h3 of more than 5 characters, then paragraphs of more than 40; dropped tags and their content don't count."""
 
     # Tags whose content is no text of the page.
-    DROPPED = {"script", "style", "noscript", "header", "footer", "nav", "aside", "form", "iframe"}
+    DROPPED = {"script", "style", "noscript", "header", "footer", "nav", "form", "iframe", "svg"}
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -54,7 +54,43 @@ class _Blocks(HTMLParser):
         self.inside, self.buffer = None, []
 
 
+class _Feed(HTMLParser):
+    """Titles of more than 5 characters, then descriptions and summaries of more than 40, of feeds and site maps."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.heads, self.bodies, self.inside, self.buffer = [], [], None, []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("title", "description", "summary"):
+            self.inside, self.buffer = tag, []
+
+    def handle_endtag(self, tag):
+        if tag == self.inside:
+            text = " ".join("".join(self.buffer).split())
+            if len(text) > (5 if tag == "title" else 40):
+                (self.heads if tag == "title" else self.bodies).append(text)
+            self.inside = None
+
+    def handle_data(self, data):
+        if self.inside:
+            self.buffer.append(data)
+
+    def unknown_decl(self, data):
+        self.handle_data(data.removeprefix("CDATA["))
+
+
+def is_feed(text: str) -> bool:
+    head = text.lstrip()[:400].lower()
+    return head.startswith("<?xml") or any(x in head for x in ("<rss", "<feed", "<urlset", "<sitemapindex"))
+
+
 def main_text(html: str | None) -> str:
+    """The text of a page: title, headings, then paragraphs; of a feed its titles and descriptions, each once."""
+    if html and is_feed(html):
+        feed = _Feed()
+        feed.feed(html)
+        return "\n\n".join(dict.fromkeys([*feed.heads, *feed.bodies]))
     parser = _Blocks()
     parser.feed(html or "")
     parser._close()
@@ -135,10 +171,20 @@ def pending(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 
 def next_batches(rows: DataFrame, done: DataFrame, key: str, size: int) -> DataFrame:
-    """(key, batch) of pending rows, numbered on from the last finished batch."""
+    """(key, batch) of pending rows: batches of ``size`` rows by position, numbered on from the last finished batch.
+
+    ``key`` is an integer; gaps in it leave no batch short.
+    """
+    from .fetch import numbered
+
     last = done.agg(F.coalesce(F.max(F.expr(f"{key} div {size}")), F.lit(-1)).alias("_last"))
-    todo = pending(rows.select(key), done, key)
-    return todo.crossJoin(F.broadcast(last)).select(key, (F.col("_last") + 1 + F.expr(f"{key} div {size}")).alias("batch"))
+    todo = numbered(pending(rows.select(key), done, key), key, size)
+    return todo.crossJoin(F.broadcast(last)).select(key, (F.col("_last") + 1 + F.col("_batch")).alias("batch"))
+
+
+def complete(rows: DataFrame, *columns: str) -> DataFrame:
+    """The rows that have all of the columns: nulls are dropped with their whole row, so columns never shift against each other."""
+    return rows.dropna(subset=list(columns))
 
 
 def labelled(rows: DataFrame, names: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -159,18 +205,29 @@ def hashed_embedding(text: str, width: int = 16) -> list[float]:
     return [b / 255 for b in digest[:width]]
 
 
-def backfilled(docs: DataFrame, have: DataFrame, embed: Callable[[str], list[float]] = hashed_embedding, key: str = "doc_id") -> DataFrame:
-    """(doc_id, embedding) of documents without one; a null or empty text, or a failed call, gives an empty list."""
+def hashed_embeddings(texts: list[str]) -> list[list[float]]:
+    return [hashed_embedding(t) for t in texts]
 
-    @F.pandas_udf("array<float>")
-    def run(texts: pd.Series) -> pd.Series:
-        def one(t):
-            try:
-                return [float(x) for x in embed(t)] if t else []
-            except Exception:
-                return []
 
-        return texts.map(one)
+def backfilled(docs: DataFrame, have: DataFrame | None, embed: Callable[[list[str]], list[list[float]]] = hashed_embeddings, key: str = "doc_id", size: int = 32) -> DataFrame:
+    """(doc_id, embedding, status) of documents without an embedding (of all if ``have`` is None), encoded ``size`` at a time.
 
-    missing = docs.join(have.select(F.col("vec_id").alias(key)), key, "left_anti")
-    return missing.select(key, run("text").alias("embedding"))
+    A null or empty text gives an empty list, status ``empty``; a failed call gives empty lists for its texts and the reason.
+    """
+
+    @F.pandas_udf("struct<embedding:array<float>,status:string>")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        out: list[tuple[list[float], str]] = [([], "empty")] * len(texts)
+        at = [i for i, t in enumerate(texts) if t]
+        for k in range(0, len(at), size):
+            part = at[k : k + size]
+            try:
+                got = [([float(x) for x in v], "ok") for v in embed([texts.iloc[i] for i in part])]
+            except Exception as e:
+                got = [([], f"error:{type(e).__name__}")] * len(part)
+            for i, v in zip(part, got, strict=False):
+                out[i] = v
+        return pd.DataFrame(out, columns=["embedding", "status"])
+
+    missing = docs if have is None else docs.join(have.select(F.col("vec_id").alias(key)), key, "left_anti")
+    return missing.select(key, run("text").alias("e")).select(key, "e.embedding", "e.status")

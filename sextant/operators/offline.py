@@ -1,0 +1,41 @@
+"""Deterministic stand-ins for the network, for queries and tests without one."""
+
+from __future__ import annotations
+
+from html import escape
+
+
+def entity_call(ids: list[str]) -> tuple[int, dict]:
+    """Entities with an English label; every fifth has a German one only, every seventh is unknown."""
+    found = {}
+    for q in ids:
+        n = int(q[1:])
+        label = {"de": {"value": f"Ort {q}"}} if n % 5 == 0 else {"en": {"value": f"Place {q}"}}
+        found[q] = {"labels": label} if n % 7 else None
+    return 200, {"entities": found}
+
+
+def summary(title: str) -> tuple[int, str | None]:
+    return (200, f"Summary of {title}") if len(title) % 3 else (404, None)
+
+
+def allowed(url: str) -> bool:
+    return len(url) % 11 != 0
+
+
+def page(url: str) -> tuple[str, str, bytes]:
+    """A page whose paragraph has as many words as the url's length modulo 20."""
+    if len(url) % 13 == 0:
+        raise OSError("down")
+    body = f"<html><title>{escape(url)}</title><p>{'word ' * (len(url) % 20)}</p></html>"
+    return f"{url}#end", "text/html", body.encode()
+
+
+def translation(names: list[str]) -> list[str]:
+    return ["" if len(x) % 3 == 0 else f"the {x.lower()}" for x in names]
+
+
+def first_words(text: str) -> tuple[list[tuple[str, str]], list[tuple[str, str, str]]]:
+    """The first two words as nodes, the second after the first."""
+    words = text.split()[:2]
+    return [(w, "Word") for w in words], [(words[0], words[1], "NEXT")] if len(words) > 1 else []

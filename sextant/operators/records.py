@@ -7,10 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import PREFERRED_LANGUAGES, blank_to_null
-
-# Tools that each candidate is sent to, and words that are no keywords.
-TOOLS = ["flights", "food", "hotels", "news", "weather"]
+from ..functions.text import PREFERRED_LANGUAGES, blank_to_null, entity_id
+
+# Tools that each candidate is sent to and what each searches for, answers of a search without results, and words
+# that are no keywords.
+TOOLS = {
+    "history": "history and historical importance of %s",
+    "logistics": "how to travel to %s public transport parking",
+    "culture": "local etiquette, safety tips, and current trends %s",
+    "accommodation": "best hotels and hostels near %s",
+    "food": "best local food and restaurants near %s",
+}
+NONE_FOUND = "No recent info found for: %s"
+BLOCKED = "Search timed out or was blocked for query: %s"
 STOP_KEYWORDS = ["people", "person"]
 
 _VALUE = "map<string,struct<value:string>>"
@@ -57,6 +66,30 @@ def entity_fields(entities: DataFrame) -> DataFrame:
     )
 
 
+def nested_id(doc: Column) -> Column:
+    """The id in a graph document's source metadata; null where any part is missing or empty."""
+    return blank_to_null(F.try_element_at(doc["source"]["metadata"], F.lit("qid")))
+
+
+def with_columns(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Adds the columns that are absent, as nulls; those that should be numbers become numbers, or null."""
+    numbers = {c: F.col(c).try_cast(t) for c, t in columns.items() if c in rows.columns and t in ("double", "int", "long")}
+    return rows.withColumns(numbers | {c: F.lit(None).cast(t) for c, t in columns.items() if c not in rows.columns})
+
+
+def metadata(rows: DataFrame, columns: list[str], absent: dict[str, str]) -> Column:
+    """A struct of string columns: nulls are empty strings; a column that is absent has its default in ``absent``, else null."""
+    known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in rows.columns else F.lit(absent.get(c)).cast("string")
+    return F.struct(*[known(c).alias(c) for c in columns])
+
+
+def identifiers(documents: DataFrame, col: str = "value") -> DataFrame:
+    """(ordinal, qid) of a JSON list of lists: the second element of each as a bare id, distinct, in order of first sight."""
+    rows = documents.select(F.posexplode(F.from_json(col, "array<array<string>>")).alias("ordinal", "row"))
+    ids = rows.select("ordinal", entity_id(F.try_element_at("row", F.lit(2))).alias("qid")).filter("qid IS NOT NULL")
+    return ids.groupBy("qid").agg(F.min("ordinal").alias("ordinal"))
+
+
 def sample_entities(spark: SparkSession) -> DataFrame:
     """Raw entities that exercise every fallback."""
     claim = lambda kind, value: '{"mainsnak":{"snaktype":"value","datavalue":{"type":"%s","value":%s}}}' % (kind, value)
@@ -69,17 +102,32 @@ def sample_entities(spark: SparkSession) -> DataFrame:
         ("Q3", '{"labels":{},"descriptions":{"en":{"value":"an old bridge"}},"claims":{"P131":[%s],"P17":[%s]}}' % (item("Q64"), none)),
         ("Q4", '{"labels":{"en":{"value":""}},"sitelinks":{"commonswiki":{"title":"Some_Place"}}}'),
         ("Q5", '{"labels":{},"claims":{"P17":[%s],"P625":[%s]}}' % (item("Q30"), place(1.0, 2.0))),
+        ("Q8", '{"labels":{"mul":{"value":"any"},"fr":{"value":"Pont"},"de":{"value":"Brücke"}},"sitelinks":{"frwiki":{"title":"Le Pont"},"dewiki":{"title":"Die Brücke"}}}'),
+        ("Q9", '{"labels":{"nl":{"value":"Brug"},"hi":{"value":"पुल"}},"sitelinks":{"nlwiki":{"title":"De Brug"},"hiwiki":{"title":"पुल"}}}'),
         ("Q6", "missing"),
         ("Q7", None),
     ]
     return spark.createDataFrame(rows, "qid string, json string")
 
 
-def fanned_out(candidates: DataFrame, search: Callable[[Column, Column], Column]) -> DataFrame:
-    """(candidate, name, one column per tool): every candidate to every tool, gathered when all have answered."""
-    tools = F.explode(F.array(*[F.lit(t) for t in TOOLS])).alias("tool")
-    rows = candidates.select("candidate", "name", tools).withColumn("answer", search(F.col("tool"), F.col("name")))
-    return rows.groupBy("candidate", "name").pivot("tool", TOOLS).agg(F.first("answer"))
+def nothing_found(query: Column) -> Column:
+    """The offline search: every query is answered by a note that nothing was found."""
+    return F.format_string(NONE_FOUND, query)
+
+
+def found_text(results: Column, query: Column) -> Column:
+    """A search's results (array of title, href, body) as text: null results were blocked, none is said so."""
+    line = lambda r: F.concat(F.lit("- "), r["title"], F.lit(": "), r["href"], F.lit("\n  "), r["body"])
+    return F.when(results.isNull(), F.format_string(BLOCKED, query)).when(F.size(results) == 0, nothing_found(query)).otherwise(F.array_join(F.transform(results, line), "\n"))
+
+
+def fanned_out(candidates: DataFrame, search: Callable[[Column], Column] = nothing_found) -> DataFrame:
+    """(candidate, name, one column per tool): every candidate (candidate, name, description) to every tool, gathered when all
+    have answered."""
+    target = F.concat("name", F.lit(" "), F.coalesce("description", F.lit("")))
+    tools = F.explode(F.array(*[F.struct(F.lit(t).alias("tool"), F.format_string(q, target).alias("query")) for t, q in TOOLS.items()])).alias("t")
+    rows = candidates.select("candidate", "name", tools).select("candidate", "name", "t.tool", search(F.col("t.query")).alias("answer"))
+    return rows.groupBy("candidate", "name").pivot("tool", list(TOOLS)).agg(F.first("answer"))
 
 
 def reduced(rows: DataFrame) -> DataFrame:
@@ -100,13 +148,14 @@ def repaired(rows: DataFrame) -> DataFrame:
 
 
 def kept_keywords(docs: DataFrame) -> DataFrame:
-    """(doc_id, keyword): parts of a text between delimiters that are, case aside, also words of it, without stop words.
+    """(doc_id, keyword): parts of a text between delimiters, as they are written, that are, case aside, also words of it (full
+    stops left out), without stop words.
 
     Both lists belong to one document, so the semi join is a test within its row and nothing is shuffled.
     """
-    parts = F.transform(F.split("text", r"[\n:;*,]"), lambda x: F.lower(F.trim(x)))
-    words = F.array_distinct(F.transform(F.split("text", " "), lambda x: F.lower(x)))
+    parts = F.transform(F.split("text", r"[\n:;*,]"), lambda x: F.trim(x))
+    words = F.array_distinct(F.split(F.lower(F.replace("text", F.lit("."), F.lit(""))), " "))
     rows = docs.select("doc_id", parts.alias("_p"), words.alias("_w"))
     # few parts are single words: only those can be in the list
-    kept = F.filter("_p", lambda x: (x != "") & ~x.contains(" ") & ~x.isin(STOP_KEYWORDS) & F.array_contains("_w", x))
+    kept = F.filter("_p", lambda x: (x != "") & ~x.contains(" ") & ~F.lower(x).isin(STOP_KEYWORDS) & F.array_contains("_w", F.lower(x)))
     return rows.select("doc_id", F.explode(kept).alias("keyword"))

@@ -72,8 +72,8 @@ def geo_filtered(g: Graph, docs: DataFrame, names: DataFrame, fallback: int = 50
 def reranked(g: Graph, docs: DataFrame, names: DataFrame, top: int) -> DataFrame:
     """(qid, label, score, rank) of the ``top`` best candidates among ranked documents (rank, qid, qidLabel, text, score).
 
-    score * 1.2 if the text holds a target's name * 1.1 if the qid lies in a target + ln(2 in + out + 1) / 20; the best
-    document of a qid counts, the first of equals.
+    score * 1.2 if the text holds a target's name * 1.1 if the qid lies in a target + ln(2 in + out + 1) / 20, which is 0
+    where there are no targets; the best document of a qid counts, the first of equals.
     """
     rows = docs.filter("coalesce(qid, '') <> ''")
     nodes = settled(G.doc_targets(g, rows.select("qid")))
@@ -84,7 +84,7 @@ def reranked(g: Graph, docs: DataFrame, names: DataFrame, top: int) -> DataFrame
     wanted = names.agg(F.collect_set(F.lower("name")).alias("_names"))  # a request's own target names
     rows = rows.join(told, "qid", "left").crossJoin(F.broadcast(wanted))
     hit = F.exists("_names", lambda t: F.contains(F.lower("text"), t))
-    importance = F.coalesce(F.log(2 * F.col("i") + F.col("o") + 1), F.lit(0.0))
+    importance = F.when(F.size("_names") > 0, F.coalesce(F.log(2 * F.col("i") + F.col("o") + 1), F.lit(0.0))).otherwise(0.0)
     final = F.col("score") * F.when(hit, 1.2).otherwise(1.0) * F.when(F.col("in_target"), 1.1).otherwise(1.0) + 0.05 * importance
     rows = rows.select("qid", F.col("qidLabel").alias("label"), "rank", F.round(final, 6).alias("score"))
     best = rows.groupBy("qid").agg(F.max(F.struct("score", (-F.col("rank")).alias("_r"), "label")).alias("b"), F.min("rank").alias("_first"))

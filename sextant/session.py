@@ -28,5 +28,8 @@ def settled(df: DataFrame) -> DataFrame:
     """A small result computed once and kept in the folder of spark.checkpoint.dir, so that plans over it stay small."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sextant-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and sc.master.split("[")[0] != "local":
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that the driver and all executors of {sc.master} share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="sextant-"))
     return df.checkpoint()

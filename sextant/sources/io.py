@@ -46,10 +46,81 @@ def state(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def graph_batches(spark: SparkSession, path: str) -> DataFrame:
-    """All graph-document batches below a folder, each row with the folder's name as ``source_tag`` and its file."""
-    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "graph_docs_batch_*").parquet(path)
-    return rows.select("*", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("source_tag"), F.col("_metadata.file_path").alias("file"))
+    """All graph-document batches below a folder (files or folders named so), each row with the name of the folder that holds its
+    batch as ``source_tag`` and the batch's path as ``file``."""
+    rows = spark.read.option("recursiveFileLookup", "true").parquet(path)
+    rows = rows.select("*", F.regexp_extract("_metadata.file_path", r"^(.*/graph_docs_batch_[^/]*)", 1).alias("file")).filter("file <> ''")
+    return rows.withColumn("source_tag", F.element_at(F.split("file", "/"), -2))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def graph_batches_of(spark: SparkSession, folders: list[str]) -> DataFrame:
+    """``graph_batches`` of several folders, ordered by folder and file name; missing folders are skipped, none at all is an error."""
+    there = [f for f in folders if exists(spark, f)]
+    if not there:
+        raise FileNotFoundError(f"no graph document batches in {folders}")
+    out = graph_batches(spark, there[0])
+    for f in there[1:]:
+        out = out.unionByName(graph_batches(spark, f), allowMissingColumns=True)
+    name = F.element_at(F.split("file", "/"), -1)
+    return out.orderBy(F.expr("substring_index(file, '/', size(split(file, '/')) - 1)"), name)
 
 
 def images(spark: SparkSession, path: str) -> DataFrame:
+    """(path, modificationTime, length, content); a path that is not there is an error."""
+    if not exists(spark, path):
+        raise FileNotFoundError(path)
     return spark.read.format("binaryFile").load(path)
+
+
+def lines(spark: SparkSession, path: str, name: str = "value") -> DataFrame:
+    """(ordinal, value) of the lines of a small file without a header: their place in the file is their key."""
+    whole = spark.read.text(path, wholetext=True)
+    rows = whole.select(F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("ordinal", name))
+    return rows
+
+
+def vectors(spark: SparkSession, path: str, other: str) -> DataFrame:
+    """A table of vectors, from ``other`` where ``path`` is not there."""
+    return spark.read.parquet(path if exists(spark, path) else other)
+
+
+def request(spark: SparkSession, image_path: str | None = None, text_input: str = "") -> DataFrame:
+    """One request as one row."""
+    return spark.createDataFrame([(image_path, text_input)], "image_path string, text_input string")
+
+
+def next_part(names: DataFrame, col: str = "name") -> int:
+    """The number after the largest of the ``part_00012...`` names; 0 if there is none."""
+    row = names.filter(F.col(col).rlike(r"^part_\d+")).agg(F.max(F.regexp_extract(col, r"^part_(\d+)", 1).cast("int")).alias("n")).first()
+    return 0 if row["n"] is None else row["n"] + 1
+
+
+def append_part(df: DataFrame, folder: str, per_file: int = 50_000) -> str:
+    """``df`` as the next numbered part below ``folder``: a folder of snappy files of up to 50,000 rows; an earlier part is never
+    touched, so a run that was cut short goes on after the last whole one."""
+    spark = df.sparkSession
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+    path = f"{folder}/part_{next_part(spark.createDataFrame([(n,) for n in names], 'name string')):05d}"
+    write(df, path, "parquet", "error", per_file)
+    return path
+
+
+def append_batch(df: DataFrame, folder: str, batch: int) -> None:
+    """``df`` as the batch of that number; written again, it replaces itself and no other batch."""
+    df.write.mode("overwrite").parquet(f"{folder}/graph_docs_batch_{batch}")
+
+
+def replace_state(df: DataFrame, path: str) -> None:
+    """Overwrites a state table, also with a DataFrame that reads it: the new rows are complete before the old ones go."""
+    fresh = f"{path.rstrip('/')}.new"
+    write(df, fresh, "parquet")
+    write(df.sparkSession.read.schema(df.schema).parquet(fresh), path, "parquet")
+    p = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(fresh)
+    p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sextant.functions import text as T
 from sextant.operators import graph as G
-from sextant.operators import ingest, records
+from sextant.operators import fetch, ingest, offline, questions, records
 from sextant.operators import retrieval as R
 from sextant.plans.graph import Graph
 from sextant.sources import io
@@ -106,6 +106,8 @@ def test_regroup_first_wins_and_null_overwrites(spark):
     edges = spark.createDataFrame([("1", "a", "b", "REL", "x", None, "OLD"), ("2", "a", "b", "REL", "y", None, "OLD"), ("3", "a", "b", "MENTIONS", "x", None, "OLD"), ("4", "a", "b", "REL", "z", None, "OLD")], EDGE)
     m = spark.createDataFrame([(0, "x", "NEW", 0.5), (1, "x", "LATE", 0.6), (2, "y", None, None)], "ordinal int, rel_type string, rel_group string, rel_score double")
     assert {r.edge_id: r.rel_group for r in G.regrouped(edges, m).collect()} == {"1": "NEW", "2": None, "3": "OLD", "4": "OLD"}
+    m = m.withColumns({"rel_type_en": F.lit("EN"), "rel_type_norm": F.lit("en")})
+    assert {r.edge_id: (r.rel_type_en, r.rel_type_norm) for r in G.regrouped(edges, m).collect()} == {"1": ("EN", "en"), "2": ("EN", "en"), "3": (None, None), "4": (None, None)}
 
 
 def test_fusion_and_topk(spark):
@@ -172,3 +174,153 @@ def test_stream_counts_like_batch(spark, tmp_path):
     q.stop()
     got = sorted(map(tuple, spark.table("tumbling_out").collect()))
     assert got == sorted(map(tuple, windows.tumbling(rows, "5 minutes").collect()))
+
+
+def test_entity_calls_wait_and_go_on():
+    waits, answers = [], iter([(429, {}), (200, {"error": {"code": "maxlag"}}), (200, {"entities": {"Q1": {}}})])
+    assert fetch.fetch_entities(["Q1"], lambda ids: next(answers), waits.append) == {"Q1": {}}
+    assert waits == [1.5, 4.0]
+    with pytest.raises(OSError):
+        fetch.fetch_entities(["Q1"], lambda ids: (503, {}), waits.append)
+    with pytest.raises(OSError):
+        fetch.fetch_entities(["Q1"], lambda ids: (404, {}), lambda s: pytest.fail("no wait"))
+
+
+def test_retries():
+    calls, waits = [], []
+
+    def overloaded(*args):
+        calls.append(args)
+        if len(calls) < 4:
+            raise OSError("429 Too Many Requests")
+        return "done"
+
+    assert fetch.retried_on_overload(overloaded, sleep=waits.append)("x") == "done"
+    assert [int(w) for w in waits] == [1, 2, 4] and calls == [("x",)] * 4
+    with pytest.raises(ValueError):
+        fetch.retried_on_overload(lambda: int("x"), sleep=lambda s: pytest.fail("no wait"))()
+    tries = []
+    with pytest.raises(ValueError):
+        ingest.retried(lambda: tries.append(1) or int("x"), 3, lambda n: 0)()
+    assert len(tries) == 3
+    made = []
+    make = lambda: made.append(1) or object()
+    assert fetch.resource(make) is fetch.resource(make) and made == [1]
+
+
+def test_crawl_reasons(spark):
+    def get(url):
+        if "down" in url:
+            raise OSError("down")
+        return url + "/", "x", b"%PDF" if "doc" in url else b"plain text" if "plain" in url else b"<html><title>The title of it</title><p>" + b"the word of and " * 6 + b"</p>"
+
+    rows = spark.createDataFrame([("a", "A", "http://x/down"), ("b", "B", "http://x/doc"), ("c", "C", "http://x/plain"), ("d", "D", "http://y/ok"), ("e", "E", "http://y/no"), ("f", "F", None), ("g", "G", "http://y/done")], "qid string, qidLabel string, website string")
+    done = spark.createDataFrame([("g",), (None,)], "qid string")
+    got = {r.qid: r for r in fetch.crawl_resumable(rows, done, get, allowed=lambda u: "no" not in u, pdf=lambda b: "five words are in it").collect()}
+    assert {q: r.reason for q, r in got.items()} == {"a": "fetch_error:down", "b": None, "c": "too_short_or_empty", "d": None, "e": "robots_disallow"}
+    assert got["b"].text == "five words are in it" and got["d"].lang == "en" and got["d"].final_url == "http://y/ok/"
+    first = fetch.crawl_resumable(rows, done, get, 2).collect()
+    assert {r.qid for r in first} == {"a", "b"} and {r.qid for r in fetch.first_rows(rows, 0, "qid").collect()} == set("abcdefg")
+
+
+def test_robots_and_sniffing():
+    loads = []
+
+    def load(url):
+        loads.append(url)
+        if "broken" in url:
+            raise OSError
+        return "User-agent: *\nDisallow: /private"
+
+    ok = fetch.robots_allow(load, "crawler")
+    assert ok("http://a/x") and not ok("http://a/private/1") and ok("http://broken/private") and len(loads) == 2
+    assert [fetch.looks_like(*x) for x in ((b"%PDF-1", "u"), (b"x", "http://a/X.PDF"), (b" <p>", "u"), (b"none", "u"))] == ["pdf", "pdf", "html", ""]
+    assert fetch.guessed_language("der Hund und die Katze") == "de" and fetch.guessed_language("xyz") is None
+
+
+def test_feeds_and_dropped_tags():
+    feed = "<?xml version='1.0'?><rss><title>A long title</title><title>A long title</title><item><description>" + "many words " * 6 + "</description></item></rss>"
+    assert ingest.main_text(feed) == "A long title\n\n" + " ".join(["many words"] * 6)
+    html = "<svg><p>" + "drawn " * 10 + "</p></svg><aside><p>" + "aside " * 10 + "</p></aside>"
+    assert ingest.main_text(html) == " ".join(["aside"] * 10)
+
+
+def test_pages_behind_transports(spark):
+    rows = spark.createDataFrame([("http://e/wiki/Big_Ben",), ("http://e/wiki/x",), (None,)], "website string")
+    got = [r.text for r in fetch.summaries(rows, lambda t: (200, f"about {t}") if t != "x" else (404, "no")).collect()]
+    assert got == ["about Big_Ben", None, None]
+    long = "<p>" + "word " * 3000 + "</p>"
+    got = [r.text for r in fetch.external(rows, lambda u: (200, long) if "Ben" in u else (500, "x")).collect()]
+    assert len(got[0]) == 5000 and got[1:] == [None, None]
+
+
+def test_batches_by_position(spark):
+    rows = spark.createDataFrame([(i * i * 7,) for i in range(900)], "k long")
+    got = sorted((r.k, r._batch) for r in fetch.numbered(rows, "k", 100).collect())
+    assert [b for _, b in got] == [i // 100 for i in range(900)]
+
+
+def test_graph_documents_and_extraction(spark):
+    def extract(text):
+        if "bad" in text:
+            raise ValueError
+        return offline.first_words(text)
+
+    docs = spark.createDataFrame([(1, "Big Ben rings"), (2, "Big Ben rings"), (3, " "), (4, "bad one")], "doc_id long, text string")
+    out = fetch.extracted(docs, extract, tries=1).cache()
+    assert {r.doc_id: r.error for r in out.collect()} == {1: None, 2: None, 4: "ValueError"}
+    nodes, edges = G.graph_documents(out.filter("error IS NULL"))
+    assert {(r.id, r.label) for r in nodes.collect() if r.label == "Word"} == {("Big", "Word"), ("Ben", "Word")}
+    assert nodes.filter("label = 'Document'").count() == 1 and edges.count() == 3
+
+
+def test_upsert_on_create_and_ties(spark):
+    old = spark.createDataFrame([("1", "a", "x")], "k string, v string, w string")
+    new = spark.createDataFrame([("1", "b", "n"), ("2", "c", "n"), ("2", "b", "z")], "k string, v string, w string")
+    assert sorted(map(tuple, G.upsert(old, new, ["k"], ("w",)).collect())) == [("1", "b", "x"), ("2", "c", "n")]
+
+
+def test_importance_needs_targets(spark):
+    g = make(spark, [("d1", ["Document"], "q1"), ("d2", ["Document"], "q2")], [("d1", "d2", None)])
+    docs = spark.createDataFrame([(1, "q1", "L1", "t", 0.5)], "rank int, qid string, qidLabel string, text string, score double")
+    score = lambda names: R.reranked(g, docs, spark.createDataFrame(names, "name string"), 5).first().score
+    assert score([]) == 0.5 and score([("nowhere",)]) > 0.5
+
+
+def test_questions(spark):
+    one = spark.range(1)
+    ask = lambda c, k, q="q": one.select(questions.retrieval_string(F.lit(c).cast("string"), F.lit(k).cast("array<string>") if k is None else F.array(*map(F.lit, k)), F.lit(q)).alias("x")).first().x
+    assert ask("a tower, old", ["b", "a,c", "b"]) == "a tower  old a c b" and ask(None, ["b"]) == "q" and ask("x", None) == "q"
+    assert one.select(questions.cleaned_caption(F.lit(" a personal view of people ")).alias("x")).first().x == "a al view of"
+    assert one.select(questions.prompt("{a} and {b}", a=F.lit("x"), b=F.lit(None)).alias("x")).first().x == "x and "
+    assert T.without_surrogates("a\ud800b") == "ab" and T.without_surrogates(None) is None
+    assert ingest.complete(spark.createDataFrame([(1, None), (2, "x")], "a int, b string"), "b").collect() == [(2, "x")]
+
+
+def test_more_sources_and_sinks(spark, tmp_path):
+    folder = str(tmp_path / "parts")
+    rows = spark.range(5)
+    assert [io.append_part(rows, folder) for _ in range(2)] == [f"{folder}/part_00000", f"{folder}/part_00001"]
+    state = str(tmp_path / "state")
+    io.replace_state(rows, state)
+    io.replace_state(spark.read.parquet(state).filter("id > 2"), state)
+    assert spark.read.parquet(state).count() == 2
+    for tag in ("b", "a"):
+        for n in (1, 0):
+            io.append_batch(spark.createDataFrame([(tag, n)], "t string, n int"), str(tmp_path / "docs" / tag), n)
+    got = io.graph_batches_of(spark, [str(tmp_path / "docs" / x) for x in ("b", "missing", "a")]).collect()
+    assert sorted((r.t, r.n) for r in got) == [("a", 0), ("a", 1), ("b", 0), ("b", 1)]
+    with pytest.raises(FileNotFoundError):
+        io.graph_batches_of(spark, [str(tmp_path / "missing")])
+    with pytest.raises(FileNotFoundError):
+        io.images(spark, str(tmp_path / "missing.png"))
+    (tmp_path / "x.png").write_bytes(b"png")
+    assert io.images(spark, str(tmp_path / "x.png")).first().length == 3
+    (tmp_path / "ids.csv").write_text("p1\np2\np3\n")
+    assert [tuple(r) for r in io.lines(spark, str(tmp_path / "ids.csv"), "photo_id").collect()] == [(0, "p1"), (1, "p2"), (2, "p3")]
+    assert io.vectors(spark, str(tmp_path / "nope"), state).count() == 2 and io.request(spark, "a").first().text_input == ""
+
+
+def test_deduplicated_stream_rows(spark):
+    rows = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:01:00"), (2, "2024-01-01 00:00:00")], "user_id long, ts string")
+    assert windows.deduplicated(rows, ["user_id"]).count() == 2
