@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,12 +26,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_SETTLED: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a temporary one only for a local master, whose threads share its disk."""
+    base, sc = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
+    if base:
+        return base.rstrip("/")
+    if sc.master.split("[")[0] != "local":
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that the driver and all executors of {sc.master} share")
+    return "file://" + _SETTLED.setdefault(sc, [tempfile.mkdtemp(prefix="sextant-")])[0]
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """A small result computed once and kept in the folder of spark.checkpoint.dir, so that plans over it stay small."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not shared and sc.master.split("[")[0] != "local":
-            raise RuntimeError(f"set spark.checkpoint.dir to a folder that the driver and all executors of {sc.master} share")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="sextant-"))
-    return df.checkpoint()
+    """A small result computed once and kept as Parquet in the shared folder: plans over it stay small and know its size."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
+    _SETTLED.setdefault(spark.sparkContext, [None]).append(path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(spark: SparkSession) -> None:
+    """Deletes what ``settled`` has written; for when no result that rests on it is read any more."""
+    kept = _SETTLED.get(spark.sparkContext, [None])
+    for path in kept[1:]:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    del kept[1:]
