@@ -6,12 +6,15 @@ the shared folder. An archive's closing comment lists the offsets at which a new
 leaves an archive that no manifest names.
 
 The data source ``sextant_media`` reads the manifest and each archive's last bytes, plans one partition per byte range, and
-streams members as Arrow batches. A member that cannot be decoded is read again on its own, by its offset.
+streams members as Arrow batches. For archives of other writers the ranges come from the archive's directory, of which each
+task reads its own stretch; members may be stored or deflated there, with sizes after them or not. A member that cannot be
+decoded is read again on its own, by its offset, and fails the task if that does not help: no member is left out in silence.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import struct
 import time
 import uuid
@@ -93,6 +96,8 @@ def feature(samples: bytes) -> str:
 
 _LOCAL, _CENTRAL, _END = "<4s5H3I2H", "<4s6H3I5H2I", "<4s4H2IH"
 _LOCAL_SIZE = struct.calcsize(_LOCAL)
+#: The id in a member's name, which a running number may precede; other names give a null id.
+_NAME = re.compile(r"(?:\d+_)?(-?\d+)\.png")
 
 
 class ArchiveWriter:
@@ -124,16 +129,51 @@ class ArchiveWriter:
         self.out.close()
 
 
-def ranges_of(filesystem: fs.FileSystem, path: str) -> list[tuple[int, int]]:
-    """The byte ranges that an archive's comment lists, from its last bytes alone."""
+class _Range(InputPartition):
+    """The bytes of an archive from ``begin`` to ``end``: its members, or a stretch of its directory."""
+
+    def __init__(self, path: str, begin: int, end: int, of_directory: bool = False):
+        self.path, self.begin, self.end, self.of_directory = path, begin, end, of_directory
+
+
+def listed(directory: bytes) -> Iterator[tuple[int, int, str, int, tuple[int, int, int]]]:
+    """(begin, end, name, offset, (method, crc, stored size)) of each entry of a directory or of a stretch of it."""
+    at = 0
+    while at < len(directory):
+        magic, _, _, _, method, _, _, crc, size, _, title, extra, remark, _, _, _, offset = struct.unpack_from(_CENTRAL, directory, at)
+        if magic != b"PK\1\2":
+            raise ValueError("damaged archive directory")
+        begin, text = at, at + struct.calcsize(_CENTRAL)
+        at = text + title + extra + remark
+        yield begin, at, directory[text : text + title].decode("utf-8", "replace"), offset, (method, crc, size)
+
+
+def ranges_of(filesystem: fs.FileSystem, path: str, range_bytes: int = RANGE_BYTES) -> list[_Range]:
+    """The partitions of an archive: the byte ranges that its comment lists, read from its last bytes alone, or else stretches
+    of its directory whose members have about ``range_bytes``. Archives with 64-bit directories are refused."""
     size = filesystem.get_file_info(path).size
     with filesystem.open_input_file(path) as f:
         tail = f.read_at(min(size, 65_557), max(0, size - 65_557))
-    at = tail.rfind(b"PK\5\6")
-    if at < 0:
-        raise ValueError(f"{path} has no archive directory")
-    begins = json.loads(tail[at + struct.calcsize(_END) :])
-    return list(zip(begins[:-1], begins[1:], strict=True))
+        at = tail.rfind(b"PK\5\6")
+        if at < 0:
+            raise ValueError(f"{path} has no archive directory")
+        *_, n, length, begin, _ = struct.unpack_from(_END, tail, at)
+        try:
+            begins = json.loads(tail[at + struct.calcsize(_END) :])
+        except ValueError:
+            begins = None
+        if isinstance(begins, list) and begins and begins[-1] == begin:
+            return [_Range(path, a, b) for a, b in zip(begins[:-1], begins[1:], strict=True)]
+        if n == 0xFFFF or begin == 0xFFFFFFFF:
+            raise ValueError(f"{path} has a 64-bit directory")
+        directory = f.read_at(length, begin)
+    out, first, held = [], 0, 0
+    for _, end, _, _, (_, _, stored_size) in listed(directory):
+        held += stored_size
+        if held >= range_bytes or end == len(directory):
+            out.append(_Range(path, begin + first, begin + end, True))
+            first, held = end, 0
+    return out
 
 
 def write_archives(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", archive_bytes: int = ARCHIVE_BYTES, range_bytes: int = RANGE_BYTES) -> int:
@@ -170,21 +210,21 @@ def write_archives(docs: DataFrame, folder: str, id_col: str = "doc_id", text_co
     return sum(r["members"] for r in rows)
 
 
-class _Range(InputPartition):
-    def __init__(self, path: str, begin: int, end: int):
-        self.path, self.begin, self.end = path, begin, end
-
-
 class MediaReader(DataSourceReader):
     def __init__(self, options):
         self.folder = options["path"]
         self.retries = int(options.get("retries", RETRIES))
+        self.listing = options.get("listing", "false") == "true"
+        self.range_bytes = int(options.get("range_bytes", RANGE_BYTES))
 
     def partitions(self) -> list[InputPartition]:
         filesystem, top = fs.FileSystem.from_uri(self.folder)
-        with filesystem.open_input_stream(f"{top}/manifest.json") as f:
-            names = json.loads(f.read())
-        return [_Range(f"{top}/{n}", a, b) for n in names for a, b in ranges_of(filesystem, f"{top}/{n}")] or [_Range("", 0, 0)]
+        if self.listing:
+            names = sorted(x.base_name for x in filesystem.get_file_info(fs.FileSelector(top)) if x.base_name.endswith(".zip"))
+        else:
+            with filesystem.open_input_stream(f"{top}/manifest.json") as f:
+                names = json.loads(f.read())
+        return [r for n in names for r in ranges_of(filesystem, f"{top}/{n}", self.range_bytes)] or [_Range("", 0, 0)]
 
     def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -193,29 +233,47 @@ class MediaReader(DataSourceReader):
         rows, size = [], 0
         if partition.path:
             with filesystem.open_input_file(partition.path) as f:
-                at = partition.begin
-                while at < partition.end:
-                    name, n, samples, media, after = self._member(f, at)
-                    doc = name.partition("_")[2].removesuffix(".png")
-                    rows.append((int(doc) if doc else None, n, samples, len(media), hashlib.sha256(media).hexdigest(), feature(samples), partition.path.rpartition("/")[2], at))
-                    size, at = size + len(samples), after
+                for at, (name, n, samples, media, _) in self._members(f, partition):
+                    doc = _NAME.fullmatch(name.rpartition("/")[2])
+                    rows.append((int(doc[1]) if doc else None, n, samples, len(media), hashlib.sha256(media).hexdigest(), feature(samples), partition.path.rpartition("/")[2], at))
+                    size += len(samples)
                     if size >= BATCH_BYTES:
                         yield self._batch(rows)
                         rows, size = [], 0
         if rows or not partition.path:
             yield self._batch(rows)
 
-    def _member(self, f, at: int) -> tuple[str, int, bytes, bytes, int]:
-        """(name, length, samples, image, next offset) of the member at an offset, read again if it cannot be decoded."""
+    def _members(self, f, partition: _Range) -> Iterator[tuple[int, tuple[str, int, bytes, bytes, int]]]:
+        """(offset, member) of every member of a partition; folders of an archive are none."""
+        if partition.of_directory:
+            for _, _, name, at, told in listed(f.read_at(partition.end - partition.begin, partition.begin)):
+                if not name.endswith("/"):
+                    yield at, self._member(f, at, told)
+            return
+        at = partition.begin
+        while at < partition.end:
+            got = self._member(f, at)
+            yield at, got
+            at = got[-1]
+
+    def _member(self, f, at: int, told: tuple[int, int, int] | None = None) -> tuple[str, int, bytes, bytes, int]:
+        """(name, length, samples, image, next offset) of the member at an offset, read again if it cannot be decoded.
+
+        ``told``: method, checksum and stored size by the directory, which hold where the member's own head has none.
+        """
         for attempt in range(self.retries + 1):
             try:
                 head = f.read_at(_LOCAL_SIZE, at)
-                magic, *_, crc, size, _, title, extra = struct.unpack(_LOCAL, head)
+                magic, _, _, method, _, _, crc, size, _, title, extra = struct.unpack(_LOCAL, head)
+                method, crc, size = told or (method, crc, size)
                 if magic != b"PK\3\4":
                     raise ValueError("no member here")
                 body = f.read_at(title + extra + size, at + _LOCAL_SIZE)
                 media = body[title + extra :]
-                if len(media) < size or zlib.crc32(media) != crc:
+                if len(media) < size or method not in (0, 8):
+                    raise ValueError("damaged member")
+                media = zlib.decompress(media, -15) if method else media
+                if zlib.crc32(media) != crc:
                     raise ValueError("damaged member")
                 n, samples = from_png(media)
                 return body[:title].decode(), n, samples, media, at + _LOCAL_SIZE + title + extra + size
@@ -243,10 +301,13 @@ class MediaSource(DataSource):
         return MediaReader(self.options)
 
 
-def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, n_bytes, payload, media_bytes, media_sha256, feature, archive, offset) of every member below ``folder``."""
+def read_archives(spark: SparkSession, folder: str, listing: bool = False, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """(doc_id, n_bytes, payload, media_bytes, media_sha256, feature, archive, offset) of every member below ``folder``.
+
+    The archives are those of the manifest that ``write_archives`` leaves; with ``listing``, all .zip files of the folder.
+    """
     spark.dataSource.register(MediaSource)
-    return spark.read.format("sextant_media").load(folder)
+    return spark.read.format("sextant_media").option("listing", str(listing).lower()).option("range_bytes", range_bytes).load(folder)
 
 
 def stored_as_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

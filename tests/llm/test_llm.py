@@ -648,9 +648,81 @@ def test_members_are_read_again():
         media.from_png(media.to_png(b"hello")[:-5])
 
 
+def test_archives_of_other_writers(spark, tmp_path):
+    """Stored and deflated members, folders, names with and without a running number, and sizes that follow the data."""
+
+    class Pipe(io.RawIOBase):
+        def __init__(self, out):
+            self.out = out
+
+        def writable(self):
+            return True
+
+        def write(self, data):
+            return self.out.write(data)
+
+    texts = {i: f"text {i} " * (1 + i % 40) for i in range(60)}
+    for name, method, ids in (("a", zipfile.ZIP_STORED, range(20)), ("b", zipfile.ZIP_DEFLATED, range(20, 40)), ("c", zipfile.ZIP_DEFLATED, range(40, 60))):
+        with open(tmp_path / f"{name}.zip", "wb") as out, zipfile.ZipFile(Pipe(out) if name == "c" else out, "w", method) as z:
+            z.comment = b"[1, 2]" if name == "a" else b""
+            z.mkdir("folder")
+            for i in ids:
+                z.writestr(f"folder/{i}.png" if i % 2 else f"{i + 5}_{i}.png", media.to_png(texts[i].encode()))
+            z.writestr("cover.png", media.to_png(b"no id"))
+    df = media.read_archives(spark, f"file://{tmp_path}", listing=True, range_bytes=1500)
+    got = df.collect()
+    assert df.rdd.getNumPartitions() > 3
+    assert {r.doc_id: bytes(r.payload) for r in got if r.doc_id is not None} == {i: media.padded(t.encode()) for i, t in texts.items()}
+    assert len(got) == 63 and {r.n_bytes for r in got if r.doc_id is None} == {5}
+
+
 # --- 9 ---
 
 
+def test_languages_by_brute_force(spark, docs):
+    """Counts, backoff and posterior in plain Python over every document; all labelled rows fit into the sample here."""
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.select("doc_id", "text", "lang").collect()]
+    runs = lambda text: re.findall(r"[^\W\d_]+", (text or "").lower())
+    held = {i: zlib.crc32(str(i).encode()) % 4 == 2 for i, _, _ in rows}
+    counts = [{k: Counter() for k in {lang for _, _, lang in rows if lang}} for _ in range(5)]  # by n-gram size; 0: words
+    for i, text, lang in rows:
+        for w in runs(text) if lang and not held[i] else ():
+            counts[0][lang][w] += 1
+            for k in range(1, 5):
+                counts[k][lang].update(f"<{w}>"[j : j + k] for j in range(len(w) + 3 - k))
+    langs = sorted(counts[0])
+    kept = [{x for c in of.values() for x, n in c.items() if n >= 3} for of in counts]
+    total = [[sum(c[x] for x in known if c[x] >= 3) + 0.5 * len(known) for c in (of[lang] for lang in langs)] for of, known in zip(counts, kept, strict=True)]
+
+    def vector(k, x):
+        logs = [np.log((n if (n := counts[k][lang][x]) >= 3 else 0) + 0.5) - np.log(t) for lang, t in zip(langs, total[k], strict=True)]
+        return np.maximum(np.array(logs) - max(logs), -6.0)
+
+    def backoff(w):
+        if w in kept[0]:
+            return vector(0, w)
+        for k in (4, 3, 2, 1):
+            found = [vector(k, x) for j in range(len(w) + 3 - k) if (x := f"<{w}>"[j : j + k]) in kept[k]]
+            if found:
+                return np.mean(found, axis=0)
+        return np.zeros(len(langs))
+
+    memory, want = {}, {}
+    for i, text, _ in rows:
+        words_ = runs(text)
+        if not words_:
+            want[i] = ("und", 0.0)
+            continue
+        v = sum(memory.setdefault(w, backoff(w)) if w not in memory else memory[w] for w in words_)
+        want[i] = (langs[int(v.argmax())], float(1 / np.exp(v - v.max()).sum()))
+    got = langid.op9_word_backoff(spark, SF).collect()
+    assert len(got) == len(rows) and {r.doc_id: r.held_out for r in got} == held
+    assert all(r.lang_pred == want[r.doc_id][0] and abs(r.score - want[r.doc_id][1]) < 1e-3 for r in got)
+
+
+# --- 9, odd and held out ---
+
+
 def test_languages(spark, docs, odd):
     lang = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
     got = langid.op9_word_backoff(spark, SF).collect()
