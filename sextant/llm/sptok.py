@@ -8,7 +8,9 @@ what comes before, matrices combine associatively, and once the scan has told ev
 chunk finds its own pieces. No piece holds a space mark after another character, so at the beginning of a word all states
 become one and matrices stay small: from there on a chunk is the same whatever precedes it.
 
-Documents of up to CHUNK characters are a single chunk with known entry state; longer ones become rows, one per chunk.
+Documents of up to CHUNK characters are a single chunk with known entry state; longer ones become rows, one per chunk. The scan
+is a tree over them: products of SPAN neighbouring matrices, products of SPAN of those, and so on as often as the longest text
+needs; then the states at the borders are passed down, every node in a task of its own. No task holds more than SPAN matrices.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from .common import stored, table
 
 MARK = "▁"
 CHUNK = 32_768
+#: Neighbouring matrices that one task combines.
+SPAN = 16
 #: Words that a worker remembers before it starts anew.
 REMEMBERED = 800_000
 #: Words with so many equal first characters share the states up to there.
@@ -322,20 +326,53 @@ def combine(a: dict, b: dict) -> dict:
     return out
 
 
-def scan(matrices: list[dict]) -> list[tuple[tuple[int, str], tuple[int, str]]]:
-    """(entry, exit) states of every chunk on the best path, by a vector folded over them from the left and one pass back over the small matrices."""
-    vectors = [{FREE: 0.0}]
+def scan(matrices: list[dict], entry: tuple[int, str] = FREE, exit_: tuple[int, str] | None = None) -> list[tuple[tuple[int, str], tuple[int, str]]]:
+    """(entry, exit) states of every matrix on the best path from ``entry`` to ``exit_`` (None: the best), by vectors from the left and one pass back."""
+    vectors = [{entry: 0.0}]
     for m in matrices:
         vectors.append(combine({FREE: vectors[-1]}, m).get(FREE, {}))
-    state = max(vectors[-1], key=vectors[-1].get)
+    state = exit_ or max(vectors[-1], key=vectors[-1].get)
     out = []
     for v, m in zip(reversed(vectors[:-1]), reversed(matrices), strict=True):
-        entry = max((s for s in v if state in m.get(s, {})), key=lambda s: v[s] + m[s][state])
-        out.append((entry, state))
-        state = entry
+        before = max((s for s in v if state in m.get(s, {})), key=lambda s: v[s] + m[s][state])
+        out.append((before, state))
+        state = before
     return out[::-1]
 
 
+def dumped(matrix: dict) -> str:
+    return json.dumps([[s, list(row.items())] for s, row in matrix.items()])
+
+
+def loaded(matrix: str) -> dict:
+    return {tuple(a): {tuple(t): x for t, x in row} for a, row in json.loads(matrix)}
+
+
+def border_states(matrices: DataFrame, longest: int) -> DataFrame:
+    """(row, k, states) of stored (row, k, matrix): the states at both ends of every chunk, k from 0 to at most ``longest`` - 1.
+
+    Up the tree go products of ``SPAN`` neighbours, down it the states at their ends.
+    """
+
+    def multiplied(key, rows):
+        product = functools.reduce(combine, map(loaded, rows.sort_by("k").column("matrix").to_pylist()))
+        return pa.table({"row": rows["row"][:1], "k": pa.array([key[1].as_py()], pa.int32()), "matrix": [dumped(product)]})
+
+    def within(rows):
+        rows = rows.sort_by("k")
+        ends = [tuple(x) for x in json.loads(rows["above"][0].as_py())] if "above" in rows.column_names else []
+        states = scan([loaded(m) for m in rows["matrix"].to_pylist()], *ends)
+        return pa.table({"row": rows["row"], "k": rows["k"], "states": pa.array([json.dumps(s) for s in states], pa.string())})
+
+    out = "row long, k int, states string"
+    if longest <= SPAN:
+        return matrices.groupBy("row").applyInArrow(lambda rows: within(rows), out)
+    parts = matrices.withColumn("part", F.floor(F.col("k") / SPAN).cast("int"))
+    products = stored(parts.groupBy("row", "part").applyInArrow(multiplied, "row long, k int, matrix string"), "products")
+    above = border_states(products, -(-longest // SPAN)).select("row", F.col("k").alias("part"), F.col("states").alias("above"))
+    return parts.join(above, ["row", "part"]).groupBy("row", "part").applyInArrow(lambda rows: within(rows), out)
+
+
 @functools.lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
@@ -418,17 +455,11 @@ def encode(docs: DataFrame, model: str | None = None, chunk: int = CHUNK, id_col
         for batch in batches:
             got = []
             for k, last, at, part in zip(*(batch.column(c).to_pylist() for c in ("k", "last", "at", "part")), strict=True):
-                m = vocab.transfer(*bounds(k, at, part, k == last))
-                got.append(json.dumps([[s, list(row.items())] for s, row in m.items()]))
+                got.append(dumped(vocab.transfer(*bounds(k, at, part, k == last))))
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("k"), pa.array(got, pa.string())], ["row", "k", "matrix"])
 
-    def scanned(key, rows):
-        rows = rows.sort_by("k")
-        load = lambda s: {tuple(a): {tuple(t): x for t, x in row} for a, row in json.loads(s)}
-        states = scan([load(s) for s in rows.column("matrix").to_pylist()])
-        return pa.table({"row": rows.column("row"), "k": rows.column("k"), "states": pa.array([json.dumps(s) for s in states], pa.string())})
-
-    states = rows.mapInArrow(matrices, "row long, k int, matrix string").groupBy("row").applyInArrow(scanned, "row long, k int, states string")
+    longest = (rows.agg(F.max("last")).first()[0] or 0) + 1
+    states = border_states(stored(rows.mapInArrow(matrices, "row long, k int, matrix string"), "matrices"), longest)
 
     def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)

@@ -3,6 +3,7 @@
 import hashlib
 import io
 import itertools
+import json
 import os
 import random
 import re
@@ -105,6 +106,22 @@ def test_max_plus_product_is_associative():
         assert all(abs(x[i][j] - y[i][j]) < 1e-9 for i in x for j in x[i])
 
 
+@pytest.mark.parametrize("span", [2, 3, 16])
+def test_border_states_by_one_scan(spark, monkeypatch, span):
+    """The tree of products, of one to several levels, gives the states of one scan from the left."""
+    r = random.Random(span)
+    monkeypatch.setattr(sptok, "SPAN", span)
+    inner = [(i, c) for i in range(2) for c in "ab"]
+    chains = {}
+    for row, n in enumerate((1, 2, 3, 16, 17, 40)):
+        at = [[sptok.FREE], *([sptok.FREE, *inner] for _ in range(n))]
+        chains[row] = [{s: {t: float(r.randint(-10**6, 0)) for t in at[i + 1] if r.random() < 0.9 or t == sptok.FREE} for s in at[i]} for i in range(n)]
+    rows = [(row, k, sptok.dumped(m)) for row, ms in chains.items() for k, m in enumerate(ms)]
+    frame = spark.createDataFrame(rows, "row long, k int, matrix string").repartition(3)
+    got = {(x.row, x.k): tuple(map(tuple, json.loads(x.states))) for x in sptok.border_states(frame, 40).collect()}
+    assert got == {(row, k): s for row, ms in chains.items() for k, s in enumerate(sptok.scan(ms))}
+
+
 def test_joined_checksums():
     a, b = os.urandom(57), os.urandom(1001)
     assert sptok.crc_joined(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
