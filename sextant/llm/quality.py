@@ -9,8 +9,8 @@ is rejected when its squared Mahalanobis distance to its group's estimate, scale
 chi-square median, is over ``CUTOFF``.
 
 Order statistics come from counts in fine bins, found by coarse bins first, so a group of any size (a third of all rows in one
-source) only adds counters: no group is ever gathered in a task. The group table has a row per group; it is joined without a
-hint, so Spark broadcasts it only where its measured size allows and splits a hot group's join otherwise.
+source) only adds counters: no group is ever gathered in a task. The table of estimates has a few rows per group; up to
+``SMALL`` bytes, counted, it is broadcast and the documents stay where they are, beyond that both are dealt by group and salt.
 """
 
 from __future__ import annotations
@@ -42,6 +42,9 @@ BINS = 64
 #: Grid values, or bins, to a coarse bin.
 COARSE = 64
 ALL = "[]"
+#: Bytes of estimates that are broadcast at most (some 20,000 groups of short names), and the salts of a group beyond that.
+SMALL = 8 << 20
+SALTS = 32
 
 
 def with_statistics(docs: DataFrame, text: Column) -> DataFrame:
@@ -163,9 +166,19 @@ def _distance(rows: DataFrame) -> DataFrame:
     return rows.selectExpr("*", " + ".join(f"{x} * {x}" for x in z) + " AS _d2")
 
 
+def _beside(rows: DataFrame, params: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` with the estimates of their ``_key``, whatever the number of groups and the share of rows in one."""
+    size = F.sum(F.octet_length("_key") + 8 * len(params.columns))
+    if params.agg(F.coalesce(size, F.lit(0))).first()[0] <= SMALL:
+        return rows.join(F.broadcast(params), "_key", how)
+    dealt = params.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    return salted.join(dealt, ["_key", "_salt"], how).drop("_salt")
+
+
 def _binned(rows: DataFrame, params: DataFrame) -> DataFrame:
     keep = ["_key", "_start", *STATS]
-    return _distance(rows.join(params, "_key")).select(*keep, F.floor(F.log1p("_d2") * BINS).cast("int").alias("_bin"))
+    return _distance(_beside(rows, params)).select(*keep, F.floor(F.log1p("_d2") * BINS).cast("int").alias("_bin"))
 
 
 def _concentrated(rows: DataFrame, params: DataFrame, used: list[DataFrame]) -> DataFrame:
@@ -222,7 +235,7 @@ def fitted(stats: DataFrame) -> DataFrame:
 
 def verdicts(rows: DataFrame, fit: DataFrame) -> DataFrame:
     """``rows`` (lang, source, statistics, base_failed) with ``kept``; without any row that passes the limits there is no estimate, and nothing is kept anyway."""
-    out = _distance(rows.withColumn("_key", _own()).join(fit, "_key", "left"))
+    out = _distance(_beside(rows.withColumn("_key", _own()), fit, "left"))
     kept = ~F.col("base_failed") & F.coalesce(F.col("_d2") * F.col("_scale") <= CUTOFF, F.lit(True))
     return out.withColumn("kept", kept)
 

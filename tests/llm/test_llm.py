@@ -219,6 +219,20 @@ def test_the_smallest_determinant_counts(spark):
     assert all(got[i] == (i < 1000) for i in texts)
 
 
+def test_estimates_too_large_to_broadcast(spark, monkeypatch):
+    """The same rows when estimates are dealt with the documents, one group holding most of them."""
+    r = random.Random(9)
+    texts = ["\n".join(" ".join(f"w{r.randint(0, 900)}" for _ in range(10)) for _ in range(r.randint(4, 9))) for _ in range(120)]
+    rows = [(i, t, "en", "hot" if i % 4 else f"s{i % 3}") for i, t in enumerate([*texts, *texts[:30], None, ""])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3, "doc_id")
+    seen = lambda: sorted(quality.quality(docs).collect(), key=lambda x: x.doc_id)
+    want = seen()
+    monkeypatch.setattr(quality, "SMALL", -1)
+    got = seen()
+    assert len(want) == len(rows) and [x[:-1] for x in got] == [x[:-1] for x in want]
+    assert np.allclose([x.distance or 0 for x in got], [x.distance or 0 for x in want], rtol=1e-6)
+
+
 def test_quality_keeps_good_documents(spark, docs):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     rows = [r for r in quality.quality(docs).collect() if not r.base_failed and r.doc_id in labels]
