@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import langid, media, minhash, packing, pii, quality, sharding, sptok, toxicity, urlfilter
+from . import bloomdedup, langid, media, merkle, minhash, packing, pii, quality, sharding, sptok, toxicity, urlfilter, whitening
 
-MODULES = [sptok, quality, pii, toxicity, urlfilter, packing, sharding, media, langid, minhash]
+MODULES = [sptok, quality, pii, toxicity, urlfilter, packing, sharding, media, langid, minhash, whitening, bloomdedup, merkle]
 
 
 def queries() -> dict:
