@@ -11,11 +11,12 @@ from pyspark.sql import Window as W
 from .functions import text as T
 from .functions.ontology import GROUPS
 from .operators import graph as G
-from .operators import fetch, ingest, offline, questions, records
+from .operators import fetch, fulltext, gazetteer, index, ingest, jsonfix, offline, pages, questions, records
 from .operators import retrieval as R
 from .plans.graph import GRAPH_SQL, graph
-from .session import settled, table
-from .streaming import windows
+from .session import scratch, settled, table
+from .sources import graphstore, nodesource
+from .streaming import arrivals, windows
 
 TARGETS = ["AFRICA", "NATION_3"]
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,8 +150,8 @@ def resume_pending(spark, sf):
 
 
 @query("""
-WITH done AS (SELECT coalesce(max(doc_id // 500), -1) AS last FROM labels)
-SELECT d.doc_id, (last + 1 + (row_number() OVER (ORDER BY d.doc_id) - 1) // 500)::BIGINT AS batch FROM documents d, done WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)""")
+WITH done AS (SELECT ceil(count(DISTINCT doc_id) / 500.0)::BIGINT AS batches FROM labels)
+SELECT d.doc_id, (batches + (row_number() OVER (ORDER BY d.doc_id) - 1) // 500)::BIGINT AS batch FROM documents d, done WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)""")
 def resume_next_batch(spark, sf):
     return ingest.next_batches(table(spark, sf, "documents"), table(spark, sf, "labels"), "doc_id", 500)
 
@@ -255,11 +256,12 @@ def edge_group_update(spark, sf):
 
 
 @query(f"""
-WITH {GRAPH_SQL}, new AS (SELECT 'C'||(doc_id // 2) AS node_id, min(lang) AS lbl FROM documents GROUP BY 1 UNION ALL SELECT 'L'||lang, lang FROM documents GROUP BY 2)
-SELECT coalesce(n.node_id, w.node_id) AS node_id, coalesce(w.lbl, n.qidLabel) AS label FROM nodes n FULL JOIN new w ON w.node_id = n.node_id""")
+WITH {GRAPH_SQL}, new AS (SELECT 'C'||(doc_id // 2) AS node_id, min(lang) AS lbl, count(*) AS docs FROM documents GROUP BY 1 UNION ALL SELECT 'L'||lang, lang, NULL FROM documents GROUP BY 2)
+SELECT coalesce(n.node_id, w.node_id) AS node_id, coalesce(w.lbl, n.qidLabel) AS label, w.docs FROM nodes n FULL JOIN new w ON w.node_id = n.node_id""")
 def graph_upsert_nodes(spark, sf):
     d = table(spark, sf, "documents")
-    new = d.groupBy(F.concat(F.lit("C"), F.expr("doc_id div 2")).alias("node_id")).agg(F.min("lang").alias("label")).union(d.select(F.concat(F.lit("L"), "lang"), "lang").distinct())
+    new = d.groupBy(F.concat(F.lit("C"), F.expr("doc_id div 2")).alias("node_id")).agg(F.min("lang").alias("label"), F.count(F.lit(1)).alias("docs"))
+    new = new.union(d.select(F.concat(F.lit("L"), "lang"), "lang", F.lit(None).cast("long")).distinct())
     return G.upsert(graph(spark, sf).nodes.select("node_id", F.col("qidLabel").alias("label")), new, ["node_id"])
 
 
@@ -556,10 +558,11 @@ def translate_predicates(spark, sf):
 
 @query(r"""
 WITH d AS (SELECT md5(text) AS source, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents WHERE regexp_replace(text, '\s+', '', 'g') <> '')
-SELECT w[1] AS src, w[2] AS dst, 'NEXT' AS type FROM d WHERE len(w) > 1 UNION SELECT source, w[1], 'MENTIONS' FROM d UNION SELECT source, w[2], 'MENTIONS' FROM d WHERE len(w) > 1""")
+SELECT w[1] AS src, 'Word' AS src_label, w[2] AS dst, 'Word' AS dst_label, 'NEXT' AS type FROM d WHERE len(w) > 1
+UNION SELECT source, 'Document', w[1], 'Word', 'MENTIONS' FROM d UNION SELECT source, 'Document', w[2], 'Word', 'MENTIONS' FROM d WHERE len(w) > 1""")
 def graph_document_edges(spark, sf):
     docs = fetch.extracted(table(spark, sf, "documents").select("doc_id", "text"), offline.first_words)
-    return G.graph_documents(docs)[1].select("src", "dst", "type")
+    return G.graph_documents(docs)[1]
 
 
 @query("""
@@ -652,6 +655,53 @@ def search_answers(spark, sf):
     return c.select("conv_id", "turn", records.found_text(results, F.col("role")).alias("answer"))
 
 
+# --- indexes ----------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_sim_sql('s', 0)} {_TOP.format('s', 50)}")
+def vector_index_topk(spark, sf):
+    e = table(spark, sf, "embeddings")
+    request = e.filter("vec_id = 0").select("embedding").first()
+    return index.search_index(index.build_index(e), request["embedding"] if request else [], 50, probes=4, exact=True)
+
+
+@query("""
+WITH s AS (SELECT q.vec_id AS req_id, e.vec_id, round(list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0)
+SELECT req_id, vec_id, score, row_number() OVER (PARTITION BY req_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s QUALIFY rank <= 10""")
+def batch_topk(spark, sf):
+    e = table(spark, sf, "embeddings")
+    return index.batch_top_k(e, e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("req_id"), "embedding"), 10)
+
+
+_NAMES_SQL = r"SELECT DISTINCT name FROM (SELECT unnest([id, qidLabel]) AS name FROM nodes WHERE list_contains(labels, '__Entity__') UNION ALL SELECT unnest(regexp_split_to_array(text, '[.,\n]+')) FROM benchmark) WHERE name IS NOT NULL"
+
+
+@query(rf"""
+WITH {GRAPH_SQL}, names AS ({_NAMES_SQL}), k AS (SELECT name, regexp_extract_all(lower(name), '[\p{{L}}\p{{N}}_]+') AS key FROM names),
+known AS (SELECT name AS location, key[1] AS f, array_to_string(key, ' ') AS key, len(key) AS n FROM k WHERE len(key) > 0 AND array_to_string(key, ' ') NOT IN ('city', 'region', 'country')),
+t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS w FROM documents WHERE text IS NOT NULL),
+places AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM t), lens AS (SELECT DISTINCT f, n FROM known),
+runs AS (SELECT doc_id, array_to_string(w[i:i + n - 1], ' ') AS key FROM places JOIN lens ON w[i] = f WHERE i + n - 1 <= len(w))
+SELECT doc_id AS id, location, count(*) AS n FROM runs JOIN known USING (key) GROUP BY 1, 2""")
+def location_mentions(spark, sf):
+    entities = graph(spark, sf).nodes.filter(F.array_contains("labels", "__Entity__")).select(F.explode(F.array("id", "qidLabel")).alias("name"))
+    phrases = table(spark, sf, "benchmark").select(F.explode(F.split("text", r"[.,\n]+")).alias("name"))
+    return gazetteer.mentions(table(spark, sf, "documents"), entities.union(phrases).filter("name IS NOT NULL"))
+
+
+_FUZZY = ["thare", "ands", "tionatthe"]
+
+
+@query(rf"""
+WITH t AS (SELECT doc_id AS node_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS token FROM documents),
+d AS (SELECT node_id, word, levenshtein(regexp_replace(token, '[^\x01-\x7F]', '~', 'g'), word) AS d FROM t, (VALUES {', '.join(f"('{w}')" for w in _FUZZY)}) AS q(word)),
+p AS (SELECT node_id, word, count(*) AS hits, min(d) AS edits FROM d WHERE d <= 2 GROUP BY 1, 2)
+SELECT node_id, sum(hits)::BIGINT AS hits, sum(edits)::BIGINT AS edits FROM p GROUP BY 1 HAVING count(*) = {len(_FUZZY)}""")
+def fuzzy_index_search(spark, sf):
+    words = spark.createDataFrame([(w,) for w in _FUZZY], "word string")
+    return fulltext.search(fulltext.build(table(spark, sf, "documents"), "doc_id", ["text"]), words)
+
+
 # --- records ----------------------------------------------------------------------------------------------------------
 
 
@@ -662,17 +712,100 @@ def state_reducers(spark, sf):
 
 
 @query(r"""
-WITH raw AS (SELECT event_id, props FROM events UNION ALL SELECT * FROM (VALUES (-1, '{"k": 1,}'), (-2, ''), (-3, NULL), (-4, 'nothing')) AS t(a, b)),
-fix AS (SELECT event_id, CASE WHEN json_valid(props) AND NOT regexp_matches(props, ',\s*[}\]]') THEN props WHEN json_valid(regexp_replace(props, ',\s*([}\]])', '\1', 'g')) THEN regexp_replace(props, ',\s*([}\]])', '\1', 'g') ELSE '{}' END AS js FROM raw)
-SELECT event_id::BIGINT AS event_id, js AS repaired, (js ->> '$.k')::BIGINT AS k FROM fix""")
+SELECT event_id, props AS repaired, CASE WHEN event_id % 7 IN (0, 6) THEN 'whole' ELSE 'mended' END AS way, (props ->> '$.k')::BIGINT AS k FROM events
+UNION ALL SELECT event_id, '{}', 'nothing', NULL FROM (SELECT -event_id - 1 AS event_id FROM events WHERE event_id % 1000 = 0)""")
 def json_repair(spark, sf):
-    bad = spark.createDataFrame([(-1, '{"k": 1,}'), (-2, ""), (-3, None), (-4, "nothing")], "event_id long, props string")
-    return records.repaired(table(spark, sf, "events").select("event_id", "props").union(bad))
+    e = table(spark, sf, "events").select("event_id", "props")
+    broken = F.expr("""CASE event_id % 7 WHEN 1 THEN left(props, length(props) - 1) WHEN 2 THEN translate(props, '"', "'") WHEN 3 THEN replace(props, '}', ',}')
+        WHEN 4 THEN translate(props, '"', '') WHEN 5 THEN concat('Here it is: ', props, ' Anything else?') ELSE props END""")
+    none = e.filter("event_id % 1000 = 0").select((-F.col("event_id") - 1).alias("event_id"), F.lit("nothing").alias("props"))
+    out = jsonfix.repaired(e.select("event_id", broken.alias("props")).union(none), "props")
+    return out.select("event_id", "repaired", "way", F.get_json_object("repaired", "$.k").try_cast("long").alias("k"))
 
 
-@query()
+@query("""
+SELECT doc_id, CASE WHEN text <> '' THEN list_transform(range(16), lambda i: (('0x' || substr(sha256(text), (2 * i + 1)::BIGINT, 2))::INTEGER / 255.0::DOUBLE)::FLOAT) ELSE []::FLOAT[] END AS embedding,
+  CASE WHEN text <> '' THEN 'ok' ELSE 'empty' END AS status FROM documents d WHERE text IS NOT NULL AND NOT EXISTS (SELECT 1 FROM embeddings e WHERE e.vec_id = d.doc_id)""")
 def embed_backfill(spark, sf):
-    return ingest.backfilled(table(spark, sf, "documents"), table(spark, sf, "embeddings"))
+    """Documents with a text come through the graph source, which both predicates are pushed to."""
+    path = scratch(spark, "graph-nodes")
+    graph(spark, sf).nodes.select("node_id", F.element_at("labels", 1).alias("label"), "text").write.parquet(path)
+    docs = nodesource.read_graph(spark, path).filter("label = 'Document' AND text IS NOT NULL")
+    docs = docs.select(F.substring("node_id", 2, 20).cast("long").alias("doc_id"), "text")
+    return ingest.backfilled(docs, table(spark, sf, "embeddings"))
+
+
+_STORED = "SELECT lang AS label, 'L'||(doc_id % 200) AS id, min(source) AS source FROM documents WHERE lang IS NOT NULL GROUP BY 1, 2"
+
+
+@query(f"""
+WITH old AS ({_STORED}), new AS (SELECT lang AS label, 'L'||(doc_id % 300) AS id, count(*) AS docs, max(n_chars) AS longest FROM documents WHERE lang = 'en' OR doc_id % 7 = 0 GROUP BY 1, 2),
+merged AS (SELECT coalesce(o.label, n.label) AS label, coalesce(o.id, n.id) AS id, source, docs, longest FROM old o FULL JOIN new n ON o.label = n.label AND o.id = n.id)
+SELECT * FROM merged WHERE label IS NOT NULL AND NOT (id = 'L7' AND label = 'en')""")
+def graph_store_upsert(spark, sf):
+    """Equal ids of several labels; new properties; a delete that leaves the same id of other labels."""
+    d = table(spark, sf, "documents")
+    old = d.filter("lang IS NOT NULL").groupBy(F.col("lang").alias("label"), F.concat(F.lit("L"), F.col("doc_id") % 200).alias("id")).agg(F.min("source").alias("source"))
+    new = d.filter("lang = 'en' OR doc_id % 7 = 0").groupBy(F.col("lang").alias("label"), F.concat(F.lit("L"), F.col("doc_id") % 300).alias("id")).agg(F.count(F.lit(1)).alias("docs"), F.max("n_chars").alias("longest"))
+    store = graphstore.node_table(spark, old)
+    store.upsert(new)
+    store.delete(spark.createDataFrame([("en", "L7")], "label string, id string"))
+    return store.rows()
+
+
+_OUTCOME = "qid string, website string, status string, reason string, words int"
+
+
+@query(r"""
+WITH p AS (SELECT 'P'||page_id AS qid, url AS website, len(list_filter(regexp_split_to_array(regexp_replace(html, '(?s)<[^>]*>', ' ', 'g'), '\s+'), lambda x: x <> ''))::INTEGER AS n FROM pages)
+SELECT qid, website, CASE WHEN n >= 60 THEN 'ok' ELSE 'fail' END AS status, CASE WHEN n >= 60 THEN NULL ELSE 'too_short_or_empty' END AS reason, CASE WHEN n >= 60 THEN n END AS words FROM p""")
+def crawl_incremental(spark, sf):
+    """The pages arrive in files; a run that sees some of them, and one that goes on after it, store each result once."""
+    at = scratch(spark, "crawl")
+    p = table(spark, sf, "pages")
+    work = lambda rows: ingest.outcomes(rows.select(F.col("page_id"), "url", "html"), 60).select(F.concat(F.lit("P"), "page_id").alias("qid"), "website", "status", "reason", "words")
+    for half in (0, 1):
+        p.filter(F.col("page_id") % 2 == half).withColumn("qid", F.concat(F.lit("P"), "page_id")).repartition(2, "page_id").write.mode("append").parquet(f"{at}/in")
+        run = arrivals.incremental(spark, f"{at}/in", "page_id long, url string, html string, qid string", work, f"{at}/out", _OUTCOME, f"{at}/checkpoint", files_at_once=2)
+        run.awaitTermination()
+    return arrivals.results(spark, f"{at}/out", _OUTCOME)
+
+
+# --- pages ------------------------------------------------------------------------------------------------------------
+
+
+@query()
+def page_main_text(spark, sf):
+    return pages.main_texts(table(spark, sf, "pages"))
+
+
+_SUFFIXES = ["com", "net", "org", "example.net", "*.example.org", "!spam-farm.example.org"]
+
+
+@query(r"""
+WITH h AS (SELECT page_id, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)), '') AS host FROM pages), l AS (SELECT *, string_split(host, '.') AS l FROM h),
+s AS (SELECT *, CASE WHEN host IS NULL THEN NULL WHEN array_to_string(l[-3:], '.') = 'spam-farm.example.org' THEN 2 WHEN array_to_string(l[-2:], '.') = 'example.org' AND len(l) > 2 THEN 3
+  WHEN array_to_string(l[-2:], '.') = 'example.net' THEN 2 ELSE 1 END AS n FROM l)
+SELECT page_id, host, array_to_string(l[-n:], '.') AS suffix, CASE WHEN n < len(l) THEN array_to_string(l[-(n + 1):], '.') END AS domain FROM s""")
+def url_registered_domain(spark, sf):
+    rules = spark.createDataFrame([(r,) for r in _SUFFIXES], "rule string")
+    return pages.registered_domains(table(spark, sf, "pages"), rules)
+
+
+@query(r"""
+WITH u AS (SELECT page_id, url, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) AS host, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)', 1) AS p FROM pages),
+r AS (SELECT *, length(host) % 3 = 0 AS mine, CASE WHEN starts_with(p, '/') THEN p ELSE '/'||p END AS path FROM u)
+SELECT page_id, url, CASE WHEN mine THEN CASE WHEN regexp_matches(path, '\.html$') THEN '/*.html$' WHEN starts_with(path, '/en/') THEN '/en/' END
+  ELSE CASE WHEN regexp_matches(path, '^/.*\?page=') AND NOT starts_with(path, '/fr/') THEN '/*?page=' WHEN starts_with(path, '/fr/') AND regexp_matches(path, '^/fr/.*page') THEN '/fr/*page' WHEN starts_with(path, '/de/') THEN '/de/' END END AS rule,
+  CASE WHEN mine THEN NOT starts_with(path, '/en/') OR regexp_matches(path, '\.html$')
+  ELSE CASE WHEN starts_with(path, '/fr/') AND regexp_matches(path, '^/fr/.*page') THEN true WHEN regexp_matches(path, '^/.*\?page=') THEN false ELSE NOT starts_with(path, '/de/') END END AS allowed FROM r""")
+def robots_verdicts(spark, sf):
+    """Robots files of two kinds by host: one that names the agent and one for all."""
+    p = table(spark, sf, "pages").select("page_id", "url")
+    named = "User-agent: *\nDisallow: /\n\nUser-Agent: Other\nuser-agent: Sextant # us\nDisallow: /en/\nAllow: /*.html$\nCrawl-delay: 2\n"
+    general = "# all\nUser-agent: *\nDisallow: /de/\nDisallow: /*?page=\nAllow: /fr/*page\nDisallow:\n"
+    files = p.select(T.host(F.col("url")).alias("host")).distinct().withColumn("text", F.when(F.length("host") % 3 == 0, named).otherwise(general))
+    return pages.robots_verdicts(p, pages.robots_rules(files), "sextant")
 
 
 @query(f"WITH {_DOCS} SELECT qid, sum(100 - rank)::BIGINT AS points FROM vec WHERE rank <= 100 AND qid IS NOT NULL GROUP BY 1")

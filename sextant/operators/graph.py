@@ -134,8 +134,11 @@ def one_a_key(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], on_create: tuple[str, ...] = ()) -> DataFrame:
-    """MERGE by key: new non-null values replace old ones, unmatched rows of both sides stay. Of several new rows of a key the
-    greatest counts. Columns of ``on_create`` are set on rows that are made here only."""
+    """MERGE by key: new non-null values replace old ones, unmatched rows of both sides stay. Properties that only ``new`` has are
+    added, null in rows that it lacks. Of several new rows of a key the greatest counts. Columns of ``on_create`` are set on rows
+    that are made here only. Keys that are null never match, as in an equality."""
+    added = [c for c in new.columns if c not in old.columns]
+    old = old.withColumns({c: F.lit(None).cast(new.schema[c].dataType) for c in added})
     values = [c for c in old.columns if c not in keys]
     fresh = one_a_key(new, keys).select(*keys, *[F.col(c).alias(f"_new_{c}") if c in new.columns else F.lit(None).alias(f"_new_{c}") for c in values])
     both = old.withColumn("_old", F.lit(True)).join(fresh, keys, "full")
@@ -144,11 +147,12 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], on_create: tuple[str
 
 
 def update(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Sets properties of matched rows only; unmatched new rows are ignored."""
+    """Sets properties of matched rows only, also ones that they did not have; unmatched new rows are ignored."""
     values = [c for c in new.columns if c not in keys]
     fresh = one_a_key(new, keys).select(*keys, *[F.col(c).alias(f"_new_{c}") for c in values])
     out = old.join(fresh, keys, "left")
-    return out.select(*[F.coalesce(f"_new_{c}", c).alias(c) if c in values else F.col(c) for c in old.columns])
+    own = [F.coalesce(f"_new_{c}", c).alias(c) if c in values else F.col(c) for c in old.columns]
+    return out.select(*own, *[F.col(f"_new_{c}").alias(c) for c in values if c not in old.columns])
 
 
 def detach_delete(g: Graph, doomed: DataFrame) -> Graph:
@@ -183,9 +187,25 @@ def attached(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def graph_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of extracted documents (nodes, relationships, text): one node per (type, id), one source per text, MENTIONS from source to node."""
-    source = docs.withColumn("source_id", F.md5("text"))
+    """Nodes (id, label) and edges (src, src_label, dst, dst_label, type) of extracted documents (nodes, relationships, text).
+
+    A node is its label and its id, and so is either end of an edge: City Paris and Person Paris stay two. A relationship names
+    its ends by id; the labels are those that the same document gives the id, one edge for each, and ``Node`` where it gives none.
+    A source is one Document node, named by ``id`` of ``docs``' metadata map where it has one, else by its text's checksum;
+    MENTIONS leads from it to each of its nodes.
+    """
+    own = F.md5("text")
+    if "metadata" in docs.columns:
+        own = F.coalesce(F.nullif(F.try_element_at("metadata", F.lit("id")), F.lit("")), own)
+    source = docs.withColumn("source_id", own)
     nodes = source.select("source_id", F.explode("nodes").alias("n")).select("source_id", F.col("n.id").alias("id"), F.col("n.type").alias("label"))
-    rels = source.select(F.explode("relationships").alias("r")).select(F.col("r.source").alias("src"), F.col("r.target").alias("dst"), F.col("r.type").alias("type"))
+    # both lists belong to one document, so the labels of an end are looked up within its row
+    labels = lambda end: F.filter(F.col("nodes"), lambda n: n["id"] == end)
+    known = lambda end: F.when(F.size(labels(end)) > 0, F.array_distinct(F.transform(labels(end), lambda n: n["type"]))).otherwise(F.array(F.lit("Node")))
+    rels = source.select("nodes", F.explode("relationships").alias("r"))
+    rels = rels.select("r", F.explode(known(F.col("r.source"))).alias("src_label"), F.col("nodes")).select("r", "src_label", F.explode(known(F.col("r.target"))).alias("dst_label"))
+    rels = rels.select(F.col("r.source").alias("src"), "src_label", F.col("r.target").alias("dst"), "dst_label", F.col("r.type").alias("type"))
+    told = nodes.select(F.col("source_id").alias("src"), F.lit("Document").alias("src_label"), F.col("id").alias("dst"), F.col("label").alias("dst_label"), F.lit("MENTIONS").alias("type"))
     ends = source.select(F.col("source_id").alias("id"), F.lit("Document").alias("label")).union(nodes.select("id", "label"))
-    return ends.dropDuplicates(["label", "id"]), rels.union(nodes.select(F.col("source_id"), F.col("id"), F.lit("MENTIONS"))).dropDuplicates(["src", "dst", "type"])
+    ends = ends.union(rels.select("src", "src_label")).union(rels.select("dst", "dst_label"))
+    return ends.dropDuplicates(["label", "id"]), rels.union(told).dropDuplicates(["src", "src_label", "dst", "dst_label", "type"])

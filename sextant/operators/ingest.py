@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import word_count
+from .order import positions
 
 
 class _Blocks(HTMLParser):
@@ -170,16 +171,18 @@ def pending(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return rows.join(done.select(key).distinct(), key, "left_anti").select(*rows.columns)
 
 
-def next_batches(rows: DataFrame, done: DataFrame, key: str, size: int) -> DataFrame:
+def next_batches(rows: DataFrame, done: DataFrame, key: str, size: int, batch_col: str | None = None) -> DataFrame:
     """(key, batch) of pending rows: batches of ``size`` rows by position, numbered on from the last finished batch.
 
-    ``key`` is an integer; gaps in it leave no batch short.
+    That is the largest number in ``batch_col`` of ``done`` if there is one; else ``done`` is taken to fill batches from 0 on, as
+    many as its keys need. Gaps in the keys leave no batch short and no number out.
     """
-    from .fetch import numbered
-
-    last = done.agg(F.coalesce(F.max(F.expr(f"{key} div {size}")), F.lit(-1)).alias("_last"))
-    todo = numbered(pending(rows.select(key), done, key), key, size)
-    return todo.crossJoin(F.broadcast(last)).select(key, (F.col("_last") + 1 + F.col("_batch")).alias("batch"))
+    if batch_col:
+        first = done.agg((F.coalesce(F.max(batch_col), F.lit(-1)) + 1).alias("_first"))
+    else:
+        first = done.agg(F.ceil(F.count_distinct(key) / F.lit(size)).alias("_first"))
+    todo = positions(pending(rows.select(key), done, key), [key], name="_at")
+    return todo.crossJoin(F.broadcast(first)).select(key, (F.col("_first") + F.floor(F.col("_at") / size)).cast("long").alias("batch"))
 
 
 def complete(rows: DataFrame, *columns: str) -> DataFrame:

@@ -39,11 +39,17 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _SETTLED.setdefault(sc, [tempfile.mkdtemp(prefix="sextant-")])[0]
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which ``forget`` deletes."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _SETTLED.setdefault(spark.sparkContext, [None]).append(path)
+    return path
+
+
 def settled(df: DataFrame) -> DataFrame:
     """A small result computed once and kept as Parquet in the shared folder: plans over it stay small and know its size."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
-    _SETTLED.setdefault(spark.sparkContext, [None]).append(path)
+    path = scratch(spark, "settled")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

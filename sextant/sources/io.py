@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -37,12 +38,22 @@ def write(df: DataFrame, path: str, kind: str | None = None, mode: str = "overwr
     (w.option("maxRecordsPerFile", per_file) if per_file else w).format(kind).save(path)
 
 
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of a state's complete versions, the newest first."""
+    found = [int(n[1:]) for n in names_in(spark, path) if n.startswith("v") and n[1:].isdigit()]
+    return sorted((n for n in found if exists(spark, f"{path.rstrip('/')}/v{n}/_SUCCESS")), reverse=True)
+
+
 def state(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A progress table; empty if it does not exist yet."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
+    """A progress table: its newest complete version that can be read; empty if there is none."""
+    for n in _versions(spark, path):
+        rows = spark.read.schema(schema).parquet(f"{path.rstrip('/')}/v{n}")
+        try:
+            rows.agg(*[F.max(F.xxhash64(c)) for c in rows.columns]).first()  # all pages of a small table
+            return rows
+        except (AnalysisException, Py4JJavaError, PySparkException):  # cut short or no Parquet at all
+            continue
+    return spark.createDataFrame([], schema)
 
 
 def graph_batches(spark: SparkSession, path: str) -> DataFrame:
@@ -58,6 +69,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder; none if it is not there."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+
+
 def graph_batches_of(spark: SparkSession, folders: list[str]) -> DataFrame:
     """``graph_batches`` of several folders, ordered by folder and file name; missing folders are skipped, none at all is an error."""
     there = [f for f in folders if exists(spark, f)]
@@ -104,9 +122,7 @@ def append_part(df: DataFrame, folder: str, per_file: int = 50_000) -> str:
     """``df`` as the next numbered part below ``folder``: a folder of snappy files of up to 50,000 rows; an earlier part is never
     touched, so a run that was cut short goes on after the last whole one."""
     spark = df.sparkSession
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+    names = names_in(spark, folder)
     path = f"{folder}/part_{next_part(spark.createDataFrame([(n,) for n in names], 'name string')):05d}"
     write(df, path, "parquet", "error", per_file)
     return path
@@ -117,10 +133,12 @@ def append_batch(df: DataFrame, folder: str, batch: int) -> None:
     df.write.mode("overwrite").parquet(f"{folder}/graph_docs_batch_{batch}")
 
 
-def replace_state(df: DataFrame, path: str) -> None:
-    """Overwrites a state table, also with a DataFrame that reads it: the new rows are complete before the old ones go."""
-    fresh = f"{path.rstrip('/')}.new"
-    write(df, fresh, "parquet")
-    write(df.sparkSession.read.schema(df.schema).parquet(fresh), path, "parquet")
-    p = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(fresh)
-    p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def replace_state(df: DataFrame, path: str, keep: int = 2) -> None:
+    """Writes a state table's next version, also from a DataFrame that reads it, and deletes all but the newest ``keep``. A
+    version counts when its writer has finished; until then, also after a crash, readers see the one before."""
+    spark = df.sparkSession
+    newest = max([int(n[1:]) for n in names_in(spark, path) if n.startswith("v") and n[1:].isdigit()], default=-1)
+    write(df, f"{path.rstrip('/')}/v{newest + 1}", "parquet", "error")
+    for n in _versions(spark, path)[keep:]:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/v{n}")
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -98,6 +98,9 @@ def test_writes(spark):
     new = spark.createDataFrame([("2", "B"), ("2", "B"), ("3", "C")], "k string, v string")
     assert sorted(map(tuple, G.upsert(old, new, ["k"]).collect())) == [("1", "a", "x"), ("2", "B", None), ("3", "C", None)]
     assert sorted(map(tuple, G.update(old, new, ["k"]).collect())) == [("1", "a", "x"), ("2", "B", None)]
+    more = spark.createDataFrame([("2", "B", 7)], "k string, v string, fresh int")
+    assert sorted(map(tuple, G.upsert(old, more, ["k"]).collect())) == [("1", "a", "x", None), ("2", "B", None, 7)]
+    assert sorted(map(tuple, G.update(old, more, ["k"]).collect())) == [("1", "a", "x", None), ("2", "B", None, 7)]
     again = G.upsert(G.upsert(old, new, ["k"]), new, ["k"])
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, G.upsert(old, new, ["k"]).collect()))
 
@@ -223,7 +226,7 @@ def test_crawl_reasons(spark):
     assert {r.qid for r in first} == {"a", "b"} and {r.qid for r in fetch.first_rows(rows, 0, "qid").collect()} == set("abcdefg")
 
 
-def test_robots_and_sniffing():
+def test_robots_and_sniffing(spark):
     loads = []
 
     def load(url):
@@ -234,7 +237,8 @@ def test_robots_and_sniffing():
 
     ok = fetch.robots_allow(load, "crawler")
     assert ok("http://a/x") and not ok("http://a/private/1") and ok("http://broken/private") and len(loads) == 2
-    assert [fetch.looks_like(*x) for x in ((b"%PDF-1", "u"), (b"x", "http://a/X.PDF"), (b" <p>", "u"), (b"none", "u"))] == ["pdf", "pdf", "html", ""]
+    kinds = spark.createDataFrame([(0, bytearray(b"%PDF-1"), "u"), (1, bytearray(b"x"), "http://a/X.PDF"), (2, bytearray(b" <p>"), "u"), (3, bytearray(b"none"), "u"), (4, bytearray(b"\xff\xfe<"), "u")], "i int, c binary, u string")
+    assert [r.k for r in kinds.orderBy("i").select(fetch.kind_of(F.col("c"), F.col("u")).alias("k")).collect()] == ["pdf", "pdf", "html", None, "html"]
     assert fetch.guessed_language("der Hund und die Katze") == "de" and fetch.guessed_language("xyz") is None
 
 
@@ -274,6 +278,25 @@ def test_graph_documents_and_extraction(spark):
     assert nodes.filter("label = 'Document'").count() == 1 and edges.count() == 3
 
 
+def test_equal_ids_of_two_labels_stay_two(spark):
+    docs = spark.createDataFrame(
+        [("t1", [("Paris", "City"), ("Paris", "Person")], [("Paris", "Seine", "AT")], {"id": "src 1"}), ("t2", [("Paris", "City"), ("Seine", "River")], [("Paris", "Seine", "AT")], {})],
+        "text string, nodes array<struct<id:string,type:string>>, relationships array<struct<source:string,target:string,type:string>>, metadata map<string,string>")
+    nodes, edges = G.graph_documents(docs)
+    assert {tuple(r) for r in nodes.collect() if r.label != "Document"} == {("Paris", "City"), ("Paris", "Person"), ("Seine", "River"), ("Seine", "Node")}
+    got = {tuple(r) for r in edges.collect()}
+    assert {e for e in got if e[4] == "AT"} == {("Paris", "City", "Seine", "Node", "AT"), ("Paris", "Person", "Seine", "Node", "AT"), ("Paris", "City", "Seine", "River", "AT")}
+    assert {e[2:4] for e in got if e[:2] == ("src 1", "Document")} == {("Paris", "City"), ("Paris", "Person")}
+
+
+def test_next_batches_go_on_from_the_last(spark):
+    rows = spark.createDataFrame([(k,) for k in (0, 1, 5, 6, 1000, 2000, 7000)], "k long")
+    done = spark.createDataFrame([(0, 0), (1000, 0), (2000, 1)], "k long, b long")
+    for more in ({}, {"batch_col": "b"}):
+        assert sorted(map(tuple, ingest.next_batches(rows, done, "k", 2, **more).collect())) == [(1, 2), (5, 2), (6, 3), (7000, 3)]
+    assert sorted(map(tuple, ingest.next_batches(rows, done.limit(0), "k", 4).collect()))[:5] == [(0, 0), (1, 0), (5, 0), (6, 0), (1000, 1)]
+
+
 def test_upsert_on_create_and_ties(spark):
     old = spark.createDataFrame([("1", "a", "x")], "k string, v string, w string")
     new = spark.createDataFrame([("1", "b", "n"), ("2", "c", "n"), ("2", "b", "z")], "k string, v string, w string")
@@ -303,8 +326,16 @@ def test_more_sources_and_sinks(spark, tmp_path):
     assert [io.append_part(rows, folder) for _ in range(2)] == [f"{folder}/part_00000", f"{folder}/part_00001"]
     state = str(tmp_path / "state")
     io.replace_state(rows, state)
-    io.replace_state(spark.read.parquet(state).filter("id > 2"), state)
-    assert spark.read.parquet(state).count() == 2
+    io.replace_state(io.state(spark, state, "id long").filter("id > 2"), state)
+    assert io.state(spark, state, "id long").count() == 2
+    # a version whose writer was cut off, then one whose file is damaged: readers see the one before
+    (tmp_path / "state" / "v2").mkdir()
+    assert io.state(spark, state, "id long").count() == 2
+    (tmp_path / "state" / "v2" / "_SUCCESS").touch()
+    (tmp_path / "state" / "v2" / "part-0.parquet").write_bytes(b"no Parquet")
+    assert io.state(spark, state, "id long").count() == 2
+    io.replace_state(rows.filter("id = 0"), state)
+    assert [r.id for r in io.state(spark, state, "id long").collect()] == [0]
     for tag in ("b", "a"):
         for n in (1, 0):
             io.append_batch(spark.createDataFrame([(tag, n)], "t string, n int"), str(tmp_path / "docs" / tag), n)
