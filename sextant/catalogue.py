@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from .functions import text as T
 from .functions.ontology import GROUPS
 from .operators import graph as G
-from .operators import fetch, fulltext, gazetteer, index, ingest, jsonfix, offline, pages, questions, records
+from .operators import fetch, fulltext, gazetteer, index, ingest, jsonfix, language, offline, pages, questions, records
 from .operators import retrieval as R
 from .plans.graph import GRAPH_SQL, graph
 from .session import scratch, settled, table
@@ -73,6 +73,27 @@ def doc_chunk_tokens_512(spark, sf):
     return T.chunks(table(spark, sf, "documents"), 512, 24)
 
 
+@query(f"""
+WITH t AS (SELECT doc_id, lang, source, {_TOKENS.format("coalesce(text, '')")} AS t FROM documents),
+c AS (SELECT *, unnest(range(greatest(0, ceil((len(t) - 750) / 700.0))::BIGINT + 1)) AS i FROM t WHERE len(t) > 0)
+SELECT doc_id, i::INTEGER AS chunk_index, doc_id::VARCHAR AS meta_id, coalesce(lang, '') AS meta_lang, coalesce(source, '') AS meta_source FROM c""")
+def doc_chunk_metadata(spark, sf):
+    rows = T.chunks(table(spark, sf, "documents"), 750, 50, metadata=["doc_id", "lang", "source"])
+    return rows.select("doc_id", "chunk_index", F.col("metadata.doc_id").alias("meta_id"), F.col("metadata.lang").alias("meta_lang"), F.col("metadata.source").alias("meta_source"))
+
+
+@query(r"""
+WITH w AS (SELECT doc_id, lang, unnest(regexp_extract_all(lower(coalesce(text, '')), '\p{L}+')) AS word FROM documents), c AS (SELECT lang, word, count(*) AS n FROM w WHERE lang IS NOT NULL AND doc_id % 2 = 0 GROUP BY 1, 2),
+total AS (SELECT lang, sum(n) AS total FROM c GROUP BY 1), top AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS k FROM c QUALIFY k <= 1000),
+per AS (SELECT doc_id, word, count(*) AS m FROM w GROUP BY 1, 2), s AS (SELECT doc_id, total.lang, sum(m * ln(coalesce(n, 0.5) / total)) AS score FROM per CROSS JOIN total LEFT JOIN top ON top.lang = total.lang AND top.word = per.word GROUP BY 1, 2),
+b AS (SELECT doc_id, lang AS detected, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang) AS k FROM s)
+SELECT d.doc_id, detected FROM documents d LEFT JOIN b ON b.doc_id = d.doc_id AND k = 1""")
+def detect_language(spark, sf):
+    """Learned from documents of even ids, detected for all."""
+    d = table(spark, sf, "documents")
+    return language.detected(d.select("doc_id", "text"), language.learned(d.filter("doc_id % 2 = 0"))).select("doc_id", "detected")
+
+
 @query("SELECT md5(text) AS text_key, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1")
 def doc_exact_dedup(spark, sf):
     return table(spark, sf, "documents").groupBy(F.md5("text").alias("text_key")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
@@ -179,16 +200,32 @@ def catalog_first_match(spark, sf):
 
 
 @query("""
-SELECT * FROM (VALUES
- ('Q1', 'Tower', 'Q142', 'Q90', 48.5::DOUBLE, 2.25::DOUBLE, 'https://tower.example'),
- ('Q2', '塔', NULL, NULL, NULL, NULL, 'https://ja.wikipedia.org/wiki/Tokyo_Tower'),
- ('Q3', 'an old bridge', NULL, 'Q64', NULL, NULL, NULL),
- ('Q4', 'Some Place', NULL, NULL, NULL, NULL, 'https://commons.wikipedia.org/wiki/Some_Place'),
- ('Q5', '', 'Q30', NULL, 1.0::DOUBLE, 2.0::DOUBLE, NULL),
- ('Q8', 'Brücke', NULL, NULL, NULL, NULL, 'https://de.wikipedia.org/wiki/Die_Brücke'),
- ('Q9', 'पुल', NULL, NULL, NULL, NULL, 'https://hi.wikipedia.org/wiki/पुल')) AS t(qid, label, country, location, lat, lon, website)""")
+WITH c AS (SELECT 'Q'||c_custkey AS qid, c_custkey % 7 AS kind, c_name, c_nationkey, c_acctbal, n_name, n_regionkey FROM customer JOIN nation ON n_nationkey = c_nationkey)
+SELECT qid, CASE kind WHEN 0 THEN c_name WHEN 1 THEN '塔 '||n_name WHEN 2 THEN 'a place in '||n_name WHEN 3 THEN 'Some Place '||qid WHEN 4 THEN '' WHEN 6 THEN 'Ort '||qid END AS label,
+  CASE WHEN kind IN (0, 4) THEN 'N'||c_nationkey END AS country, CASE WHEN kind IN (0, 2) THEN 'R'||n_regionkey END AS location,
+  CASE WHEN kind IN (0, 4) THEN c_nationkey + 0.5::DOUBLE END AS lat, CASE WHEN kind IN (0, 4) THEN n_regionkey::DOUBLE END AS lon,
+  CASE kind WHEN 0 THEN 'https://site.example/'||qid WHEN 1 THEN 'https://ja.wikipedia.org/wiki/'||n_name||'_Tower' WHEN 3 THEN 'https://commons.wikipedia.org/wiki/Some_Place_'||qid WHEN 6 THEN 'https://de.wikipedia.org/wiki/Der_Ort' END AS website
+FROM c WHERE kind <> 5""")
 def entity_json_fields(spark, sf):
-    return records.entity_fields(records.sample_entities(spark)).select("qid", "label", F.try_element_at("countries", F.lit(1)).alias("country"), F.try_element_at("locations", F.lit(1)).alias("location"), "lat", "lon", "website")
+    """Entities of seven kinds, one for each fallback, as JSON made from customers; the sixth is no object."""
+    c = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).withColumn("qid", F.concat(F.lit("Q"), "c_custkey"))
+    claim = lambda kind, value: '{"mainsnak":{"snaktype":"value","datavalue":{"type":"%s","value":%s}}}' % (kind, value)
+    item = lambda p: claim("wikibase-entityid", '{"id":"%s"}' % p)
+    none = '{"mainsnak":{"snaktype":"novalue"}}'
+    place, other = claim("globecoordinate", '{"latitude":<N>.5,"longitude":<R>}'), claim("globecoordinate", '{"latitude":1,"longitude":1}')
+    kinds = [
+        '{"labels":{"fr":{"value":"Lieu"},"en":{"value":"<name>"}},"claims":{"P17":[%s,%s],"P131":[%s],"P625":[%s,%s],"P856":[%s]}}' % (none, item("N<N>"), item("R<R>"), place, other, claim("string", '" https://site.example/<qid> "')),
+        '{"labels":{"ja":{"value":"塔 <nation>"}},"sitelinks":{"jawiki":{"title":"<nation> Tower"}}}',
+        '{"labels":{},"descriptions":{"en":{"value":"a place in <nation>"}},"claims":{"P131":[%s],"P17":[%s]}}' % (item("R<R>"), none),
+        '{"labels":{"en":{"value":""}},"sitelinks":{"commonswiki":{"title":"Some_Place_<qid>"}}}',
+        '{"labels":{},"claims":{"P17":[%s],"P625":[%s]}}' % (item("N<N>"), place),
+        "missing",
+        '{"labels":{"mul":{"value":"any"},"fr":{"value":"Lieu"},"de":{"value":"Ort <qid>"}},"sitelinks":{"frwiki":{"title":"Le lieu"},"dewiki":{"title":"Der Ort"}}}',
+    ]
+    text = F.element_at(F.array(*map(F.lit, kinds)), (F.col("c_custkey") % 7 + 1).cast("int"))
+    for mark, col in (("<N>", "c_nationkey"), ("<R>", "n_regionkey"), ("<qid>", "qid"), ("<nation>", "n_name"), ("<name>", "c_name")):
+        text = F.replace(text, F.lit(mark), F.col(col).cast("string"))
+    return records.entity_fields(c.select("qid", text.alias("json"))).select("qid", "label", F.try_element_at("countries", F.lit(1)).alias("country"), F.try_element_at("locations", F.lit(1)).alias("location"), "lat", "lon", "website")
 
 
 # --- relations --------------------------------------------------------------------------------------------------------
@@ -209,10 +246,15 @@ def _prototype_rows() -> str:
     return ", ".join("(%d, '%s', [%s])" % (i, g, ", ".join("'%s'" % x for x in ex)) for i, (g, ex) in enumerate(GROUPS.items()))
 
 
-@query(f"SELECT ordinal::INTEGER AS ordinal, name, lower(replace(name, '_', ' '))||': '||array_to_string(ex, '; ') AS prototype FROM (VALUES {_prototype_rows()}) AS t(ordinal, name, ex)")
+@query(f"""
+WITH {GRAPH_SQL}, used AS (SELECT rel_group, count(*) AS n FROM edges WHERE rel_group IS NOT NULL GROUP BY 1)
+SELECT ordinal::INTEGER AS ordinal, name, lower(replace(name, '_', ' '))||': '||array_to_string(ex, '; ') AS prototype, n FROM (VALUES {_prototype_rows()}) AS t(ordinal, name, ex) LEFT JOIN used ON rel_group = name""")
 def prototype_text(spark, sf):
+    """The ontology's prototypes and how many edges of the graph are in each group."""
     rows = spark.createDataFrame([(i, g, ex) for i, (g, ex) in enumerate(GROUPS.items())], "ordinal int, name string, ex array<string>")
-    return rows.select("ordinal", "name", F.concat(F.lower(F.replace("name", F.lit("_"), F.lit(" "))), F.lit(": "), F.array_join("ex", "; ")).alias("prototype"))
+    used = graph(spark, sf).edges.filter("rel_group IS NOT NULL").groupBy(F.col("rel_group").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    text = F.concat(F.lower(F.replace("name", F.lit("_"), F.lit(" "))), F.lit(": "), F.array_join("ex", "; "))
+    return rows.join(used, "name", "left").select("ordinal", "name", text.alias("prototype"), "n")
 
 
 _CENTROIDS = """
@@ -417,11 +459,24 @@ def score_fusion(spark, sf):
     return _fused(spark, sf)
 
 
-@query(f"WITH {_FUSED}, t AS ({_TOP.format('f', 3)}) SELECT DISTINCT k AS keyword FROM (SELECT unnest([lang, source]) AS k FROM t JOIN documents ON doc_id = vec_id) WHERE coalesce(k, '') <> ''")
+#: The vector of a keyword: by the number at its end, else by its first letter.
+_TAG = "coalesce(try_cast(nullif(regexp_extract(keyword, '([0-9]+)$', 1), '') AS BIGINT), ascii(keyword))"
+_TAGS_SQL = f"tags AS (SELECT keyword AS tag, embedding FROM words JOIN embeddings ON vec_id = {_TAG}), r AS (SELECT tag, round(list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM tags e, (SELECT embedding FROM embeddings WHERE vec_id = 0 LIMIT 1) q), ranked AS (SELECT tag, score, row_number() OVER (ORDER BY score DESC, tag)::INTEGER AS rank FROM r QUALIFY rank <= 15)"
+
+
+def _tags(spark, sf, words: DataFrame) -> DataFrame:
+    e = table(spark, sf, "embeddings")
+    tags = words.withColumn("vec_id", F.expr(_TAG.replace("BIGINT", "LONG"))).join(e, "vec_id").select(F.col("keyword").alias("tag"), "embedding")
+    return R.relevant_tags(tags, e.filter("vec_id = 0"))
+
+
+@query(f"WITH {_FUSED}, t AS ({_TOP.format('f', 3)}), words AS (SELECT DISTINCT k AS keyword FROM (SELECT unnest([lang, source]) AS k FROM t JOIN documents ON doc_id = vec_id) WHERE coalesce(k, '') <> ''), {_TAGS_SQL} SELECT keyword, score IS NOT NULL AS relevant, score FROM words LEFT JOIN (SELECT * FROM ranked WHERE score > 0.35) ON tag = keyword")
 def photo_keywords(spark, sf):
+    """Keywords of the three nearest photos, and which of them are relevant tags of the request."""
     top = R.top_k(_fused(spark, sf), 3)
     both = table(spark, sf, "documents").join(top, F.col("doc_id") == F.col("vec_id")).select(F.explode(F.array("lang", "source")).alias("keyword"))
-    return both.filter("coalesce(keyword, '') <> ''").distinct()
+    words = settled(both.filter("coalesce(keyword, '') <> ''").distinct())
+    return words.join(_tags(spark, sf, words).withColumnRenamed("tag", "keyword"), "keyword", "left").select("keyword", F.col("score").isNotNull().alias("relevant"), "score")
 
 
 @query(f"WITH {_sim_sql('s', 0)}, t AS ({_TOP.format('s', 15)}) SELECT vec_id, score, rank FROM t WHERE score > 0.35")
@@ -429,6 +484,11 @@ def relevant_tags(spark, sf):
     return R.top_k(_sim(spark, sf, 0), 15).filter("score > 0.35")
 
 
+@query(f"WITH words AS (SELECT DISTINCT source AS keyword FROM documents WHERE source IS NOT NULL), {_TAGS_SQL} SELECT tag, score, rank FROM ranked WHERE score > 0.35")
+def relevant_sources(spark, sf):
+    return _tags(spark, sf, table(spark, sf, "documents").filter("source IS NOT NULL").select(F.col("source").alias("keyword")).distinct())
+
+
 def _ranked_docs(spark, sf) -> DataFrame:
     """The 500 nearest documents with what retrieval returns of each."""
     docs = table(spark, sf, "documents")
@@ -580,6 +640,36 @@ def metadata_attach(spark, sf):
     return G.attached(d, d.select("qid", "source_tag").distinct().join(c, "qid"))
 
 
+@query("""
+WITH d AS (SELECT 'C'||(doc_id // 2) AS qid FROM documents), r AS (SELECT DISTINCT d.qid, CASE WHEN c_nationkey % 5 <> 0 THEN n_name END AS country, CASE WHEN c_nationkey % 3 <> 0 THEN 'R'||n_regionkey END AS location,
+  CASE WHEN c_custkey % 4 <> 0 THEN (c_nationkey % 90)::DOUBLE END AS lat, (c_custkey % 180)::DOUBLE AS lon FROM d JOIN customer ON d.qid = 'C'||c_custkey JOIN nation ON n_nationkey = c_nationkey)
+SELECT 'Country' AS label, country AS id, NULL::DOUBLE AS lat, NULL::DOUBLE AS lon FROM r WHERE country IS NOT NULL UNION SELECT 'Location', location, NULL, NULL FROM r WHERE location IS NOT NULL
+UNION SELECT 'Coordinates', lat||','||lon, lat, lon FROM r WHERE lat IS NOT NULL""")
+def metadata_nodes(spark, sf):
+    return G.attached_nodes(metadata_attach(spark, sf))
+
+
+@query("""
+WITH p AS (SELECT DISTINCT 'C'||(doc_id // 2) AS qid, source AS source_tag FROM documents), done AS (SELECT 'C'||(d.doc_id // 2) AS qid, source AS source_tag FROM documents d JOIN labels l ON l.doc_id = d.doc_id)
+SELECT qid, source_tag FROM p WHERE NOT EXISTS (SELECT 1 FROM done WHERE done.qid = p.qid AND done.source_tag = p.source_tag)""")
+def attach_pending(spark, sf):
+    """Pairs of qid and source tag that no labelled document has: a difference by a key of two columns."""
+    d = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("C"), F.expr("doc_id div 2")).alias("qid"), F.col("source").alias("source_tag"))
+    done = d.join(table(spark, sf, "labels").select("doc_id"), "doc_id")
+    return ingest.pending(d.select("qid", "source_tag").distinct(), done, ["qid", "source_tag"])
+
+
+@query("""
+WITH c AS (SELECT conv_id, list(role ORDER BY turn) AS roles, list(turn ORDER BY turn) FILTER (WHERE turn % 3 <> 2) AS turns FROM conversations WHERE role IS NOT NULL GROUP BY 1),
+z AS (SELECT conv_id, roles, turns, unnest(range(1, least(len(roles), len(turns)) + 1)) AS i FROM c)
+SELECT conv_id, (i - 1)::INTEGER AS at, roles[i] AS role, turns[i] AS turn FROM z""")
+def positional_zip(spark, sf):
+    """Two lists of different lengths, paired by position up to the shorter one's end."""
+    own = table(spark, sf, "conversations").filter("role IS NOT NULL").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("l"))
+    roles, turns = F.transform("l", lambda x: x["role"]), F.filter(F.transform("l", lambda x: x["turn"]), lambda t: t % 3 != 2)
+    return own.select("conv_id", F.posexplode(records.zipped(roles, turns)).alias("at", "z")).select("conv_id", "at", F.col("z.a").alias("role"), F.col("z.b").alias("turn"))
+
+
 @query("""
 SELECT doc_id, CASE WHEN doc_id % 4 <> 0 AND doc_id % 7 <> 0 THEN replace('a view, of '||source||' '||array_to_string(list_sort(list_distinct([source, lang, source])), ' '), ',', ' ') ELSE 'where is '||doc_id END
   || CASE WHEN doc_id % 2 = 0 THEN ' '||lang ELSE '' END AS query FROM documents""")
@@ -596,7 +686,7 @@ def location_ner(spark, sf):
     n = table(spark, sf, "nation")
     texts = table(spark, sf, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("id"), F.concat(F.lit("From "), "n_name", F.lit(", by the MIDDLE EAST, to a city")).alias("text"))
     names = n.select(F.col("n_name").alias("name")).union(table(spark, sf, "region").select("r_name")).union(spark.createDataFrame([("city",), ("Region",)], "name string"))
-    return questions.locations(texts, names)
+    return gazetteer.mentions(texts, names, "id").select("id", "location")
 
 
 @query(f"WITH {_DOCS} SELECT rank::VARCHAR AS key, qidLabel AS name, substr(text, 1, 100) AS description, 'Score='||printf('%.4f', score) AS reasoning FROM vec WHERE rank <= 3")
@@ -635,13 +725,16 @@ def metadata_struct(spark, sf):
 WITH t AS (SELECT DISTINCT c_custkey AS node_id, unnest(list_filter(regexp_split_to_array(regexp_replace(lower(c_name), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '')) AS token FROM customer)
 SELECT node_id FROM t, (VALUES ('custmer'), ('000000003')) AS w(word) WHERE levenshtein(token, word) <= 2 GROUP BY 1 HAVING count(DISTINCT word) = 2""")
 def fulltext_search(spark, sf):
-    return questions.fuzzy_search(questions.fulltext_index(table(spark, sf, "customer"), "c_custkey", ["c_name"]), ["custmer", "000000003"])
+    words = spark.createDataFrame([("custmer",), ("000000003",)], "word string")
+    return fulltext.search(fulltext.build(table(spark, sf, "customer"), "c_custkey", ["c_name"]), words).select("node_id")
 
 
-@query("SELECT * FROM (VALUES (0, 'Q1'), (1, 'Q2'), (2, 'Q3')) AS t(ordinal, qid)")
+@query("SELECT (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1)::INTEGER AS ordinal, 'Q'||c_custkey AS qid FROM customer")
 def landmark_ids(spark, sf):
-    raw = '[["a", "wd:Q1"], ["b", "http://x/Q2"], ["c", " Q3 "], ["d", ""], ["e", "wd:Q1"], ["f"]]'
-    return records.identifiers(spark.createDataFrame([(raw,)], "value string"))
+    """A list of lists for each nation, ids written in three ways."""
+    q = F.concat(F.element_at(F.array(F.lit("wd:"), F.lit("http://x/"), F.lit(" ")), (F.col("c_custkey") % 3 + 1).cast("int")), F.lit("Q"), "c_custkey")
+    rows = table(spark, sf, "customer").groupBy("c_nationkey").agg(F.sort_array(F.collect_list(F.struct("c_custkey", F.array(F.lit("name"), q).alias("r")))).alias("l"))
+    return records.identifiers(rows.select(F.to_json(F.transform("l", lambda x: x["r"])).alias("value")))
 
 
 @query("""

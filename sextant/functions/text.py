@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,16 +84,42 @@ def without_surrogates(text: str | None) -> str | None:
     return text.encode("utf-8", "ignore").decode("utf-8") if isinstance(text, str) else text
 
 
-def chunks(docs: DataFrame, size: int, overlap: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Sliding windows of white-space tokens: (id, chunk_index, chunk, chunk_id); the last window stops at the end.
+def chunks(docs: DataFrame, size: int, overlap: int, id_col: str = "doc_id", text_col: str = "text", metadata: list[str] | None = None) -> DataFrame:
+    """Sliding windows of white-space tokens: (id, chunk_index, chunk, chunk_id); the last window stops at the end. Each chunk
+    inherits the columns ``metadata`` of its document, if any, as strings in a struct, nulls as ''.
 
     A null or blank text gives no chunk. One row per document becomes its chunks without a shuffle.
     """
-    tokens = docs.select(F.col(id_col), F.array_remove(F.split(F.coalesce(F.col(text_col), F.lit("")), r"\s+"), "").alias("_t"))
+    inherited = [F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in metadata]).alias("metadata")] if metadata else []
+    own = ["metadata"] if metadata else []
+    tokens = docs.select(F.col(id_col), *inherited, F.array_remove(F.split(F.coalesce(F.col(text_col), F.lit("")), r"\s+"), "").alias("_t"))
     stride = size - overlap
     last = F.greatest(F.lit(0), F.ceil((F.size("_t") - size) / F.lit(stride))).cast("int")
-    at = tokens.filter(F.size("_t") > 0).select(id_col, "_t", F.explode(F.sequence(F.lit(0), last)).alias("chunk_index"))
+    at = tokens.filter(F.size("_t") > 0).select(id_col, *own, "_t", F.explode(F.sequence(F.lit(0), last)).alias("chunk_index"))
     text = F.array_join(F.slice("_t", F.col("chunk_index") * stride + 1, size), " ")
-    out = at.select(id_col, "chunk_index", text.alias("chunk"))
+    out = at.select(id_col, *own, "chunk_index", text.alias("chunk"))
     key = F.md5(F.concat_ws("_", F.col(id_col).cast("string"), F.col("chunk_index").cast("string"), F.substring("chunk", 1, 20)))
     return out.withColumn("chunk_id", key)
+
+
+def token_chunks(docs: DataFrame, encode: Callable[[str], list[int]], decode: Callable[[list[int]], str], size: int, overlap: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The same windows over the tokens of a tokenizer that the caller passes in: (id, chunk_index, chunk, tokens), in Arrow batches.
+
+    A document's tokens are made once; a null or empty text gives no chunk. A character that a window's edge cuts in two is
+    what ``decode`` makes of its part.
+    """
+    if not 0 <= overlap < size:
+        raise ValueError("the overlap must be smaller than the window")
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("coalesce(text, '') <> ''")
+    kind = own.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for i, text in zip(pdf["id"], pdf["text"], strict=True):
+                ids = encode(text)
+                for k, at in enumerate(range(0, max(len(ids) - overlap, 1), size - overlap)):
+                    rows.append((i, k, decode(ids[at : at + size]), len(ids[at : at + size])))
+            yield pd.DataFrame(rows, columns=["id", "chunk_index", "chunk", "tokens"])
+
+    return own.mapInPandas(run, f"id {kind}, chunk_index int, chunk string, tokens int").withColumnRenamed("id", id_col)

@@ -51,8 +51,9 @@ def reaches_any(g: Graph, targets: DataFrame) -> DataFrame:
     e = g.edges.select("edge_id", "src", "dst", (F.coalesce("rel_group", F.lit("")) == LOCATED).alias("loc"))
     last = e.join(targets.select(F.col("node_id").alias("dst")), "dst", "left_semi")
     one = last.filter("loc").select(F.col("src").alias("node_id"))
-    tail = last.select(F.col("src").alias("mid"), F.col("loc").alias("loc2"), F.col("edge_id").alias("edge2"))
-    two = e.join(tail, F.col("dst") == F.col("mid")).filter("(loc OR loc2) AND edge_id <> edge2").select(F.col("src").alias("node_id"))
+    # of a node's last edges of a kind, two are as good as all: one of them is not the edge before
+    tail = last.groupBy(F.col("src").alias("mid"), F.col("loc").alias("loc2")).agg(F.min("edge_id").alias("one"), F.max("edge_id").alias("other"))
+    two = e.join(tail, F.col("dst") == F.col("mid")).filter("(loc OR loc2) AND (edge_id <> one OR edge_id <> other)").select(F.col("src").alias("node_id"))
     return one.union(two).distinct()
 
 
@@ -186,6 +187,12 @@ def attached(docs: DataFrame, rows: DataFrame) -> DataFrame:
     return both.select(F.col("node_id").alias("src"), F.explode(ends).alias("e")).select("src", "e.*").filter("dst IS NOT NULL").distinct()
 
 
+def attached_nodes(links: DataFrame) -> DataFrame:
+    """(label, id, lat, lon): the nodes that ``attached`` edges lead to, each once; only points have coordinates."""
+    at = lambda k: F.when(F.col("label") == "Coordinates", F.element_at(F.split("dst", ","), k).cast("double"))
+    return links.select("label", F.col("dst").alias("id"), at(1).alias("lat"), at(2).alias("lon")).distinct()
+
+
 def graph_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes (id, label) and edges (src, src_label, dst, dst_label, type) of extracted documents (nodes, relationships, text).
 

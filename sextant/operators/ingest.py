@@ -166,9 +166,10 @@ def routed(pages: DataFrame, summary_host: str) -> DataFrame:
     return branch(pages.filter(mine), "summary").union(branch(pages.filter(~mine), "page"))
 
 
-def pending(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is not done; null keys stay."""
-    return rows.join(done.select(key).distinct(), key, "left_anti").select(*rows.columns)
+def pending(rows: DataFrame, done: DataFrame, key: str | list[str]) -> DataFrame:
+    """Rows whose key, of one column or several, is not done; keys with a null stay."""
+    keys = [key] if isinstance(key, str) else key
+    return rows.join(done.select(*keys).distinct(), keys, "left_anti").select(*rows.columns)
 
 
 def next_batches(rows: DataFrame, done: DataFrame, key: str, size: int, batch_col: str | None = None) -> DataFrame:

@@ -1,4 +1,4 @@
-"""What is asked of retrieval and of the writer: retrieval strings, locations, selections, templates, fulltext search."""
+"""What is asked of retrieval and of the writer: retrieval strings, selections, templates."""
 
 from __future__ import annotations
 
@@ -31,22 +31,6 @@ def retrieval_string(caption: Column, keywords: Column, question: Column, locati
     return out if locations is None else F.concat(out, F.array_join(F.transform(F.coalesce(locations, F.array().cast("array<string>")), lambda x: F.concat(F.lit(" "), x)), ""))
 
 
-def locations(texts: DataFrame, names: DataFrame, id_col: str = "id", text_col: str = "text", longest: int = 3) -> DataFrame:
-    """(id, location): the ``names`` (name) of up to ``longest`` words that a text holds as words, stop locations left out.
-
-    The offline stand-in for a recogniser: runs of words meet the names in an equi join.
-    """
-    words = F.array_remove(F.split(F.regexp_replace(text_col, r"[^\p{L}\p{N}_]+", " "), " "), "")
-
-    def of(k: int) -> Column:
-        every = F.transform(F.sequence(F.lit(1), F.size("_w") - k + 1), lambda i: F.array_join(F.slice("_w", i, k), " "))
-        return F.when(F.size("_w") >= k, every).otherwise(F.array().cast("array<string>"))
-
-    runs = texts.select(id_col, words.alias("_w")).select(id_col, F.explode(F.flatten(F.array(*map(of, range(1, longest + 1))))).alias("location"))
-    known = names.select(F.col("name").alias("location")).filter(~F.lower("name").isin(STOP_LOCATIONS)).distinct()
-    return runs.distinct().join(known, "location").select(id_col, "location")
-
-
 def selection(ranked: DataFrame) -> DataFrame:
     """One row with ``top3``: "1", "2", "3" -> (name, description, reasoning) of the first three of ``ranked`` (rank, name, description, score)."""
     reason = F.format_string("Score=%.4f", "score")
@@ -65,16 +49,3 @@ def prompt(template: str, **parts: Column) -> Column:
     for name, value in parts.items():
         out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(value.cast("string"), F.lit("")))
     return out
-
-
-def fulltext_index(nodes: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
-    """(token, node_id): an inverted index over the lower-cased words of some columns."""
-    tokens = F.split(F.regexp_replace(F.lower(F.concat_ws(" ", *columns)), r"[^\p{L}\p{N}]+", " "), " ")
-    return nodes.select(F.explode(F.array_distinct(F.array_remove(tokens, ""))).alias("token"), F.col(id_col).alias("node_id"))
-
-
-def fuzzy_search(index: DataFrame, words: list[str], distance: int = 2) -> DataFrame:
-    """(node_id) that have, for each of a request's words, a token within ``distance`` edits."""
-    asked = F.explode(F.array(*[F.lit(w.lower()) for w in dict.fromkeys(words)])).alias("word")
-    near = index.select("node_id", "token", asked).filter(F.levenshtein("token", "word", distance) >= 0)
-    return near.groupBy("node_id").agg(F.count_distinct("word").alias("n")).filter(F.col("n") == len(set(w.lower() for w in words))).select("node_id")

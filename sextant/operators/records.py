@@ -1,10 +1,10 @@
-"""Nested records: entity JSON, fan-out to tools, state reducers, JSON repair, keyword lists."""
+"""Nested records: entity JSON, fan-out to tools, state reducers, parallel lists, keyword lists."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import PREFERRED_LANGUAGES, blank_to_null, entity_id
@@ -90,26 +90,6 @@ def identifiers(documents: DataFrame, col: str = "value") -> DataFrame:
     return ids.groupBy("qid").agg(F.min("ordinal").alias("ordinal"))
 
 
-def sample_entities(spark: SparkSession) -> DataFrame:
-    """Raw entities that exercise every fallback."""
-    claim = lambda kind, value: '{"mainsnak":{"snaktype":"value","datavalue":{"type":"%s","value":%s}}}' % (kind, value)
-    item = lambda q: claim("wikibase-entityid", '{"id":"%s"}' % q)
-    place = lambda a, b: claim("globecoordinate", '{"latitude":%s,"longitude":%s}' % (a, b))
-    none = '{"mainsnak":{"snaktype":"novalue"}}'
-    rows = [
-        ("Q1", '{"labels":{"en":{"value":"Tower"},"fr":{"value":"Tour"}},"claims":{"P17":[%s,%s],"P131":[%s],"P625":[%s,%s],"P856":[%s]}}' % (none, item("Q142"), item("Q90"), place(48.5, 2.25), place(1, 1), claim("string", '" https://tower.example "'))),
-        ("Q2", '{"labels":{"ja":{"value":"塔"}},"sitelinks":{"jawiki":{"title":"Tokyo Tower"}}}'),
-        ("Q3", '{"labels":{},"descriptions":{"en":{"value":"an old bridge"}},"claims":{"P131":[%s],"P17":[%s]}}' % (item("Q64"), none)),
-        ("Q4", '{"labels":{"en":{"value":""}},"sitelinks":{"commonswiki":{"title":"Some_Place"}}}'),
-        ("Q5", '{"labels":{},"claims":{"P17":[%s],"P625":[%s]}}' % (item("Q30"), place(1.0, 2.0))),
-        ("Q8", '{"labels":{"mul":{"value":"any"},"fr":{"value":"Pont"},"de":{"value":"Brücke"}},"sitelinks":{"frwiki":{"title":"Le Pont"},"dewiki":{"title":"Die Brücke"}}}'),
-        ("Q9", '{"labels":{"nl":{"value":"Brug"},"hi":{"value":"पुल"}},"sitelinks":{"nlwiki":{"title":"De Brug"},"hiwiki":{"title":"पुल"}}}'),
-        ("Q6", "missing"),
-        ("Q7", None),
-    ]
-    return spark.createDataFrame(rows, "qid string, json string")
-
-
 def nothing_found(query: Column) -> Column:
     """The offline search: every query is answered by a note that nothing was found."""
     return F.format_string(NONE_FOUND, query)
@@ -139,23 +119,24 @@ def reduced(rows: DataFrame) -> DataFrame:
     return out.select("conv_id", texts.alias("texts"), F.try_element_at(roles, F.lit(1))["role"].alias("first_role"))
 
 
-def repaired(rows: DataFrame) -> DataFrame:
-    """(event_id, repaired, k): the JSON as it is if it parses, without trailing commas if that parses, else {}."""
-    fixed = F.regexp_replace("props", r",\s*([}\]])", "$1")
-    good = lambda c: F.try_parse_json(c).isNotNull() & c.isNotNull()
-    text = F.when(good(F.col("props")), F.col("props")).when(good(fixed), fixed).otherwise("{}")
-    return rows.select("event_id", text.alias("repaired")).withColumn("k", F.get_json_object("repaired", "$.k").try_cast("long"))
+def zipped(first: Column, second: Column) -> Column:
+    """Pairs (a, b) of two lists by position, as many as the shorter has; none where a list is null."""
+    n = F.least(F.size(first), F.size(second))
+    pairs = F.zip_with(F.slice(first, 1, n), F.slice(second, 1, n), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    return F.when(first.isNotNull() & second.isNotNull(), pairs).otherwise(F.filter(F.zip_with(first, second, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda x: F.lit(False)))
 
 
 def kept_keywords(docs: DataFrame) -> DataFrame:
     """(doc_id, keyword): parts of a text between delimiters, as they are written, that are, case aside, also words of it (full
     stops left out), without stop words.
 
-    Both lists belong to one document, so the semi join is a test within its row and nothing is shuffled.
+    Both lists belong to one document, so nothing is shuffled. Which texts are both is found by one intersection, by hash; parts
+    are then compared with those few, not with every word.
     """
     parts = F.transform(F.split("text", r"[\n:;*,]"), lambda x: F.trim(x))
     words = F.array_distinct(F.split(F.lower(F.replace("text", F.lit("."), F.lit(""))), " "))
     rows = docs.select("doc_id", parts.alias("_p"), words.alias("_w"))
-    # few parts are single words: only those can be in the list
-    kept = F.filter("_p", lambda x: (x != "") & ~x.contains(" ") & ~F.lower(x).isin(STOP_KEYWORDS) & F.array_contains("_w", F.lower(x)))
-    return rows.select("doc_id", F.explode(kept).alias("keyword"))
+    # only parts without a blank can be words
+    single = F.filter("_p", lambda x: (x != "") & ~x.contains(" ") & ~F.lower(x).isin(STOP_KEYWORDS))
+    rows = rows.select("doc_id", single.alias("_p"), F.array_intersect(F.array_distinct(F.transform(single, lambda x: F.lower(x))), "_w").alias("_both"))
+    return rows.select("doc_id", "_both", F.explode("_p").alias("keyword")).filter(F.array_contains("_both", F.lower("keyword"))).select("doc_id", "keyword")

@@ -43,11 +43,23 @@ def hybrid(first: DataFrame, second: DataFrame, k: int) -> DataFrame:
     return top_k(both, k)
 
 
+def relevant_tags(tags: DataFrame, request: DataFrame, k: int = 15, over: float = 0.35) -> DataFrame:
+    """(tag, score, rank): of the ``k`` tags (tag, embedding) nearest to the single row of ``request``, those that score more than ``over``."""
+    return top_k(scored(tags, request, "tag"), k, tie="tag").filter(F.col("score") > over)
+
+
+#: Prototypes that each vector may meet; more are an index's business.
+PROTOTYPES = 10_000
+
+
 def nearest_prototype(vectors: DataFrame, prototypes: DataFrame, least: float, other: str = "OTHER") -> DataFrame:
     """(vec_id, label, score): the prototype (ordinal, name, embedding) of highest cosine, first of equals; ``other`` under ``least``.
 
-    Prototypes are a fixed ontology, tens of rows, so each vector meets all of them.
+    Prototypes are a fixed ontology, tens of rows, so each vector meets all of them; more than ``PROTOTYPES`` are an error.
     """
+    prototypes = settled(prototypes)
+    if prototypes.limit(PROTOTYPES + 1).count() > PROTOTYPES:
+        raise ValueError(f"more than {PROTOTYPES} prototypes")
     p = prototypes.select("ordinal", "name", F.col("embedding").alias("_p"))
     all_ = vectors.crossJoin(F.broadcast(p)).select("vec_id", "ordinal", "name", F.round(cosine(F.col("embedding"), F.col("_p")), 6).alias("score"))
     # a struct orders by score, then by the lower ordinal: a partial aggregate, no sort of all pairs

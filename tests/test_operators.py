@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sextant.functions import text as T
 from sextant.operators import graph as G
-from sextant.operators import fetch, ingest, offline, questions, records
+from sextant.operators import fetch, ingest, jsonfix, language, offline, questions, records
 from sextant.operators import retrieval as R
 from sextant.plans.graph import Graph
 from sextant.sources import io
@@ -154,7 +154,59 @@ def test_main_text():
 
 def test_records(spark):
     bad = spark.createDataFrame([(1, '{"k": 2}'), (2, '{"k": 3,}'), (3, ""), (4, None)], "event_id long, props string")
-    assert {r.event_id: r.k for r in records.repaired(bad).collect()} == {1: 2, 2: 3, 3: None, 4: None}
+    assert {r.event_id: r.repaired for r in jsonfix.repaired(bad, "props").collect()} == {1: '{"k": 2}', 2: '{"k": 3}', 3: "{}", 4: "{}"}
+    lists = spark.createDataFrame([(1, ["a", "b", "c"], [1, 2]), (2, [], [1]), (3, None, [1]), (4, ["a"], [7, 8])], "i int, x array<string>, y array<int>")
+    got = {r.i: [tuple(z) for z in r.z] for r in lists.select("i", records.zipped(F.col("x"), F.col("y")).alias("z")).collect() if r.z is not None}
+    assert {k: v for k, v in got.items() if v} == {1: [("a", 1), ("b", 2)], 4: [("a", 7)]}
+    docs = spark.createDataFrame([(1, "Big: big.\nbig Ben, ben ; people, People; people"), (2, None), (3, "x*y x y, z")], "doc_id long, text string")
+    assert sorted(map(tuple, records.kept_keywords(docs).collect())) == [(1, "ben"), (3, "x"), (3, "z")]
+
+
+def test_token_windows_of_a_tokenizer(spark):
+    """Windows over characters as tokens, checked against slices; and a tokenizer of a library round-trips."""
+    text = "".join(chr(97 + i % 26) for i in range(103))
+    docs = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "ab")], "doc_id long, text string")
+    encode, decode = lambda t: [ord(c) for c in t], lambda ids: "".join(map(chr, ids))
+    got = T.token_chunks(docs, encode, decode, 10, 3).orderBy("doc_id", "chunk_index").collect()
+    mine = [r for r in got if r.doc_id == 1]
+    assert [r.chunk for r in mine] == [text[a : a + 10] for a in range(0, 100, 7)] and [r.chunk for r in got if r.doc_id == 4] == ["ab"]
+    assert "".join([mine[0].chunk, *(r.chunk[3:] for r in mine[1:])]) == text and all(r.tokens == len(r.chunk) for r in got)
+    with pytest.raises(ValueError):
+        T.token_chunks(docs, encode, decode, 3, 3)
+    one = T.chunks(docs, 5, 1, metadata=["doc_id", "text"]).filter("doc_id = 4").first()
+    assert one.metadata.doc_id == "4" and one.metadata.text == "ab"
+
+
+def test_language_by_learned_words(spark):
+    docs = spark.createDataFrame([("der Hund und die Katze und der Vogel", "de"), ("the dog and the cat and the bird", "en"), ("le chien et le chat", None), (None, "de")], "text string, lang string")
+    model = language.learned(docs, per_language=5)
+    assert set(model) == {"de", "en"} and model["de"] == (8, {"der": 2, "und": 2, "die": 1, "hund": 1, "katze": 1})
+    rows = spark.createDataFrame([(1, "Die Katze"), (2, "THE bird"), (3, "123 !"), (4, None), (5, "zzz")], "i int, text string")
+    assert {r.i: r.detected for r in language.detected(rows, model).collect()} == {1: "de", 2: "en", 3: None, 4: None, 5: "de"}
+    assert language.detected(rows, {}).filter("detected IS NOT NULL").count() == 0
+
+
+def test_language_of_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = language.detected(docs.filter("doc_id % 2 = 1 AND lang IS NOT NULL"), language.learned(docs.filter("doc_id % 2 = 0")))
+    assert got.filter("detected = lang").count() > 0.95 * got.count()
+
+
+def test_pending_by_two_columns_and_attached_nodes(spark):
+    rows = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x"), (None, "x")], "q string, t string")
+    done = spark.createDataFrame([("a", "x"), ("b", "y"), (None, "x")], "q string, t string")
+    assert sorted(map(tuple, ingest.pending(rows, done, ["q", "t"]).collect()), key=str) == [("a", "y"), ("b", "x"), (None, "x")]
+    links = G.attached(spark.createDataFrame([("d1", "q", "s"), ("d2", "q", "s")], "node_id string, qid string, source_tag string"), spark.createDataFrame([("q", "s", "X", None, 1.5, -2.0)], "qid string, source_tag string, country string, location string, lat double, lon double"))
+    assert links.count() == 4 and sorted(map(tuple, G.attached_nodes(links).collect()), key=str) == [("Coordinates", "1.5,-2.0", 1.5, -2.0), ("Country", "X", None, None)]
+
+
+def test_paths_of_two_edges_use_two(spark):
+    """A self-loop at a target is no second edge of itself, a parallel one is."""
+    loop = make(spark, [("t", ["City"], "t"), ("x", ["City"], "x")], [("t", "t", "OTHER"), ("x", "t", "OTHER")])
+    target = spark.createDataFrame([("t",)], "node_id string")
+    assert G.reaches_any(loop, target).count() == 0
+    both = make(spark, [("t", ["City"], "t"), ("x", ["City"], "x")], [("t", "t", "LOCATED_IN"), ("t", "t", "OTHER"), ("x", "t", "OTHER")])
+    assert {r.node_id for r in G.reaches_any(both, target).collect()} == {"t", "x"} == {r.node_id for r in G.reach_from(both, both.nodes.select("node_id"), target, 2, every=False).collect()}
 
 
 def test_io_round_trips(spark, tmp_path):
@@ -349,7 +401,8 @@ def test_more_sources_and_sinks(spark, tmp_path):
     assert io.images(spark, str(tmp_path / "x.png")).first().length == 3
     (tmp_path / "ids.csv").write_text("p1\np2\np3\n")
     assert [tuple(r) for r in io.lines(spark, str(tmp_path / "ids.csv"), "photo_id").collect()] == [(0, "p1"), (1, "p2"), (2, "p3")]
-    assert io.vectors(spark, str(tmp_path / "nope"), state).count() == 2 and io.request(spark, "a").first().text_input == ""
+    rows.write.parquet(str(tmp_path / "vectors"))
+    assert io.vectors(spark, str(tmp_path / "nope"), str(tmp_path / "vectors")).count() == 5 and io.request(spark, "a").first().text_input == ""
 
 
 def test_deduplicated_stream_rows(spark):
