@@ -594,18 +594,6 @@ def first_valid_page(spark, sf):
     return fetch.first_valid_pages(c.select(F.col("conv_id").cast("string").alias("qid"), F.col("turn").alias("ordinal"), key.alias("page_key"), F.col("text").alias("extract"), url.alias("url")))
 
 
-@query("""
-WITH p AS (SELECT 'P'||page_id AS qid, url, length(url) AS n FROM pages WHERE coalesce(url, '') <> '' AND page_id % 5 <> 0),
-r AS (SELECT qid, url, CASE WHEN n % 11 = 0 THEN 'robots_disallow' WHEN n % 13 = 0 THEN 'fetch_error:down' WHEN n % 20 < 9 THEN 'too_short_or_empty' END AS reason FROM p)
-SELECT qid, url AS website, CASE WHEN reason IS NULL THEN 'ok' ELSE 'fail' END AS status, reason, CASE WHEN reason IS NULL THEN url||'#end' END AS final_url, CASE WHEN reason IS NULL THEN md5(url||'#end') END AS doc_id FROM r""")
-def crawl_resumable(spark, sf):
-    p = table(spark, sf, "pages")
-    rows = p.select(F.concat(F.lit("P"), "page_id").alias("qid"), F.concat(F.lit("page "), "page_id").alias("qidLabel"), F.col("url").alias("website"))
-    done = p.filter("page_id % 5 = 0").select(F.concat(F.lit("P"), "page_id").alias("qid"))
-    out = fetch.crawl_resumable(rows, done, offline.page, None, allowed=offline.allowed)
-    return out.select("qid", "website", "status", "reason", "final_url", "doc_id")
-
-
 @query(r"""
 WITH r AS (SELECT DISTINCT regexp_replace(raw, '^\s+|\s+$', '', 'g') AS rel_type FROM (SELECT o_orderpriority AS raw FROM orders UNION ALL SELECT event_type FROM events UNION ALL SELECT p_type FROM part) WHERE coalesce(raw, '') <> ''),
 n AS (SELECT rel_type, regexp_replace(upper(regexp_replace(regexp_replace(rel_type, '[-\s]+', '_', 'g'), '[^\p{L}\p{N}_]', '', 'g')), '^_+|_+$', '', 'g') AS name FROM r)
@@ -875,6 +863,133 @@ def page_main_text(spark, sf):
 _SUFFIXES = ["com", "net", "org", "example.net", "*.example.org", "!spam-farm.example.org"]
 
 
+@query(r"""
+WITH h AS (SELECT page_id, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)), '') AS host FROM pages), l AS (SELECT *, string_split(host, '.') AS l FROM h),
+s AS (SELECT *, CASE WHEN host IS NULL THEN NULL WHEN array_to_string(l[-3:], '.') = 'spam-farm.example.org' THEN 2 WHEN array_to_string(l[-2:], '.') = 'example.org' AND len(l) > 2 THEN 3
+  WHEN array_to_string(l[-2:], '.') = 'example.net' THEN 2 ELSE 1 END AS n FROM l)
+SELECT page_id, host, array_to_string(l[-n:], '.') AS suffix, CASE WHEN n < len(l) THEN array_to_string(l[-(n + 1):], '.') END AS domain FROM s""")
+def url_registered_domain(spark, sf):
+    rules = spark.createDataFrame([(r,) for r in _SUFFIXES], "rule string")
+    return pages.registered_domains(table(spark, sf, "pages"), rules)
+
+
+_ROBOTS_SQL = r"""u AS (SELECT page_id, url, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) AS host, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)', 1) AS p FROM pages),
+r_ AS (SELECT *, length(host) % 3 = 0 AS mine, CASE WHEN starts_with(p, '/') THEN p ELSE '/'||p END AS path FROM u),
+verdicts AS (SELECT page_id, url, CASE WHEN mine THEN CASE WHEN regexp_matches(path, '\.html$') THEN '/*.html$' WHEN starts_with(path, '/en/') THEN '/en/' END
+  ELSE CASE WHEN regexp_matches(path, '^/.*\?page=') AND NOT starts_with(path, '/fr/') THEN '/*?page=' WHEN starts_with(path, '/fr/') AND regexp_matches(path, '^/fr/.*page') THEN '/fr/*page' WHEN starts_with(path, '/de/') THEN '/de/' END END AS rule,
+  CASE WHEN mine THEN NOT starts_with(path, '/en/') OR regexp_matches(path, '\.html$')
+  ELSE CASE WHEN starts_with(path, '/fr/') AND regexp_matches(path, '^/fr/.*page') THEN true WHEN regexp_matches(path, '^/.*\?page=') THEN false ELSE NOT starts_with(path, '/de/') END END AS allowed FROM r_)"""
+
+
+def _robots_files(p: DataFrame) -> DataFrame:
+    """Robots files of two kinds by host: one that names the agent and one for all."""
+    named = "User-agent: *\nDisallow: /\n\nUser-Agent: Other\nuser-agent: Sextant # us\nDisallow: /en/\nAllow: /*.html$\nCrawl-delay: 2\n"
+    general = "# all\nUser-agent: *\nDisallow: /de/\nDisallow: /*?page=\nAllow: /fr/*page\nDisallow:\n"
+    return p.select(T.host(F.col("url")).alias("host")).distinct().withColumn("text", F.when(F.length("host") % 3 == 0, named).otherwise(general))
+
+
+@query(f"WITH {_ROBOTS_SQL} SELECT page_id, url, rule, allowed FROM verdicts")
+def robots_verdicts(spark, sf):
+    p = table(spark, sf, "pages").select("page_id", "url")
+    return pages.robots_verdicts(p, pages.robots_rules(_robots_files(p)), "sextant")
+
+
+@query(rf"""
+WITH {_ROBOTS_SQL}, p AS (SELECT 'P'||page_id AS qid, page_id, url, NOT allowed AS forbidden FROM verdicts WHERE coalesce(url, '') <> '' AND page_id % 5 <> 0),
+r AS (SELECT *, CASE WHEN forbidden THEN 'robots_disallow' WHEN page_id % 13 = 0 THEN 'fetch_error:not stored' WHEN page_id % 11 = 0 THEN 'too_short_or_empty' END AS reason, regexp_replace(url, '[?#].*$', '') AS final FROM p)
+SELECT qid, url AS website, CASE WHEN reason IS NULL THEN 'ok' ELSE 'fail' END AS status, reason, CASE WHEN reason IS NULL THEN final END AS final_url, CASE WHEN reason IS NULL THEN md5(final) END AS doc_id FROM r""")
+def crawl_resumable(spark, sf):
+    """A stored crawl of the given pages gone through again, with robots rules, by a run that has done every fifth page before."""
+    p = table(spark, sf, "pages")
+    rows = p.select(F.concat(F.lit("P"), "page_id").alias("qid"), F.concat(F.lit("page "), "page_id").alias("qidLabel"), F.col("url").alias("website"))
+    done = p.filter("page_id % 5 = 0").select(F.concat(F.lit("P"), "page_id").alias("qid"))
+    content = F.when(F.col("page_id") % 11 == 0, F.lit(b"<p>too short</p>")).otherwise(F.encode("html", "UTF-8"))
+    archive = p.filter("page_id % 13 <> 0").select("url", F.regexp_replace("url", "[?#].*$", "").alias("final_url"), content.alias("content"), "page_id")
+    archive = ingest.first_match(archive, "url", "page_id").drop("page_id")
+    out = fetch.crawl_resumable(rows, done, archive, None, rules=pages.robots_rules(_robots_files(p)), agent="sextant")
+    return out.select("qid", "website", "status", "reason", "final_url", "doc_id")
+
+
+# --- records ----------------------------------------------------------------------------------------------------------
+
+
+@query("""
+SELECT conv_id, list(text ORDER BY turn) FILTER (WHERE text IS NOT NULL) AS texts, (list(role ORDER BY turn) FILTER (WHERE coalesce(role, '') <> ''))[1] AS first_role FROM conversations GROUP BY 1""")
+def state_reducers(spark, sf):
+    return records.reduced(table(spark, sf, "conversations"))
+
+
+@query(r"""
+SELECT event_id, props AS repaired, CASE WHEN event_id % 7 IN (0, 6) THEN 'whole' ELSE 'mended' END AS way, (props ->> '$.k')::BIGINT AS k FROM events
+UNION ALL SELECT event_id, '{}', 'nothing', NULL FROM (SELECT -event_id - 1 AS event_id FROM events WHERE event_id % 1000 = 0)""")
+def json_repair(spark, sf):
+    e = table(spark, sf, "events").select("event_id", "props")
+    broken = F.expr("""CASE event_id % 7 WHEN 1 THEN left(props, length(props) - 1) WHEN 2 THEN translate(props, '"', "'") WHEN 3 THEN replace(props, '}', ',}')
+        WHEN 4 THEN translate(props, '"', '') WHEN 5 THEN concat('Here it is: ', props, ' Anything else?') ELSE props END""")
+    none = e.filter("event_id % 1000 = 0").select((-F.col("event_id") - 1).alias("event_id"), F.lit("nothing").alias("props"))
+    out = jsonfix.repaired(e.select("event_id", broken.alias("props")).union(none), "props")
+    return out.select("event_id", "repaired", "way", F.get_json_object("repaired", "$.k").try_cast("long").alias("k"))
+
+
+@query("""
+SELECT doc_id, CASE WHEN text <> '' THEN list_transform(range(16), lambda i: (('0x' || substr(sha256(text), (2 * i + 1)::BIGINT, 2))::INTEGER / 255.0::DOUBLE)::FLOAT) ELSE []::FLOAT[] END AS embedding,
+  CASE WHEN text <> '' THEN 'ok' ELSE 'empty' END AS status FROM documents d WHERE text IS NOT NULL AND NOT EXISTS (SELECT 1 FROM embeddings e WHERE e.vec_id = d.doc_id)""")
+def embed_backfill(spark, sf):
+    """Documents with a text come through the graph source, which both predicates are pushed to."""
+    path = scratch(spark, "graph-nodes")
+    graph(spark, sf).nodes.select("node_id", F.element_at("labels", 1).alias("label"), "text").write.parquet(path)
+    docs = nodesource.read_graph(spark, path).filter("label = 'Document' AND text IS NOT NULL")
+    docs = docs.select(F.substring("node_id", 2, 20).cast("long").alias("doc_id"), "text")
+    return ingest.backfilled(docs, table(spark, sf, "embeddings"))
+
+
+_STORED = "SELECT lang AS label, 'L'||(doc_id % 200) AS id, min(source) AS source FROM documents WHERE lang IS NOT NULL GROUP BY 1, 2"
+
+
+@query(f"""
+WITH old AS ({_STORED}), new AS (SELECT lang AS label, 'L'||(doc_id % 300) AS id, count(*) AS docs, max(n_chars) AS longest FROM documents WHERE lang = 'en' OR doc_id % 7 = 0 GROUP BY 1, 2),
+merged AS (SELECT coalesce(o.label, n.label) AS label, coalesce(o.id, n.id) AS id, source, docs, longest FROM old o FULL JOIN new n ON o.label = n.label AND o.id = n.id)
+SELECT * FROM merged WHERE label IS NOT NULL AND NOT (id = 'L7' AND label = 'en')""")
+def graph_store_upsert(spark, sf):
+    """Equal ids of several labels; new properties; a delete that leaves the same id of other labels."""
+    d = table(spark, sf, "documents")
+    old = d.filter("lang IS NOT NULL").groupBy(F.col("lang").alias("label"), F.concat(F.lit("L"), F.col("doc_id") % 200).alias("id")).agg(F.min("source").alias("source"))
+    new = d.filter("lang = 'en' OR doc_id % 7 = 0").groupBy(F.col("lang").alias("label"), F.concat(F.lit("L"), F.col("doc_id") % 300).alias("id")).agg(F.count(F.lit(1)).alias("docs"), F.max("n_chars").alias("longest"))
+    store = graphstore.node_table(spark, old)
+    store.upsert(new)
+    store.delete(spark.createDataFrame([("en", "L7")], "label string, id string"))
+    return store.rows()
+
+
+_OUTCOME = "qid string, website string, status string, reason string, words int"
+
+
+@query(r"""
+WITH p AS (SELECT 'P'||page_id AS qid, url AS website, len(list_filter(regexp_split_to_array(regexp_replace(html, '(?s)<[^>]*>', ' ', 'g'), '\s+'), lambda x: x <> ''))::INTEGER AS n FROM pages)
+SELECT qid, website, CASE WHEN n >= 60 THEN 'ok' ELSE 'fail' END AS status, CASE WHEN n >= 60 THEN NULL ELSE 'too_short_or_empty' END AS reason, CASE WHEN n >= 60 THEN n END AS words FROM p""")
+def crawl_incremental(spark, sf):
+    """The pages arrive in files; a run that sees some of them, and one that goes on after it, store each result once."""
+    at = scratch(spark, "crawl")
+    p = table(spark, sf, "pages")
+    work = lambda rows: ingest.outcomes(rows.select(F.col("page_id"), "url", "html"), 60).select(F.concat(F.lit("P"), "page_id").alias("qid"), "website", "status", "reason", "words")
+    for half in (0, 1):
+        p.filter(F.col("page_id") % 2 == half).withColumn("qid", F.concat(F.lit("P"), "page_id")).repartition(2, "page_id").write.mode("append").parquet(f"{at}/in")
+        run = arrivals.incremental(spark, f"{at}/in", "page_id long, url string, html string, qid string", work, f"{at}/out", _OUTCOME, f"{at}/checkpoint", files_at_once=2)
+        run.awaitTermination()
+    return arrivals.results(spark, f"{at}/out", _OUTCOME)
+
+
+# --- pages ------------------------------------------------------------------------------------------------------------
+
+
+@query()
+def page_main_text(spark, sf):
+    return pages.main_texts(table(spark, sf, "pages"))
+
+
+_SUFFIXES = ["com", "net", "org", "example.net", "*.example.org", "!spam-farm.example.org"]
+
+
 @query(r"""
 WITH h AS (SELECT page_id, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)), '') AS host FROM pages), l AS (SELECT *, string_split(host, '.') AS l FROM h),
 s AS (SELECT *, CASE WHEN host IS NULL THEN NULL WHEN array_to_string(l[-3:], '.') = 'spam-farm.example.org' THEN 2 WHEN array_to_string(l[-2:], '.') = 'example.org' AND len(l) > 2 THEN 3

@@ -1,6 +1,9 @@
 """What is stored and gone on with: arrivals, graph tables, the graph source, positions and paces."""
 
+import os
 import shutil
+import subprocess
+import sys
 import time
 from collections import Counter
 
@@ -133,6 +136,18 @@ def test_pace_holds_across_tasks(spark):
     assert {r.reason for r in got if r.url.endswith("/5")} == {"fetch_error:OSError"}
 
 
+def test_shipped_package(spark, tmp_path):
+    """Another folder, nothing installed: the zip that goes to the executors is all that a worker needs."""
+    from sextant.session import ship
+
+    ship(spark)
+    zips = [f for f in spark.sparkContext.listFiles if f.endswith("sextant.zip")]
+    assert zips
+    path = zips[-1].removeprefix("file:")
+    code = f"import sys; sys.path = [{path!r}] + [p for p in sys.path if 'repo' not in p]; import sextant.operators.pages as p; assert {path!r} in p.__file__"
+    assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}).returncode == 0
+
+
 def test_graph_store(spark):
     nodes = spark.createDataFrame([("City", "Paris", "a"), ("Person", "Paris", "b"), ("City", "Rome", "c"), ("City", "Rome", "b")] + [("City", f"c{i}", "x") for i in range(200)], "label string, id string, text string")
     store = graphstore.node_table(spark, nodes, partitions=16, buckets=2)
