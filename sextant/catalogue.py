@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from .functions import text as T
 from .functions.ontology import GROUPS
 from .operators import graph as G
-from .operators import fetch, fulltext, gazetteer, index, ingest, jsonfix, language, offline, pages, questions, records
+from .operators import fetch, fulltext, gazetteer, index, ingest, jsonfix, language, pages, questions, records
 from .operators import retrieval as R
 from .plans.graph import GRAPH_SQL, graph
 from .session import scratch, settled, table
@@ -207,6 +207,10 @@ SELECT qid, CASE kind WHEN 0 THEN c_name WHEN 1 THEN '塔 '||n_name WHEN 2 THEN
   CASE kind WHEN 0 THEN 'https://site.example/'||qid WHEN 1 THEN 'https://ja.wikipedia.org/wiki/'||n_name||'_Tower' WHEN 3 THEN 'https://commons.wikipedia.org/wiki/Some_Place_'||qid WHEN 6 THEN 'https://de.wikipedia.org/wiki/Der_Ort' END AS website
 FROM c WHERE kind <> 5""")
 def entity_json_fields(spark, sf):
+    return records.entity_fields(_entity_json(spark, sf)).select("qid", "label", F.try_element_at("countries", F.lit(1)).alias("country"), F.try_element_at("locations", F.lit(1)).alias("location"), "lat", "lon", "website")
+
+
+def _entity_json(spark, sf) -> DataFrame:
     """Entities of seven kinds, one for each fallback, as JSON made from customers; the sixth is no object."""
     c = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).withColumn("qid", F.concat(F.lit("Q"), "c_custkey"))
     claim = lambda kind, value: '{"mainsnak":{"snaktype":"value","datavalue":{"type":"%s","value":%s}}}' % (kind, value)
@@ -225,7 +229,7 @@ def entity_json_fields(spark, sf):
     text = F.element_at(F.array(*map(F.lit, kinds)), (F.col("c_custkey") % 7 + 1).cast("int"))
     for mark, col in (("<N>", "c_nationkey"), ("<R>", "n_regionkey"), ("<qid>", "qid"), ("<nation>", "n_name"), ("<name>", "c_name")):
         text = F.replace(text, F.lit(mark), F.col(col).cast("string"))
-    return records.entity_fields(c.select("qid", text.alias("json"))).select("qid", "label", F.try_element_at("countries", F.lit(1)).alias("country"), F.try_element_at("locations", F.lit(1)).alias("location"), "lat", "lon", "website")
+    return c.select("qid", text.alias("json"))
 
 
 # --- relations --------------------------------------------------------------------------------------------------------
@@ -560,27 +564,42 @@ def candidate_tool_fanout(spark, sf):
     return records.fanned_out(top)
 
 
-# --- sources behind transports (deterministic stand-ins) and questions ------------------------------------------------
+# --- sources with stored answers, and questions -----------------------------------------------------------------------
 
 
-@query("SELECT 'Q'||c_custkey AS qid, CASE WHEN c_custkey % 5 = 0 THEN 'Ort Q'||c_custkey ELSE 'Place Q'||c_custkey END AS label FROM customer WHERE c_custkey % 7 <> 0")
+@query("""
+SELECT 'Q'||o_custkey AS qid, CASE o_custkey % 7 WHEN 0 THEN min(c_name) WHEN 1 THEN '塔 '||min(n_name) WHEN 2 THEN 'a place in '||min(n_name) WHEN 3 THEN 'Some Place Q'||o_custkey WHEN 4 THEN '' WHEN 6 THEN 'Ort Q'||o_custkey END AS label
+FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE o_custkey % 7 <> 5 GROUP BY o_custkey""")
 def fetch_entities(spark, sf):
-    ids = table(spark, sf, "customer").select(F.concat(F.lit("Q"), "c_custkey").alias("qid"))
-    return records.entity_fields(fetch.entities(ids, offline.entity_call)).select("qid", "label")
+    """The entities that orders refer to, from stored answers."""
+    ids = table(spark, sf, "orders").select(F.concat(F.lit("Q"), "o_custkey").alias("qid"))
+    return records.entity_fields(fetch.entities(ids, _entity_json(spark, sf))).select("qid", "label")
 
 
 @query("""
-WITH u AS (SELECT 'N'||c_nationkey AS id, c_nationkey AS n FROM customer UNION SELECT 'R'||n_regionkey, n_regionkey FROM customer JOIN nation ON n_nationkey = c_nationkey)
-SELECT id, 'Place '||id AS name FROM u WHERE n % 7 <> 0 AND n % 5 <> 0""")
+WITH u AS (SELECT DISTINCT n_nationkey, n_name, n_regionkey FROM customer JOIN nation ON n_nationkey = c_nationkey)
+SELECT 'N'||n_nationkey AS id, n_name AS name FROM u WHERE n_nationkey % 5 <> 0 UNION SELECT 'R'||r_regionkey, r_name FROM u JOIN region ON r_regionkey = n_regionkey""")
 def referenced_labels(spark, sf):
-    rows = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    """English labels of what customers refer to; every fifth nation has a label in another language only."""
+    n, r = table(spark, sf, "nation"), table(spark, sf, "region")
+    rows = table(spark, sf, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
     lists = rows.select(F.array(F.concat(F.lit("N"), "c_nationkey")).alias("countries"), F.array(F.concat(F.lit("R"), "n_regionkey")).alias("locations"))
-    return fetch.english_labels(fetch.referenced(lists, "countries", "locations"), offline.entity_call)
+    said = lambda lang, name: F.format_string('{"labels":{"%s":{"value":"%s"}}}', lang, name)
+    stored = n.select(F.concat(F.lit("N"), "n_nationkey").alias("qid"), said(F.when(F.col("n_nationkey") % 5 == 0, "de").otherwise("en"), F.col("n_name")).alias("json"))
+    stored = stored.union(r.select(F.concat(F.lit("R"), "r_regionkey"), said(F.lit("en"), F.col("r_name"))))
+    return fetch.english_labels(fetch.referenced(lists, "countries", "locations"), stored)
 
 
-@query("SELECT page_id, CASE WHEN length(string_split(url, '/wiki/')[-1]) % 3 > 0 THEN 'Summary of '||string_split(url, '/wiki/')[-1] END AS text FROM pages")
+@query("""
+WITH s AS (SELECT url, min(page_id) AS k FROM pages WHERE page_id % 7 <> 0 GROUP BY 1)
+SELECT p.page_id, CASE WHEN k % 3 > 0 THEN substr(q.html, 1, 200) END AS text, CASE WHEN p.url IS NULL OR k % 3 > 0 THEN NULL WHEN k IS NULL THEN 'error:not stored' ELSE 'status:404' END AS reason
+FROM pages p LEFT JOIN s ON s.url = p.url LEFT JOIN pages q ON q.page_id = k""")
 def fetch_summaries(spark, sf):
-    return fetch.summaries(table(spark, sf, "pages").select("page_id", "url"), offline.summary, "url").select("page_id", "text")
+    """Summaries from stored answers of two kinds; some pages were never asked for."""
+    p = table(spark, sf, "pages")
+    stored = ingest.first_match(p.filter("page_id % 7 <> 0"), "url", "page_id")
+    stored = stored.select(F.col("url").alias("title"), F.when(F.col("page_id") % 3 > 0, 200).otherwise(404).alias("status"), F.substring("html", 1, 200).alias("extract"))
+    return fetch.summaries(p.select("page_id", "url"), stored, "url").select("page_id", "text", "reason")
 
 
 @query(r"""
@@ -596,20 +615,25 @@ def first_valid_page(spark, sf):
 
 @query(r"""
 WITH r AS (SELECT DISTINCT regexp_replace(raw, '^\s+|\s+$', '', 'g') AS rel_type FROM (SELECT o_orderpriority AS raw FROM orders UNION ALL SELECT event_type FROM events UNION ALL SELECT p_type FROM part) WHERE coalesce(raw, '') <> ''),
-n AS (SELECT rel_type, regexp_replace(upper(regexp_replace(regexp_replace(rel_type, '[-\s]+', '_', 'g'), '[^\p{L}\p{N}_]', '', 'g')), '^_+|_+$', '', 'g') AS name FROM r)
-SELECT rel_type, CASE WHEN rel_type = '1-URGENT' THEN 'AT_ONCE' WHEN length(rel_type) % 3 = 0 THEN name ELSE 'THE_'||name END AS rel_type_en FROM n""")
+d AS (SELECT p_type AS rel_type, 'kind of '||min(p_brand) AS said FROM part WHERE p_size % 2 = 0 GROUP BY 1 UNION ALL SELECT DISTINCT event_type, '!!!' FROM events),
+n AS (SELECT r.rel_type, regexp_replace(upper(regexp_replace(regexp_replace(r.rel_type, '[-\s]+', '_', 'g'), '[^\p{L}\p{N}_]', '', 'g')), '^_+|_+$', '', 'g') AS name, regexp_replace(regexp_replace(upper(said), '\s+', '_', 'g'), '[^\p{L}\p{N}_]', '', 'g') AS t FROM r LEFT JOIN d ON d.rel_type = r.rel_type)
+SELECT rel_type, CASE WHEN rel_type = '1-URGENT' THEN 'AT_ONCE' ELSE coalesce(nullif(t, ''), name) END AS rel_type_en FROM n""")
 def translate_predicates(spark, sf):
-    names = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("rel_type")).union(table(spark, sf, "events").select("event_type")).union(table(spark, sf, "part").select("p_type"))
+    """A cache, then a dictionary made from parts; names of events are translated to nothing."""
+    e, p = table(spark, sf, "events"), table(spark, sf, "part")
+    names = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("rel_type")).union(e.select("event_type")).union(p.select("p_type"))
     cache = spark.createDataFrame([("1-URGENT", "AT_ONCE"), ("unused", "UNUSED")], "rel_type string, rel_type_en string")
-    return fetch.translated(names, cache, offline.translation)
+    said = p.filter("p_size % 2 = 0").groupBy(F.col("p_type").alias("rel_type")).agg(F.concat(F.lit("kind of "), F.min("p_brand")).alias("said"))
+    return fetch.translated(names, cache, said.union(e.select("event_type", F.lit("!!!")).distinct()))
 
 
 @query(r"""
-WITH d AS (SELECT md5(text) AS source, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents WHERE regexp_replace(text, '\s+', '', 'g') <> '')
-SELECT w[1] AS src, 'Word' AS src_label, w[2] AS dst, 'Word' AS dst_label, 'NEXT' AS type FROM d WHERE len(w) > 1
-UNION SELECT source, 'Document', w[1], 'Word', 'MENTIONS' FROM d UNION SELECT source, 'Document', w[2], 'Word', 'MENTIONS' FROM d WHERE len(w) > 1""")
+WITH d AS (SELECT md5(text) AS source, regexp_extract_all(text, '[A-ZÀ-ÖØ-Þ][\p{L}\p{N}_]+(?: [A-ZÀ-ÖØ-Þ][\p{L}\p{N}_]+)*') AS w FROM documents WHERE regexp_replace(text, '\s+', '', 'g') <> ''),
+p AS (SELECT source, w, unnest(range(1, len(w) + 1)) AS i FROM d)
+SELECT DISTINCT w[i] AS src, 'Name' AS src_label, w[i + 1] AS dst, 'Name' AS dst_label, 'NEXT' AS type FROM p WHERE i < len(w) AND w[i] <> w[i + 1] UNION SELECT DISTINCT source, 'Document', w[i], 'Name', 'MENTIONS' FROM p""")
 def graph_document_edges(spark, sf):
-    docs = fetch.extracted(table(spark, sf, "documents").select("doc_id", "text"), offline.first_words)
+    """Names that documents hold, as an extractor without a model finds them, as a graph."""
+    docs = fetch.extracted(table(spark, sf, "documents").select("doc_id", "text"), fetch.capitalised)
     return G.graph_documents(docs)[1]
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sextant.functions import text as T
 from sextant.operators import graph as G
-from sextant.operators import fetch, ingest, jsonfix, language, offline, questions, records
+from sextant.operators import fetch, ingest, jsonfix, language, questions, records
 from sextant.operators import retrieval as R
 from sextant.plans.graph import Graph
 from sextant.sources import io
@@ -305,6 +305,10 @@ def test_pages_behind_transports(spark):
     rows = spark.createDataFrame([("http://e/wiki/Big_Ben",), ("http://e/wiki/x",), (None,)], "website string")
     got = [r.text for r in fetch.summaries(rows, lambda t: (200, f"about {t}") if t != "x" else (404, "no")).collect()]
     assert got == ["about Big_Ben", None, None]
+    got = [(r.text, r.reason) for r in fetch.summaries(rows, lambda t: 1 / 0).collect()]
+    assert set(got) <= {(None, "error:ZeroDivisionError"), (None, None)} and (None, "error:ZeroDivisionError") in got
+    stored = spark.createDataFrame([("Big_Ben", 200, "stored")], "title string, status int, extract string")
+    assert "stored" in [r.text for r in fetch.summaries(rows, stored).collect()]
     long = "<p>" + "word " * 3000 + "</p>"
     got = [r.text for r in fetch.external(rows, lambda u: (200, long) if "Ben" in u else (500, "x")).collect()]
     assert len(got[0]) == 5000 and got[1:] == [None, None]
@@ -320,13 +324,13 @@ def test_graph_documents_and_extraction(spark):
     def extract(text):
         if "bad" in text:
             raise ValueError
-        return offline.first_words(text)
+        return fetch.capitalised(text)
 
-    docs = spark.createDataFrame([(1, "Big Ben rings"), (2, "Big Ben rings"), (3, " "), (4, "bad one")], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "Big Ben rings in Old Town"), (2, "Big Ben rings in Old Town"), (3, " "), (4, "bad one")], "doc_id long, text string")
     out = fetch.extracted(docs, extract, tries=1).cache()
     assert {r.doc_id: r.error for r in out.collect()} == {1: None, 2: None, 4: "ValueError"}
     nodes, edges = G.graph_documents(out.filter("error IS NULL"))
-    assert {(r.id, r.label) for r in nodes.collect() if r.label == "Word"} == {("Big", "Word"), ("Ben", "Word")}
+    assert {(r.id, r.label) for r in nodes.collect() if r.label == "Name"} == {("Big Ben", "Name"), ("Old Town", "Name")}
     assert nodes.filter("label = 'Document'").count() == 1 and edges.count() == 3
 
 
