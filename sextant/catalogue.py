@@ -532,10 +532,7 @@ cand AS (SELECT qid, label, score, row_number() OVER (ORDER BY score DESC, first
 
 
 def _candidates(spark, sf) -> tuple[DataFrame, DataFrame]:
-    g = graph(spark, sf)
-    docs = R.geo_filtered(g, _ranked_docs(spark, sf), _names(spark))
-    docs = settled(docs)
-    return docs, settled(R.reranked(g, docs, _names(spark), 15))
+    return R.landmarks(graph(spark, sf), _ranked_docs(spark, sf), _names(spark), 15)
 
 
 @query(f"WITH {GRAPH_SQL}, {_DOCS}, {_GEO}, {_RERANK} SELECT qid, label, score, rank FROM cand")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..plans.graph import Graph
+from ..session import settled
 
 LOCATED = "LOCATED_IN"
 
@@ -109,6 +110,29 @@ def doc_targets(g: Graph, qids: DataFrame) -> DataFrame:
     return docs.union(ents).distinct()
 
 
+def qid_nodes(g: Graph, qids: DataFrame) -> DataFrame:
+    """(qid, node_id, anchor): the nodes of ``doc_targets`` in one pass over the nodes; ``anchor`` tells those of ``anchors``."""
+    own = g.nodes.join(qids.select("qid").distinct(), "qid", "left_semi").select("qid", "node_id", F.array_contains("labels", "Document").alias("doc"), F.array_contains("labels", "__Entity__").alias("entity"))
+    own = own.filter("doc OR entity")
+    has = own.groupBy("qid").agg(F.bool_or("doc").alias("has_doc"), F.bool_or("entity").alias("has_entity"))
+    both = own.join(has, "qid").filter("has_doc")
+    return both.groupBy("qid", "node_id").agg(F.bool_or(F.col("entity") | ~F.col("has_entity")).alias("anchor"))
+
+
+def ways_from(g: Graph, starts: DataFrame, hops: int, located_after: int | None = None) -> Graph:
+    """The edges that paths of up to ``hops`` edges from few nodes (node_id) can use, stored hop by hop: each hop's scan meets the
+    nodes before it, whose size is known by then. After ``located_after`` hops only LOCATED_IN edges after such edges are followed."""
+    steps = g.edges.select("edge_id", "src", "dst", "rel_group")
+    front, found = starts.select("node_id").distinct(), None
+    for hop in range(hops):
+        only = located_after is not None and hop >= located_after
+        met = settled((located(steps) if only else steps).join(front, F.col("src") == F.col("node_id"), "left_semi"))
+        found = met if found is None else found.union(met)
+        following = met if located_after is None or hop + 1 < located_after else located(met)
+        front = following.select(F.col("dst").alias("node_id")).distinct()
+    return Graph(g.nodes, found.distinct())
+
+
 def facts(g: Graph, heads: DataFrame, per: int) -> DataFrame:
     """Up to ``per`` facts of each anchor in edge order: (qid, node_id, label, n_facts, facts); anchors without facts stay, with ''."""
     rel = g.edges.filter("type = 'REL' AND coalesce(rel_group, '') <> 'OTHER'").select("edge_id", "src", "dst", F.coalesce("rel_type_en", "rel_group", "rel_type", F.lit("REL")).alias("rel"))

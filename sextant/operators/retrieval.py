@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.vectors import cosine, dot
 from ..plans.graph import Graph
-from ..session import settled
+from ..session import settled, together
 from . import graph as G
 
 
@@ -67,13 +69,40 @@ def nearest_prototype(vectors: DataFrame, prototypes: DataFrame, least: float, o
     return best.select("vec_id", F.when(F.col("b.score") >= least, F.col("b.name")).otherwise(other).alias("label"), F.col("b.score").alias("score"))
 
 
-def geo_filtered(g: Graph, docs: DataFrame, names: DataFrame, fallback: int = 50) -> DataFrame:
-    """Ranked documents (rank, qid, ...; the top of a search, so few) whose anchor reaches the targets' region; the first ``fallback`` by rank if none does."""
+@dataclass
+class Around:
+    """What a request's ranked documents and target names meet in the graph; all of it small and stored."""
+
+    docs: DataFrame
+    nodes: DataFrame
+    allowed: DataFrame | None
+    named: DataFrame | None
+    degrees: DataFrame | None
+    edges: Graph
+
+
+def around(g: Graph, docs: DataFrame, names: DataFrame, region: bool = True, ranks: bool = True) -> Around:
+    """For ``region`` the nodes of the targets' region and the edges within two hops of the documents' nodes; for ``ranks`` the
+    targets, the degrees of the documents' nodes and the edges of located paths of three. What needs the graph but not each other
+    is looked up at the same time."""
     docs = settled(docs)
-    # steps are settled one after the other, so each plan stays small and meets the edges with a few rows
-    allowed = settled(G.named(g, settled(G.expanded_region(g, names))))
-    heads = settled(G.anchors(g, docs.filter("qid IS NOT NULL").select("qid")).select("qid", "node_id"))
-    ok = G.reach_from(g, heads.select("node_id").distinct(), allowed, hops=2, every=False)
+
+    def near() -> tuple:
+        nodes = settled(G.qid_nodes(g, docs.filter("coalesce(qid, '') <> ''").select("qid")))
+        ids = nodes.select("node_id").distinct()
+        edges = lambda: G.ways_from(g, ids, 3 if ranks else 2, 2 if ranks else None)
+        return nodes, *together(edges, (lambda: settled(G.degrees_of(g, ids))) if ranks else lambda: None)
+
+    allowed, named, (nodes, edges, degrees) = together(
+        (lambda: settled(G.named(g, settled(G.expanded_region(g, names))))) if region else lambda: None, (lambda: settled(G.named(g, names))) if ranks else lambda: None, near)
+    return Around(docs, nodes, allowed, named, degrees, edges)
+
+
+def geo_filtered(g: Graph, docs: DataFrame, names: DataFrame, fallback: int = 50, known: Around | None = None) -> DataFrame:
+    """Ranked documents (rank, qid, ...; the top of a search, so few) whose anchor reaches the targets' region; the first ``fallback`` by rank if none does."""
+    known = known or around(g, docs, names, ranks=False)
+    docs, heads = known.docs, known.nodes.filter("anchor").select("qid", "node_id")
+    ok = G.reach_from(known.edges, heads.select("node_id").distinct(), known.allowed, hops=2, every=False)
     valid = heads.join(ok, "node_id", "left_semi").select("qid").distinct()
     kept = settled(docs.join(valid, "qid", "left_semi").select(*docs.columns))
     none = kept.agg((F.count(F.lit(1)) == 0).alias("_none"))
@@ -81,17 +110,17 @@ def geo_filtered(g: Graph, docs: DataFrame, names: DataFrame, fallback: int = 50
     return kept.union(rest)
 
 
-def reranked(g: Graph, docs: DataFrame, names: DataFrame, top: int) -> DataFrame:
+def reranked(g: Graph, docs: DataFrame, names: DataFrame, top: int, known: Around | None = None) -> DataFrame:
     """(qid, label, score, rank) of the ``top`` best candidates among ranked documents (rank, qid, qidLabel, text, score).
 
     score * 1.2 if the text holds a target's name * 1.1 if the qid lies in a target + ln(2 in + out + 1) / 20, which is 0
     where there are no targets; the best document of a qid counts, the first of equals.
     """
     rows = docs.filter("coalesce(qid, '') <> ''")
-    nodes = settled(G.doc_targets(g, rows.select("qid")))
-    ids = nodes.select("node_id").distinct()
-    inside = settled(G.reach_from(g, ids, settled(G.named(g, names)), hops=3, every=True)).withColumn("_in", F.lit(True))
-    told = nodes.join(settled(G.degrees_of(g, ids)), "node_id", "left").join(inside, "node_id", "left").groupBy("qid").agg(
+    known = known or around(g, docs, names, region=False)
+    ids = known.nodes.select("node_id").distinct()
+    inside = G.reach_from(known.edges, ids, known.named, hops=3, every=True).withColumn("_in", F.lit(True))
+    told = known.nodes.select("qid", "node_id").join(known.degrees, "node_id", "left").join(inside, "node_id", "left").groupBy("qid").agg(
         F.max(F.coalesce("in_degree", F.lit(0))).alias("i"), F.max(F.coalesce("out_degree", F.lit(0))).alias("o"), F.coalesce(F.bool_or("_in"), F.lit(False)).alias("in_target"))
     wanted = names.agg(F.collect_set(F.lower("name")).alias("_names"))  # a request's own target names
     rows = rows.join(told, "qid", "left").crossJoin(F.broadcast(wanted))
@@ -105,6 +134,13 @@ def reranked(g: Graph, docs: DataFrame, names: DataFrame, top: int) -> DataFrame
     return best.orderBy(*order).limit(top).withColumn("rank", F.row_number().over(W.orderBy(*order))).drop("_first")
 
 
+def landmarks(g: Graph, docs: DataFrame, names: DataFrame, top: int, fallback: int = 50) -> tuple[DataFrame, DataFrame]:
+    """The documents that the region leaves and the ``top`` candidates among them: both steps share what they look up."""
+    known = around(g, docs, names)
+    left = settled(geo_filtered(g, docs, names, fallback, known))
+    return left, settled(reranked(g, left, names, top, known))
+
+
 def evidence(docs: DataFrame, candidates: DataFrame, chars: int = 700) -> DataFrame:
     """(qid, rank, block): each candidate's heading and the beginning of its longest document, the first of equals."""
     own = docs.join(candidates.select("qid"), "qid", "left_semi").select("qid", "text", "rank")

@@ -7,10 +7,17 @@ import tempfile
 import uuid
 import weakref
 import zipfile
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
+T = TypeVar("T")
+
+
 def session(master: str | None = None, partitions: int | None = None, **more: str) -> SparkSession:
     """A session with UTC time, adaptive plans and Arrow; everything else is the cluster's business."""
     b = SparkSession.builder.appName("sextant")
@@ -61,6 +68,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def together(*jobs: Callable[[], T]) -> list[T]:
+    """The results of independent jobs, which are run at the same time: small ones leave most cores idle one by one."""
+    own = inheritable_thread_target(SparkSession.active())
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        return [f.result() for f in [pool.submit(own(j)) for j in jobs]]
+
+
 def settled(df: DataFrame) -> DataFrame:
     """A small result computed once and kept as Parquet in the shared folder: plans over it stay small and know its size."""
     spark = df.sparkSession
