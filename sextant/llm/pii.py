@@ -313,9 +313,14 @@ def _forward(x: np.ndarray, table_: np.ndarray, rec: np.ndarray, out: np.ndarray
     table_, rec = np.ascontiguousarray(table_.T), np.ascontiguousarray(_on_grid(rec).T)
     batch = x.shape[1]
     h, c, tc = (np.zeros((n, batch), np.float32) for _ in range(3))
+    wide, exact, near = np.zeros((n, batch)), np.empty((4 * n, batch)), np.empty((4 * n, batch), np.float32)
     for t in range(len(x)):
         z = np.take(table_, x[t], axis=1)
-        np.add(z, rec @ h, out=z, casting="same_kind")
+        if t:
+            wide[:] = h
+            np.matmul(rec, wide, out=exact)
+            near[:] = exact
+            z += near
         np.tanh(z, out=z)
         gates = z[: 3 * n]
         gates *= 0.5
@@ -326,7 +331,7 @@ def _forward(x: np.ndarray, table_: np.ndarray, rec: np.ndarray, out: np.ndarray
         np.tanh(c, out=tc)
         h = out[t]
         np.multiply(gates[2 * n :], tc, out=h)
-        h /= GRID
+        h *= 1 / GRID
         np.rint(h, out=h)
         h *= GRID
 
