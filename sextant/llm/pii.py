@@ -313,9 +313,9 @@ def _forward(x: np.ndarray, table_: np.ndarray, rec: np.ndarray, out: np.ndarray
     table_, rec = np.ascontiguousarray(table_.T), np.ascontiguousarray(_on_grid(rec).T)
     batch = x.shape[1]
     h, c, tc = (np.zeros((n, batch), np.float32) for _ in range(3))
-    wide, exact, near = np.zeros((n, batch)), np.empty((4 * n, batch)), np.empty((4 * n, batch), np.float32)
+    wide, exact, near, z = np.zeros((n, batch)), np.empty((4 * n, batch)), np.empty((4 * n, batch), np.float32), np.empty((4 * n, batch), np.float32)
     for t in range(len(x)):
-        z = np.take(table_, x[t], axis=1)
+        np.take(table_, x[t], axis=1, out=z, mode="clip")  # classes are in range: unlike others, this mode fills z in place
         if t:
             wide[:] = h
             np.matmul(rec, wide, out=exact)
@@ -375,9 +375,12 @@ def emissions(parts: list[tuple[np.ndarray, int, int]], p: dict[str, np.ndarray]
                 e[:] = part
             else:
                 e += part[::-1]
-        for t in range(WINDOW):
-            total[:, mine + t] += _RAMP[t] * e[t][:, : len(mine)]
-            weight[mine + t] += _RAMP[t]
+        blend = np.ascontiguousarray((e[:, :, : len(mine)] * _RAMP[:, None, None]).transpose(1, 2, 0))
+        # a window meets the next one in its last characters only: each part of all windows is without overlaps
+        for part in (slice(0, CORE), slice(CORE, WINDOW)):
+            to = mine[:, None] + np.arange(part.start, part.stop)
+            total[:, to] += blend[:, :, part]
+            weight[to] += _RAMP[part]
     return [(total[:, a : a + m] / weight[a : a + m]).T + p["bias"] for a, m in places]
 
 
