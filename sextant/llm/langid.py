@@ -3,7 +3,7 @@ longest character n-grams that are known (four letters, then three, two, one).
 
 The model is counted on a bounded sample of labelled documents, by the executors; what reaches the driver is the list of
 frequent words and n-grams of that sample. Scoring streams Arrow batches; each worker keeps the vectors of the words it met
-in a table of fixed capacity.
+in a table that is bounded in words and in characters.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ MIN_COUNT = 3
 SIZES = (4, 3, 2, 1)
 #: No word favours one language over another by more than this many nats.
 CLIP = 6.0
-#: Rows of a worker's table of word vectors.
-CAPACITY = 1 << 19
+#: Rows of a worker's table of word vectors, and characters of their words.
+CAPACITY, CAPACITY_CHARS = 1 << 19, 8_000_000
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -77,16 +77,21 @@ class Model:
 
 
 class _Table(dict):
-    """word -> row of its vector; rows of words met are kept until the table is full, then it starts anew."""
+    """word -> row of its vector; rows of words met are kept until the table holds too many words or characters, then it starts anew.
 
-    def __init__(self, model: Model, capacity: int = CAPACITY):
+    It can pass the bound on characters by those of one text.
+    """
+
+    def __init__(self, model: Model, capacity: int = CAPACITY, chars: int = CAPACITY_CHARS):
         super().__init__()
         self.model, self.rows = model, np.zeros((capacity, len(model.langs)), np.float32)
+        self.chars, self.most_chars = 0, chars
 
     def __missing__(self, word: str) -> int:
         at = len(self)
         self.rows[at] = self.model.vector(word)
         self[word] = at
+        self.chars += len(word)
         return at
 
     def total(self, words: list[str]) -> np.ndarray:
@@ -94,8 +99,9 @@ class _Table(dict):
         block = len(self.rows) // 2
         for a in range(0, len(words), block):
             part = words[a : a + block]
-            if len(self) + len(part) > len(self.rows):
+            if len(self) + len(part) > len(self.rows) or self.chars > self.most_chars:
                 self.clear()
+                self.chars = 0
             out += self.rows[np.fromiter(map(self.__getitem__, part), np.int64, len(part))].sum(0, dtype=float)
         return out
 
