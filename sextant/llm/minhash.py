@@ -10,7 +10,7 @@
    different groups are compared: again a number of pairs in proportion to the members. That joins most members of a large
    group of copies that are far from its smallest one.
 5. In buckets that are still mixed, every member outside the bucket's largest group is a query against the whole bucket:
-   small buckets by a join, larger ones in blocks that are compared and verified in place. A block returns a spanning set of
+   small buckets by a join, larger ones in blocks that are compared and verified in place (``agree=0``: without a look at signatures). A block returns a spanning set of
    its links, fewer than its members. No bucket is cut, capped or left unexamined, whatever its size.
 
 With six rows a band and 48 bands a pair of similarity 0.75 shares no bucket with probability 8e-5, one of 0.8 with 5e-7.
@@ -250,9 +250,12 @@ def _ratio(percent: int):
     return F.expr(f"100 * least(n, other_n) >= {percent} * greatest(n, other_n)")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", agree: float = AGREE) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``.
 
+    With ``agree=0`` signatures rule out no pair within large mixed buckets: each pair of similar size whose groups are not yet
+    joined is held against its full sets, as in small buckets.
+
     Nulls: a null or blank text has no shingles and is linked with nothing; a row without an id is its own group, kept,
     with a null component_id. Rows with equal sets are linked whatever their number. Of equal candidates the smallest id
     stays. Ids should be unique: rows that share one are each judged by their own text, and kept alike. An empty table
@@ -262,7 +265,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     signed = stored(own.mapInArrow(_sign, "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary"), "signed")
     linkable = F.col("digest").isNotNull() & F.col("doc_id").isNotNull()
     classes = stored(signed.filter(linkable).groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
-    groups = _grouped(own, classes, percent)
+    groups = _grouped(own, classes, percent, agree)
     named = classes.join(groups, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     # rows that nothing links need no join: null digests would all meet in one task
     alone = signed.filter(~linkable).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
@@ -270,7 +273,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _grouped(own: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _grouped(own: DataFrame, classes: DataFrame, percent: int, agree: float) -> DataFrame:
     """(node, component) of the classes that are linked to others; ``own`` holds their texts."""
     keyed = classes.select(F.explode("bands").alias("key"), "rep", "n")
     total = BANDS * classes.count()
@@ -305,7 +308,7 @@ def _grouped(own: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         else:
             pairs = _across(mixed_buckets.filter(F.col("members") <= SMALL), percent).distinct()
             large = mixed_buckets.filter(F.col("members") > SMALL)
-            add(_verified(pairs, sets, percent).union(_in_blocks(large, classes, sets, percent, total, used)))
+            add(_verified(pairs, sets, percent).union(_in_blocks(large, classes, sets, percent, agree, total, used)))
     discard(*used)
     return groups
 
@@ -342,7 +345,7 @@ def _across(few: DataFrame, percent: int, keys: list[str] = ["key"]) -> DataFram
     return few.join(other, keys).filter("rep > b AND grp <> _grp").filter(_ratio(percent)).select(F.col("rep").alias("a"), "b")
 
 
-def _in_blocks(buckets: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, total: int, used: list[DataFrame]) -> DataFrame:
+def _in_blocks(buckets: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, agree: float, total: int, used: list[DataFrame]) -> DataFrame:
     """Links (a, b) within large mixed buckets between queries, the members outside the largest group, and all members.
 
     Members and queries of a bucket are dealt into blocks; a task compares one block of each, whatever the bucket's size,
@@ -373,7 +376,7 @@ def _in_blocks(buckets: DataFrame, classes: DataFrame, sets: DataFrame, percent:
         root = np.arange(len(names))  # groups of the block that its links have joined so far, as their first
         for i in np.flatnonzero(query).tolist():
             ok = m[(root[local[m]] != root[local[i]]) & (100 * np.minimum(n[m], n[i]) >= percent * np.maximum(n[m], n[i]))]
-            ok = ok[(sketch[ok] == sketch[i]).mean(1) >= AGREE * percent / 100]
+            ok = ok[(sketch[ok] == sketch[i]).mean(1) >= agree * percent / 100]
             if len(ok):
                 # both sets are sorted: count the members' shingles that the query has
                 own = flat[ends[i] : ends[i + 1]]
