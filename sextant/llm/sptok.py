@@ -32,8 +32,8 @@ MARK = "▁"
 CHUNK = 32_768
 #: Neighbouring matrices that one task combines.
 SPAN = 16
-#: Words that a worker remembers before it starts anew.
-REMEMBERED = 800_000
+#: Words, characters of words and answers on neighbours that a worker remembers before it starts anew.
+REMEMBERED, REMEMBERED_CHARS, REMEMBERED_PAIRS = 800_000, 8_000_000, 2_000_000
 #: Words with so many equal first characters share the states up to there.
 HEAD = 6
 #: The state at a word's beginning, and at the beginning of the text.
@@ -69,12 +69,14 @@ class Vocabulary:
         self.suffixes = {p[k:] for p in self.ids for k in range(len(p))}
         #: States of the first HEAD characters of longer words.
         self.heads: dict[str, tuple[list, list, list]] = {}
-        #: piece -> piece -> whether it may follow; at most as many pieces as the vocabulary and single characters have.
+        #: piece -> piece -> whether it may follow, and how many such answers there are.
         self.after: dict[str, dict[str, bool]] = {}
+        self.answers = 0
         self._pairs: dict[tuple[str, str], bool] = {}
         self._whole: dict[str, bool] = {}
         #: Words met lately, and those met before them.
         self.words: dict[str, bytes] = {}
+        self.word_chars = 0
         self.older: dict[str, bytes] = {}
 
     def _spelling(self, plain: set[int]) -> list[bytes]:
@@ -102,7 +104,7 @@ class Vocabulary:
             return got
         got = self._pairs.get((a, b))
         if got is None:
-            if len(self._pairs) > 2_000_000:
+            if len(self._pairs) > REMEMBERED_PAIRS:
                 self._pairs.clear()
             got = self._pairs[a, b] = self.merged(a + b) == [a, b]
         return got
@@ -154,9 +156,10 @@ class Vocabulary:
             got = self.older.get(word)
             if got is None:
                 got = self.id_bytes(self._best(word))
-            if len(self.words) >= REMEMBERED:
-                self.older, self.words = self.words, {}
+            if len(self.words) >= REMEMBERED or self.word_chars > REMEMBERED_CHARS:
+                self.older, self.words, self.word_chars = self.words, {}, 0
             self.words[word] = got
+            self.word_chars += len(word)
         return got
 
     def _best(self, word: str) -> list[str]:
@@ -164,6 +167,8 @@ class Vocabulary:
 
         States up to a place depend on the characters before it alone, so words with the same beginning share them.
         """
+        if self.answers > REMEMBERED_PAIRS:
+            self.after, self.heads, self.answers = {}, {}, 0
         n = len(word)
         if n > HEAD:
             got = self.heads.get(word[:HEAD])
@@ -201,6 +206,7 @@ class Vocabulary:
                         ok = nexts[start].get(p)
                         if ok is None:
                             ok = nexts[start][p] = self.compatible(last[start], p)
+                            self.answers += 1
                         if ok and (total := so_far + (self.weight(p) if w is None else w)) > best:
                             best, piece = total, p
                 if p not in suffixes:

@@ -86,6 +86,23 @@ def test_pieces_equal_the_library(spark, docs):
     assert {r.doc_id: r.text for r in sptok.decode(sptok.encode(some)).collect()} == texts
 
 
+def test_what_a_worker_remembers_of_words(monkeypatch):
+    """Bounded in characters and in answers as well as in words; ids do not depend on what was forgotten."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=sptok.default_model())
+    r = random.Random(31)
+    long_words = ["".join(r.choices("abcdefgh漢字仮名123", k=r.randrange(1, 60))) for _ in range(400)]
+    monkeypatch.setattr(sptok, "REMEMBERED_CHARS", 500)
+    monkeypatch.setattr(sptok, "REMEMBERED_PAIRS", 300)
+    model = sptok.Vocabulary(sptok.default_model())
+    for w in long_words:
+        word = sptok.MARK + w
+        got = model.word(word)
+        assert list(struct.unpack(f"<{len(got) // 4}I", got)) == sp.encode(w)
+        assert sum(map(len, model.words)) == model.word_chars <= 500 + 61 and model.answers <= 300 + 61 * 16
+
+
 def test_pieces_odd(spark, odd):
     import sentencepiece
 
@@ -751,6 +768,17 @@ def test_languages_by_brute_force(spark, docs):
     assert all(r.lang_pred == want[r.doc_id][0] and abs(r.score - want[r.doc_id][1]) < 1e-3 for r in got)
 
 
+def test_what_a_worker_remembers_of_languages():
+    """The table starts anew at its bounds on words and characters; totals stay the same."""
+    model = langid.Model(["a", "b"], {"one": {"a": 9, "b": 1}, "two": {"b": 7}}, {"o": {"a": 4}, "t": {"b": 3}})
+    r = random.Random(5)
+    texts = [[r.choice(["one", "two", "o" * r.randrange(4, 90), "t" * r.randrange(4, 90)]) for _ in range(9)] for _ in range(60)]
+    free, tight = langid._Table(model), langid._Table(model, capacity=20, chars=100)
+    for words_ in texts:
+        assert np.allclose(free.total(words_), tight.total(words_), atol=1e-4)
+        assert len(tight) <= 20 and tight.chars == sum(map(len, tight)) <= 100 + 9 * 90
+
+
 # --- 9, odd and held out ---
 
 
@@ -857,8 +885,12 @@ def test_pairs_that_share_a_large_bucket_only(spark, monkeypatch):
     shared = {k: keys[k] & keys[100 + k] for k in range(40)}
     assert any(len(v) == 1 and size[next(iter(v))] > 2 for v in shared.values())
     rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    got = {x.doc_id: x.component_id for x in minhash.near_duplicates(rows, 52).collect()}
-    assert all(got[100 + k] == k for k, v in shared.items() if v)
+    found = lambda **given: {x.doc_id: x.component_id for x in minhash.near_duplicates(rows, 52, **given).collect()}
+    for got in (found(), found(agree=0.0)):
+        assert all(got[100 + k] == k for k, v in shared.items() if v)
+    # these links are found in blocks: a filter on signatures that nothing passes loses some
+    lost = found(agree=2.0)
+    assert any(lost[100 + k] != k for k, v in shared.items() if v)
 
 
 def test_near_duplicates_odd(spark, odd):
