@@ -25,6 +25,8 @@ RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "b
 #: Globs that block where no rule fits; what neither matches is allowed.
 BLOCKED = ["**ads-track**", "**doubleclick**", "ads.**", "*.ads.**", "**/ads/**", "**/banner?/**", "**/track/**", "**.exe"]
 DEFAULT = "allow"
+#: States and answers of the urls that advance together take so much, however many rules there are.
+STATE_BYTES = 64 << 20
 
 _ONE = np.uint64(1)
 
@@ -63,6 +65,8 @@ class Automaton:
         for at in first:
             self.start[at // 64] |= _ONE << np.uint64(at % 64)
         self.last = last
+        #: Strings that may advance together within STATE_BYTES.
+        self.rows = max(1, STATE_BYTES // (8 * self.words + len(globs)))
 
     def classes(self, chars: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.codes, chars), len(self.codes) - 1)
@@ -113,16 +117,16 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, blocked: list[
     """
     own = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
     ranked = sorted(rules, key=lambda r: -len(r[0]))
-    globs = [*(rule_glob(r) for r, _ in ranked), *blocked]
+    # all are asked of ".host/path", in one pass: so a whole host and its subdomains look alike, and a blocked glob of "host/path" follows the stop
+    globs = [*(rule_glob(r) for r, _ in ranked), *(f".{g}" for g in blocked)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = Automaton(globs)
-        for batch in batches:
+        for batch in (whole.slice(at, machine.rows) for whole in batches for at in range(0, whole.num_rows, machine.rows)):
             parts = [split_url(u) for u in batch.column("url").to_pylist()]
-            # rules are asked of ".host/path", so that a whole host and its subdomains look alike; blocked globs of "host/path"
-            hit = machine.match([f".{h}{p}" for h, p in parts])[:, : len(ranked)]
-            bad = machine.match([h + p for h, p in parts])[:, len(ranked) :].any(1)
-            first = np.where(hit.any(1), hit.argmax(1), -1)
+            fits = machine.match([f".{h}{p}" for h, p in parts])
+            hit, bad = fits[:, : len(ranked)], fits[:, len(ranked) :].any(1)
+            first = np.where(hit.any(1), hit.argmax(1), -1) if ranked else np.full(len(parts), -1)
             rule = [ranked[k][0] if k >= 0 else None for k in first]
             verdict = [ranked[k][1] if k >= 0 else "block" if b else DEFAULT for k, b in zip(first, bad, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array([h for h, _ in parts], pa.string()), pa.array([p for _, p in parts], pa.string()), pa.array(rule, pa.string()), pa.array(verdict, pa.string())], ["page_id", "host", "path", "rule", "verdict"])
