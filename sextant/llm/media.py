@@ -5,10 +5,11 @@ each task appends its images to zip archives (members stored, so an offset and a
 the shared folder. An archive's closing comment lists the offsets at which a new byte range may begin. An attempt that dies
 leaves an archive that no manifest names.
 
-The data source ``sextant_media`` reads the manifest and each archive's last bytes, plans one partition per byte range, and
-streams members as Arrow batches. For archives of other writers the ranges come from the archive's directory, of which each
-task reads its own stretch; members may be stored or deflated there, with sizes after them or not. A member that cannot be
-decoded is read again on its own, by its offset, and fails the task if that does not help: no member is left out in silence.
+The data source ``sextant_media`` plans one partition per byte range from names and sizes alone: those of the manifest, or of
+the folder's listing. No archive is opened in the driver. A task finds the members that begin in its range by its archive's
+comment, or by the directory in archives of other writers, whose members may be stored or deflated, with sizes after them or
+not, and streams them as Arrow batches. A member that cannot be decoded is read again on its own, by its offset, and fails
+the task if that does not help: no member is left out in silence.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ from .common import new_path, table
 WIDTH = 192
 #: An archive is closed, and a byte range ends, after about so many bytes.
 ARCHIVE_BYTES, RANGE_BYTES = 256 << 20, 8 << 20
+#: Byte ranges are made longer rather than more than about so many.
+MOST_RANGES = 100_000
 BATCH_BYTES = 4 << 20
 RETRIES = 3
 LEVEL = 1
@@ -125,55 +128,57 @@ class ArchiveWriter:
             self.at += struct.calcsize(_CENTRAL) + len(title)
         comment = json.dumps([*self.ranges, begin]).encode()
         n = len(self.members)
-        self.out.write(struct.pack(_END, b"PK\5\6", 0, 0, n, n, self.at - begin, begin, len(comment)) + comment)
+        end = struct.pack(_END, b"PK\5\6", 0, 0, n, n, self.at - begin, begin, len(comment)) + comment
+        self.out.write(end)
+        self.at += len(end)
         self.out.close()
 
 
 class _Range(InputPartition):
-    """The bytes of an archive from ``begin`` to ``end``: its members, or a stretch of its directory."""
+    """The members of an archive that begin between two of its bytes."""
 
-    def __init__(self, path: str, begin: int, end: int, of_directory: bool = False):
-        self.path, self.begin, self.end, self.of_directory = path, begin, end, of_directory
+    def __init__(self, path: str, size: int, begin: int, end: int):
+        self.path, self.size, self.begin, self.end = path, size, begin, end
 
 
-def listed(directory: bytes) -> Iterator[tuple[int, int, str, int, tuple[int, int, int]]]:
-    """(begin, end, name, offset, (method, crc, stored size)) of each entry of a directory or of a stretch of it."""
+def planned(archives: list[tuple[str, int]], range_bytes: int = RANGE_BYTES, most: int = MOST_RANGES) -> list[_Range]:
+    """Byte ranges of (path, size) archives. Names and sizes are all that the driver needs; where archives hold so much that
+    there would be more than about ``most`` ranges, these are longer."""
+    step = max(range_bytes, sum(size for _, size in archives) // most)
+    return [_Range(path, size, at, min(at + step, size)) for path, size in archives for at in range(0, max(1, size), step)]
+
+
+def listed(directory: bytes) -> Iterator[tuple[str, int, tuple[int, int, int]]]:
+    """(name, offset, (method, crc, stored size)) of each entry of a directory."""
     at = 0
     while at < len(directory):
         magic, _, _, _, method, _, _, crc, size, _, title, extra, remark, _, _, _, offset = struct.unpack_from(_CENTRAL, directory, at)
         if magic != b"PK\1\2":
             raise ValueError("damaged archive directory")
-        begin, text = at, at + struct.calcsize(_CENTRAL)
+        text = at + struct.calcsize(_CENTRAL)
         at = text + title + extra + remark
-        yield begin, at, directory[text : text + title].decode("utf-8", "replace"), offset, (method, crc, size)
-
-
-def ranges_of(filesystem: fs.FileSystem, path: str, range_bytes: int = RANGE_BYTES) -> list[_Range]:
-    """The partitions of an archive: the byte ranges that its comment lists, read from its last bytes alone, or else stretches
-    of its directory whose members have about ``range_bytes``. Archives with 64-bit directories are refused."""
-    size = filesystem.get_file_info(path).size
-    with filesystem.open_input_file(path) as f:
-        tail = f.read_at(min(size, 65_557), max(0, size - 65_557))
-        at = tail.rfind(b"PK\5\6")
-        if at < 0:
-            raise ValueError(f"{path} has no archive directory")
-        *_, n, length, begin, _ = struct.unpack_from(_END, tail, at)
-        try:
-            begins = json.loads(tail[at + struct.calcsize(_END) :])
-        except ValueError:
-            begins = None
-        if isinstance(begins, list) and begins and begins[-1] == begin:
-            return [_Range(path, a, b) for a, b in zip(begins[:-1], begins[1:], strict=True)]
-        if n == 0xFFFF or begin == 0xFFFFFFFF:
-            raise ValueError(f"{path} has a 64-bit directory")
-        directory = f.read_at(length, begin)
-    out, first, held = [], 0, 0
-    for _, end, _, _, (_, _, stored_size) in listed(directory):
-        held += stored_size
-        if held >= range_bytes or end == len(directory):
-            out.append(_Range(path, begin + first, begin + end, True))
-            first, held = end, 0
-    return out
+        yield directory[text : text + title].decode("utf-8", "replace"), offset, (method, crc, size)
+
+
+def ending(f, part: _Range) -> tuple[list[int] | None, bytes | None]:
+    """What an archive's last bytes tell: the offsets that its comment lists, or else its directory, of at most 65,534 entries.
+
+    Archives with 64-bit directories are refused.
+    """
+    tail = f.read_at(min(part.size, 65_557), max(0, part.size - 65_557))
+    at = tail.rfind(b"PK\5\6")
+    if at < 0:
+        raise ValueError(f"{part.path} has no archive directory")
+    *_, n, length, begin, _ = struct.unpack_from(_END, tail, at)
+    try:
+        begins = json.loads(tail[at + struct.calcsize(_END) :])
+    except ValueError:
+        begins = None
+    if isinstance(begins, list) and begins and begins[-1] == begin:
+        return begins, None
+    if n == 0xFFFF or begin == 0xFFFFFFFF:
+        raise ValueError(f"{part.path} has a 64-bit directory")
+    return None, f.read_at(length, begin)
 
 
 def write_archives(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", archive_bytes: int = ARCHIVE_BYTES, range_bytes: int = RANGE_BYTES) -> int:
@@ -186,7 +191,7 @@ def write_archives(docs: DataFrame, folder: str, id_col: str = "doc_id", text_co
 
         def close() -> None:
             writer.close()
-            done.append((name, len(writer.members)))
+            done.append((name, writer.at, len(writer.members)))
 
         for batch in batches:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
@@ -199,14 +204,15 @@ def write_archives(docs: DataFrame, folder: str, id_col: str = "doc_id", text_co
                 writer.add(f"{len(writer.members)}_{'' if doc is None else doc}.png", to_png(text.as_buffer().to_pybytes() if text.is_valid else b""))
         if writer is not None:
             close()
-        yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in done], pa.string()), pa.array([m for _, m in done], pa.int64())], ["archive", "members"])
+        names, sizes, members = zip(*done, strict=True) if done else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64()), pa.array(members, pa.int64())], ["archive", "size", "members"])
 
     # a row for each archive: what one task writes, or 256 MB of it
-    rows = own.mapInArrow(run, "archive string, members long").collect()
+    rows = own.mapInArrow(run, "archive string, size long, members long").collect()
     filesystem, top = fs.FileSystem.from_uri(folder)
     filesystem.create_dir(top, recursive=True)
     with filesystem.open_output_stream(f"{top}/manifest.json") as out:
-        out.write(json.dumps(sorted(r["archive"] for r in rows)).encode())
+        out.write(json.dumps(sorted((r["archive"], r["size"]) for r in rows)).encode())
     return sum(r["members"] for r in rows)
 
 
@@ -220,11 +226,11 @@ class MediaReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         filesystem, top = fs.FileSystem.from_uri(self.folder)
         if self.listing:
-            names = sorted(x.base_name for x in filesystem.get_file_info(fs.FileSelector(top)) if x.base_name.endswith(".zip"))
+            archives = sorted((x.base_name, x.size) for x in filesystem.get_file_info(fs.FileSelector(top)) if x.base_name.endswith(".zip"))
         else:
             with filesystem.open_input_stream(f"{top}/manifest.json") as f:
-                names = json.loads(f.read())
-        return [r for n in names for r in ranges_of(filesystem, f"{top}/{n}", self.range_bytes)] or [_Range("", 0, 0)]
+                archives = json.loads(f.read())
+        return planned([(f"{top}/{name}", size) for name, size in archives], self.range_bytes) or [_Range("", 0, 0, 0)]
 
     def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -243,18 +249,20 @@ class MediaReader(DataSourceReader):
         if rows or not partition.path:
             yield self._batch(rows)
 
-    def _members(self, f, partition: _Range) -> Iterator[tuple[int, tuple[str, int, bytes, bytes, int]]]:
+    def _members(self, f, part: _Range) -> Iterator[tuple[int, tuple[str, int, bytes, bytes, int]]]:
         """(offset, member) of every member of a partition; folders of an archive are none."""
-        if partition.of_directory:
-            for _, _, name, at, told in listed(f.read_at(partition.end - partition.begin, partition.begin)):
-                if not name.endswith("/"):
+        begins, directory = ending(f, part)
+        if begins is None:
+            for name, at, told in listed(directory):
+                if part.begin <= at < part.end and not name.endswith("/"):
                     yield at, self._member(f, at, told)
             return
-        at = partition.begin
-        while at < partition.end:
-            got = self._member(f, at)
-            yield at, got
-            at = got[-1]
+        # each stretch that the comment lists begins in one range and is read by it, to its end
+        for at, end in ((a, b) for a, b in zip(begins[:-1], begins[1:], strict=True) if part.begin <= a < part.end):
+            while at < end:
+                got = self._member(f, at)
+                yield at, got
+                at = got[-1]
 
     def _member(self, f, at: int, told: tuple[int, int, int] | None = None) -> tuple[str, int, bytes, bytes, int]:
         """(name, length, samples, image, next offset) of the member at an offset, read again if it cannot be decoded.
