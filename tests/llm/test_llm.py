@@ -531,6 +531,25 @@ def test_urls_odd(spark):
     assert got[4].host == "a.b.net" and got[4].path == "/x" and got[4].verdict == "block" and got[1].verdict == "allow"
 
 
+def test_urls_by_patterns(spark, monkeypatch):
+    """Rules and blocked globs in one pass, urls of a batch some at a time, repeated rows, no rules, no globs, no rows."""
+    r = random.Random(2)
+    hosts, paths = ["ads.example.net", "example.com", "a.ads.org", "ADS.com", ".x.net", "example.net", ""], ["", "/", "/ads/", "/en/ads", "/de/banner1/x", "/fr/a.exe", "/track/", "?q"]
+    urls = [f"http://{r.choice(hosts)}{r.choice(paths)}" for _ in range(150)] * 2
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    monkeypatch.setattr(urlfilter, "STATE_BYTES", 400)
+    assert urlfilter.Automaton(urlfilter.BLOCKED).rows < 50
+    for rules, blocked in ((urlfilter.RULES, urlfilter.BLOCKED), ([], urlfilter.BLOCKED), (urlfilter.RULES, [])):
+        got = {x.page_id: (x.rule, x.verdict) for x in urlfilter.judge(pages, rules, blocked).collect()}
+        assert len(got) == 300
+        for i, url in enumerate(urls):
+            host, path = urlfilter.split_url(url)
+            fit = [(k, v) for k, v in rules if f".{host}".endswith("." + k.partition("/")[0]) and path.startswith("/" + k.partition("/")[2])]
+            bad = any(re.fullmatch(urlfilter._glob_regex(g)[1:-1], host + path) for g in blocked)
+            assert got[i] == (max(fit, key=lambda x: len(x[0])) if fit else (None, "block" if bad else "allow")), url
+    assert urlfilter.judge(pages.limit(0)).count() == 0
+
+
 # --- 6 ---
 
 
@@ -670,7 +689,16 @@ def test_media(spark, docs, odd, tmp_path):
     names = [f for f in os.listdir(tmp_path / "m") if f.endswith(".zip")]
     assert sum(len(zipfile.ZipFile(tmp_path / "m" / f).namelist()) for f in names) == 1000
     assert all(zipfile.ZipFile(tmp_path / "m" / f).testzip() is None for f in names)
-    assert media.read_archives(spark, folder).rdd.getNumPartitions() > 5
+    read = media.read_archives(spark, folder, range_bytes=10_000)
+    assert read.rdd.getNumPartitions() > 5
+    assert sorted(r.doc_id for r in read.select("doc_id").collect()) == sorted(texts)
+
+
+def test_ranges_are_planned_from_sizes():
+    """Every byte of every archive lies in one range, and ranges grow rather than their number."""
+    got = media.planned([("a", 25), ("b", 0), ("c", 10)], range_bytes=10)
+    assert [(r.path, r.begin, r.end) for r in got] == [("a", 0, 10), ("a", 10, 20), ("a", 20, 25), ("b", 0, 0), ("c", 0, 10)]
+    assert len(media.planned([("a", 10**12)], range_bytes=10, most=50)) == 50
 
 
 def test_members_are_read_again():
@@ -722,6 +750,9 @@ def test_archives_of_other_writers(spark, tmp_path):
     assert df.rdd.getNumPartitions() > 3
     assert {r.doc_id: bytes(r.payload) for r in got if r.doc_id is not None} == {i: media.padded(t.encode()) for i, t in texts.items()}
     assert len(got) == 63 and {r.n_bytes for r in got if r.doc_id is None} == {5}
+    (tmp_path / "empty.zip").write_bytes(b"")
+    with pytest.raises(Exception, match="no archive directory"):
+        media.read_archives(spark, f"file://{tmp_path}", listing=True).collect()
 
 
 # --- 9 ---
