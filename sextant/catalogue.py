@@ -15,7 +15,7 @@ from .operators import fetch, fulltext, gazetteer, index, ingest, jsonfix, langu
 from .operators import retrieval as R
 from .plans.graph import GRAPH_SQL, graph
 from .session import scratch, settled, table
-from .sources import graphstore, nodesource
+from .sources import graphstore, io, nodesource
 from .streaming import arrivals, windows
 
 TARGETS = ["AFRICA", "NATION_3"]
@@ -931,121 +931,118 @@ def crawl_resumable(spark, sf):
     return out.select("qid", "website", "status", "reason", "final_url", "doc_id")
 
 
-# --- records ----------------------------------------------------------------------------------------------------------
-
-
-@query("""
-SELECT conv_id, list(text ORDER BY turn) FILTER (WHERE text IS NOT NULL) AS texts, (list(role ORDER BY turn) FILTER (WHERE coalesce(role, '') <> ''))[1] AS first_role FROM conversations GROUP BY 1""")
-def state_reducers(spark, sf):
-    return records.reduced(table(spark, sf, "conversations"))
-
-
-@query(r"""
-SELECT event_id, props AS repaired, CASE WHEN event_id % 7 IN (0, 6) THEN 'whole' ELSE 'mended' END AS way, (props ->> '$.k')::BIGINT AS k FROM events
-UNION ALL SELECT event_id, '{}', 'nothing', NULL FROM (SELECT -event_id - 1 AS event_id FROM events WHERE event_id % 1000 = 0)""")
-def json_repair(spark, sf):
-    e = table(spark, sf, "events").select("event_id", "props")
-    broken = F.expr("""CASE event_id % 7 WHEN 1 THEN left(props, length(props) - 1) WHEN 2 THEN translate(props, '"', "'") WHEN 3 THEN replace(props, '}', ',}')
-        WHEN 4 THEN translate(props, '"', '') WHEN 5 THEN concat('Here it is: ', props, ' Anything else?') ELSE props END""")
-    none = e.filter("event_id % 1000 = 0").select((-F.col("event_id") - 1).alias("event_id"), F.lit("nothing").alias("props"))
-    out = jsonfix.repaired(e.select("event_id", broken.alias("props")).union(none), "props")
-    return out.select("event_id", "repaired", "way", F.get_json_object("repaired", "$.k").try_cast("long").alias("k"))
-
+@query(f"WITH {_DOCS} SELECT qid, sum(100 - rank)::BIGINT AS points FROM vec WHERE rank <= 100 AND qid IS NOT NULL GROUP BY 1")
+def rank_sum(spark, sf):
+    return _ranked_docs(spark, sf).filter("rank <= 100 AND qid IS NOT NULL").groupBy("qid").agg(F.sum(100 - F.col("rank")).alias("points"))
 
-@query("""
-SELECT doc_id, CASE WHEN text <> '' THEN list_transform(range(16), lambda i: (('0x' || substr(sha256(text), (2 * i + 1)::BIGINT, 2))::INTEGER / 255.0::DOUBLE)::FLOAT) ELSE []::FLOAT[] END AS embedding,
-  CASE WHEN text <> '' THEN 'ok' ELSE 'empty' END AS status FROM documents d WHERE text IS NOT NULL AND NOT EXISTS (SELECT 1 FROM embeddings e WHERE e.vec_id = d.doc_id)""")
-def embed_backfill(spark, sf):
-    """Documents with a text come through the graph source, which both predicates are pushed to."""
-    path = scratch(spark, "graph-nodes")
-    graph(spark, sf).nodes.select("node_id", F.element_at("labels", 1).alias("label"), "text").write.parquet(path)
-    docs = nodesource.read_graph(spark, path).filter("label = 'Document' AND text IS NOT NULL")
-    docs = docs.select(F.substring("node_id", 2, 20).cast("long").alias("doc_id"), "text")
-    return ingest.backfilled(docs, table(spark, sf, "embeddings"))
 
+@query(f"WITH {_DOCS} SELECT qid, count(*) AS n, min(rank) AS first FROM vec WHERE qid IS NOT NULL GROUP BY 1 ORDER BY n DESC, first LIMIT 15")
+def frequency_topk(spark, sf):
+    n = _ranked_docs(spark, sf).filter("qid IS NOT NULL").groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("first"))
+    return n.orderBy(F.desc("n"), "first").limit(15)
 
-_STORED = "SELECT lang AS label, 'L'||(doc_id % 200) AS id, min(source) AS source FROM documents WHERE lang IS NOT NULL GROUP BY 1, 2"
 
+# --- files: whole tables written by a sink and read back by a source ----------------------------------------------------
 
-@query(f"""
-WITH old AS ({_STORED}), new AS (SELECT lang AS label, 'L'||(doc_id % 300) AS id, count(*) AS docs, max(n_chars) AS longest FROM documents WHERE lang = 'en' OR doc_id % 7 = 0 GROUP BY 1, 2),
-merged AS (SELECT coalesce(o.label, n.label) AS label, coalesce(o.id, n.id) AS id, source, docs, longest FROM old o FULL JOIN new n ON o.label = n.label AND o.id = n.id)
-SELECT * FROM merged WHERE label IS NOT NULL AND NOT (id = 'L7' AND label = 'en')""")
-def graph_store_upsert(spark, sf):
-    """Equal ids of several labels; new properties; a delete that leaves the same id of other labels."""
-    d = table(spark, sf, "documents")
-    old = d.filter("lang IS NOT NULL").groupBy(F.col("lang").alias("label"), F.concat(F.lit("L"), F.col("doc_id") % 200).alias("id")).agg(F.min("source").alias("source"))
-    new = d.filter("lang = 'en' OR doc_id % 7 = 0").groupBy(F.col("lang").alias("label"), F.concat(F.lit("L"), F.col("doc_id") % 300).alias("id")).agg(F.count(F.lit(1)).alias("docs"), F.max("n_chars").alias("longest"))
-    store = graphstore.node_table(spark, old)
-    store.upsert(new)
-    store.delete(spark.createDataFrame([("en", "L7")], "label string, id string"))
-    return store.rows()
+_ODD = "CASE WHEN doc_id % 7 = 0 THEN '' WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 5 = 0 THEN '  \"' || replace(text, chr(10), chr(13) || chr(10)) || ', \\ ' ELSE text END"
 
 
-_OUTCOME = "qid string, website string, status string, reason string, words int"
+@query(f"SELECT doc_id, {_ODD} AS text, lang, source, n_chars FROM documents")
+def csv_documents(spark, sf):
+    """Texts of many lines, some with quotes, backslashes, other line ends and blanks around them, some empty or null, through CSV with a schema."""
+    docs = table(spark, sf, "documents").select("doc_id", F.expr(_ODD.replace("\\", "\\\\")).alias("text"), "lang", "source", "n_chars")
+    path = scratch(spark, "csv") + "/documents.csv"
+    io.write(docs, path)
+    return io.read(spark, path, schema=docs.schema)
 
 
-@query(r"""
-WITH p AS (SELECT 'P'||page_id AS qid, url AS website, len(list_filter(regexp_split_to_array(regexp_replace(html, '(?s)<[^>]*>', ' ', 'g'), '\s+'), lambda x: x <> ''))::INTEGER AS n FROM pages)
-SELECT qid, website, CASE WHEN n >= 60 THEN 'ok' ELSE 'fail' END AS status, CASE WHEN n >= 60 THEN NULL ELSE 'too_short_or_empty' END AS reason, CASE WHEN n >= 60 THEN n END AS words FROM p""")
-def crawl_incremental(spark, sf):
-    """The pages arrive in files; a run that sees some of them, and one that goes on after it, store each result once."""
-    at = scratch(spark, "crawl")
-    p = table(spark, sf, "pages")
-    work = lambda rows: ingest.outcomes(rows.select(F.col("page_id"), "url", "html"), 60).select(F.concat(F.lit("P"), "page_id").alias("qid"), "website", "status", "reason", "words")
-    for half in (0, 1):
-        p.filter(F.col("page_id") % 2 == half).withColumn("qid", F.concat(F.lit("P"), "page_id")).repartition(2, "page_id").write.mode("append").parquet(f"{at}/in")
-        run = arrivals.incremental(spark, f"{at}/in", "page_id long, url string, html string, qid string", work, f"{at}/out", _OUTCOME, f"{at}/checkpoint", files_at_once=2)
-        run.awaitTermination()
-    return arrivals.results(spark, f"{at}/out", _OUTCOME)
+@query("SELECT c_custkey::VARCHAR AS c_custkey, c_mktsegment FROM customer")
+def csv_strings(spark, sf):
+    """Two columns of a CSV file that gives no types: all are strings, and the others are not parsed."""
+    path = scratch(spark, "csv") + "/customer.csv"
+    io.write(table(spark, sf, "customer"), path)
+    return io.read(spark, path).select("c_custkey", "c_mktsegment")
 
 
-# --- pages ------------------------------------------------------------------------------------------------------------
+@query(f"SELECT doc_id, {_ODD} AS text, lang, source, 5 AS keys FROM documents")
+def json_lines(spark, sf):
+    """JSON lines: every line has all five keys, also where a value is null."""
+    docs = table(spark, sf, "documents").select("doc_id", F.expr(_ODD.replace("\\", "\\\\")).alias("text"), "lang", "source", "n_chars")
+    path = scratch(spark, "json") + "/documents.jsonl"
+    io.write(docs, path)
+    rows = spark.read.text(path).select(F.from_json("value", docs.schema).alias("r"), F.size(F.json_object_keys("value")).alias("keys"))
+    return rows.select("r.doc_id", "r.text", "r.lang", "r.source", "keys")
 
 
-@query()
-def page_main_text(spark, sf):
-    return pages.main_texts(table(spark, sf, "pages"))
+@query("SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS ordinal, c_name AS photo_id FROM customer")
+def headerless_lines(spark, sf):
+    """Lines without a header over several files: a line's place is its key."""
+    path = scratch(spark, "lines")
+    table(spark, sf, "customer").orderBy("c_custkey").select("c_name").write.option("maxRecordsPerFile", 400).text(path)
+    return io.lines(spark, path, "photo_id")
 
 
-_SUFFIXES = ["com", "net", "org", "example.net", "*.example.org", "!spam-farm.example.org"]
+@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS part FROM orders")
+def numbered_parts(spark, sf):
+    """Checkpoints: each run stores what no part holds yet as the next part."""
+    orders, folder = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), scratch(spark, "parts")
+    for status in (["F"], ["F", "O"], ["F", "O", "P"]):
+        todo = orders.filter(F.coalesce("o_orderstatus", F.lit("P")).isin(status)).select("o_orderkey")
+        if io.names_in(spark, folder):
+            todo = ingest.pending(todo, spark.read.parquet(f"{folder}/part_*"), "o_orderkey")
+        io.append_part(todo, folder)
+    name = F.regexp_extract("_metadata.file_path", r"/part_(\d+)/", 1)
+    return spark.read.parquet(f"{folder}/part_*").select("o_orderkey", name.cast("int").alias("part"))
 
 
-@query(r"""
-WITH h AS (SELECT page_id, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)), '') AS host FROM pages), l AS (SELECT *, string_split(host, '.') AS l FROM h),
-s AS (SELECT *, CASE WHEN host IS NULL THEN NULL WHEN array_to_string(l[-3:], '.') = 'spam-farm.example.org' THEN 2 WHEN array_to_string(l[-2:], '.') = 'example.org' AND len(l) > 2 THEN 3
-  WHEN array_to_string(l[-2:], '.') = 'example.net' THEN 2 ELSE 1 END AS n FROM l)
-SELECT page_id, host, array_to_string(l[-n:], '.') AS suffix, CASE WHEN n < len(l) THEN array_to_string(l[-(n + 1):], '.') END AS domain FROM s""")
-def url_registered_domain(spark, sf):
-    rules = spark.createDataFrame([(r,) for r in _SUFFIXES], "rule string")
-    return pages.registered_domains(table(spark, sf, "pages"), rules)
+@query("SELECT event_type, count(*) AS n, max(ts) AS last FROM events GROUP BY 1")
+def state_versions(spark, sf):
+    """A progress table: two runs, each over half of the users, add to the counts of the one before; the first finds none."""
+    events, path, schema = table(spark, sf, "events"), scratch(spark, "state"), "event_type string, n long, last timestamp_ntz"
+    for half in (0, 1):
+        counts = events.filter(F.pmod(F.coalesce("user_id", F.lit(0)), F.lit(2)) == half).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.max("ts").cast("timestamp_ntz").alias("last"))
+        io.replace_state(io.state(spark, path, schema).union(counts).groupBy("event_type").agg(F.sum("n").alias("n"), F.max("last").alias("last")), path)
+    return io.state(spark, path, schema)
 
 
-@query(r"""
-WITH u AS (SELECT page_id, url, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) AS host, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)', 1) AS p FROM pages),
-r AS (SELECT *, length(host) % 3 = 0 AS mine, CASE WHEN starts_with(p, '/') THEN p ELSE '/'||p END AS path FROM u)
-SELECT page_id, url, CASE WHEN mine THEN CASE WHEN regexp_matches(path, '\.html$') THEN '/*.html$' WHEN starts_with(path, '/en/') THEN '/en/' END
-  ELSE CASE WHEN regexp_matches(path, '^/.*\?page=') AND NOT starts_with(path, '/fr/') THEN '/*?page=' WHEN starts_with(path, '/fr/') AND regexp_matches(path, '^/fr/.*page') THEN '/fr/*page' WHEN starts_with(path, '/de/') THEN '/de/' END END AS rule,
-  CASE WHEN mine THEN NOT starts_with(path, '/en/') OR regexp_matches(path, '\.html$')
-  ELSE CASE WHEN starts_with(path, '/fr/') AND regexp_matches(path, '^/fr/.*page') THEN true WHEN regexp_matches(path, '^/.*\?page=') THEN false ELSE NOT starts_with(path, '/de/') END END AS allowed FROM r""")
-def robots_verdicts(spark, sf):
-    """Robots files of two kinds by host: one that names the agent and one for all."""
-    p = table(spark, sf, "pages").select("page_id", "url")
-    named = "User-agent: *\nDisallow: /\n\nUser-Agent: Other\nuser-agent: Sextant # us\nDisallow: /en/\nAllow: /*.html$\nCrawl-delay: 2\n"
-    general = "# all\nUser-agent: *\nDisallow: /de/\nDisallow: /*?page=\nAllow: /fr/*page\nDisallow:\n"
-    files = p.select(T.host(F.col("url")).alias("host")).distinct().withColumn("text", F.when(F.length("host") % 3 == 0, named).otherwise(general))
-    return pages.robots_verdicts(p, pages.robots_rules(files), "sextant")
+@query("SELECT CASE WHEN o_orderstatus = 'O' THEN 'open' ELSE 'closed' END AS source_tag, 'graph_docs_batch_' || o_orderkey % 3 AS batch, count(*) AS n, count(DISTINCT o_custkey) AS customers, CASE WHEN o_orderstatus = 'O' THEN NULL ELSE min(o_orderdate) END AS first FROM orders GROUP BY 1, 2, o_orderstatus = 'O'")
+def batch_folders(spark, sf):
+    """Numbered batches below two folders, one of which lacks a column, and a third that is not there; one batch is written twice."""
+    orders, top = table(spark, sf, "orders"), scratch(spark, "batches")
+    folder = {"open": orders.filter("o_orderstatus = 'O'").drop("o_orderdate"), "closed": orders.filter("o_orderstatus IS DISTINCT FROM 'O'")}
+    for tag, rows in folder.items():
+        for batch in (0, 1, 2, 1):
+            io.append_batch(rows.filter(F.col("o_orderkey") % 3 == batch), f"{top}/{tag}", batch)
+    rows = io.graph_batches_of(spark, [f"{top}/{tag}" for tag in ("closed", "missing", "open")])
+    out = rows.groupBy("source_tag", F.element_at(F.split("file", "/"), -1).alias("batch"))
+    return out.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_custkey").alias("customers"), F.min("o_orderdate").alias("first"))
 
 
-@query(f"WITH {_DOCS} SELECT qid, sum(100 - rank)::BIGINT AS points FROM vec WHERE rank <= 100 AND qid IS NOT NULL GROUP BY 1")
-def rank_sum(spark, sf):
-    return _ranked_docs(spark, sf).filter("rank <= 100 AND qid IS NOT NULL").groupBy("qid").agg(F.sum(100 - F.col("rank")).alias("points"))
+@query("""
+SELECT page_id, CASE WHEN starts_with(html, '%PDF') OR contains(lower(url), 'pdf') THEN 'pdf'
+  WHEN strpos(html, '<') > 0 AND octet_length(encode(substr(html, 1, strpos(html, '<') - 1))) < 1000 THEN 'html' END AS kind
+FROM (SELECT page_id, url, CASE page_id % 4 WHEN 0 THEN '%PDF-1.7 ' || html WHEN 1 THEN repeat('é', (page_id % 800)::INTEGER) || html WHEN 2 THEN replace(html, '<', '(') ELSE html END AS html FROM pages)""")
+def content_kinds(spark, sf):
+    """The kind of each page's bytes, some of which begin as a PDF, have their first tag far in, or none."""
+    html = F.expr("CASE page_id % 4 WHEN 0 THEN '%PDF-1.7 ' || html WHEN 1 THEN repeat('é', CAST(page_id % 800 AS INT)) || html WHEN 2 THEN replace(html, '<', '(') ELSE html END")
+    return table(spark, sf, "pages").select("page_id", fetch.kind_of(F.encode(html, "UTF-8"), F.col("url")).alias("kind"))
 
 
-@query(f"WITH {_DOCS} SELECT qid, count(*) AS n, min(rank) AS first FROM vec WHERE qid IS NOT NULL GROUP BY 1 ORDER BY n DESC, first LIMIT 15")
-def frequency_topk(spark, sf):
-    n = _ranked_docs(spark, sf).filter("qid IS NOT NULL").groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("first"))
-    return n.orderBy(F.desc("n"), "first").limit(15)
+@query("""
+SELECT doc_id, lang, trim(regexp_replace('  ' || replace(text, chr(10), chr(13) || chr(10)) || chr(13), '\r\n?', chr(10), 'g'), ' ') AS text
+FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL AND source IS NOT NULL""")
+def complete_texts(spark, sf):
+    """Rows that have all of three columns, line ends of other systems as \\n, then spaces trimmed."""
+    text = F.concat(F.lit("  "), F.replace("text", F.lit("\n"), F.lit("\r\n")), F.lit("\r"))
+    return ingest.complete(table(spark, sf, "documents"), "text", "lang", "source").select("doc_id", "lang", T.newlines(text).alias("text"))
+
+
+@query("(SELECT 'limit' AS run, event_id FROM events ORDER BY event_id LIMIT 100) UNION ALL SELECT 'none', event_id FROM events UNION ALL SELECT 'zero', event_id FROM events")
+def first_rows(spark, sf):
+    """The first 100 rows of a table in order; 0 and None stand for no limit."""
+    events = table(spark, sf, "events").select("event_id")
+    runs = [fetch.first_rows(events, n, "event_id").select(F.lit(run).alias("run"), "event_id") for run, n in (("limit", 100), ("none", None), ("zero", 0))]
+    return runs[0].union(runs[1]).union(runs[2])
 
 
 # --- extensions over the event and order tables -----------------------------------------------------------------------

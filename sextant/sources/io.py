@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Multi-line CSV with quotes doubled by quotes; nulls are told from empty strings.
-CSV = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"', "nullValue": "\\N", "emptyValue": ""}
+from ..operators.order import positions
+
+#: Multi-line CSV with quotes doubled by quotes. Blanks at a text's ends stay; nulls (\\N, or nothing between commas) are told
+#: from empty strings (two quotes).
+CSV = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"', "nullValue": "\\N", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
 def detect(path: str) -> str:
@@ -96,10 +99,12 @@ def images(spark: SparkSession, path: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, path: str, name: str = "value") -> DataFrame:
-    """(ordinal, value) of the lines of a small file without a header: their place in the file is their key."""
-    whole = spark.read.text(path, wholetext=True)
-    rows = whole.select(F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("ordinal", name))
-    return rows
+    """(ordinal, value) of the lines of files without a header, of any size: a line's place, from 0, in the files by path is its key.
+
+    Files are split as any text; a split's rows come in order, so (file, first byte of the split, row) is a line's place.
+    """
+    rows = spark.read.text(path).select(F.col("value").alias(name), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_row"))
+    return positions(rows, ["_file", "_start", "_row"], name="ordinal").select("ordinal", name)
 
 
 def vectors(spark: SparkSession, path: str, other: str) -> DataFrame:

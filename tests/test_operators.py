@@ -210,11 +210,11 @@ def test_paths_of_two_edges_use_two(spark):
 
 
 def test_io_round_trips(spark, tmp_path):
-    rows = spark.createDataFrame([("a", None), ("b", 'x "q"\ny')], "k string, v string")
+    rows = spark.createDataFrame([("a", None), ("b", 'x "q"\ny'), ("c", ""), ("d", "  \t blanks "), ("e", "\r\n\\,"), ("f", "null")], "k string, v string")
     for kind in ("parquet", "csv", "json"):
         path = str(tmp_path / kind)
         io.write(rows, path, kind)
-        assert sorted(map(tuple, io.read(spark, path, kind, rows.schema).collect())) == sorted(map(tuple, rows.collect()))
+        assert sorted(io.read(spark, path, kind, rows.schema).collect(), key=lambda r: r.k) == rows.collect(), kind
     assert io.state(spark, str(tmp_path / "missing"), "k string").isEmpty()
     with pytest.raises(ValueError):
         io.detect("a.xyz")
@@ -404,11 +404,28 @@ def test_more_sources_and_sinks(spark, tmp_path):
     (tmp_path / "x.png").write_bytes(b"png")
     assert io.images(spark, str(tmp_path / "x.png")).first().length == 3
     (tmp_path / "ids.csv").write_text("p1\np2\np3\n")
-    assert [tuple(r) for r in io.lines(spark, str(tmp_path / "ids.csv"), "photo_id").collect()] == [(0, "p1"), (1, "p2"), (2, "p3")]
+    assert sorted(tuple(r) for r in io.lines(spark, str(tmp_path / "ids.csv"), "photo_id").collect()) == [(0, "p1"), (1, "p2"), (2, "p3")]
     rows.write.parquet(str(tmp_path / "vectors"))
     assert io.vectors(spark, str(tmp_path / "nope"), str(tmp_path / "vectors")).count() == 5 and io.request(spark, "a").first().text_input == ""
 
 
+def test_lines_of_split_files(spark, tmp_path):
+    """Blank lines count, files follow each other by path, and a file in many splits keeps its order."""
+    want = [f"line {i} " + "x" * (i % 90) if i % 17 else "" for i in range(3000)]
+    (tmp_path / "a.txt").write_text("\n".join(want[:2000]) + "\n")
+    (tmp_path / "b.txt").write_text("\r\n".join(want[2000:]))
+    (tmp_path / "c.txt").write_text("")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k, v in zip(kept, ("5000", "0"), strict=True):
+            spark.conf.set(k, v)
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 10
+        assert [r.value for r in sorted(io.lines(spark, str(tmp_path)).collect())] == want
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
 def test_deduplicated_stream_rows(spark):
     rows = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:01:00"), (2, "2024-01-01 00:00:00")], "user_id long, ts string")
     assert windows.deduplicated(rows, ["user_id"]).count() == 2
