@@ -147,5 +147,7 @@ def evidence(docs: DataFrame, candidates: DataFrame, chars: int = 700) -> DataFr
     best = own.groupBy("qid").agg(F.max(F.struct(F.length("text").alias("n"), (-F.col("rank")).alias("r"), "text")).alias("b"))
     rows = candidates.join(best, "qid", "left")
     text = F.replace(F.substring(F.coalesce("b.text", F.lit("No text available.")), 1, chars), F.lit("\n"), F.lit(" "))
-    head = F.format_string("== %s (Score=%.4f) ==\n", F.coalesce("label", F.lit("None")), "score")
+    # format_number rounds the double itself, as printf in C does; format_string rounds its shortest decimal, halves up
+    score = F.replace(F.format_number("score", 4), F.lit(","), F.lit(""))
+    head = F.concat(F.lit("== "), F.coalesce("label", F.lit("None")), F.lit(" (Score="), score, F.lit(") ==\n"))
     return rows.select("qid", "rank", F.concat(head, text, F.lit("...")).alias("block"))

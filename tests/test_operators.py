@@ -438,3 +438,11 @@ def test_lines_of_split_files(spark, tmp_path):
 def test_deduplicated_stream_rows(spark):
     rows = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:01:00"), (2, "2024-01-01 00:00:00")], "user_id long, ts string")
     assert windows.deduplicated(rows, ["user_id"]).count() == 2
+
+
+def test_evidence_rounds_scores_as_printf_does(spark):
+    scores = [0.03125, 0.15625, 0.12345, 1.00005, 0.98765, 0.20005, 2.0, 1234.5]
+    cand = spark.createDataFrame([(f"C{i}", None, x, i) for i, x in enumerate(scores)], "qid string, label string, score double, rank int")
+    docs = spark.createDataFrame([("C0", "a\nb", 1)], "qid string, text string, rank int")
+    got = {r.rank: r.block for r in R.evidence(docs, cand).collect()}
+    assert got == {i: f"== None (Score={x:.4f}) ==\n" + ("a b..." if not i else "No text available....") for i, x in enumerate(scores)}
