@@ -117,6 +117,20 @@ def test_mentions_by_trie_and_by_join_agree(spark):
     assert one == other and len(one) > 500
 
 
+def test_names_that_no_text_holds_cost_nothing(spark):
+    """Of far more names than a trie may have, those whose tokens all occur in texts are few; else only anchors leave their texts."""
+    rows = spark.createDataFrame([(i, "We saw the old bridge of Somewhere " + "and more " * 300) for i in range(30)], "doc_id long, text string")
+    names = spark.range(3000).select(F.concat(F.lit("old O"), "id").alias("name")).union(spark.createDataFrame([("old bridge of somewhere",), ("the old",)], "name string"))
+    got = gazetteer.mentions(rows, names, limit=20_000)
+    assert "BatchEvalPython" in got._jdf.queryExecution().optimizedPlan().toString() and got.count() == 60
+    assert sorted(map(tuple, gazetteer.mentions(rows, names, limit=0).collect())) == sorted(map(tuple, got.collect()))
+    known = gazetteer.possible(rows, gazetteer.known_names(names))
+    assert {r.location for r in known.collect()} == {"old bridge of somewhere", "the old"}
+    for limit in (0, 1 << 20):
+        out = gazetteer.joined(rows.withColumnRenamed("doc_id", "id"), known, limit)
+        assert out.count() == 60
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
