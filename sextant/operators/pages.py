@@ -1,6 +1,6 @@
 """Pages: bytes to text, main text by block densities, registered domains by suffix rules, robots rules as a table.
 
-A page is read into blocks once, in Arrow batches; which blocks are its main text is decided by expressions over their word
+A page is read into blocks once, some pages at a time; which blocks are its main text is decided by expressions over their word
 counts and link densities. Suffix and robots rules are tables that urls are joined with.
 """
 
@@ -10,7 +10,6 @@ import codecs
 import re
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -149,13 +148,11 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
     """
     read = f"struct<title:string,blocks:array<{BLOCK}>,feed:boolean,plain:string>"
 
-    @F.pandas_udf(read)
-    def run(html: pd.Series) -> pd.DataFrame:
-        out = []
-        for page in html:
-            title, blocks = read_blocks(page)
-            out.append((title, [dict(zip(("tag", "text", "words", "linked"), b, strict=True)) for b in blocks], bool(page) and is_feed(page), main_text(page)))
-        return pd.DataFrame(out, columns=["title", "blocks", "feed", "plain"])
+    # no Arrow: its batches would hold 10,000 pages and their blocks at once
+    @F.udf(read, useArrow=False)
+    def run(page: str | None) -> tuple:
+        title, blocks = read_blocks(page)
+        return title, blocks, bool(page) and is_feed(page), main_text(page)
 
     rows = pages.select(F.col(id_col), run(html_col).alias("r")).select(id_col, "r.*").withColumn("keep", is_content(F.col("blocks")))
     kept = F.transform(F.filter(F.arrays_zip("blocks", "keep"), lambda z: z["keep"]), lambda z: z["blocks"]["text"])
