@@ -99,12 +99,8 @@ def main_text(html: str | None) -> str:
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
-    """(page_id, main_text, words) by a real parser, in Arrow batches."""
-
-    @F.pandas_udf("string")
-    def extract(html: pd.Series) -> pd.Series:
-        return html.map(main_text)
-
+    """(page_id, main_text, words) by a real parser, some pages at a time: an Arrow batch would hold 10,000 of any length."""
+    extract = F.udf(main_text, "string", useArrow=False)
     return pages.select("page_id", extract("html").alias("main_text")).withColumn("words", word_count(F.col("main_text")))
 
 

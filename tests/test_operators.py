@@ -446,3 +446,16 @@ def test_evidence_rounds_scores_as_printf_does(spark):
     docs = spark.createDataFrame([("C0", "a\nb", 1)], "qid string, text string, rank int")
     got = {r.rank: r.block for r in R.evidence(docs, cand).collect()}
     assert got == {i: f"== None (Score={x:.4f}) ==\n" + ("a b..." if not i else "No text available....") for i, x in enumerate(scores)}
+
+
+def test_pages_are_read_some_at_a_time(spark):
+    """No step that reads whole pages takes Arrow batches, which hold 10,000 of them."""
+    from sextant.operators import pages
+
+    rows = spark.createDataFrame([(1, "<title>A title</title><p>" + "word " * 90 + "</p>"), (2, None)], "page_id long, html string")
+    stored = rows.select(F.lit("u").alias("url"), F.lit("u").alias("final_url"), F.encode("html", "UTF-8").alias("content"))
+    asked = spark.createDataFrame([("q", "q", "u")], "qid string, qidLabel string, website string")
+    for out in (ingest.main_texts(rows), pages.main_texts(rows), fetch.crawl(asked, stored)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BatchEvalPython" in plan and "ArrowEval" not in plan and "MapInPandas" not in plan
+        assert out.count() == 2
