@@ -228,15 +228,23 @@ def graph_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     own = F.md5("text")
     if "metadata" in docs.columns:
         own = F.coalesce(F.nullif(F.try_element_at("metadata", F.lit("id")), F.lit("")), own)
-    source = docs.withColumn("source_id", own)
-    nodes = source.select("source_id", F.explode("nodes").alias("n")).select("source_id", F.col("n.id").alias("id"), F.col("n.type").alias("label"))
-    # both lists belong to one document, so the labels of an end are looked up within its row
-    labels = lambda end: F.filter(F.col("nodes"), lambda n: n["id"] == end)
+    nodes, rels = (F.coalesce(c, F.array().cast(docs.schema[c].dataType)) for c in ("nodes", "relationships"))
+    edge = lambda src, src_label, dst, dst_label, type_: F.struct(src.alias("src"), src_label.alias("src_label"), dst.alias("dst"), dst_label.alias("dst_label"), type_.alias("type"))
+    # both lists belong to one document, so the labels of an end are looked up within its row: each end in all nodes
+    labels = lambda end: F.filter(nodes, lambda n: n["id"] == end)
     known = lambda end: F.when(F.size(labels(end)) > 0, F.array_distinct(F.transform(labels(end), lambda n: n["type"]))).otherwise(F.array(F.lit("Node")))
-    rels = source.select("nodes", F.explode("relationships").alias("r"))
-    rels = rels.select("r", F.explode(known(F.col("r.source"))).alias("src_label"), F.col("nodes")).select("r", "src_label", F.explode(known(F.col("r.target"))).alias("dst_label"))
-    rels = rels.select(F.col("r.source").alias("src"), "src_label", F.col("r.target").alias("dst"), "dst_label", F.col("r.type").alias("type"))
-    told = nodes.select(F.col("source_id").alias("src"), F.lit("Document").alias("src_label"), F.col("id").alias("dst"), F.col("label").alias("dst_label"), F.lit("MENTIONS").alias("type"))
-    ends = source.select(F.col("source_id").alias("id"), F.lit("Document").alias("label")).union(nodes.select("id", "label"))
-    ends = ends.union(rels.select("src", "src_label")).union(rels.select("dst", "dst_label"))
-    return ends.dropDuplicates(["label", "id"]), rels.union(told).dropDuplicates(["src", "src_label", "dst", "dst_label", "type"])
+    each = F.flatten(F.transform(rels, lambda r: F.flatten(F.transform(known(r["source"]), lambda a: F.transform(known(r["target"]), lambda b: edge(r["source"], a, r["target"], b, r["type"]))))))
+    # but where all nodes have one label and all ends are nodes, which sets tell, there is nothing to look up
+    types = F.array_distinct(F.transform(nodes, lambda n: n["type"]))
+    ends = F.concat(F.transform(rels, lambda r: r["source"]), F.transform(rels, lambda r: r["target"]))
+    plain = (F.size(types) == 1) & (F.size(F.array_except(ends, F.transform(nodes, lambda n: n["id"]))) == 0) & ~F.exists(ends, lambda e: e.isNull())
+    # one-element transforms bind what is the same for all elements, so it is computed once a row
+    alike = F.flatten(F.transform(types, lambda t: F.transform(rels, lambda r: edge(r["source"], t, r["target"], t, r["type"]))))
+    told = F.flatten(F.transform(F.array(own), lambda s: F.transform(nodes, lambda n: edge(s, F.lit("Document"), n["id"], n["type"], F.lit("MENTIONS")))))
+    related = F.when(plain, alike).otherwise(each)
+    # one pass over the documents each: what made them may be an extractor
+    edges = docs.select(F.explode(F.concat(related, told)).alias("e")).select("e.*")
+    end = lambda id_, label: F.struct(id_.alias("id"), label.alias("label"))
+    sides = [F.transform(related, lambda e: end(e["src"], e["src_label"])), F.transform(related, lambda e: end(e["dst"], e["dst_label"]))]
+    met = docs.select(F.explode(F.concat(F.array(end(own, F.lit("Document"))), F.transform(nodes, lambda n: end(n["id"], n["type"])), *sides)).alias("e")).select("e.*")
+    return met.dropDuplicates(["label", "id"]), edges.dropDuplicates(["src", "src_label", "dst", "dst_label", "type"])

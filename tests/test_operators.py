@@ -354,6 +354,26 @@ def test_equal_ids_of_two_labels_stay_two(spark):
     assert {e[2:4] for e in got if e[:2] == ("src 1", "Document")} == {("Paris", "City"), ("Paris", "Person")}
 
 
+def test_graph_documents_look_up_labels_only_where_they_differ(spark):
+    """Documents whose names have one label and whose ends are all known, against the same with a name of another label beside
+    them; and one pass over what the extractor made."""
+    names = [f"N{i}" for i in range(60)]
+    rels = [(a, b, "NEXT") for a, b in zip(names, names[1:], strict=False)]
+    schema = "text string, nodes array<struct<id:string,type:string>>, relationships array<struct<source:string,target:string,type:string>>"
+    of = lambda nodes, r=rels: spark.createDataFrame([("t", nodes, r)], schema)
+    own = [(n, "Name") for n in names]
+    nodes, edges = G.graph_documents(of(own))
+    also_nodes, also_edges = G.graph_documents(of([*own, ("other", "Thing")]))
+    got = {tuple(r) for r in edges.collect()}
+    assert got == {tuple(r) for r in also_edges.filter("dst <> 'other'").collect()} and len(got) == 119
+    assert {tuple(r) for r in also_nodes.collect()} - {tuple(r) for r in nodes.collect()} == {("other", "Thing")}
+    unknown = {tuple(r)[:4] for r in G.graph_documents(of(own[:1], [("N0", "N9", "NEXT"), ("N0", None, "NEXT")]))[1].filter("type = 'NEXT'").collect()}
+    assert unknown == {("N0", "Name", "N9", "Node"), ("N0", "Name", None, "Node")}
+    assert G.graph_documents(spark.createDataFrame([("t", None, None)], schema))[1].count() == 0
+    plan = G.graph_documents(fetch.extracted(spark.createDataFrame([("A Bb Cc",)], "text string"), fetch.capitalised))[1]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BatchEvalPython [") == 1 and "Arrow" not in plan and "MapInPandas" not in plan, plan
+
+
 def test_next_batches_go_on_from_the_last(spark):
     rows = spark.createDataFrame([(k,) for k in (0, 1, 5, 6, 1000, 2000, 7000)], "k long")
     done = spark.createDataFrame([(0, 0), (1000, 0), (2000, 1)], "k long, b long")
