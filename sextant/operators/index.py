@@ -26,8 +26,9 @@ from .retrieval import top_k
 
 #: Sampled rows for each cell that training reads at most.
 SAMPLE_PER_CELL = 256
-#: Requests that meet the vectors in one pass, and vectors that they meet at a time: bounds of a task's memory.
-REQUESTS, STRIP = 4096, 1024
+#: Requests that meet the vectors in one pass; scores that a task computes at a time and, beside the best, keeps before it sorts
+#: them in. Bounds of a task's memory.
+REQUESTS, SCORES = 4096, 1 << 18
 
 
 @dataclass
@@ -147,21 +148,35 @@ def batch_top_k(vectors: DataFrame, requests: DataFrame, k: int, id_col: str = "
 
 
 def _one_pass(vectors: DataFrame, names: np.ndarray, q: np.ndarray, k: int) -> DataFrame:
+    strip = max(1, SCORES // max(1, len(names)))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, score, ids = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        best = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
         least = np.full(len(names), -np.inf)
+        new, waiting = [], 0
+
+        def sorted_in() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """The k best of each request among those so far and the waiting ones; lifts what the next must reach."""
+            at, score, ids = (np.concatenate(x) for x in zip(best, *new, strict=True))
+            order = np.lexsort((ids, -score, at))
+            at, score, ids = at[order], score[order], ids[order]
+            place = np.arange(len(at)) - np.searchsorted(at, at)
+            last = place == k - 1
+            least[at[last]] = score[last]
+            return at[place < k], score[place < k], ids[place < k]
+
         for pdf in batches:
-            for a in range(0, len(pdf) if len(names) else 0, STRIP):
-                own = pdf["vec_id"].to_numpy()[a : a + STRIP]
-                s = np.round(q @ np.stack(pdf["v"].to_numpy()[a : a + STRIP]).T, 6)
+            for a in range(0, len(pdf) if len(names) else 0, strip):
+                own = pdf["vec_id"].to_numpy()[a : a + strip]
+                s = q @ np.stack(pdf["v"].to_numpy()[a : a + strip]).T
+                np.round(s, 6, out=s)
                 r, c = np.nonzero(s >= least[:, None])
-                at, score, ids = np.concatenate([at, r]), np.concatenate([score, s[r, c]]), np.concatenate([ids, own[c]])
-                order = np.lexsort((ids, -score, at))
-                at, score, ids = at[order], score[order], ids[order]
-                place = np.arange(len(at)) - np.searchsorted(at, at)
-                last = place == k - 1
-                least[at[last]] = score[last]
-                at, score, ids = at[place < k], score[place < k], ids[place < k]
+                new.append((r, s[r, c], own[c]))
+                waiting += len(r)
+                if waiting >= SCORES:
+                    best = sorted_in()
+                    new, waiting = [], 0
+        at, score, ids = sorted_in()
         yield pd.DataFrame({"req_id": names[at], "vec_id": ids, "score": score})
 
     return vectors.mapInPandas(run, "req_id long, vec_id long, score double")

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,6 +98,26 @@ def test_batch_plan_has_no_pairs(spark, vectors):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "WindowGroupLimit" in plan
 
 
+def test_what_a_task_holds_of_many_requests_is_bounded(spark, monkeypatch):
+    """The most scores that a task sorts at once, whatever the numbers of requests and vectors are; the rows stay those of a scan."""
+    data = clustered(rows=1500, width=6)
+    one = lambda n: index._one_pass(spark.createDataFrame([(i, v) for i, v in data], "vec_id long, v array<double>"), np.arange(n), np.array([v for _, v in data[:n]]), 5)
+    runs = []
+    monkeypatch.setattr(type(spark.range(0)), "mapInPandas", lambda self, run, schema: runs.append(run))
+    one(300)
+    sizes, sort = [], np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda keys: sizes.append(len(keys[0])) or sort(keys))
+    monkeypatch.setattr(index, "SCORES", 4000)
+    one(300)
+    rows = pd.DataFrame({"vec_id": [i for i, _ in data], "v": [np.array(v) for _, v in data]})
+    got = next(runs[1](iter([rows[:700], rows[700:]])))
+    assert max(sizes) <= 300 * 5 + 2 * 4000 and len(got) == 300 * 5
+    x = np.array([v for _, v in data])
+    for req in (0, 17, 299):
+        s = np.round(x @ x[req], 6)
+        assert got[got.req_id == req].vec_id.tolist() == sorted(range(len(x)), key=lambda i: (-s[i], i))[:5]  # noqa: B023
+
+
 NAMES = ["Saint Vincent and the Grenadines", "St. John", "saint", "City", "région Île-de-France", "a a", "", "...", "O'Neill & Sons", "the Grenadines"]
 
 
