@@ -190,3 +190,13 @@ def test_postings_and_search(spark):
     assert ask("big", "towr") == {(1, 3, 1), (3, 2, 2)}
     plan = fulltext.matches(made, spark.createDataFrame([("big",)], "word string"))._jdf.queryExecution().optimizedPlan().toString()
     assert "Join Cross" not in plan and plan.count("Join Inner") == 1, plan
+
+
+def test_postings_of_repeated_nodes_and_few_keys_a_token(spark):
+    """Rows of one node are one text; a token of any length has at most 29 keys, and postings are not moved once they are made."""
+    texts = [(1, "b a b"), (1, "a c"), (2, None), (None, "a"), (3, " ".join(f"w{i}" for i in range(500)) + " abcdefghijklmnopqrst w7")]
+    made = fulltext.build(spark.createDataFrame(texts, "id long, text string"), "id", ["text"])
+    got = {(r.token, r.node_id, r.n, tuple(r.positions)) for r in made.postings.collect()}
+    assert got >= {("a", 1, 2, (0, 1)), ("b", 1, 2, (0, 2)), ("c", 1, 1, (1,)), ("a", None, 1, (0,)), ("w7", 3, 2, (7, 501)), ("w499", 3, 1, (499,))} and len(got) == 505
+    keys = made.neighbours.groupBy("token").count().agg(F.max("count")).first()[0]
+    assert keys <= 29
